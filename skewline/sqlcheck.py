@@ -255,3 +255,76 @@ FROM f1 f JOIN fr r ON f.ticker = r.ticker AND f.date = r.date
 LEFT JOIN mf m ON f.date = m.date
 WINDOW w AS (PARTITION BY f.ticker ORDER BY f.date ROWS BETWEEN {win - 1} PRECEDING AND CURRENT ROW)"""),
     ])
+
+
+# --------------------------------------------------------------------------- screen
+
+
+def screen_ctes(cfg, events=True) -> list[tuple[str, str]]:
+    """panel, hd, ov, tf, excl: exclusions with the first failing reason."""
+    bench = cfg.benchmark_ticker
+    ev = (f"EXISTS (SELECT 1 FROM v_event_calendar e WHERE e.ticker = p.ticker "
+          f"AND abs(date_diff('day', e.event_date, p.date)) <= {cfg.earnings_buffer_days})") if events else "false"
+    return [
+        ("panel", f"SELECT date, ticker FROM v_bars WHERE ticker <> '{bench}'"),
+        ("hd", "SELECT date, ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) AS history_depth FROM v_bars"),
+        ("od", "SELECT underlying AS ticker, date, sum(volume) AS vs, count(volume) AS vn FROM v_options GROUP BY 1, 2"),
+        ("ov", """
+SELECT p.date, p.ticker, CASE WHEN sum(o.vn) > 0 THEN sum(o.vs) / sum(o.vn) END AS avg_option_volume_20d
+FROM panel p LEFT JOIN od o ON o.ticker = p.ticker AND o.date <= p.date AND o.date > p.date - 20
+GROUP BY p.date, p.ticker"""),
+        ("tf", """
+SELECT date, ticker, first_day + CAST((5 - dayofweek(first_day) + 7) % 7 AS INTEGER) + 14 AS third_friday
+FROM (SELECT date, ticker, CAST(date_trunc('month', date) AS DATE) AS first_day FROM panel) x"""),
+        ("excl", f"""
+SELECT p.date, p.ticker, CASE
+  WHEN {ev} THEN 'earnings_window'
+  WHEN abs(date_diff('day', t.third_friday, p.date)) <= {cfg.opex_buffer_days} THEN 'opex_window'
+  WHEN coalesce(h.history_depth, 0) < {cfg.min_history_days} THEN 'insufficient_history'
+  WHEN v.avg_option_volume_20d IS NULL OR v.avg_option_volume_20d < {lit(cfg.min_option_volume_20d)}
+    THEN 'insufficient_option_volume' END AS reason
+FROM panel p JOIN tf t USING (date, ticker) LEFT JOIN hd h USING (date, ticker) LEFT JOIN ov v USING (date, ticker)"""),
+    ]
+
+
+def activity_ctes(cfg) -> list[tuple[str, str]]:
+    """act: activity score at every panel row and at every panel date for the benchmark; rel: relative score."""
+    minp = cfg.screen_z_min_periods
+    win = cfg.rolling_window
+    cols = ("call_put_volume_ratio", "iv_pct_rank_252d", cfg.activity_rv_column)
+    out = []
+    for i, c in enumerate(cols):
+        out.append((f"w10_{i}", f"""
+SELECT ticker, date, CASE WHEN count({c}) OVER w >= {minp} AND stddev_samp({c}) OVER w <> 0
+  THEN ({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w ELSE 0e0 END AS z
+FROM feat WHERE {c} IS NOT NULL
+WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN {win - 1} PRECEDING AND CURRENT ROW)"""))
+    out += [
+        ("targets", f"SELECT date, ticker FROM panel UNION SELECT DISTINCT date, '{cfg.benchmark_ticker}' FROM panel"),
+        ("act", """
+SELECT t.date, t.ticker, coalesce(a.z, 0e0) AS z_cp, coalesce(b.z, 0e0) AS z_iv_rank, coalesce(c.z, 0e0) AS z_iv_rv,
+  0.5e0 * coalesce(a.z, 0e0) + 0.3e0 * coalesce(b.z, 0e0) + 0.2e0 * coalesce(c.z, 0e0) AS activity_score
+FROM targets t
+ASOF LEFT JOIN w10_0 a ON t.ticker = a.ticker AND t.date >= a.date
+ASOF LEFT JOIN w10_1 b ON t.ticker = b.ticker AND t.date >= b.date
+ASOF LEFT JOIN w10_2 c ON t.ticker = c.ticker AND t.date >= c.date"""),
+        ("rel", f"""
+SELECT a.date, a.ticker, a.activity_score, a.activity_score - coalesce(b.activity_score, 0e0) AS score_rel
+FROM act a LEFT JOIN (SELECT date, activity_score FROM act WHERE ticker = '{cfg.benchmark_ticker}') b USING (date)
+WHERE a.ticker <> '{cfg.benchmark_ticker}'"""),
+    ]
+    return out
+
+
+def stage_a_ctes(cfg) -> list[tuple[str, str]]:
+    n_expr = (f"CAST(least(floor({lit(cfg.stage_a_base)} + {lit(cfg.stage_a_slope)} * "
+              f"least(greatest(coalesce(nullif(m.vix, 0), 20e0) / 20e0, 0.5e0), 2e0)), {cfg.stage_a_max}) AS INTEGER)")
+    return feature_ctes(cfg) + screen_ctes(cfg) + activity_ctes(cfg) + [
+        ("sa0", f"""
+SELECT e.date, e.ticker, e.reason, e.reason IS NULL AS passes, r.activity_score, r.score_rel, {n_expr} AS n_select
+FROM excl e LEFT JOIN rel r USING (date, ticker) LEFT JOIN v_market m ON e.date = m.date"""),
+        ("sa", """
+SELECT *, CASE WHEN passes THEN row_number() OVER (PARTITION BY date ORDER BY passes DESC, score_rel DESC, ticker) END
+  AS rank FROM sa0"""),
+        ("stage", "SELECT *, coalesce(rank <= n_select, false) AS candidate FROM sa"),
+    ]
