@@ -69,3 +69,4 @@ def select_sql(cols: list[str], source: str, where: str = "") -> str:
 
 from skewline.plans import queries_windows  # noqa: E402,F401  (registers)
 from skewline.plans import queries_screen  # noqa: E402,F401
+from skewline.plans import queries_targets  # noqa: E402,F401

@@ -328,3 +328,85 @@ SELECT *, CASE WHEN passes THEN row_number() OVER (PARTITION BY date ORDER BY pa
   AS rank FROM sa0"""),
         ("stage", "SELECT *, coalesce(rank <= n_select, false) AS candidate FROM sa"),
     ]
+
+
+# --------------------------------------------------------------------------- targets and CV
+
+
+def target_ctes(cfg) -> list[tuple[str, str]]:
+    """ft: forward returns over stock sessions (needs sp)."""
+    import math
+    h = cfg.horizon_days
+    return [
+        ("ft0", f"""
+SELECT date, ticker, close, realized_vol_20d, lead({cfg.entry_price}, 1) OVER w AS entry,
+  lead(close, {h}) OVER w AS exit_px, row_number() OVER w AS rn, count(*) OVER (PARTITION BY ticker) AS n
+FROM sp WINDOW w AS (PARTITION BY ticker ORDER BY date)"""),
+        ("ft", f"""
+SELECT date, ticker, close, realized_vol_20d, ln(exit_px / entry) AS fwd_ret,
+  CASE WHEN realized_vol_20d > 0 THEN realized_vol_20d * {lit(math.sqrt(h / cfg.trading_days))}
+       ELSE {lit(cfg.default_sigma_window)} END AS sigma
+FROM ft0 WHERE rn <= n - {h + 1} AND entry IS NOT NULL AND exit_px IS NOT NULL AND entry > 0"""),
+    ]
+
+
+def kcal_ctes(cfg, src: str, prefix: str = "k") -> list[tuple[str, str]]:
+    """{prefix}cal(ticker, k, n_valid) by brute force over the grid."""
+    import numpy as np
+    lo, hi, num = cfg.k_grid
+    vals = ", ".join(f"({j + 1}, {lit(float(x))})" for j, x in enumerate(np.linspace(lo, hi, num)))
+    p = prefix
+    return [
+        (f"{p}grid", f"SELECT * FROM (VALUES {vals}) g(j, k)"),
+        (f"{p}base", f"""
+SELECT ticker, count(*) AS n_rows, count(*) FILTER (WHERE sigma > 0 AND isfinite(fwd_ret)) AS n_valid
+FROM {src} GROUP BY ticker"""),
+        (f"{p}rate", f"""
+SELECT s.ticker, g.j, CAST(sum(CASE WHEN abs(s.fwd_ret) > g.k * s.sigma THEN 1 ELSE 0 END) AS BIGINT) AS hits
+FROM {src} s CROSS JOIN {p}grid g WHERE s.sigma > 0 AND isfinite(s.fwd_ret) GROUP BY 1, 2"""),
+        (f"{p}first", f"""
+SELECT r.ticker, min(r.j) AS j FROM {p}rate r JOIN {p}base b USING (ticker)
+WHERE abs(r.hits / b.n_valid - {lit(cfg.base_rate_target)}) < 0.05e0 GROUP BY r.ticker"""),
+        (f"{p}cal", f"""
+SELECT b.ticker, CASE WHEN b.n_rows >= 50 AND b.n_valid >= 50 AND f.j IS NOT NULL THEN g.k
+  ELSE {lit(cfg.default_k_threshold)} END AS k, b.n_valid
+FROM {p}base b LEFT JOIN {p}first f USING (ticker) LEFT JOIN {p}grid g ON g.j = f.j"""),
+    ]
+
+
+def label_cte(name: str, src: str, kname: str, cfg) -> tuple[str, str]:
+    return (name, f"""
+SELECT s.*, coalesce(c.k, {lit(cfg.default_k_threshold)}) AS k,
+  coalesce(c.k, {lit(cfg.default_k_threshold)}) * s.sigma AS threshold,
+  CAST(abs(s.fwd_ret) > coalesce(c.k, {lit(cfg.default_k_threshold)}) * s.sigma AS INTEGER) AS y_magnitude,
+  CAST(s.fwd_ret > 0 AS INTEGER) AS y_direction
+FROM {src} s LEFT JOIN {kname} c USING (ticker)""")
+
+
+def fold_ctes(src: str, n_splits: int) -> list[tuple[str, str]]:
+    return [
+        ("fd", f"SELECT DISTINCT date FROM {src}"),
+        ("fo", f"""
+SELECT date, CAST(least(floor((row_number() OVER (ORDER BY date) - 1)
+  / greatest(floor((SELECT count(*) FROM fd) / {n_splits}), 1)), {n_splits - 1}) AS INTEGER) AS fold FROM fd"""),
+        ("fb", "SELECT fold, min(date) AS test_min, max(date) AS test_max FROM fo GROUP BY fold"),
+    ]
+
+
+def roles_cte(cfg) -> tuple[str, str]:
+    h, e = cfg.horizon_days, cfg.cv_embargo_days
+    return ("roles", f"""
+SELECT fb.fold, fo.date, CASE WHEN fo.fold = fb.fold THEN 'test'
+  WHEN abs(date_diff('day', fb.test_min, fo.date)) < {h} OR abs(date_diff('day', fb.test_max, fo.date)) < {h}
+    OR (fo.date >= fb.test_min - {e} AND fo.date < fb.test_min) OR (fo.date > fb.test_max AND fo.date <= fb.test_max + {e})
+  THEN 'purged' ELSE 'train' END AS role
+FROM fo CROSS JOIN fb""")
+
+
+def training_ctes(cfg) -> list[tuple[str, str]]:
+    days = 365 * cfg.training_window_years + 30
+    return feature_ctes(cfg) + target_ctes(cfg) + [
+        ("tf0", f"""
+SELECT f.*, t.close AS stock_close, t.realized_vol_20d, t.fwd_ret, t.sigma
+FROM feat f JOIN ft t USING (date, ticker) WHERE f.date >= (SELECT max(date) FROM feat) - {days}"""),
+    ] + kcal_ctes(cfg, "tf0", "t") + [label_cte("tframe", "tf0", "tcal", cfg)]
