@@ -29,7 +29,7 @@ def log_returns(df: DataFrame, price="close", part="ticker", order="date", lags=
     """ln(p_t / p_{t-lag}) for each lag, as ret_1d, ret_5d, ..."""
     w = wspec(part, order)
     for lag in lags:
-        df = df.withColumn(f"ret_{lag}d", F.log(F.col(price) / F.lag(price, lag).over(w)))
+        df = df.withColumn(f"ret_{lag}d", F.log(F.try_divide(F.col(price), F.lag(price, lag).over(w))))
     return df
 
 

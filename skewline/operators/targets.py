@@ -63,9 +63,9 @@ def calibrate_k(returns: DataFrame, cfg: Settings = DEFAULT, key: str = "ticker"
         F.collect_list(F.when(F.col("_m").isNotNull(), F.struct(F.col("_m").alias("m"), F.col("_c").alias("c"))))
         .alias("_h"),
     )
-    nv = F.col("n_valid")
+    nv = F.when(F.col("n_valid") > 0, F.col("n_valid"))
     rates = F.transform(F.sequence(F.lit(0), F.lit(num - 1)), lambda j: F.aggregate(
-        F.filter(F.col("_h"), lambda b: b["m"] > j), F.lit(0).cast("bigint"), lambda acc, b: acc + b["c"]) / nv)
+        F.filter(F.col("_h"), lambda b: b["m"] > j), F.lit(0).cast("bigint"), lambda acc, b: acc + b["c"]).cast("double") / nv)
     hit = F.array_position(F.transform(rates, lambda x: F.abs(x - F.lit(cfg.base_rate_target)) < F.lit(0.05)), True)
     k = F.when((F.col("n_rows") >= 50) & (F.coalesce(nv, F.lit(0)) >= 50) & (hit > 0),
                F.element_at(grid, hit.cast("int"))).otherwise(F.lit(cfg.default_k_threshold))

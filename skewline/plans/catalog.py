@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from skewline import sqlcheck as Q
 from skewline.config import DEFAULT
+from skewline.functions.numeric import round_half_up
 from skewline.session import apply_engine_conf
 from skewline.sources.fixtures import Fixtures
 
@@ -21,9 +22,8 @@ CFG = DEFAULT
 
 
 def r6(c, digits: int = Q.ROUND):
-    """floor(x * 10^d + 0.5) / 10^d: the same IEEE steps as the SQL side (see sqlcheck.r6)."""
-    scale = float(10.0 ** digits)
-    return F.when(F.abs(c) < 1e12, F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).otherwise(c)
+    """The same IEEE steps as the SQL side (see sqlcheck.r6)."""
+    return round_half_up(c, digits)
 
 
 def finish(df: DataFrame, digits: int = Q.ROUND) -> DataFrame:
@@ -70,3 +70,4 @@ def select_sql(cols: list[str], source: str, where: str = "") -> str:
 from skewline.plans import queries_windows  # noqa: E402,F401  (registers)
 from skewline.plans import queries_screen  # noqa: E402,F401
 from skewline.plans import queries_targets  # noqa: E402,F401
+from skewline.plans import queries_stats  # noqa: E402,F401
