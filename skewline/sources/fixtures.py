@@ -63,6 +63,7 @@ SELECT ts AS pulled_at,
  CASE WHEN event_type = 'error' THEN 429 ELSE 200 END AS status_code, value AS elapsed_ms FROM events""",
     "v_universe_raw": """
 SELECT concat(n_name, CASE WHEN n_nationkey % 5 = 0 THEN '.B' ELSE '' END) AS symbol FROM nation
+UNION ALL SELECT replace(n_name, '_', '.') AS symbol FROM nation
 UNION ALL SELECT '' AS symbol UNION ALL SELECT 'BAD SYM!' AS symbol""",
     "v_metric_pages": """
 SELECT page_id, concat('<p>DSPX: ', page_id % 40, '.', page_id % 10, '</p><b>',
