@@ -72,3 +72,4 @@ from skewline.plans import queries_screen  # noqa: E402,F401
 from skewline.plans import queries_targets  # noqa: E402,F401
 from skewline.plans import queries_stats  # noqa: E402,F401
 from skewline.plans import queries_sources  # noqa: E402,F401
+from skewline.plans import queries_output  # noqa: E402,F401
