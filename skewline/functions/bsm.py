@@ -146,34 +146,70 @@ def np_bsm_price(S, K, T_, r, sigma, is_call):
     return np.where(is_call, call, put)
 
 
+def np_norm_tail(ax: np.ndarray) -> np.ndarray:
+    """Upper tail 1 - N(|x|) of the West (2005) recipe, for ax = |x| >= 0.
+
+    N(x) = 1 - tail for x > 0, else tail; so N(x) and N(-x) come from one tail
+    evaluation, bit-identical to ``np_norm_cdf``.  The continued-fraction branch is
+    evaluated only where it applies."""
+    expo = np.exp(-(ax * ax) / 2.0)
+    tail = expo * _horner(CDF_NUM, ax) / _horner(CDF_DEN, ax)
+    far = ax >= CDF_SPLIT
+    if far.any():
+        a = ax[far]
+        b = a + 0.65
+        b = a + 4.0 / b
+        b = a + 3.0 / b
+        b = a + 2.0 / b
+        b = a + 1.0 / b
+        tail[far] = np.where(a > CDF_ZERO, 0.0, expo[far] / b / SQRT_2PI)
+    return tail
+
+
+def _cdf_pair(d, tail):
+    """(N(d), N(-d)) from the shared tail."""
+    return np.where(d > 0, 1.0 - tail, tail), np.where(-d > 0, 1.0 - tail, tail)
+
+
 def np_implied_vol(price, S, K, T_, r, is_call, clamp_min=0.01, clamp_max=5.0):
-    """F3 with the P9 guards: vectorised bisection, NaN where no valid IV exists."""
+    """F3 with the P9 guards: vectorised bisection, NaN where no valid IV exists.
+
+    Each step evaluates the BSM price at the bracket midpoint with the same operation
+    order as ``np_bsm_price`` (and the SQL statement of the oracle), so results are
+    bit-identical to the straightforward form; only rows passing the guards iterate."""
     price = np.asarray(price, dtype="float64")
     S = np.asarray(S, dtype="float64")
     K = np.asarray(K, dtype="float64")
     T_ = np.asarray(T_, dtype="float64")
     r = np.asarray(r, dtype="float64")
     is_call = np.asarray(is_call, dtype=bool)
+    out = np.full(price.shape, np.nan)
     with np.errstate(all="ignore"):
         ok = (price > 0) & (T_ > 0) & (S > 0) & (K > 0)
         ok &= np.where(is_call, price < S, price < K)
         ok &= np.isfinite(price) & np.isfinite(S) & np.isfinite(K) & np.isfinite(T_) & np.isfinite(r)
-        lo = np.full(price.shape, IV_LO)
-        hi = np.full(price.shape, IV_HI)
-        # Work on placeholder inputs where guards fail so no NaN leaks into the loop.
-        Sx = np.where(ok, S, 1.0)
-        Kx = np.where(ok, K, 1.0)
-        Tx = np.where(ok, T_, 1.0)
-        rx = np.where(ok, r, 0.0)
-        px = np.where(ok, price, 0.5)
+        idx = np.nonzero(ok)[0]
+        if idx.size == 0:
+            return out
+        s, k, t, rr, px, call = S[idx], K[idx], T_[idx], r[idx], price[idx], is_call[idx]
+        sqrt_t = np.sqrt(t)
+        log_sk = np.log(s / k)
+        disc = k * np.exp(-rr * t)
+        lo = np.full(idx.shape, IV_LO)
+        hi = np.full(idx.shape, IV_HI)
         for _ in range(IV_STEPS):
             mid = (lo + hi) / 2.0
-            above = np_bsm_price(Sx, Kx, Tx, rx, mid, is_call) > px
+            d_1 = (log_sk + (rr + 0.5 * mid * mid) * t) / (mid * sqrt_t)
+            d_2 = d_1 - mid * sqrt_t
+            n1, m1 = _cdf_pair(d_1, np_norm_tail(np.abs(d_1)))
+            n2, m2 = _cdf_pair(d_2, np_norm_tail(np.abs(d_2)))
+            pr = np.where(call, s * n1 - disc * n2, disc * m2 - s * m1)
+            above = pr > px
             hi = np.where(above, mid, hi)
             lo = np.where(above, lo, mid)
         iv = (lo + hi) / 2.0
-    iv = np.where(ok & (iv >= clamp_min) & (iv <= clamp_max), iv, np.nan)
-    return iv
+        out[idx] = np.where((iv >= clamp_min) & (iv <= clamp_max), iv, np.nan)
+    return out
 
 
 @F.pandas_udf(T.DoubleType())
@@ -190,7 +226,7 @@ def implied_vol_udf(
         r.to_numpy(dtype="float64", na_value=np.nan),
         is_call,
     )
-    return pd.Series(iv).where(~np.isnan(iv), None)
+    return pd.Series(iv)  # NaN leaves the UDF as NULL (Arrow null mask)
 
 
 def implied_vol(price: Column, S: Column, K: Column, T_: Column, r: Column, flag: Column) -> Column:

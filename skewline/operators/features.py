@@ -61,9 +61,11 @@ def chain_rows(options: DataFrame, bars: DataFrame, market: DataFrame, cfg: Sett
     return chain_features(chain_summary(priced))
 
 
-def features_daily(options: DataFrame, bars: DataFrame, market: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+def features_daily(options: DataFrame, bars: DataFrame, market: DataFrame, cfg: Settings = DEFAULT,
+                   stock: DataFrame | None = None) -> DataFrame:
+    """``stock`` may pass a stock panel already computed (see ``stock_panel``)."""
     chains = chain_rows(options, bars, market, cfg).withColumnRenamed("underlying", "ticker")
-    stock = stock_panel(bars, cfg)
+    stock = stock_panel(bars, cfg) if stock is None else stock
 
     # As-of join of stock values onto chain rows: one timeline per ticker where a bar
     # sorts before a chain row of the same date; carry the latest bar's values.

@@ -54,9 +54,10 @@ def rolling_pct_rank(x: Column, w, window=252, min_periods=60) -> Column:
     wf = w.rowsBetween(-(window - 1), 0)
     vals = F.collect_list(x).over(wf)
     n = F.size(vals)
-    less = F.size(F.filter(vals, lambda v: v < x))
-    equal = F.size(F.filter(vals, lambda v: v == x))
-    return F.when(x.isNotNull() & (n >= min_periods), (less + (equal + F.lit(1.0)) / F.lit(2.0)) / n)
+    # one pass over the window: below counts 2 per smaller value and 1 per equal value,
+    # so below / 2 = n_less + n_equal / 2
+    below = F.aggregate(vals, F.lit(0), lambda acc, v: acc + F.when(v < x, 2).when(v == x, 1).otherwise(0))
+    return F.when(x.isNotNull() & (n >= min_periods), (below / F.lit(2.0) + F.lit(0.5)) / n)
 
 
 def ewm_var(df: DataFrame, x: str, out: str, lam: float, part="ticker", order="date") -> DataFrame:

@@ -30,11 +30,11 @@ def horizon_sigma(rv: Column, cfg: Settings = DEFAULT) -> Column:
         F.lit(cfg.default_sigma_window))
 
 
-def forward_returns(bars: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+def forward_returns(bars: DataFrame, cfg: Settings = DEFAULT, stock: DataFrame | None = None) -> DataFrame:
     """fwd_ret = ln(close[t+h] / entry[t+1]) over stock sessions; the last h+1 rows
     of each ticker are excluded, as are rows with a missing or non-positive entry."""
     h = cfg.horizon_days
-    sp = stock_panel(bars, cfg)
+    sp = stock_panel(bars, cfg) if stock is None else stock
     w = wspec()
     entry = F.lead(cfg.entry_price, 1).over(w)
     exit_px = F.lead("close", h).over(w)
@@ -81,11 +81,12 @@ def label_targets(df: DataFrame, k: DataFrame, cfg: Settings = DEFAULT, key: str
         "y_direction", (F.col("fwd_ret") > 0).cast("int"))
 
 
-def training_frame(features: DataFrame, bars: DataFrame, cfg: Settings = DEFAULT, as_of=None) -> DataFrame:
+def training_frame(features: DataFrame, bars: DataFrame, cfg: Settings = DEFAULT, as_of=None,
+                   stock: DataFrame | None = None) -> DataFrame:
     """M1: features joined to stock bars and forward targets over the trailing
     2 years + 30 days up to ``as_of`` (default: latest feature date); k is calibrated on
     the frame's own rows."""
-    fr = forward_returns(bars, cfg)
+    fr = forward_returns(bars, cfg, stock)
     df = features.join(fr.withColumnRenamed("close", "stock_close"), ["date", "ticker"], "inner")
     days = 365 * cfg.training_window_years + 30
     # scalar subquery: a partial max per task, then one value; no single-partition window

@@ -17,6 +17,7 @@ from skewline.plans import sinks as SK
 from skewline.plans.catalog import CFG, register, select_sql
 from skewline.plans.queries_stats import THRESH_SQL
 from skewline.plans.signals import score_candidates
+from skewline.session import materialize
 
 VIEWS = ["v_options", "v_bars", "v_market", "v_event_calendar", "v_signals"]
 TOP = list(STAGE_B_FEATURES[:3])
@@ -52,14 +53,17 @@ FROM sc0, th"""),
 
 
 def _scored(fx):
+    # intermediates read by several branches are written once to the shared folder
     panel = S.screening_panel(fx.v_bars, CFG)
-    feats = features_daily(fx.v_options, fx.v_bars, fx.v_market, CFG)
-    stage = S.stage_a(panel, fx.v_bars, fx.v_options, feats, fx.v_market, CFG, events=fx.v_event_calendar)
+    stock = materialize(stock_panel(fx.v_bars, CFG), "stock")
+    feats = materialize(features_daily(fx.v_options, fx.v_bars, fx.v_market, CFG, stock=stock), "features")
+    stage = materialize(S.stage_a(panel, fx.v_bars, fx.v_options, feats, fx.v_market, CFG,
+                                  events=fx.v_event_calendar), "stage")
     cand = stage.where("candidate")
-    k = TG.calibrate_k(TG.forward_returns(fx.v_bars, CFG), CFG)
+    k = TG.calibrate_k(TG.forward_returns(fx.v_bars, CFG, stock), CFG)
     th = ST.direction_thresholds(fx.v_signals, cfg=CFG)
     lt, st = th.select("long_threshold").scalar(), th.select("short_threshold").scalar()
-    rv = stock_panel(fx.v_bars, CFG).select("date", "ticker", "realized_vol_20d")
+    rv = stock.select("date", "ticker", "realized_vol_20d")
     sig = score_candidates(cand, fx.v_signals, rv, k, lt, st, CFG, TOP)
     return stage, sig.join(cand.select("date", "ticker", "rank"), ["date", "ticker"])
 

@@ -6,7 +6,8 @@ from skewline import sqlcheck as Q
 from skewline.config import FEATURE_NAMES
 from skewline.operators import cv
 from skewline.operators import targets as TG
-from skewline.operators.features import features_daily
+from skewline.operators.features import features_daily, stock_panel
+from skewline.session import materialize
 from skewline.plans.catalog import CFG, register, select_sql
 
 VIEWS = ["v_options", "v_bars", "v_market"]
@@ -55,6 +56,7 @@ TRAIN_OUT = (["~date", "~ticker"] + list(FEATURE_NAMES)
                                     recursive=True))
 def q_training_frame(fx):
     """M1: features + stock + targets over the trailing 2 years + 30 days, k from the frame."""
-    feats = features_daily(fx.v_options, fx.v_bars, fx.v_market, CFG)
-    tf = TG.training_frame(feats, fx.v_bars, CFG)
+    stock = materialize(stock_panel(fx.v_bars, CFG), "stock")
+    feats = features_daily(fx.v_options, fx.v_bars, fx.v_market, CFG, stock=stock)
+    tf = TG.training_frame(feats, fx.v_bars, CFG, stock=stock)
     return tf.select(*[c.lstrip("~") for c in TRAIN_OUT])

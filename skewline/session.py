@@ -15,6 +15,10 @@ ENGINE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Window and UDF stages carry little data but much compute: let AQE coalesce
+    # small shuffle partitions only down to the default parallelism, not to one task.
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
@@ -28,6 +32,7 @@ def build_session(master: str | None = None, app: str = "skewline", shuffle_part
         b = b.master(master)
     conf = dict(ENGINE_CONF)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -72,3 +77,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` as a parquet table in the shared folder and return a scan of it.
+
+    Used where several branches of one plan read the same intermediate result: the
+    result is computed once, survives executor loss (reliable storage, not a local
+    checkpoint) and downstream scans get column pruning and filter pushdown."""
+    spark = df.sparkSession
+    path = shared_path(spark, f"mat-{name}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

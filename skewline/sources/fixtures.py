@@ -119,12 +119,24 @@ def with_views(body: str, *names: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+# (application id, sf_dir, view) -> parquet folder holding the materialised view
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Fixtures:
-    """Spark DataFrames for the base tables and derived views of one scale factor."""
+    """Spark DataFrames for the base tables and derived views of one scale factor.
+
+    The derived views stand in for the engine's stored tables (options_daily,
+    stock_daily, market_daily, ...).  With ``store=True`` each view is written once per
+    Spark application to a parquet table in the shared checkpoint folder and read back
+    from there, so queries scan a table (column pruning, filter pushdown, one split per
+    file) instead of re-deriving it.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, store: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.store = store
         self._cache: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -141,9 +153,22 @@ class Fixtures:
             if t in VIEW_SQL[name]:
                 self.table(t).createOrReplaceTempView(t)
         df = self.spark.sql(VIEW_SQL[name])  # analysed now: later view replacement cannot change it
+        if self.store:
+            df = self._stored(name, df)
         self._cache[name] = df
         return df
 
+    def _stored(self, name: str, df: DataFrame) -> DataFrame:
+        from skewline.session import shared_path
+
+        key = (self.spark.sparkContext.applicationId, os.path.abspath(self.sf_dir), name)
+        path = _STORED.get(key)
+        if path is None:
+            path = shared_path(self.spark, f"table-{name}")
+            df.write.mode("overwrite").parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(path)
+
     def __getattr__(self, item: str) -> DataFrame:
         if item.startswith("v_"):
             return self.view(item)
