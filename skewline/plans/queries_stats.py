@@ -115,7 +115,7 @@ def ks_sql(cfg, src="feat", cols=DRIFT_COLS) -> list[tuple[str, str]]:
     sides = f"""
 SELECT *, CASE WHEN date >= a - 60 AND date <= a THEN 0
   WHEN date < a - 60 AND date >= CAST(a - INTERVAL 1 YEAR AS DATE) THEN 1 END AS side
-FROM {src}, (SELECT max(date) AS a FROM {src}) m"""
+FROM {src}, (SELECT max(date) AS a FROM {src} WHERE iv_atm_30dte IS NOT NULL) m"""
     long = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value, side FROM sides WHERE side IS NOT NULL "
                               f"AND {c} IS NOT NULL AND NOT isnan({c})" for c in cols)
     return [
@@ -140,9 +140,14 @@ def _features(fx):
     return features_daily(fx.v_options, fx.v_bars, fx.v_market, CFG)
 
 
+def _feature_as_of(f):
+    """Latest date with a complete feature row (an ATM IV)."""
+    return f.where(F.col("iv_atm_30dte").isNotNull()).select(F.max("date")).scalar()
+
+
 def _ks(fx):
     f = _features(fx)
-    return ST.ks_drift(f, DRIFT_COLS, _as_of(f), CFG)
+    return ST.ks_drift(f, DRIFT_COLS, _feature_as_of(f), CFG)
 
 
 FEAT_VIEWS = ["v_options", "v_bars", "v_market"]
@@ -277,7 +282,7 @@ def pause_warnings(fx):
     from skewline.plans.monitor import pause_warnings as pw
     s = _signals(fx)
     f = _features(fx)
-    return pw(ST.scored(s), f, _as_of(s), _as_of(f), CFG, drift_cols=DRIFT_COLS)
+    return pw(ST.scored(s), f, _as_of(s), _feature_as_of(f), CFG, drift_cols=DRIFT_COLS)
 
 
 @register("pause_warnings", Q.build(Q.feature_ctes(CFG) + warnings_sql(CFG), select_sql(
