@@ -74,3 +74,4 @@ from skewline.plans import queries_stats  # noqa: E402,F401
 from skewline.plans import queries_sources  # noqa: E402,F401
 from skewline.plans import queries_output  # noqa: E402,F401
 from skewline.plans import queries_models  # noqa: E402,F401
+from skewline.plans import queries_streaming  # noqa: E402,F401
