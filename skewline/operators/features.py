@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from skewline.config import DEFAULT, Settings
 from skewline.operators.chain import chain_features, chain_summary, price_contracts, truthy
 from skewline.operators.market import market_features
-from skewline.operators.rolling import ewm_var, log_returns, realized_vol, rolling_pct_rank, rolling_z, wspec
+from skewline.operators.rolling import ewm_var, log_returns, realized_vol, rolling_pct_rank, wspec, with_rolling_z
 
 FEATURE_COLUMNS = (
     "iv_atm_30dte",
@@ -49,10 +49,10 @@ def stock_panel(bars: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     s = log_returns(bars.select("date", "ticker", "open", "close"), lags=(1, cfg.horizon_days))
     s = s.withColumn("realized_vol_20d", realized_vol(F.col("ret_1d"), w, cfg.rv_window, cfg.trading_days))
     s = ewm_var(s, "ret_1d", "ewma_var", cfg.ewma_lambda)
-    s = s.withColumn("z_5d_return", rolling_z(F.col(f"ret_{cfg.horizon_days}d"), w, cfg.rolling_window,
-                                              cfg.rolling_min_periods))
-    s = s.withColumn("z_realized_vol_20d", rolling_z(F.col("realized_vol_20d"), w, cfg.rolling_window,
-                                                     cfg.rolling_min_periods))
+    s = with_rolling_z(s, f"ret_{cfg.horizon_days}d", "z_5d_return", window=cfg.rolling_window,
+                       min_periods=cfg.rolling_min_periods)
+    s = with_rolling_z(s, "realized_vol_20d", "z_realized_vol_20d", window=cfg.rolling_window,
+                       min_periods=cfg.rolling_min_periods)
     return s.withColumn("history_depth", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -101,11 +101,10 @@ def features_daily(options: DataFrame, bars: DataFrame, market: DataFrame, cfg:
         F.when(truthy(iv_atm), rolling_pct_rank(iv_atm, w, win, minp)).alias("iv_pct_rank_252d"),
         F.when(F.col("skew_25d").isNotNull(), rolling_pct_rank(F.col("skew_25d"), w, win, minp)).alias(
             "skew_pct_rank_252d"),
-        F.when(truthy(F.col("call_put_volume_ratio")), rolling_z(F.col("call_put_volume_ratio"), w, win, minp)).alias(
-            "z_call_put_volume_ratio"),
-        F.when(F.col("iv_minus_ewma_rv").isNotNull(), rolling_z(F.col("iv_minus_ewma_rv"), w, win, minp)).alias(
-            "z_iv_minus_ewma_rv"),
     )
+    f = with_rolling_z(f, "call_put_volume_ratio", "z_call_put_volume_ratio", window=win, min_periods=minp,
+                       when=truthy(F.col("call_put_volume_ratio")))
+    f = with_rolling_z(f, "iv_minus_ewma_rv", "z_iv_minus_ewma_rv", window=win, min_periods=minp)
     mkt = market_features(market, cfg)
     return f.join(mkt, "date", "left").select("date", "ticker", *FEATURE_COLUMNS)
 

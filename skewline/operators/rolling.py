@@ -126,3 +126,39 @@ def nonnull_rows_z(df: DataFrame, col: str, out: str, part="ticker", order="date
     z = F.when((n >= min_periods) & sd.isNotNull() & (sd != 0) & ~F.isnan(sd),
                (F.col(col) - F.avg(col).over(wf)) / sd).otherwise(F.lit(default))
     return nn.select(*parts, order, z.alias(out))
+
+
+def with_rolling_z(df: DataFrame, col: str, out: str, part="ticker", order="date", window=252,
+                   min_periods=60, when: Column | None = None) -> DataFrame:
+    """W5 in O(n): the same (x - mean) / std over the last ``window`` rows as
+    ``rolling_z``, from prefix sums instead of a sliding frame (which Spark recomputes
+    row by row).
+
+    Values are centred on the partition's first observation, prefix sums of count,
+    x and x^2 run over the partition, and the window sums are the prefix minus the
+    prefix ``window`` rows earlier.  A window whose centred sum of squares vanishes to
+    rounding level (1e-12 relative) counts as constant (std 0 -> NULL).  ``when``
+    optionally gates the output (NULL where false)."""
+    parts = [part] if isinstance(part, str) else list(part)
+    w = wspec(part, order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col(col)
+    c = F.first(x, ignorenulls=True).over(Window.partitionBy(*parts))
+    df = df.withColumn("_c", c)
+    xc = x - F.col("_c")
+    df = df.withColumn("_p0", F.count(x).over(run)).withColumn("_p1", F.sum(xc).over(run)).withColumn(
+        "_p2", F.sum(xc * xc).over(run))
+    lag = {k: F.coalesce(F.lag(k, window).over(w), F.lit(0)) for k in ("_p0", "_p1", "_p2")}
+    n = F.col("_p0") - lag["_p0"]
+    s1 = F.coalesce(F.col("_p1"), F.lit(0.0)) - lag["_p1"]
+    s2 = F.coalesce(F.col("_p2"), F.lit(0.0)) - lag["_p2"]
+    df = df.withColumn("_n", n).withColumn("_s1", s1).withColumn("_s2", s2)
+    ss = F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n")
+    const = ss <= F.lit(1e-12) * F.col("_s2")
+    sd = F.sqrt(ss / (F.col("_n") - F.lit(1)))
+    mean = F.col("_c") + F.col("_s1") / F.col("_n")
+    ok = (F.col("_n") >= min_periods) & ~const & x.isNotNull()
+    if when is not None:
+        ok = ok & when
+    z = F.when(ok, (x - mean) / sd)
+    return df.withColumn(out, z).drop("_c", "_p0", "_p1", "_p2", "_n", "_s1", "_s2")

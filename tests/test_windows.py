@@ -62,3 +62,19 @@ def test_pct_rank_matches_pandas(spark):
     exp = pd.Series(x).rolling(252, min_periods=60).apply(rank_pct, raw=False).to_numpy()
     assert np.array_equal(np.isnan(got), np.isnan(exp))
     assert np.nanmax(np.abs(got - exp)) < 1e-12
+
+
+def test_prefix_sum_rolling_z_matches_pandas(spark):
+    for seed in (3, 4):
+        x = _series(n=900, seed=seed) + 5.0  # offset mean: exercises the centring
+        got = _collect(R.with_rolling_z(_frame(spark, x), "x", "z", window=252, min_periods=60), "z")
+        s = pd.Series(x)
+        exp = ((s - s.rolling(252, min_periods=60).mean()) / s.rolling(252, min_periods=60).std()).to_numpy()
+        assert np.array_equal(np.isnan(got), np.isnan(exp))
+        assert np.nanmax(np.abs(got - exp)) < 1e-9
+
+
+def test_prefix_sum_rolling_z_constant_window_is_null(spark):
+    x = np.r_[np.full(100, 2.5), np.linspace(0, 1, 50)]
+    got = _collect(R.with_rolling_z(_frame(spark, x), "x", "z", window=80, min_periods=60), "z")
+    assert np.isnan(got[:100]).all() and not np.isnan(got[-1])
