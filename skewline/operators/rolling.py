@@ -116,20 +116,16 @@ def carry_forward(value: Column, w) -> Column:
 def nonnull_rows_z(df: DataFrame, col: str, out: str, part="ticker", order="date", window=252,
                    min_periods=20, default=0.0) -> DataFrame:
     """W10 on the non-null rows of ``col``: z of the value against the last <= ``window``
-    non-null values; fewer than ``min_periods`` or a zero/undefined std gives ``default``.
+    non-null values; fewer than ``min_periods`` or a zero std gives ``default``.
     Returns (part, order, out) at the non-null rows only (callers carry it forward)."""
     parts = [part] if isinstance(part, str) else list(part)
     nn = df.select(*parts, order, col).where(F.col(col).isNotNull())
-    wf = wspec(part, order).rowsBetween(-(window - 1), 0)
-    n = F.count(col).over(wf)
-    sd = F.stddev_samp(col).over(wf)
-    z = F.when((n >= min_periods) & sd.isNotNull() & (sd != 0) & ~F.isnan(sd),
-               (F.col(col) - F.avg(col).over(wf)) / sd).otherwise(F.lit(default))
-    return nn.select(*parts, order, z.alias(out))
+    z = with_rolling_z(nn, col, out, part, order, window, min_periods, default=default)
+    return z.select(*parts, order, out)
 
 
 def with_rolling_z(df: DataFrame, col: str, out: str, part="ticker", order="date", window=252,
-                   min_periods=60, when: Column | None = None) -> DataFrame:
+                   min_periods=60, when: Column | None = None, default: float | None = None) -> DataFrame:
     """W5 in O(n): the same (x - mean) / std over the last ``window`` rows as
     ``rolling_z``, from prefix sums instead of a sliding frame (which Spark recomputes
     row by row).
@@ -138,7 +134,8 @@ def with_rolling_z(df: DataFrame, col: str, out: str, part="ticker", order="date
     x and x^2 run over the partition, and the window sums are the prefix minus the
     prefix ``window`` rows earlier.  A window whose centred sum of squares vanishes to
     rounding level (1e-12 relative) counts as constant (std 0 -> NULL).  ``when``
-    optionally gates the output (NULL where false)."""
+    optionally gates the output (NULL where false); with ``default`` a row with too few
+    values or a constant window gets ``default`` instead of NULL."""
     parts = [part] if isinstance(part, str) else list(part)
     w = wspec(part, order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -161,4 +158,6 @@ def with_rolling_z(df: DataFrame, col: str, out: str, part="ticker", order="date
     if when is not None:
         ok = ok & when
     z = F.when(ok, (x - mean) / sd)
+    if default is not None:
+        z = F.when(x.isNotNull(), F.coalesce(z, F.lit(default)))
     return df.withColumn(out, z).drop("_c", "_p0", "_p1", "_p2", "_n", "_s1", "_s2")

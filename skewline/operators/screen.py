@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewline.config import DEFAULT, Settings
-from skewline.operators.rolling import wspec
+from skewline.operators.rolling import nonnull_rows_z, wspec
 
 
 def third_friday(d: Column) -> Column:
@@ -98,26 +98,20 @@ def activity_scores(targets: DataFrame, features: DataFrame, cfg: Settings = DEF
     the last <= 252 non-null feature rows up to the date (fewer than 20 -> 0), then
     0.5 z_cp + 0.3 z_ivrank + 0.2 z_ivrv.
 
-    One timeline per ticker (feature rows, then target rows of the same date).  For each
-    input column a running count of its non-null values numbers them; a RANGE frame on
-    that number spans exactly the last 252 non-null values, whatever NULL rows lie
-    between, so all three z-scores come from one shuffle and no per-column branch."""
+    Each input column's z is computed on its own non-null rows with O(n) prefix sums;
+    the three z streams and the target rows then share one per-ticker timeline where
+    the latest z is carried forward (a feature row sorts before a target row of the
+    same date)."""
     cols = ACTIVITY_INPUTS + (cfg.activity_rv_column,)
-    win, minp = cfg.rolling_window, cfg.screen_z_min_periods
-    tl = features.select("date", "ticker", *cols, F.lit(0).alias("_eval")).unionByName(
-        targets.select("date", "ticker", F.lit(1).alias("_eval")), allowMissingColumns=True)
-    w = Window.partitionBy("ticker").orderBy("date", "_eval")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    for i, c in enumerate(cols):
-        tl = tl.withColumn(f"_k{i}", F.count(c).over(run)).withColumn(f"_l{i}", F.last(c, ignorenulls=True).over(run))
-    zs = []
-    for i, c in enumerate(cols):
-        wr = Window.partitionBy("ticker").orderBy(f"_k{i}").rangeBetween(-(win - 1), 0)
-        n, sd, mu = F.count(c).over(wr), F.stddev_samp(c).over(wr), F.avg(c).over(wr)
-        z = F.when((F.col(f"_k{i}") > 0) & (n >= minp) & sd.isNotNull() & (sd != 0) & ~F.isnan(sd),
-                   (F.col(f"_l{i}") - mu) / sd).otherwise(F.lit(0.0))
-        zs.append(z.alias(f"_z{i}"))
-    out = tl.select("date", "ticker", "_eval", *zs).where(F.col("_eval") == 1)
+    zs = [nonnull_rows_z(features, c, f"_z{i}", window=cfg.rolling_window, min_periods=cfg.screen_z_min_periods)
+          for i, c in enumerate(cols)]
+    tl = targets.select("date", "ticker", F.lit(1).alias("_eval"))
+    for z in zs:
+        tl = tl.unionByName(z.withColumn("_eval", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("ticker").orderBy("date", "_eval").rowsBetween(Window.unboundedPreceding, 0)
+    carried = [F.coalesce(F.last(f"_z{i}", ignorenulls=True).over(w), F.lit(0.0)).alias(f"_z{i}")
+               for i in range(len(cols))]
+    out = tl.select("date", "ticker", "_eval", *carried).where(F.col("_eval") == 1)
     score = F.lit(0.5) * F.col("_z0") + F.lit(0.3) * F.col("_z1") + F.lit(0.2) * F.col("_z2")
     return out.select("date", "ticker", F.col("_z0").alias("z_cp"), F.col("_z1").alias("z_iv_rank"),
                       F.col("_z2").alias("z_iv_rv"), score.alias("activity_score"))
