@@ -46,18 +46,16 @@ def price_contracts(options: DataFrame, bars: DataFrame, market: DataFrame, cfg:
     )
     if how == "inner":
         px = px.where(F.col("spot").isNotNull() & F.col("open").isNotNull() & F.col("close").isNotNull())
-    px = px.withColumn("mid_price", (F.col("open") + F.col("close")) / F.lit(2.0)).withColumn(
-        "t_years", year_fraction(F.col("date"), F.col("expiry"))
-    )
+    px = px.withColumns({"mid_price": (F.col("open") + F.col("close")) / F.lit(2.0),
+                         "t_years": year_fraction(F.col("date"), F.col("expiry"))})
     px = px.withColumn(
         "iv_computed",
         implied_vol(F.col("mid_price"), F.col("spot"), F.col("strike"), F.col("t_years"), F.col("r"),
                     F.col("contract_type")),
     )
     S, K, T_, r, iv = (F.col(c) for c in ("spot", "strike", "t_years", "r", "iv_computed"))
-    return px.withColumn("delta", F.when(iv.isNotNull(), bsm_delta(S, K, T_, r, iv, F.col("contract_type")))).withColumn(
-        "gamma", F.when(iv.isNotNull(), bsm_gamma(S, K, T_, r, iv))
-    )
+    return px.withColumns({"delta": F.when(iv.isNotNull(), bsm_delta(S, K, T_, r, iv, F.col("contract_type"))),
+                           "gamma": F.when(iv.isNotNull(), bsm_gamma(S, K, T_, r, iv))})
 
 
 # --------------------------------------------------------------------------- chain scope

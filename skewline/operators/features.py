@@ -46,14 +46,17 @@ def stock_panel(bars: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """W1-W5 on stock bars: ret_1d, ret_5d, realized_vol_20d, ewma_var, their z-scores and
     the running bar count (A2)."""
     w = wspec()
-    s = log_returns(bars.select("date", "ticker", "open", "close"), lags=(1, cfg.horizon_days))
+    s = bars.select("date", "ticker", "open", "close")
+    s = s.withColumns({"ret_1d": F.log(F.try_divide(F.col("close"), F.lag("close", 1).over(w))),
+                       f"ret_{cfg.horizon_days}d": F.log(F.try_divide(F.col("close"),
+                                                                      F.lag("close", cfg.horizon_days).over(w))),
+                       "history_depth": F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     s = s.withColumn("realized_vol_20d", realized_vol(F.col("ret_1d"), w, cfg.rv_window, cfg.trading_days))
     s = ewm_var(s, "ret_1d", "ewma_var", cfg.ewma_lambda)
     s = with_rolling_z(s, f"ret_{cfg.horizon_days}d", "z_5d_return", window=cfg.rolling_window,
                        min_periods=cfg.rolling_min_periods)
-    s = with_rolling_z(s, "realized_vol_20d", "z_realized_vol_20d", window=cfg.rolling_window,
-                       min_periods=cfg.rolling_min_periods)
-    return s.withColumn("history_depth", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return with_rolling_z(s, "realized_vol_20d", "z_realized_vol_20d", window=cfg.rolling_window,
+                          min_periods=cfg.rolling_min_periods)
 
 
 def chain_rows(options: DataFrame, bars: DataFrame, market: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:

@@ -28,9 +28,8 @@ def wspec(part="ticker", order="date"):
 def log_returns(df: DataFrame, price="close", part="ticker", order="date", lags=(1, 5)) -> DataFrame:
     """ln(p_t / p_{t-lag}) for each lag, as ret_1d, ret_5d, ..."""
     w = wspec(part, order)
-    for lag in lags:
-        df = df.withColumn(f"ret_{lag}d", F.log(F.try_divide(F.col(price), F.lag(price, lag).over(w))))
-    return df
+    return df.withColumns({f"ret_{lag}d": F.log(F.try_divide(F.col(price), F.lag(price, lag).over(w)))
+                           for lag in lags})
 
 
 def realized_vol(ret: Column, w, window=20, annualisation=252) -> Column:
@@ -75,7 +74,7 @@ def ewm_var(df: DataFrame, x: str, out: str, lam: float, part="ticker", order="d
     w = wspec(part, order)
     parts = [part] if isinstance(part, str) else list(part)
     df = df.withColumn("_rn", F.row_number().over(w))
-    df = df.withColumn("_blk", F.floor((F.col("_rn") - 1) / B))
+    df = df.withColumn("_blk", F.floor((F.col("_rn") - 1) / F.lit(B)))
     anchor = (F.col("_blk") + 1) * B
     age_to_anchor = anchor - F.col("_rn")  # in [0, B-1]
     m = F.col(x).isNotNull()
@@ -87,8 +86,8 @@ def ewm_var(df: DataFrame, x: str, out: str, lam: float, part="ticker", order="d
         "_s3": (F.when(m, F.lit(1.0)), lam * lam),
     }
     wb = Window.partitionBy(*parts, "_blk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
-    for name, (q, base) in qs.items():
-        df = df.withColumn(name + "p", F.sum(F.coalesce(q, F.lit(0.0)) * F.pow(F.lit(base), age_to_anchor)).over(wb))
+    df = df.withColumns({name + "p": F.sum(F.coalesce(q, F.lit(0.0)) * F.pow(F.lit(base), age_to_anchor)).over(wb)
+                         for name, (q, base) in qs.items()})
     wprev = Window.partitionBy(*parts).orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
     is_end = (F.col("_rn") % B) == 0
     total = {}
@@ -104,8 +103,8 @@ def ewm_var(df: DataFrame, x: str, out: str, lam: float, part="ticker", order="d
     biased = s2 / s0 - mean * mean
     denom = s0 * s0 - s3
     var = F.when((F.col("_nobs") >= 2) & (denom > 0), biased * (s0 * s0) / denom)
-    drop = ["_rn", "_blk", "_nobs"] + [n for n in qs] + [n + "p" for n in qs]
-    return df.withColumn(out, var).drop(*drop)
+    drop = {"_rn", "_blk", "_nobs"} | set(qs) | {n + "p" for n in qs}
+    return df.select(*[c for c in df.columns if c not in drop], var.alias(out))
 
 
 def carry_forward(value: Column, w) -> Column:
@@ -141,15 +140,15 @@ def with_rolling_z(df: DataFrame, col: str, out: str, part="ticker", order="date
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     x = F.col(col)
     c = F.first(x, ignorenulls=True).over(Window.partitionBy(*parts))
+    keep = df.columns
     df = df.withColumn("_c", c)
     xc = x - F.col("_c")
-    df = df.withColumn("_p0", F.count(x).over(run)).withColumn("_p1", F.sum(xc).over(run)).withColumn(
-        "_p2", F.sum(xc * xc).over(run))
+    df = df.withColumns({"_p0": F.count(x).over(run), "_p1": F.sum(xc).over(run), "_p2": F.sum(xc * xc).over(run)})
     lag = {k: F.coalesce(F.lag(k, window).over(w), F.lit(0)) for k in ("_p0", "_p1", "_p2")}
     n = F.col("_p0") - lag["_p0"]
     s1 = F.coalesce(F.col("_p1"), F.lit(0.0)) - lag["_p1"]
     s2 = F.coalesce(F.col("_p2"), F.lit(0.0)) - lag["_p2"]
-    df = df.withColumn("_n", n).withColumn("_s1", s1).withColumn("_s2", s2)
+    df = df.withColumns({"_n": n, "_s1": s1, "_s2": s2})
     ss = F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n")
     const = ss <= F.lit(1e-12) * F.col("_s2")
     sd = F.sqrt(ss / (F.col("_n") - F.lit(1)))
@@ -160,4 +159,4 @@ def with_rolling_z(df: DataFrame, col: str, out: str, part="ticker", order="date
     z = F.when(ok, (x - mean) / sd)
     if default is not None:
         z = F.when(x.isNotNull(), F.coalesce(z, F.lit(default)))
-    return df.withColumn(out, z).drop("_c", "_p0", "_p1", "_p2", "_n", "_s1", "_s2")
+    return df.select(*keep, z.alias(out))

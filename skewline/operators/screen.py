@@ -146,7 +146,8 @@ def stage_a(panel: DataFrame, bars: DataFrame, options: DataFrame, features: Dat
     df = ex.join(rel, ["date", "ticker"], "left").join(n, "date", "left").withColumn(
         "n_select", F.coalesce(F.col("n_select"), stage_a_n(F.lit(None).cast("double"), cfg)))
     w = Window.partitionBy("date").orderBy(F.col("passes").desc(), F.col("score_rel").desc(), F.col("ticker"))
-    df = df.withColumn("rank", F.when(F.col("passes"), F.row_number().over(w)))
+    rank = F.when(F.col("passes"), F.row_number().over(w))
+    df = df.withColumn("rank", rank)
     return df.withColumn("candidate", F.coalesce(F.col("rank") <= F.col("n_select"), F.lit(False)))
 
 

@@ -11,6 +11,7 @@ from skewline.operators import screen as S
 from skewline.operators.calendar import session_asof
 from skewline.operators.features import features_daily
 from skewline.plans.catalog import CFG, register, select_sql
+from skewline.session import materialize
 
 VIEWS = ["v_options", "v_bars", "v_market"]
 SCREEN_VIEWS = VIEWS + ["v_event_calendar"]
@@ -154,8 +155,10 @@ def q_activity_score(fx):
 
 
 def _stage(fx):
+    # features feed two branches (exclusions' panel and the scores): write them once
     panel = S.screening_panel(fx.v_bars, CFG)
-    return S.stage_a(panel, fx.v_bars, fx.v_options, _features(fx), fx.v_market, CFG, events=fx.v_event_calendar)
+    feats = materialize(_features(fx), "features")
+    return S.stage_a(panel, fx.v_bars, fx.v_options, feats, fx.v_market, CFG, events=fx.v_event_calendar)
 
 
 @register("stage_a_topn", Q.build(Q.stage_a_ctes(CFG), select_sql(
