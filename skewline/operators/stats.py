@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from skewline.config import DEFAULT, Settings
 from skewline.operators.targets import linspace
+from skewline.session import materialize
 
 
 # --------------------------------------------------------------------------- F15 / F16
@@ -42,6 +43,40 @@ def scored(signals: DataFrame, long_th=0.55, short_th=0.45, cfg: Settings = DEFA
     return signals.withColumn("signal", sig).withColumn("confidence", conf)
 
 
+# --------------------------------------------------------------------------- ordered prefix sums
+
+PREFIX_BUCKETS = 1024
+
+
+def ordered_prefix(df: DataFrame, group, value: str, cols, inclusive: bool, buckets: int = PREFIX_BUCKETS):
+    """Adds ``cum_<c>`` = sum of ``c`` over rows of the same group with a smaller value
+    (``inclusive``: smaller or equal), for rows already reduced to one per (group, value).
+
+    Exact and parallel: values fall into equal-width buckets between the global min and
+    max (a scalar subquery); bucket totals get their own small prefix (<= ``buckets``
+    rows per group), and the ordered window runs per (group, bucket) - no task ever
+    orders a whole group."""
+    group = list(group)
+    # the reduced counts are stored once, so the min/max look-ups do not re-run the
+    # plan that produced them
+    df = materialize(df, "distinct-counts")
+    lo = df.select(F.min(value)).scalar()
+    hi = df.select(F.max(value)).scalar()
+    width = (hi - lo) / F.lit(float(buckets))
+    b = F.when(width > 0, F.least(F.floor((F.col(value) - lo) / width), F.lit(buckets - 1))).otherwise(F.lit(0))
+    d = df.withColumn("_bkt", b.cast("int"))
+    tot = d.groupBy(*group, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wb = Window.partitionBy(*group).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1) if group else \
+        Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows per group
+    tot = tot.select(*group, "_bkt", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    d = d.join(tot, [*group, "_bkt"])
+    wv = Window.partitionBy(*group, "_bkt").orderBy(value).rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1)
+    out = d.select("*", *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wv), F.lit(0))).alias(f"cum_{c}")
+                          for c in cols])
+    return out.drop("_bkt", *[f"_o_{c}" for c in cols])
+
+
 # --------------------------------------------------------------------------- AUC
 
 
@@ -53,9 +88,8 @@ def auc(df: DataFrame, score: str, label: str, group=()) -> DataFrame:
     group = list(group)
     counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*group, score).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("_pos"), F.sum((F.col(label) == 0).cast("long")).alias("_neg"))
-    w = Window.partitionBy(*group).orderBy(score) if group else Window.orderBy(score)
-    below = F.coalesce(F.sum("_neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_contrib", F.col("_pos") * (below + F.lit(0.5) * F.col("_neg")))
+    counts = ordered_prefix(counts, group, score, ["_neg"], inclusive=False)
+    counts = counts.withColumn("_contrib", F.col("_pos") * (F.col("cum__neg") + F.lit(0.5) * F.col("_neg")))
     out = counts.groupBy(*group).agg(F.sum("_contrib").alias("_u"), F.sum("_pos").alias("n_pos"),
                                      F.sum("_neg").alias("n_neg"))
     return out.select(*group, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
@@ -106,11 +140,11 @@ def ks_two_sample(df: DataFrame, cols, side: Column) -> DataFrame:
         F.col("_side").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
     cnt = long.groupBy("feature", "value").agg(F.sum((F.col("_side") == 0).cast("long")).alias("_a"),
                                                F.sum((F.col("_side") == 1).cast("long")).alias("_b"))
-    wf = Window.partitionBy("feature")
-    wc = wf.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    na, nb = F.sum("_a").over(wf), F.sum("_b").over(wf)
-    c = cnt.select("feature", na.alias("n_recent"), nb.alias("n_ref"),
-                   F.abs(F.try_divide(F.sum("_a").over(wc), na) - F.try_divide(F.sum("_b").over(wc), nb)).alias("_d"))
+    totals = cnt.groupBy("feature").agg(F.sum("_a").alias("n_recent"), F.sum("_b").alias("n_ref"))
+    c = ordered_prefix(cnt, ["feature"], "value", ["_a", "_b"], inclusive=True).join(totals, "feature")
+    na, nb = F.col("n_recent"), F.col("n_ref")
+    c = c.select("feature", "n_recent", "n_ref",
+                 F.abs(F.try_divide(F.col("cum__a"), na) - F.try_divide(F.col("cum__b"), nb)).alias("_d"))
     return c.groupBy("feature").agg(F.max("_d").alias("ks"), F.first("n_recent").cast("bigint").alias("n_recent"),
                                     F.first("n_ref").cast("bigint").alias("n_ref"))
 
