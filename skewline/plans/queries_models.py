@@ -87,3 +87,29 @@ def q_stage_c(fx):
     out = _fold_table(a, "stage_c")
     return out.withColumn("long_threshold", th.select("long_threshold").scalar()).withColumn(
         "short_threshold", th.select("short_threshold").scalar())
+
+
+@register("model_artifacts")
+def q_model_artifacts(fx):
+    """Fit the Stage B booster, save it with its side tables (k per ticker,
+    thresholds, fold metrics) under a date stamp in the shared folder, and read back the
+    latest stamp's inventory."""
+    from skewline.session import shared_path
+
+    spark = fx.spark
+    tf, roles = _training(fx)
+    data = materialize(MD.design(tf, STAGE_B_FEATURES, "y_magnitude"), "design-b")
+    model = MD.gbt(CFG).fit(data)
+    stamp = tf.select(F.date_format(F.max("date"), "yyyyMMdd")).first()[0]
+    k = TG.calibrate_k(tf, CFG)
+    th = ST.direction_thresholds(fx.v_signals, cfg=CFG)
+    root = shared_path(spark, "artifacts")
+    MD.save_artifacts(spark, root, stamp, {"stage_b": model}, {"k_by_ticker": k, "thresholds": th})
+    latest = MD.latest_stamp(spark, root)
+    base = f"{root}/models/{latest}"
+    from pyspark.ml.classification import GBTClassificationModel
+
+    reloaded = GBTClassificationModel.load(f"{base}/stage_b")
+    kk = spark.read.parquet(f"{base}/k_by_ticker")
+    return kk.select(F.lit(latest).alias("stamp"), "ticker", "k", "n_valid",
+                     F.lit(reloaded.getNumTrees).alias("n_trees"))

@@ -171,3 +171,15 @@ def q_json_field_inventory(fx):
 def q_json_field_report(fx):
     """The field inventory rendered as one markdown table per corpus."""
     return VJ.field_report(q_json_field_inventory(fx))
+
+
+@register("typed_options_daily", Q.build(Q.pricing_ctes(CFG), select_sql(
+    ["~date", "~ticker", "~underlying", "strike", "~expiry", "~contract_type", "open",
+     "CAST(NULL AS DOUBLE) AS high", "CAST(NULL AS DOUBLE) AS low", "close", "volume",
+     "CAST(NULL AS DOUBLE) AS vwap", "~CAST(transactions AS INTEGER) AS transactions", "mid_price", "iv_computed",
+     "delta", "gamma"], "priced"), views=["v_options", "v_bars", "v_market"], recursive=True))
+def q_typed_options_daily(fx):
+    """options_daily in its declared schema (keys, types, pricing columns); columns the
+    source lacks are typed NULLs."""
+    priced = price_contracts(fx.v_options, fx.v_bars, fx.v_market, CFG, how="left")
+    return TB.conform(priced, "options_daily")
