@@ -146,14 +146,31 @@ def np_bsm_price(S, K, T_, r, sigma, is_call):
     return np.where(is_call, call, put)
 
 
+def _horner_inplace(coefs, x, out):
+    """``_horner`` with the same operations in the same order, into ``out``."""
+    np.multiply(x, coefs[0], out=out)
+    out += coefs[1]
+    for c in coefs[2:]:
+        out *= x
+        out += c
+    return out
+
+
 def np_norm_tail(ax: np.ndarray) -> np.ndarray:
     """Upper tail 1 - N(|x|) of the West (2005) recipe, for ax = |x| >= 0.
 
     N(x) = 1 - tail for x > 0, else tail; so N(x) and N(-x) come from one tail
     evaluation, bit-identical to ``np_norm_cdf``.  The continued-fraction branch is
     evaluated only where it applies."""
-    expo = np.exp(-(ax * ax) / 2.0)
-    tail = expo * _horner(CDF_NUM, ax) / _horner(CDF_DEN, ax)
+    expo = ax * ax
+    expo *= -1.0
+    expo /= 2.0
+    np.exp(expo, out=expo)
+    num = _horner_inplace(CDF_NUM, ax, np.empty_like(ax))
+    den = _horner_inplace(CDF_DEN, ax, np.empty_like(ax))
+    num *= expo
+    num /= den
+    tail = num
     far = ax >= CDF_SPLIT
     if far.any():
         a = ax[far]

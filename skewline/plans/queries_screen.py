@@ -148,7 +148,7 @@ ACT_CTES = Q.feature_ctes(CFG) + Q.screen_ctes(CFG)[:1] + Q.activity_ctes(CFG)
 def q_activity_score(fx):
     """W10 + F12 + J-BENCH: activity score and benchmark-relative score per screened row."""
     panel = S.screening_panel(fx.v_bars, CFG)
-    feats = _features(fx)
+    feats = materialize(_features(fx), "features")  # three z streams and the relative score read it
     scores = S.activity_scores(panel, feats, CFG)
     rel = S.relative_scores(panel, feats, CFG).select("date", "ticker", "score_rel")
     return scores.join(rel, ["date", "ticker"])

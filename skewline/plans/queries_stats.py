@@ -11,6 +11,7 @@ from skewline.operators import stats as ST
 from skewline.operators.features import features_daily
 from skewline.operators.targets import linspace
 from skewline.plans.catalog import CFG, register, select_sql
+from skewline.session import materialize
 
 SPECS = {"stage_b": ("p_magnitude", "y_magnitude"), "iv_baseline": ("iv_baseline_p", "y_magnitude"),
          "stage_c": ("p_up", "y_direction")}
@@ -137,7 +138,8 @@ SELECT *, CASE WHEN ks > {Q.lit(cfg.ks_drift_pause)} THEN 'pause' WHEN ks > {Q.l
 
 
 def _features(fx):
-    return features_daily(fx.v_options, fx.v_bars, fx.v_market, CFG)
+    # read by the KS branches and by scalar subqueries (as-of date): store it once
+    return materialize(features_daily(fx.v_options, fx.v_bars, fx.v_market, CFG), "features")
 
 
 def _feature_as_of(f):
