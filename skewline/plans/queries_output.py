@@ -61,8 +61,10 @@ def _scored(fx):
                                   events=fx.v_event_calendar), "stage")
     cand = stage.where("candidate")
     k = TG.calibrate_k(TG.forward_returns(fx.v_bars, CFG, stock), CFG)
-    th = ST.direction_thresholds(fx.v_signals, cfg=CFG)
-    lt, st = th.select("long_threshold").scalar(), th.select("short_threshold").scalar()
+    # two model parameters (the fitted direction thresholds), fetched once as values,
+    # like the stored artifact they stand for
+    th = ST.direction_thresholds(fx.v_signals, cfg=CFG).first()
+    lt, st = float(th["long_threshold"]), float(th["short_threshold"])
     rv = stock.select("date", "ticker", "realized_vol_20d")
     sig = score_candidates(cand, fx.v_signals, rv, k, lt, st, CFG, TOP)
     return stage, sig.join(cand.select("date", "ticker", "rank"), ["date", "ticker"])
