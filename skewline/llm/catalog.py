@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewline.llm import mixing, packing
+from skewline.llm import mixing, packing, quality, urls
 from skewline.llm.common import table
 from skewline.llm.oracles import ORACLES as LLM_ORACLES  # noqa: F401
 from skewline.session import apply_engine_conf
@@ -26,12 +26,24 @@ def query(fn):
     return run
 
 
+@query
+def op4_url_boosted_trees(spark, sf_dir):
+    """Verdict of every page's URL by rule, else by boosted trees."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_harmonic_packing(spark, sf_dir):
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_boosted_quality(spark, sf_dir):
+    """Quality score of every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_sainte_lague_mix(spark, sf_dir):
     """Words that the mix takes from each document."""
