@@ -70,3 +70,26 @@ FROM rounds"""
 ORACLES: dict[str, str] = {
     "op10_sainte_lague_mix": mixing_sql(),
 }
+
+
+def _components(edges: str) -> str:
+    """CTEs ``reach`` and ``least``: least id reachable over the pairs (a, b) of ``edges``."""
+    return f"""
+reach(a, b) AS (SELECT a, b FROM {edges} UNION SELECT r.a, e.b FROM reach r JOIN {edges} e ON r.b = e.a),
+least_of AS (SELECT a AS id, least(a, min(b)) AS component FROM reach GROUP BY a)"""
+
+
+ORACLES["op2_int8_neardup"] = f"""
+WITH RECURSIVE vectors AS (
+  SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+good AS (
+  SELECT * FROM vectors WHERE vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= {0.98}),
+{_components("pairs")},
+links AS (SELECT a AS id, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component, vec_id) AS component_id,
+  coalesce(component, vec_id) = vec_id AS kept
+FROM vectors LEFT JOIN links ON vec_id = links.id LEFT JOIN least_of ON vec_id = least_of.id"""
