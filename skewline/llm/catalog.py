@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewline.llm import mixing, neardup_embeddings, packing, quality, urls
+from skewline.llm import mixing, neardup_embeddings, ngramjoin, packing, quality, urls
 from skewline.llm.common import table
 from skewline.llm.oracles import ORACLES as LLM_ORACLES  # noqa: F401
 from skewline.session import apply_engine_conf
@@ -44,6 +44,12 @@ def op7_harmonic_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_chosen_path_join(spark, sf_dir):
+    """Class and number of links of every document at shingle Jaccard similarity 0.8 or more."""
+    return ngramjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_boosted_quality(spark, sf_dir):
     """Quality score of every document."""

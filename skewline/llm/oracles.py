@@ -93,3 +93,22 @@ links AS (SELECT a AS id, count(*) AS n FROM pairs GROUP BY a)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component, vec_id) AS component_id,
   coalesce(component, vec_id) = vec_id AS kept
 FROM vectors LEFT JOIN links ON vec_id = links.id LEFT JOIN least_of ON vec_id = least_of.id"""
+
+
+ORACLES["op8_chosen_path_join"] = f"""
+WITH RECURSIVE members AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, list_aggregate(list_slice(w, i, i + 4), 'string_agg', ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, least(len(w), 1)))) AS i FROM members)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id),
+pairs AS (
+  SELECT a, b FROM shared JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id WHERE c >= 0.8 * (p.n + q.n - c)),
+{_components("pairs")},
+links AS (SELECT a AS id, count(*) AS n FROM pairs GROUP BY a)
+SELECT doc_id, coalesce(component, doc_id) AS class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links,
+  coalesce(component, doc_id) = doc_id AS kept
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN links ON d.doc_id = links.id LEFT JOIN least_of ON d.doc_id = least_of.id"""
