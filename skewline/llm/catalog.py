@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewline.llm import mixing, neardup_embeddings, ngramjoin, packing, quality, urls
+from skewline.llm import mixing, neardup_embeddings, ngramjoin, packing, pii, quality, urls
 from skewline.llm.common import table
 from skewline.llm.oracles import ORACLES as LLM_ORACLES  # noqa: F401
 from skewline.session import apply_engine_conf
@@ -38,6 +38,12 @@ def op4_url_boosted_trees(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+@query
+def op5_weak_supervision_pii(spark, sf_dir):
+    """Personal data in every document."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_harmonic_packing(spark, sf_dir):
     """Pieces of all documents in sequences of at most 2048 tokens."""
