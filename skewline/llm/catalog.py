@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewline.llm import mixing, neardup_embeddings, ngramjoin, packing, pii, quality, urls
+from skewline.llm import imatch, mixing, neardup_embeddings, ngramjoin, packing, pii, quality, urls
 from skewline.llm.common import table
 from skewline.llm.oracles import ORACLES as LLM_ORACLES  # noqa: F401
 from skewline.session import apply_engine_conf
@@ -26,6 +26,12 @@ def query(fn):
     return run
 
 
+@query
+def op1_imatch_fingerprints(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts."""
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_int8_neardup(spark, sf_dir):
     """Links and components of all embeddings."""
