@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewline.llm import imatch, mixing, neardup_embeddings, ngramjoin, packing, pii, quality, urls
+from skewline.llm import imatch, langid, mixing, neardup_embeddings, ngramjoin, packing, pii, quality, urls
 from skewline.llm.common import table
 from skewline.llm.oracles import ORACLES as LLM_ORACLES  # noqa: F401
 from skewline.session import apply_engine_conf
@@ -38,6 +38,12 @@ def op2_int8_neardup(spark, sf_dir):
     return neardup_embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op3_crf_language(spark, sf_dir):
+    """Language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_url_boosted_trees(spark, sf_dir):
     """Verdict of every page's URL by rule, else by boosted trees."""
