@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewline.llm import imatch, langid, mixing, neardup_embeddings, ngramjoin, packing, pii, quality, urls
+from skewline.llm import imatch, langid, mixing, neardup_embeddings, ngramjoin, packing, pii, pseudolm, quality, urls
 from skewline.llm.common import table
 from skewline.llm.oracles import ORACLES as LLM_ORACLES  # noqa: F401
 from skewline.session import apply_engine_conf
@@ -56,6 +56,12 @@ def op5_weak_supervision_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_pseudo_likelihood(spark, sf_dir):
+    """Masked pseudo-likelihood of every document."""
+    return pseudolm.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_harmonic_packing(spark, sf_dir):
     """Pieces of all documents in sequences of at most 2048 tokens."""
