@@ -7,8 +7,8 @@ fills its quota from its documents in a seeded order.  DataFrame functions only.
 Defined results: null or empty texts have size 0 and take 0; a null source is a source of
 its own and comes last; repeated rows are separate documents; ties of quotients go to the
 smaller source rank or shard number, ties of the seeded order to the smaller doc_id and
-size; an empty table gives an empty mix; extra columns of the input are kept by
-``mix_sources`` unless they clash with a result column, which then replaces them.
+size; an empty table gives an empty mix; other columns than doc_id, text and source are ignored
+by ``mix_sources`` and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -87,12 +87,9 @@ def sainte_lague(cells: DataFrame, group: list[str], cell: str) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, max_repeat: int = MAX_REPEAT,
-                block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: str = SEED,
-                keep: list[str] | None = None) -> DataFrame:
-    """``doc_id``, ``source`` and the columns ``keep`` of ``docs`` with size, source_size,
-    target and taken."""
-    keep = [c for c in (keep or []) if c not in ("doc_id", "source", "size", "source_size", "target", "taken")]
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), *keep,
+                block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken for every row of ``docs``."""
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"),
                         (word_count(F.col("text")) if size is None else size).alias("size"))
     # Read by three branches below: the texts are counted once.
     sized = Scratch(docs.sparkSession, "mix").store(sized)
@@ -125,4 +122,17 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, ma
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_start")))
     return (d.withColumn("_start", start)
             .withColumn("taken", (rounds * F.col("size") + part).cast("long"))
-            .select("doc_id", "source", *keep, "size", "source_size", "target", "taken"))
+            .select("doc_id", "source", "size", "source_size", "target", "taken"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix itself: every row of ``docs``, all columns, as many times as the mix takes its
+    words, to the nearest whole document (so rows with less than half taken, and rows without
+    words, go).  Equal rows share what they take equally."""
+    takes = (mix_sources(docs).groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken"))
+             .select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"),
+                     F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("_times"))
+             .where("_times > 0"))
+    same = (F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+            & (word_count(F.col("text")) == F.col("_size")))
+    return (docs.join(takes, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns))

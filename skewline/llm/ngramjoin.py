@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skewline.llm.arrowtext import byte_slices, mix, shingles, text_bytes, word_hashes, words
@@ -381,7 +382,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bucket: int =
     zero = F.lit(0).cast("long")
     alone = sets.where("digest is null").select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"))
     nameless = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long").alias("class_id"), zero.alias("n_links"))
-    return linked.union(alone).union(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    out = linked.union(alone).union(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    out.reads = (sets, reps, found)
+    return out
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their class: of each class the least doc_id, and
+    of rows that share it the first by text.  Rows with a null doc_id all stay."""
+    scratch = Scratch(docs.sparkSession, "ngrams")
+    found = near_duplicates(docs)
+    ids = scratch.store(found.where("kept").select(F.col("doc_id").alias("_id")).distinct())
+    scratch.drop(*found.reads)
+    same = W.partitionBy("doc_id").orderBy("text")
+    named = (docs.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+             .withColumn("_row", F.row_number().over(same)).where("_row = 1").drop("_row"))
+    return named.union(docs.where("doc_id is null"))
 
 
 def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,3 +86,15 @@ def test_empty_and_wordless_tables(spark):
 def test_repeated_rows_are_separate(spark):
     out = mixing.mix_sources(frame(spark, [(1, "a b", "s", "x", 1)] * 4)).collect()
     assert len(out) == 4 and sum(r.taken for r in out) == 8
+
+
+def test_mixed_documents(spark):
+    rows = make(300, 5)
+    taken = {r.doc_id: (r.taken, r.size) for r in mixing.mix_sources(frame(spark, rows)).collect()}
+    out = mixing.mixed_documents(frame(spark, rows)).collect()
+    times = {}
+    for r in out:
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+        assert (r.doc_id, r.text, r.source, r["size"], r["target"]) == rows[r.doc_id]
+    for i, (t, size) in taken.items():
+        assert times.get(i, 0) == (int(t / size + 0.5) if size else 0)

@@ -105,3 +105,11 @@ def test_groups_over_batch_borders():
         seen = [t["k"].to_pylist() for t in nj.runs_of_groups(iter(batches), ["k"])]
         assert sum(seen, []) == keys.tolist()
         assert len({k for t in seen for k in set(t)}) == sum(len(set(t)) for t in seen)
+
+
+def test_one_document_of_each_class_stays(spark):
+    rows = corpus(200, 7) + [(500, "one two three"), (500, "one two three"), (None, "one two three"), (None, None)]
+    kept = nj.keep_one(frame(spark, rows)).collect()
+    want = brute([r for r in rows if r[0] is not None])
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({i for i, (c, _) in want.items() if c == i})
+    assert sum(r.doc_id is None for r in kept) == 2 and {r["size"] for r in kept} == {"x"}
