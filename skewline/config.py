@@ -46,7 +46,7 @@ class Settings:
     num_expiries: int = 3
     min_dte: int = 14
     max_dte: int = 60
-    chain_row_cap: int = 42
+    chain_row_cap: int | None = None  # a budget of vendor calls, no analytic rule; off by default
     moneyness_band: float = 0.15
     ewma_lambda: float = 0.94
     default_risk_free_rate: float = 0.05

@@ -229,22 +229,19 @@ def np_implied_vol(price, S, K, T_, r, is_call, clamp_min=0.01, clamp_max=5.0):
     return out
 
 
-@F.pandas_udf(T.DoubleType())
-def implied_vol_udf(
-    price: pd.Series, S: pd.Series, K: pd.Series, T_: pd.Series, r: pd.Series, flag: pd.Series
-) -> pd.Series:
-    """Arrow-batched implied volatility; NULL where guards fail or IV leaves [0.01, 5]."""
-    is_call = flag.isin(["call", "c"]).to_numpy()
-    iv = np_implied_vol(
-        price.to_numpy(dtype="float64", na_value=np.nan),
-        S.to_numpy(dtype="float64", na_value=np.nan),
-        K.to_numpy(dtype="float64", na_value=np.nan),
-        T_.to_numpy(dtype="float64", na_value=np.nan),
-        r.to_numpy(dtype="float64", na_value=np.nan),
-        is_call,
-    )
-    return pd.Series(iv)  # NaN leaves the UDF as NULL (Arrow null mask)
-
-
-def implied_vol(price: Column, S: Column, K: Column, T_: Column, r: Column, flag: Column) -> Column:
-    return implied_vol_udf(price, S, K, T_, r, flag)
+def implied_vol(price: Column, S: Column, K: Column, T_: Column, r: Column, flag: Column, clamp_min: float = 0.01,
+                clamp_max: float = 5.0) -> Column:
+    """Implied volatility; NULL where the guards fail or it leaves [clamp_min, clamp_max].
+
+    The guards are column expressions: rows that fail them reach the Arrow worker as
+    NULLs, which it passes over."""
+    is_call = flag.isin("call", "c")
+    guards = (price > 0) & (T_ > 0) & (S > 0) & (K > 0) & (price < F.when(is_call, S).otherwise(K))
+
+    @F.pandas_udf(T.DoubleType())
+    def solve(price: pd.Series, S: pd.Series, K: pd.Series, T_: pd.Series, r: pd.Series, call: pd.Series) -> pd.Series:
+        price, S, K, T_, r = (x.to_numpy(dtype="float64", na_value=np.nan) for x in (price, S, K, T_, r))
+        iv = np_implied_vol(price, S, K, T_, r, call.fillna(False).to_numpy(dtype=bool), clamp_min, clamp_max)
+        return pd.Series(iv)  # NaN leaves the UDF as NULL (Arrow null mask)
+
+    return solve(F.when(guards, price), S, K, T_, r, is_call)

@@ -51,7 +51,7 @@ def price_contracts(options: DataFrame, bars: DataFrame, market: DataFrame, cfg:
     px = px.withColumn(
         "iv_computed",
         implied_vol(F.col("mid_price"), F.col("spot"), F.col("strike"), F.col("t_years"), F.col("r"),
-                    F.col("contract_type")),
+                    F.col("contract_type"), cfg.iv_clamp_min, cfg.iv_clamp_max),
     )
     S, K, T_, r, iv = (F.col(c) for c in ("spot", "strike", "t_years", "r", "iv_computed"))
     return px.withColumns({"delta": F.when(iv.isNotNull(), bsm_delta(S, K, T_, r, iv, F.col("contract_type"))),
@@ -97,10 +97,14 @@ def selected_expiries(scope: DataFrame) -> DataFrame:
 
 
 def chain_select(scope: DataFrame, cfg: Settings = DEFAULT, apply_staleness: bool = False) -> DataFrame:
-    """J-SEMI + W16 (+ P8): contracts in both windows, capped per chain in a fixed order."""
+    """J-SEMI (+ P8): contracts in both windows.  W16: with ``cfg.chain_row_cap`` the first
+    so many of a chain in a fixed order, and ``cut`` says how many the cap removed."""
     sel = scope.where(F.col("in_strike_window") & F.col("in_expiry_window"))
-    w = Window.partitionBy(*CHAIN).orderBy("expiry", "strike", "contract_type", "ticker")
-    sel = sel.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cfg.chain_row_cap).drop("_n")
+    if cfg.chain_row_cap is not None:
+        chain = Window.partitionBy(*CHAIN)
+        w = chain.orderBy("expiry", "strike", "contract_type", "ticker")
+        sel = sel.withColumns({"_n": F.row_number().over(w), "cut": F.greatest(F.lit(0), F.count(F.lit(1)).over(chain) - cfg.chain_row_cap)})
+        sel = sel.where(F.col("_n") <= cfg.chain_row_cap).drop("_n")
     if apply_staleness:
         sel = sel.where(F.col("transactions") >= cfg.min_transactions_for_iv)
     return sel

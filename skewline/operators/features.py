@@ -48,12 +48,12 @@ def stock_panel(bars: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     w = wspec()
     s = bars.select("date", "ticker", "open", "close")
     s = s.withColumns({"ret_1d": F.log(F.try_divide(F.col("close"), F.lag("close", 1).over(w))),
-                       f"ret_{cfg.horizon_days}d": F.log(F.try_divide(F.col("close"),
-                                                                      F.lag("close", cfg.horizon_days).over(w))),
+                       # Fixed value: the feature is a five-session return, whatever the horizon.
+                       "ret_5d": F.log(F.try_divide(F.col("close"), F.lag("close", 5).over(w))),
                        "history_depth": F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     s = s.withColumn("realized_vol_20d", realized_vol(F.col("ret_1d"), w, cfg.rv_window, cfg.trading_days))
     s = ewm_var(s, "ret_1d", "ewma_var", cfg.ewma_lambda)
-    s = with_rolling_z(s, f"ret_{cfg.horizon_days}d", "z_5d_return", window=cfg.rolling_window,
+    s = with_rolling_z(s, "ret_5d", "z_5d_return", window=cfg.rolling_window,
                        min_periods=cfg.rolling_min_periods)
     return with_rolling_z(s, "realized_vol_20d", "z_realized_vol_20d", window=cfg.rolling_window,
                           min_periods=cfg.rolling_min_periods)
@@ -110,8 +110,3 @@ def features_daily(options: DataFrame, bars: DataFrame, market: DataFrame, cfg:
     f = with_rolling_z(f, "iv_minus_ewma_rv", "z_iv_minus_ewma_rv", window=win, min_periods=minp)
     mkt = market_features(market, cfg)
     return f.join(mkt, "date", "left").select("date", "ticker", *FEATURE_COLUMNS)
-
-
-def ewma_vol(ewma_var_col, trading_days=252):
-    return F.sqrt(ewma_var_col * F.lit(float(trading_days)))
-

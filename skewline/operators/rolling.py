@@ -13,10 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows per anchoring block of the EWMA prefix sums.  Contributions older than the
-# previous block carry weight <= lambda**EWMA_BLOCK (7e-21 for lambda = 0.94), far
-# below double precision, so they are dropped.
-EWMA_BLOCK = 750
+# Within one anchoring block EWMA weights fall to exp(-EWMA_DECAY) at most, so they and
+# their squares stay far inside the range of a double for every lambda.
+EWMA_DECAY = 150.0
 
 
 def wspec(part="ticker", order="date"):
@@ -66,50 +65,41 @@ def ewm_var(df: DataFrame, x: str, out: str, lam: float, part="ticker", order="d
     With S0=sum w, S1=sum w x, S2=sum w x^2, S3=sum w^2:
     var = (S2/S0 - (S1/S0)^2) * S0^2 / (S0^2 - S3), defined from the second value on.
 
-    Each S is a prefix sum anchored at the end of a block of EWMA_BLOCK rows (weights
-    in [lam^749, 1], so no overflow), plus the previous block's total re-weighted.
-    Three windows, all partitioned by ``part``: one shuffle, all in codegen.
+    Each S is a prefix sum anchored at the end of a block of rows, whose length follows
+    from ``lam`` so that no weight leaves the range of a double, plus the totals of all
+    earlier blocks, decayed block by block (one number a block and ticker).  Values are
+    centred on their ticker's mean.  All windows are partitioned by ``part``: one shuffle.
     """
-    B = EWMA_BLOCK
+    if not 0 < lam < 1:
+        raise ValueError("lam must lie between 0 and 1")
+    B = max(1, int(EWMA_DECAY / -math.log(lam)))
     w = wspec(part, order)
     parts = [part] if isinstance(part, str) else list(part)
-    df = df.withColumn("_rn", F.row_number().over(w))
+    keep = df.columns
+    value = F.when(~F.isnan(x), F.col(x))
+    df = df.withColumns({"_rn": F.row_number().over(w), "_x": value - F.avg(value).over(Window.partitionBy(*parts))})
     df = df.withColumn("_blk", F.floor((F.col("_rn") - 1) / F.lit(B)))
-    anchor = (F.col("_blk") + 1) * B
-    age_to_anchor = anchor - F.col("_rn")  # in [0, B-1]
-    m = F.col(x).isNotNull()
-    xv = F.col(x)
-    qs = {
-        "_s0": (F.when(m, F.lit(1.0)), lam),
-        "_s1": (F.when(m, xv), lam),
-        "_s2": (F.when(m, xv * xv), lam),
-        "_s3": (F.when(m, F.lit(1.0)), lam * lam),
-    }
+    age_to_anchor = (F.col("_blk") + 1) * B - F.col("_rn")  # in [0, B-1]
+    m, xv = F.col("_x").isNotNull(), F.col("_x")
+    qs = {"_s0": (F.when(m, F.lit(1.0)), lam), "_s1": (xv, lam), "_s2": (xv * xv, lam), "_s3": (F.when(m, F.lit(1.0)), lam * lam)}
     wb = Window.partitionBy(*parts, "_blk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({name + "p": F.sum(F.coalesce(q, F.lit(0.0)) * F.pow(F.lit(base), age_to_anchor)).over(wb)
                          for name, (q, base) in qs.items()})
-    wprev = Window.partitionBy(*parts).orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
-    is_end = (F.col("_rn") % B) == 0
+    # Totals of the blocks that have ended, oldest first: a list of one entry a block.
+    before = Window.partitionBy(*parts).orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.collect_list(F.when((F.col("_rn") % B) == 0, F.struct(*[name + "p" for name in qs]))).over(before)
+    df = df.withColumns({"_ended": ended, "_nobs": F.count(xv).over(before.rowsBetween(Window.unboundedPreceding, 0))})
     total = {}
-    for name, (q, base) in qs.items():
-        prev_total = F.last(F.when(is_end, F.col(name + "p")), ignorenulls=True).over(wprev)
-        cur = F.col(name + "p") * F.pow(F.lit(base), -age_to_anchor)
-        prev = prev_total * F.pow(F.lit(base), F.col("_rn") - F.col("_blk") * B)
-        total[name] = cur + F.coalesce(prev, F.lit(0.0))
-    df = df.select("*", *[c.alias(n) for n, c in total.items()], F.count(xv).over(
-        Window.partitionBy(*parts).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)).alias("_nobs"))
+    for name, (_, base) in qs.items():
+        older = F.aggregate("_ended", F.lit(0.0), lambda acc, t: acc * F.lit(base ** B) + t[name + "p"])  # noqa: B023
+        total[name] = (F.col(name + "p") * F.pow(F.lit(base), -age_to_anchor)
+                       + older * F.pow(F.lit(base), F.col("_rn") - F.col("_blk") * B))
+    df = df.withColumns(total)
     s0, s1, s2, s3 = (F.col(n) for n in ("_s0", "_s1", "_s2", "_s3"))
     mean = s1 / s0
-    biased = s2 / s0 - mean * mean
     denom = s0 * s0 - s3
-    var = F.when((F.col("_nobs") >= 2) & (denom > 0), biased * (s0 * s0) / denom)
-    drop = {"_rn", "_blk", "_nobs"} | set(qs) | {n + "p" for n in qs}
-    return df.select(*[c for c in df.columns if c not in drop], var.alias(out))
-
-
-def carry_forward(value: Column, w) -> Column:
-    """J-CARRY: last non-null value up to the current row."""
-    return F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    var = F.when((F.col("_nobs") >= 2) & (denom > 0), (s2 / s0 - mean * mean) * (s0 * s0) / denom)
+    return df.select(*keep, var.alias(out))
 
 
 def nonnull_rows_z(df: DataFrame, col: str, out: str, part="ticker", order="date", window=252,
@@ -126,37 +116,48 @@ def nonnull_rows_z(df: DataFrame, col: str, out: str, part="ticker", order="date
 def with_rolling_z(df: DataFrame, col: str, out: str, part="ticker", order="date", window=252,
                    min_periods=60, when: Column | None = None, default: float | None = None) -> DataFrame:
     """W5 in O(n): the same (x - mean) / std over the last ``window`` rows as
-    ``rolling_z``, from prefix sums instead of a sliding frame (which Spark recomputes
-    row by row).
-
-    Values are centred on the partition's first observation, prefix sums of count,
-    x and x^2 run over the partition, and the window sums are the prefix minus the
-    prefix ``window`` rows earlier.  A window whose centred sum of squares vanishes to
-    rounding level (1e-12 relative) counts as constant (std 0 -> NULL).  ``when``
-    optionally gates the output (NULL where false); with ``default`` a row with too few
-    values or a constant window gets ``default`` instead of NULL."""
+    ``rolling_z``, without a sliding frame (which Spark recomputes row by row).
+
+    Rows fall into blocks of ``window`` rows.  A row's window is the start of its own block
+    up to the row, and the end of the block before from ``window - 1`` rows back; count,
+    mean and variance of both pieces come from running windows inside a block, which Spark
+    updates row by row in Welford's form, and are merged by the two-sample formula.  Rows
+    outside the window never enter, so a far-off value is forgotten once it has left.
+    A window is constant when its least and greatest value are equal.  NaN counts as
+    missing.  ``when`` optionally gates the output (NULL where false); with ``default`` a
+    row with too few values or a constant window gets ``default`` instead of NULL."""
     parts = [part] if isinstance(part, str) else list(part)
+    orders = [order] if isinstance(order, str) else list(order)
     w = wspec(part, order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = F.col(col)
-    c = F.first(x, ignorenulls=True).over(Window.partitionBy(*parts))
     keep = df.columns
-    df = df.withColumn("_c", c)
-    xc = x - F.col("_c")
-    df = df.withColumns({"_p0": F.count(x).over(run), "_p1": F.sum(xc).over(run), "_p2": F.sum(xc * xc).over(run)})
-    lag = {k: F.coalesce(F.lag(k, window).over(w), F.lit(0)) for k in ("_p0", "_p1", "_p2")}
-    n = F.col("_p0") - lag["_p0"]
-    s1 = F.coalesce(F.col("_p1"), F.lit(0.0)) - lag["_p1"]
-    s2 = F.coalesce(F.col("_p2"), F.lit(0.0)) - lag["_p2"]
-    df = df.withColumns({"_n": n, "_s1": s1, "_s2": s2})
-    ss = F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n")
-    const = ss <= F.lit(1e-12) * F.col("_s2")
-    sd = F.sqrt(ss / (F.col("_n") - F.lit(1)))
-    mean = F.col("_c") + F.col("_s1") / F.col("_n")
-    ok = (F.col("_n") >= min_periods) & ~const & x.isNotNull()
+    x = F.col("_x")
+    df = df.withColumns({"_x": F.when(~F.isnan(col), F.col(col).cast("double")), "_rn": F.row_number().over(w)})
+    df = df.withColumn("_blk", F.floor((F.col("_rn") - 1) / window))
+    block = Window.partitionBy(*parts, "_blk")
+    up = block.orderBy(*orders).rowsBetween(Window.unboundedPreceding, 0)
+    down = block.orderBy(*[F.col(o).desc() for o in orders]).rowsBetween(Window.unboundedPreceding, 0)
+
+    def piece(frame) -> Column:
+        return F.struct(F.count(x).over(frame).alias("n"), F.avg(x).over(frame).alias("mean"), F.var_pop(x).over(frame).alias("var"),
+                        F.min(x).over(frame).alias("lo"), F.max(x).over(frame).alias("hi"), F.col("_blk").alias("blk"))
+
+    df = df.withColumns({"_up": piece(up), "_down": piece(down)})
+    back = F.lag("_down", window - 1).over(w)
+    df = df.withColumn("_old", F.when(back["blk"] < F.col("_blk"), back))
+    a, b = F.col("_up"), F.col("_old")
+    na, nb = a["n"], F.coalesce(b["n"], F.lit(0))
+    n = na + nb
+    ma, mb = F.coalesce(a["mean"], F.lit(0.0)), F.coalesce(b["mean"], F.lit(0.0))
+    # From the own piece's mean: exact when only one piece has values.
+    mean = F.when(na == 0, mb).otherwise(ma + (mb - ma) * nb / n)
+    ss = (F.coalesce(a["var"] * na, F.lit(0.0)) + F.coalesce(b["var"] * nb, F.lit(0.0))
+          + F.when((na > 0) & (nb > 0), (mb - ma) * (mb - ma) * na * nb / n).otherwise(0.0))
+    constant = F.least(a["lo"], b["lo"]) == F.greatest(a["hi"], b["hi"])
+    df = df.withColumns({"_n": n, "_mean": F.when(n > 0, mean), "_ss": ss, "_const": constant})
+    ok = (F.col("_n") >= max(2, min_periods)) & ~F.col("_const") & x.isNotNull()
     if when is not None:
         ok = ok & when
-    z = F.when(ok, (x - mean) / sd)
+    z = F.when(ok, F.try_divide(x - F.col("_mean"), F.sqrt(F.col("_ss") / (F.col("_n") - 1))))
     if default is not None:
         z = F.when(x.isNotNull(), F.coalesce(z, F.lit(default)))
     return df.select(*keep, z.alias(out))

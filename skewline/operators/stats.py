@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from skewline.config import DEFAULT, Settings
 from skewline.operators.targets import linspace
-from skewline.session import materialize
 
 
 # --------------------------------------------------------------------------- F15 / F16
@@ -45,36 +44,38 @@ def scored(signals: DataFrame, long_th=0.55, short_th=0.45, cfg: Settings = DEFA
 
 # --------------------------------------------------------------------------- ordered prefix sums
 
-PREFIX_BUCKETS = 1024
+PREFIX_RANGES = 64
 
 
-def ordered_prefix(df: DataFrame, group, value: str, cols, inclusive: bool, buckets: int = PREFIX_BUCKETS):
+def ordered_prefix(df: DataFrame, group, value: str, cols, inclusive: bool, ranges: int = PREFIX_RANGES):
     """Adds ``cum_<c>`` = sum of ``c`` over rows of the same group with a smaller value
     (``inclusive``: smaller or equal), for rows already reduced to one per (group, value).
 
-    Exact and parallel: values fall into equal-width buckets between the global min and
-    max (a scalar subquery); bucket totals get their own small prefix (<= ``buckets``
-    rows per group), and the ordered window runs per (group, bucket) - no task ever
+    Exact and parallel: one aggregate finds each group's own quantiles, which cut its values
+    into about equal ranges whatever their distribution; range totals get a small prefix
+    (<= ``ranges`` rows per group), and the ordered window runs per (group, range) - no task
     orders a whole group."""
     group = list(group)
-    # the reduced counts are stored once, so the min/max look-ups do not re-run the
-    # plan that produced them
-    df = materialize(df, "distinct-counts")
-    lo = df.select(F.min(value)).scalar()
-    hi = df.select(F.max(value)).scalar()
-    width = (hi - lo) / F.lit(float(buckets))
-    b = F.when(width > 0, F.least(F.floor((F.col(value) - lo) / width), F.lit(buckets - 1))).otherwise(F.lit(0))
-    d = df.withColumn("_bkt", b.cast("int"))
+    fractions = [(i + 1) / ranges for i in range(ranges - 1)]
+    bounds = F.percentile_approx(value, fractions, 10 * ranges)
+    if group:
+        cut = df.groupBy(*group).agg(bounds.alias("_bounds"))
+        same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+        d = df.join(cut.select(*[F.col(g).alias(f"_g_{g}") for g in group], "_bounds"), same).drop(*[f"_g_{g}" for g in group])
+    else:
+        d = df.withColumn("_bounds", df.agg(bounds).scalar())
+    d = d.withColumn("_bkt", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
     tot = d.groupBy(*group, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wb = Window.partitionBy(*group).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1) if group else \
-        Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows per group
-    tot = tot.select(*group, "_bkt", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    d = d.join(tot, [*group, "_bkt"])
+        Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)  # <= ranges rows per group
+    tot = tot.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_bkt").alias("_g_bkt"),
+                     *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    d = d.join(tot, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_bkt") == F.col("_g_bkt")])
     wv = Window.partitionBy(*group, "_bkt").orderBy(value).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
     out = d.select("*", *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wv), F.lit(0))).alias(f"cum_{c}")
                           for c in cols])
-    return out.drop("_bkt", *[f"_o_{c}" for c in cols])
+    return out.drop("_bkt", "_g_bkt", *[f"_g_{g}" for g in group], *[f"_o_{c}" for c in cols])
 
 
 # --------------------------------------------------------------------------- AUC
@@ -244,28 +245,39 @@ def direction_thresholds(df: DataFrame, p: str = "p_up", y: str = "y_direction",
 # --------------------------------------------------------------------------- bootstrap
 
 
-def bootstrap_ci(df: DataFrame, value: str, group=(), stat=F.avg, n_boot: int = 1000, ci: float = 0.80,
-                 seed: int = 42) -> DataFrame:
-    """Point estimate and percentile CI of ``stat`` per group.
+def poisson_thresholds() -> list[float]:
+    """P(W <= k) of a Poisson(1) count, up to where the next one rounds to 1."""
+    out, term, total = [], math.exp(-1.0), 0.0
+    while total + term > total:
+        total += term
+        out.append(total)
+        term /= len(out)
+    return out
 
-    Poisson(1) bootstrap: each row gets n_boot deterministic weights (hash of seed,
-    replicate, row key), so the replicates are built in one pass without collecting a
-    group; the per-replicate statistic is a weighted aggregate (``stat`` must accept a
-    column; the default weighted mean is exact for means).  Replicates aggregate
-    map-side, so the shuffle carries n_boot rows per group and task."""
-    group = list(group)
+
+# Fixed value: hex digits of the draw (52 bits).
+DRAW_DIGITS = 13
+
+
+def bootstrap_ci(df: DataFrame, value: str, keys, group=(), stat=F.avg, n_boot: int = 1000, ci: float = 0.80,
+                 seed: int = 42) -> DataFrame:
+    """Point estimate and percentile CI of ``stat`` (any aggregate of a column) per group.
+
+    Poisson(1) bootstrap: row and replicate draw a count from the md5 of (seed, replicate,
+    the row's ``keys``), so any engine can repeat it; a row enters a replicate that many
+    times, and ``stat`` is computed on every replicate.  ``keys`` must identify a row: equal
+    values with different keys are drawn independently.  Replicates aggregate map-side, so
+    for combinable statistics the shuffle carries n_boot rows per group and task."""
+    group, keys = list(group), list(keys)
     alpha = (1 - ci) / 2
-    rid = F.xxhash64(*[F.col(c) for c in df.columns])
-    base = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"), rid.alias("_rid"))
-    reps = base.select(*group, "_v", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_b"), "_rid")
-    u = (F.abs(F.xxhash64(F.lit(seed), F.col("_b"), F.col("_rid"))) % F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # Poisson(1) inverse CDF, P(W <= k) = e^-1 * sum_{i<=k} 1/i!, truncated at k = 8
-    cdf = [math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(k + 1)) for k in range(8)]
-    wexpr = F.lit(len(cdf))
-    for k in range(len(cdf) - 1, -1, -1):
-        wexpr = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(wexpr)
-    reps = reps.withColumn("_w", wexpr.cast("double"))
-    per = reps.groupBy(*group, "_b").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("_s"))
+    base = df.where(F.col(value).isNotNull()).select(*group, *[k for k in keys if k not in group], F.col(value).cast("double").alias("_v"))
+    reps = base.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    name = F.concat_ws("|", F.lit(str(seed)), F.col("_b").cast("string"), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    u = F.conv(F.substring(F.md5(name), 1, DRAW_DIGITS), 16, 10).cast("double") / F.lit(float(16 ** DRAW_DIGITS))
+    cdf = F.array(*[F.lit(x) for x in poisson_thresholds()])
+    reps = reps.withColumn("_w", F.size(F.filter(cdf, lambda t: t <= u))).where("_w > 0")
+    drawn = reps.select(*group, "_b", "_v", F.explode(F.sequence(F.lit(1), F.col("_w"))).alias("_i"))
+    per = drawn.groupBy(*group, "_b").agg(stat(F.col("_v")).alias("_s"))
     ci_df = per.groupBy(*group).agg(F.percentile("_s", F.array(F.lit(alpha), F.lit(1 - alpha))).alias("_q"))
     point = base.groupBy(*group).agg(stat(F.col("_v")).alias("point"), F.count(F.lit(1)).alias("n"))
     out = point.join(ci_df, group, "inner") if group else point.select(

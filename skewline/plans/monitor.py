@@ -21,7 +21,7 @@ def pause_warnings(scored: DataFrame, features: DataFrame, as_of_signals: Column
     if with_ci:
         d = rs.where(F.col("signal").isin("LONG", "SHORT"))
         hit = F.when(F.col("signal") == "LONG", F.col("y_direction") == 1).otherwise(F.col("y_direction") == 0)
-        ci = ST.bootstrap_ci(d.withColumn("hit", hit.cast("double")), "hit", ["signal"], seed=cfg.seed)
+        ci = ST.bootstrap_ci(d.withColumn("hit", hit.cast("double")), "hit", ["date", "ticker"], ["signal"], seed=cfg.seed)
         hr = hr.join(ci.select("signal", "lo"), "signal").where(F.col("lo") < cfg.hit_rate_min)
     hit_w = hr.select(F.lit("hit_rate").alias("kind"), F.col("signal").alias("subject"),
                       F.col("hit_rate").alias("value"),

@@ -40,12 +40,13 @@ SELECT date, underlying, expiry, dte FROM (
   SELECT *, dense_rank() OVER (PARTITION BY date, underlying ORDER BY expiry) AS er
   FROM (SELECT DISTINCT date, underlying, expiry, dte FROM sc0 WHERE dte BETWEEN {CFG.min_dte} AND {CFG.max_dte}) x) y
 WHERE er <= {CFG.num_expiries}"""),
-    ("csel", f"""
-SELECT * FROM (
-  SELECT c.*, row_number() OVER (PARTITION BY date, underlying ORDER BY expiry, strike, contract_type, ticker) AS n
-  FROM sc0 c SEMI JOIN ksel USING (date, underlying, strike) SEMI JOIN esel USING (date, underlying, expiry)) x
-WHERE n <= {CFG.chain_row_cap}"""),
+    ("csel", """
+SELECT c.*, row_number() OVER (PARTITION BY date, underlying ORDER BY expiry, strike, contract_type, ticker) AS n,
+  count(*) OVER (PARTITION BY date, underlying) AS chain_rows
+FROM sc0 c SEMI JOIN ksel USING (date, underlying, strike) SEMI JOIN esel USING (date, underlying, expiry)"""),
 ]
+# A budget of vendor calls small enough to cut chains of the fixture.
+ROW_CAP = 2
 
 
 def _scope(fx):
@@ -69,10 +70,18 @@ def q_chain_expiries(fx):
 @register("chain_select", Q.build(SCOPE_CTES, select_sql(
     ["~date", "~ticker", "~underlying", "strike", "~expiry", "~contract_type"], "csel"), views=["v_options", "v_bars"]))
 def q_chain_select(fx):
-    """J-SEMI + W16: contracts in both windows, capped per chain."""
+    """J-SEMI: contracts in both windows."""
     return C.chain_select(_scope(fx), CFG).select("date", "ticker", "underlying", "strike", "expiry", "contract_type")
 
 
+@register("chain_select_capped", Q.build(SCOPE_CTES, select_sql(
+    ["~date", "~ticker", "~underlying", f"~greatest(0, chain_rows - {ROW_CAP}) AS cut"], "csel", f"WHERE n <= {ROW_CAP}"),
+    views=["v_options", "v_bars"]))
+def q_chain_select_capped(fx):
+    """The same contracts within a budget of calls per chain, and how many it cuts."""
+    return C.chain_select(_scope(fx), CFG.with_(chain_row_cap=ROW_CAP)).select("date", "ticker", "underlying", "cut")
+
+
 # --------------------------------------------------------------------------- calendar
 
 

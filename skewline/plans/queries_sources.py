@@ -152,10 +152,10 @@ def q_redact_urls(fx):
 
 
 @register("request_log_append", Q.build([], select_sql(
-    ["~pulled_at", f"~substr({_redact_sql('url')}, 1, 2000) AS url", "~CAST(status_code AS INTEGER) AS status_code",
+    ["~pulled_at", f"~{_redact_sql('url')} AS url", "~CAST(status_code AS INTEGER) AS status_code",
      "elapsed_ms"], "v_requests"), views=["v_requests"]))
 def q_request_log(fx):
-    """pull_log rows: redacted URL (<= 2000 chars), status, elapsed ms."""
+    """pull_log rows: redacted URL, status, elapsed ms."""
     return TB.request_log_rows(fx.v_requests, lambda c: redact_secrets(c, LITERAL_KEY))
 
 

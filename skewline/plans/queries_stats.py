@@ -99,11 +99,33 @@ def _bootstrap(fx):
     s = ST.recent(ST.scored(_signals(fx)), _as_of(_signals(fx)))
     s = s.where(F.col("signal").isin("LONG", "SHORT"))
     hit = F.when(F.col("signal") == "LONG", F.col("y_direction") == 1).otherwise(F.col("y_direction") == 0)
-    return ST.bootstrap_ci(s.withColumn("hit", hit.cast("double")), "hit", ["signal"], n_boot=1000, ci=0.80,
-                           seed=CFG.seed)
+    return ST.bootstrap_ci(s.withColumn("hit", hit.cast("double")), "hit", ["date", "ticker"], ["signal"], n_boot=1000,
+                           ci=0.80, seed=CFG.seed)
 
 
-@register("bootstrap_ci")
+def bootstrap_sql(n_boot: int = 1000, ci: float = 0.80) -> list[tuple[str, str]]:
+    """bh: directional hits; bc: their interval, from the same md5 draws."""
+    digits = ST.DRAW_DIGITS
+    counts = " + ".join(f"CAST({Q.lit(t)} <= u AS INTEGER)" for t in ST.poisson_thresholds())
+    return [
+        ("bh", "SELECT date, ticker, signal, CASE WHEN signal = 'LONG' THEN CASE WHEN y_direction = 1 THEN 1e0 ELSE 0e0 END "
+               "ELSE CASE WHEN y_direction = 0 THEN 1e0 ELSE 0e0 END END AS v FROM rs WHERE signal IN ('LONG', 'SHORT') "
+               "AND y_direction IS NOT NULL"),
+        ("bd", f"""
+SELECT signal, b, v, {counts} AS w FROM (
+  SELECT signal, b, v, CAST(CAST('0x' || substr(md5('{CFG.seed}|' || b || '|' || date || '|' || ticker), 1, {digits}) AS BIGINT)
+    AS DOUBLE) / {float(16 ** digits)!r}::DOUBLE AS u
+  FROM bh, (SELECT unnest(range({n_boot})) AS b) r) d"""),
+        ("bp", "SELECT signal, b, sum(w * v) / sum(w) AS s FROM bd WHERE w > 0 GROUP BY signal, b"),
+        ("bc", f"""
+SELECT p.signal, p.n, p.point, quantile_cont(bp.s, {Q.lit((1 - ci) / 2)}) AS lo, quantile_cont(bp.s, {Q.lit(1 - (1 - ci) / 2)}) AS hi
+FROM (SELECT signal, count(*) AS n, avg(v) AS point FROM bh GROUP BY signal) p JOIN bp ON p.signal = bp.signal
+GROUP BY p.signal, p.n, p.point"""),
+    ]
+
+
+@register("bootstrap_ci", Q.build([SCORED_SQL, RECENT_SQL] + bootstrap_sql(), select_sql(
+    ["~signal", "~n", "point", "lo", "hi"], "bc"), views=["v_signals"]))
 def q_bootstrap_ci(fx):
     """80 % bootstrap CI (1000 Poisson replicates) of the 30-day hit rate per direction."""
     return _bootstrap(fx)

@@ -113,9 +113,10 @@ def update_from(base: DataFrame, updates: DataFrame, keys, cols) -> DataFrame:
 # --------------------------------------------------------------------------- S11, S12
 
 
-def request_log_rows(requests: DataFrame, redact) -> DataFrame:
-    """pull_log rows: redacted URL cut to 2000 characters."""
-    return requests.select(F.col("pulled_at"), F.substring(redact(F.col("url")), 1, 2000).alias("url"),
+def request_log_rows(requests: DataFrame, redact, url_chars: int | None = None) -> DataFrame:
+    """pull_log rows: redacted URL, on demand cut to ``url_chars`` characters."""
+    url = redact(F.col("url"))
+    return requests.select(F.col("pulled_at"), (url if url_chars is None else F.left(url, F.lit(url_chars))).alias("url"),
                            F.col("status_code").cast("int").alias("status_code"),
                            F.col("elapsed_ms").cast("double").alias("elapsed_ms"))
 

@@ -165,13 +165,12 @@ def zexpr(x: str, w: str, minp: int) -> str:
 def stock_ctes(cfg) -> list[tuple[str, str]]:
     """sp: stock panel with returns, rv, ewma_var, z-scores and history depth."""
     lam = cfg.ewma_lambda
-    h = cfg.horizon_days
     win = cfg.rolling_window
     return [
         ("sp0", f"""
 SELECT date, ticker, open, close,
   ln(close / lag(close, 1) OVER (PARTITION BY ticker ORDER BY date)) AS ret_1d,
-  ln(close / lag(close, {h}) OVER (PARTITION BY ticker ORDER BY date)) AS ret_{h}d,
+  ln(close / lag(close, 5) OVER (PARTITION BY ticker ORDER BY date)) AS ret_5d,
   row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn
 FROM v_bars"""),
         ("sp1", f"""
@@ -188,7 +187,7 @@ GROUP BY a.ticker, a.date"""),
 SELECT s.*,
   CASE WHEN e.nobs >= 2 AND e.s0 * e.s0 - e.s3 > 0
        THEN (e.s2 / e.s0 - (e.s1 / e.s0) * (e.s1 / e.s0)) * (e.s0 * e.s0) / (e.s0 * e.s0 - e.s3) END AS ewma_var,
-  {zexpr(f"ret_{h}d", "w", cfg.rolling_min_periods)} AS z_5d_return,
+  {zexpr("ret_5d", "w", cfg.rolling_min_periods)} AS z_5d_return,
   {zexpr("realized_vol_20d", "w", cfg.rolling_min_periods)} AS z_realized_vol_20d,
   s.rn AS history_depth
 FROM sp1 s LEFT JOIN ew e ON s.ticker = e.ticker AND s.date = e.date

@@ -38,10 +38,43 @@ def test_ks_identical_samples_is_zero_and_matches_bruteforce(spark):
     assert ST.ks_two_sample(same, ["x"], F.col("side")).collect()[0]["ks"] == 0.0
 
 
-def test_bootstrap_ci_brackets_mean(spark):
+def test_bootstrap_of_a_binary_mean_has_the_normal_width(spark):
     rng = np.random.default_rng(3)
     v = (rng.random(400) < 0.6).astype(float)
-    df = spark.createDataFrame([(float(x),) for x in v], "hit double")
-    r = ST.bootstrap_ci(df, "hit", n_boot=200).collect()[0]
-    assert r["lo"] < r["point"] < r["hi"]
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "id int, hit double")
+    r = ST.bootstrap_ci(df, "hit", ["id"], n_boot=400).collect()[0]
+    half = 1.2816 * v.std() / np.sqrt(len(v))
     assert abs(r["point"] - v.mean()) < 1e-12
+    assert abs((r["hi"] - r["lo"]) / (2 * half) - 1) < 0.25 and r["lo"] < v.mean() < r["hi"]
+
+
+def test_bootstrap_of_a_median_and_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "ab"[i % 2], float(x)) for i, x in enumerate(rng.gamma(2, size=300))]
+    df = spark.createDataFrame(rows, "id int, g string, x double")
+    for r in ST.bootstrap_ci(df, "x", ["id"], ["g"], stat=F.median, n_boot=200).collect():
+        own = np.array([x for _, g, x in rows if g == r["g"]])
+        assert abs(r["point"] - np.median(own)) < 1e-12 and r["lo"] < r["point"] < r["hi"]
+        draws = np.median(rng.choice(own, (2000, len(own))), 1)
+        assert abs(r["lo"] - np.quantile(draws, 0.1)) < 0.15 and abs(r["hi"] - np.quantile(draws, 0.9)) < 0.15
+
+
+def test_poisson_thresholds_are_not_cut():
+    t = ST.poisson_thresholds()
+    assert len(t) > 15 and abs(t[0] - np.exp(-1)) < 1e-15 and all(a < b for a, b in zip(t, t[1:])) and 1 - t[-1] < 1e-15
+
+
+def test_ordered_prefix_with_outliers_and_groups_of_different_size(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x), 1) for x in np.append(rng.random(5000) * 0.02, 1e6)] + [("b", float(x), 2) for x in rng.normal(1e9, 1, 40)] + [(None, 1.0, 3)]
+    df = spark.createDataFrame(rows, "g string, x double, n int")
+    for inclusive in (True, False):
+        got = ST.ordered_prefix(df, ["g"], "x", ["n"], inclusive).collect()
+        assert len(got) == len(rows)
+        for g in ("a", "b", None):
+            own = sorted((r.x, r.n, r.cum_n) for r in got if r.g == g)
+            total = 0
+            for _, n, cum in own:
+                assert cum == total + n * inclusive
+                total += n
+    assert {r.cum_n for r in ST.ordered_prefix(df.where("g = 'b'").drop("g"), [], "x", ["n"], True).collect()} == set(range(2, 82, 2))
