@@ -164,7 +164,7 @@ def q_json_field_inventory(fx):
     """Field paths, types, document counts and samples of the vendor JSON corpora."""
     docs = VJ.contract_payloads(fx.v_options).select(F.lit("contracts").alias("label"), "payload").unionByName(
         VJ.bar_payloads(fx.v_options).select(F.lit("bars").alias("label"), "payload"))
-    return VJ.field_inventory(fx.spark, docs, "payload", "label")
+    return VJ.field_inventory(docs, "payload", "label")
 
 
 @register("json_field_report")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skewline import sqlcheck as Q
 from skewline.plans.catalog import CFG, register, select_sql
 from skewline.session import shared_path
 from skewline.sources import vendor_json as VJ
-from skewline.sources.tables import SCHEMAS
+from skewline.sources.tables import read_table
 from skewline.streaming.incremental_bars import start_incremental_bars
 
 OUT = ["date", "ticker", "underlying", "strike", "expiry", "contract_type", "open", "high", "low", "close", "volume",
@@ -20,20 +21,40 @@ OUT = ["date", "ticker", "underlying", "strike", "expiry", "contract_type", "ope
      "least(open, close) AS low", "close", "volume", "(open + close) / 2e0 AS vwap", "~transactions"],
     "v_options", f"WHERE transactions >= {CFG.min_transactions_for_iv}"), views=["v_options"]))
 def q_incremental_bars(fx):
-    """Bar files landed in two drops (the second replays part of the first) are ingested
-    by an availableNow stream with foreachBatch upserts; the result is the table."""
+    """Bar files land in drops with wrong, corrected and replayed bars; an availableNow
+    stream with foreachBatch upserts ingests them; the result is the table."""
+    spark = fx.spark
+    return read_table(spark, _ingested(fx), "options_daily").select(*OUT)
+
+
+@register("backfill_progress", Q.build([], select_sql(
+    ["~underlying AS ticker", "~ticker AS contract_ticker", "~max(date) AS last_date"], "v_options",
+    f"WHERE transactions >= {CFG.min_transactions_for_iv} GROUP BY underlying, ticker"), views=["v_options"]))
+def q_backfill_progress(fx):
+    """The stored progress after the ingest: the last date of every contract."""
+    return read_table(fx.spark, _ingested(fx), "backfill_progress")
+
+
+def _ingested(fx) -> str:
+    """Run the ingest over drops of the fixture's bars; the folder of its tables."""
     spark = fx.spark
     base = shared_path(spark, "incremental")
-    landing, table, ckpt = f"{base}/landing", f"{base}/tables", f"{base}/checkpoint"
+    landing, tables, ckpt = f"{base}/landing", f"{base}/tables", f"{base}/checkpoint"
     opts = fx.v_options
     contracts = VJ.parse_contracts(VJ.contract_payloads(opts)).select(
         "as_of", "ticker", "underlying", "strike", "expiry", "contract_type")
-    payloads = VJ.bar_payloads(opts).withColumn("_h", F.abs(F.xxhash64("payload")) % 10)
-    # drop 1: 70 % of the files; drop 2: the rest plus a replay of a tenth of drop 1
-    payloads.where(F.col("_h") < 7).select("payload").write.mode("overwrite").text(f"{landing}/drop=1")
-    q = start_incremental_bars(spark, f"{landing}/*", table, ckpt, contracts, CFG)
-    q.awaitTermination()
-    payloads.where(F.col("_h") >= 6).select("payload").write.mode("overwrite").text(f"{landing}/drop=2")
-    q = start_incremental_bars(spark, f"{landing}/*", table, ckpt, contracts, CFG)
-    q.awaitTermination()
-    return spark.read.schema(SCHEMAS["options_daily"]).parquet(f"{table}/options_daily").select(*OUT)
+    # Half of the contracts with one listing were listed only after their bars, as in a backfill.
+    once = F.count(F.lit(1)).over(Window.partitionBy("ticker")) == 1
+    contracts = contracts.withColumn("as_of", F.when(once & (F.pmod(F.xxhash64("ticker"), F.lit(2)) == 0), F.date_add("as_of", 40))
+                                     .otherwise(F.col("as_of")))
+    part = F.pmod(F.xxhash64("ticker"), F.lit(10))
+    wrong = VJ.bar_payloads(opts.where(part < 3).withColumn("close", F.col("close") * 2))
+    right = VJ.bar_payloads(opts.withColumn("_h", part)).withColumn("_h", F.pmod(F.xxhash64(F.get_json_object("payload", "$.ticker")), F.lit(10)))
+    # In one batch: wrong bars of a part, then corrected ones, and a line that is no JSON.
+    wrong.select("payload").write.mode("overwrite").text(f"{landing}/drop=0")
+    right.where("_h < 7").select("payload").union(spark.createDataFrame([("{broken",)], "payload string")).write.mode("overwrite").text(f"{landing}/drop=1")
+    start_incremental_bars(spark, f"{landing}/*", tables, ckpt, contracts, CFG).awaitTermination()
+    # The next batch: the rest and a replay of a part.
+    right.where("_h >= 6").select("payload").write.mode("overwrite").text(f"{landing}/drop=2")
+    start_incremental_bars(spark, f"{landing}/*", tables, ckpt, contracts, CFG).awaitTermination()
+    return tables

@@ -1,8 +1,8 @@
 """Table catalog (S1) and keyed writes.
 
-Tables are parquet folders partitioned by month of ``date``; writes replace only the
-partitions they touch (dynamic partition overwrite), so an upsert rewrites the
-affected months, not the table.
+Tables are parquet folders partitioned by month of ``date`` (progress, which has no date,
+by a hash of its key).  Writes replace only the partitions they touch (dynamic partition
+overwrite), and reads of them are pruned to those partitions by the physical column.
 """
 
 from __future__ import annotations
@@ -48,12 +48,32 @@ KEYS = {"options_daily": ("date", "ticker"), "stock_daily": ("date", "ticker"),
         "backfill_progress": ("ticker", "contract_ticker"), "pull_log": ()}
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table by name; an empty typed frame when it does not exist yet."""
-    try:
-        return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}").select(*SCHEMAS[name].fieldNames())
-    except Exception:  # noqa: BLE001 - absent path
+PART = "part"
+PROGRESS_SHARDS = 16
+
+
+def part_of(name: str) -> Column:
+    """The partition a row belongs to: its month, or a shard of its key."""
+    if "date" in KEYS[name]:
+        return F.date_format("date", "yyyy-MM")
+    return F.format_string("s%02d", F.pmod(F.xxhash64(*KEYS[name]), F.lit(PROGRESS_SHARDS)))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_table(spark: SparkSession, root: str, name: str, parts: list[str] | None = None) -> DataFrame:
+    """A table by name, or only some of its partitions; an empty typed frame when its folder
+    does not exist yet (any other failure to read it is an error)."""
+    path, names = f"{root}/{name}", SCHEMAS[name].fieldNames()
+    if not exists(spark, path):
         return spark.createDataFrame([], SCHEMAS[name])
+    if not KEYS[name]:
+        return spark.read.schema(SCHEMAS[name]).parquet(path)
+    stored = spark.read.schema(T.StructType([*SCHEMAS[name].fields, T.StructField(PART, S)])).parquet(path)
+    return (stored if parts is None else stored.where(F.col(PART).isin(parts))).select(*names)
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
@@ -71,30 +91,49 @@ def last_wins(df: DataFrame, keys, order: list[Column]) -> DataFrame:
     return df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") == 1).drop("_rk")
 
 
-def upsert(base: DataFrame, updates: DataFrame, keys) -> DataFrame:
-    """S9 (INSERT OR REPLACE): rows of ``updates`` replace base rows with the same key."""
-    b = base.withColumn("_seq", F.lit(0))
-    u = updates.withColumn("_seq", F.lit(1))
-    return last_wins(b.unionByName(u, allowMissingColumns=True), keys, [F.col("_seq").desc()]).drop("_seq")
-
-
-def upsert_partitions(spark: SparkSession, root: str, name: str, updates: DataFrame) -> None:
-    """Persisted S9: rewrite only the months touched by ``updates``.
-
-    Reads the touched partitions of the current table, upserts, and overwrites those
-    partitions (``partitionOverwriteMode=dynamic``).  Idempotent: replaying a batch
-    leaves the table unchanged."""
-    keys = KEYS[name]
-    upd = conform(updates, name).withColumn("month", F.date_format("date", "yyyy-MM"))
-    months = upd.select("month").distinct()
-    cur = read_table(spark, root, name).withColumn("month", F.date_format("date", "yyyy-MM"))
-    cur = cur.join(months, "month", "left_semi")
-    merged = upsert(cur, upd, keys)
-    # the read of the old partitions must finish before they are overwritten: materialise
-    # the merged rows in the shared checkpoint folder first (cuts the lineage to the target)
-    merged = merged.checkpoint(eager=True)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    merged.repartition("month").write.mode("overwrite").partitionBy("month").parquet(f"{root}/{name}")
+def upsert(base: DataFrame, updates: DataFrame, keys, newest=()) -> DataFrame:
+    """S9 (INSERT OR REPLACE): rows of ``updates`` replace base rows with the same key.
+
+    Among updates of one key the greatest ``newest`` columns (load time, position in the
+    payload; columns of ``updates`` only) win, and equal ones are told apart by their values,
+    so the result never depends on row order."""
+    values = [c for c in base.columns if c not in keys]
+    rows = base.withColumn("_seq", F.lit(0)).unionByName(updates.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
+    order = [F.col("_seq").desc(), *[F.col(c).desc_nulls_last() for c in newest], *[F.col(c).desc_nulls_last() for c in values]]
+    return last_wins(rows, keys, order).select(*base.columns)
+
+
+def upsert_partitions(spark: SparkSession, root: str, name: str, updates: DataFrame, newest=(),
+                      rows_per_file: int = 1_000_000) -> None:
+    """Persisted S9: rewrite only the partitions touched by ``updates``.
+
+    Reads the touched partitions (a filter on the partition column, so others are not
+    listed), upserts, and overwrites them.  A partition of many rows is dealt by key to as many
+    tasks as it fills files.  Idempotent: replaying a batch leaves the table unchanged."""
+    keys, columns = KEYS[name], SCHEMAS[name].fieldNames()
+    extra = [c for c in newest if c in updates.columns and c not in columns]
+    upd = conform(updates, name).select(*columns) if not extra else updates.select(
+        *[(F.col(f.name) if f.name in updates.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields], *extra)
+    # Calendar months (or shards) of one batch: a handful of strings.
+    parts = [r[0] for r in upd.select(part_of(name)).distinct().collect()]
+    if not parts:
+        return
+    # The old partitions must have been read before they are overwritten: the merged rows go
+    # to the shared checkpoint folder first, which also cuts the lineage to the target.
+    merged = upsert(read_table(spark, root, name, parts), upd, keys, newest).checkpoint(eager=True)
+    merged = merged.withColumn(PART, part_of(name))
+    most = merged.groupBy(PART).count().agg(F.max("count")).first()[0]
+    (merged.repartition(PART, F.pmod(F.xxhash64(*keys), F.lit(-(-most // rows_per_file))))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(f"{root}/{name}"))
+
+
+def advance_progress(spark: SparkSession, root: str, rows: DataFrame) -> None:
+    """The last date ingested of every contract in ``rows`` (options_daily) moves forward."""
+    new = rows.groupBy(F.col("underlying").alias("ticker"), F.col("ticker").alias("contract_ticker")).agg(F.max("date").alias("last_date"))
+    parts = [r[0] for r in new.select(part_of("backfill_progress")).distinct().collect()]
+    old = read_table(spark, root, "backfill_progress", parts)
+    both = new.unionByName(old).groupBy("ticker", "contract_ticker").agg(F.max("last_date").alias("last_date"))
+    upsert_partitions(spark, root, "backfill_progress", both.join(new.select("ticker", "contract_ticker"), ["ticker", "contract_ticker"], "left_semi"))
 
 
 # --------------------------------------------------------------------------- S10
