@@ -20,6 +20,7 @@ from skewline.config import DEFAULT, Settings
 from skewline.operators import cv
 from skewline.operators import stats as ST
 from skewline.session import materialize
+from skewline.sources.tables import exists
 
 KEY = ["date", "ticker"]
 
@@ -44,7 +45,7 @@ def p1(df: DataFrame, col: str = "probability") -> DataFrame:
 
 def _fold_job(data: DataFrame, roles: DataFrame, fold: int, estimator, post=None):
     train, test = cv.split_frame(data, roles, fold)
-    model = estimator.fit(train)
+    model = (estimator(train) if callable(estimator) else estimator).fit(train)
     pred = p1(model.transform(test)).select(*KEY, "label", "p", F.lit(fold).alias("fold"))
     if post is not None:
         pred = post(model, train, test, pred).withColumn("fold", F.lit(fold))
@@ -52,7 +53,8 @@ def _fold_job(data: DataFrame, roles: DataFrame, fold: int, estimator, post=None
 
 
 def cross_validate(data: DataFrame, roles: DataFrame, estimator, n_splits: int, post=None, threads: int | None = None):
-    """Fit one model per fold on its 'train' dates, score its 'test' dates.
+    """Fit one model per fold on its 'train' dates, score its 'test' dates.  ``estimator``
+    may be a function of the fold's training rows.
 
     Returns (fold models, out-of-fold predictions, per-fold AUC table)."""
     folds = list(range(n_splits))
@@ -76,16 +78,17 @@ def fold_roles(frame: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
 def iv_baseline(frame: DataFrame, roles: DataFrame, cfg: Settings = DEFAULT, label: str = "y_magnitude"):
     """M3: logistic regression on ATM IV (NULL -> median, P16 exact median), L2 with C = 1
-    (regParam = 1 / n, no standardisation), purged-CV AUC plus a final fit."""
+    (regParam = 1 / n of the rows fitted, no standardisation), purged-CV AUC plus a final fit."""
     med = frame.select(F.percentile("iv_atm_30dte", 0.5)).scalar()
     df = frame.withColumn("iv_atm_30dte", F.coalesce(F.col("iv_atm_30dte"), med))
     data = materialize(design(df, ["iv_atm_30dte"], label), "iv-design")
-    n = data.count()
-    lr = LogisticRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=500,
-                            featuresCol="features", labelCol="label")
-    _, oof, a = cross_validate(data, roles, lr, cfg.cv_n_folds)
-    final = lr.fit(data)
-    return a, final, oof
+
+    def ridge(train):
+        return LogisticRegression(regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0, standardization=False, maxIter=500,
+                                  featuresCol="features", labelCol="label")
+
+    _, oof, a = cross_validate(data, roles, ridge, cfg.cv_n_folds)
+    return a, ridge(data).fit(data), oof
 
 
 # --------------------------------------------------------------------------- M4, M5, M9
@@ -187,8 +190,5 @@ def save_artifacts(spark: SparkSession, root: str, stamp: str, models: dict, tab
 
 def latest_stamp(spark: SparkSession, root: str):
     """T4: the newest registered model stamp (yyyymmdd strings order as dates)."""
-    try:
-        idx = spark.read.parquet(f"{root}/models/_index")
-    except Exception:  # noqa: BLE001 - nothing saved yet
-        return None
-    return idx.select(F.max("stamp")).first()[0]
+    path = f"{root}/models/_index"
+    return None if not exists(spark, path) else spark.read.parquet(path).select(F.max("stamp")).first()[0]

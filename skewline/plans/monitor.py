@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skewline.config import DEFAULT, Settings
+from skewline.config import DEFAULT, FEATURE_NAMES, Settings
 from skewline.functions.numeric import round_half_up
 from skewline.operators import stats as ST
 
 
 def pause_warnings(scored: DataFrame, features: DataFrame, as_of_signals: Column, as_of_features: Column,
-                   cfg: Settings = DEFAULT, drift_cols=("iv_atm_30dte", "z_iv_minus_ewma_rv"),
+                   cfg: Settings = DEFAULT, drift_cols=FEATURE_NAMES,
                    with_ci: bool = True) -> DataFrame:
     """Warning rows (kind, subject, value, warning): hit rate below 0.50 (and its 80 % CI
     low end too), feature drift alert/pause, marginal lift below 0.02, calibration error

@@ -3,6 +3,7 @@ bit-comparable across engines; acceptance is by metric bounds in the tests)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skewline.config import STAGE_B_FEATURES, STAGE_C_FEATURES
@@ -22,8 +23,7 @@ def _training(fx):
 
 
 def _fold_table(a, name):
-    return a.withColumn("model", F.lit(name)).withColumn("mean_auc", F.avg("auc").over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy()))  # <= k rows
+    return a.withColumn("model", F.lit(name)).withColumn("mean_auc", F.avg("auc").over(Window.partitionBy()))  # <= k rows
 
 
 @register("iv_baseline")

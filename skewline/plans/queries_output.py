@@ -17,7 +17,7 @@ from skewline.plans import sinks as SK
 from skewline.plans.catalog import CFG, register, select_sql
 from skewline.plans.queries_stats import THRESH_SQL
 from skewline.plans.signals import score_candidates
-from skewline.session import materialize
+from skewline.session import materialize, shared_path
 
 VIEWS = ["v_options", "v_bars", "v_market", "v_event_calendar", "v_signals"]
 TOP = list(STAGE_B_FEATURES[:3])
@@ -153,8 +153,8 @@ def _md_block_sql():
     return f"""
 SELECT date, string_agg(
   printf('### %s — %s ● %s confidence', ticker, signal, confidence) || chr(10) ||
-  'Move probability: ' || printf('%.0f', {_r('p_magnitude', 3)} * 100e0) || '% | Direction: ' ||
-  CASE WHEN {_r('p_up', 3)} > 0.5e0 THEN 'up' ELSE 'down' END || ' (p_up=' || printf('%.2f', {_r('p_up', 3)}) || ')'
+  'Move probability: ' || printf('%.0f', {_r(_r('p_magnitude', 3) + ' * 100e0', 0)}) || '% | Direction: ' ||
+  CASE WHEN {_r('p_up', 3)} > 0.5e0 THEN 'up' ELSE 'down' END || ' (p_up=' || printf('%.2f', {_r(_r('p_up', 3), 2)}) || ')'
   || chr(10) || 'Stock-adjusted threshold: ±' || printf('%.1f', {_r('threshold_pct', 1)}) || '% over 5 days' || chr(10)
   || 'Key drivers: {", ".join(TOP)}' || chr(10), chr(10) ORDER BY rank) AS blocks, count(*) AS n_sig
 FROM sig WHERE signal <> 'NO_DIRECTION' GROUP BY date"""
@@ -164,8 +164,8 @@ MD_SQL = Q.build(score_ctes(CFG) + [_funnel_sql(), ("blk", _md_block_sql())], f"
 SELECT f.date, '# Watchlist — ' || strftime(f.date, '%Y-%m-%d') || chr(10) || chr(10) ||
   '**Market:** ' || upper(CASE WHEN coalesce(nullif(m.vix, 0), 20e0) < 15 THEN 'calm'
                       WHEN coalesce(nullif(m.vix, 0), 20e0) < 25 THEN 'normal' ELSE 'elevated' END) ||
-  ' (VIX ' || printf('%.1f', coalesce(nullif(m.vix, 0), 20e0)) || ')' ||
-  CASE WHEN m.dspx IS NOT NULL AND m.dspx <> 0 THEN ' | DSPX ' || printf('%.1f', m.dspx) ELSE '' END || chr(10) || chr(10) ||
+  ' (VIX ' || printf('%.1f', {_r('coalesce(nullif(m.vix, 0), 20e0)', 1)}) || ')' ||
+  CASE WHEN m.dspx IS NOT NULL AND m.dspx <> 0 THEN ' | DSPX ' || printf('%.1f', {_r('m.dspx', 1)}) ELSE '' END || chr(10) || chr(10) ||
   printf('Screened: %d stocks → %d candidates → %d magnitude passes → %d signals', f.after_exclusions,
          f.candidates_screened, f.magnitude_passes, coalesce(b.n_sig, 0)) || chr(10) || chr(10) ||
   '---' || chr(10) || chr(10) || '## Signals' || chr(10) || chr(10) ||
@@ -174,6 +174,17 @@ SELECT f.date, '# Watchlist — ' || strftime(f.date, '%Y-%m-%d') || chr(10) ||
 FROM fun f LEFT JOIN v_market m ON f.date = m.date LEFT JOIN blk b ON f.date = b.date""", views=VIEWS, recursive=True)
 
 
+@register("stored_watchlists", WATCH_SQL)
+def q_stored_watchlists(fx):
+    """The JSON documents written as one file per date and read back."""
+    df = q_watchlist_json(fx)
+    root = shared_path(fx.spark, "watchlists")
+    df = materialize(df, "watchlists")
+    SK.write_documents(df, "date", "payload", root)
+    got = SK.read_documents(fx.spark, "date", root).withColumnRenamed("text", "payload")
+    return df.select("date", "n_signals").join(got, "date")
+
+
 @register("watchlist_markdown", MD_SQL)
 def q_watchlist_markdown(fx):
     """The watchlist as a markdown document per date."""

@@ -9,6 +9,7 @@ from skewline import sqlcheck as Q
 from skewline.operators import cv
 from skewline.operators import stats as ST
 from skewline.operators.features import features_daily
+from skewline.config import FEATURE_NAMES
 from skewline.operators.targets import linspace
 from skewline.plans.catalog import CFG, register, select_sql
 from skewline.session import materialize
@@ -131,7 +132,7 @@ def q_bootstrap_ci(fx):
     return _bootstrap(fx)
 
 
-DRIFT_COLS = ("iv_atm_30dte", "z_iv_minus_ewma_rv")
+DRIFT_COLS = FEATURE_NAMES
 
 
 def ks_sql(cfg, src="feat", cols=DRIFT_COLS) -> list[tuple[str, str]]:
@@ -180,7 +181,7 @@ FEAT_VIEWS = ["v_options", "v_bars", "v_market"]
 @register("ks_drift", Q.build(Q.feature_ctes(CFG) + ks_sql(CFG), select_sql(
     ["~feature", "ks", "~n_recent", "~n_ref", "~severity"], "ksd"), views=FEAT_VIEWS, recursive=True))
 def q_ks_drift(fx):
-    """KS statistic of recent 60 days vs the prior year for two features, with severity."""
+    """KS statistic of recent 60 days vs the prior year for all model features, with severity."""
     return _ks(fx)
 
 
@@ -228,8 +229,9 @@ def q_marginal_lift(fx):
     return ST.marginal_lift(_recent_scored(fx), CFG)
 
 
-DECILE_SQL = ("dc", f"""
-SELECT *, CAST(sum(CASE WHEN abs_error > {Q.lit(CFG.calibration_error_max)} THEN 1 ELSE 0 END) OVER () AS BIGINT)
+def decile_sql(cfg=CFG):
+    return ("dc", f"""
+SELECT *, CAST(sum(CASE WHEN abs_error > {Q.lit(cfg.calibration_error_max)} THEN 1 ELSE 0 END) OVER () AS BIGINT)
   AS bins_over_max FROM (
   SELECT decile, n, mean_p, mean_y, abs(mean_p - mean_y) AS abs_error FROM (
     SELECT CAST(least(floor(p_magnitude * 10e0), 9) AS INTEGER) AS decile, count(*) AS n, avg(p_magnitude) AS mean_p,
@@ -237,6 +239,9 @@ SELECT *, CAST(sum(CASE WHEN abs_error > {Q.lit(CFG.calibration_error_max)} THEN
     FROM v_signals WHERE p_magnitude IS NOT NULL AND y_magnitude IS NOT NULL GROUP BY 1) a) b""")
 
 
+DECILE_SQL = decile_sql()
+
+
 @register("decile_calibration", Q.build([DECILE_SQL], select_sql(
     ["~decile", "~n", "mean_p", "mean_y", "abs_error", "~bins_over_max", "~bins_over_max >= 3 AS warn"], "dc"),
     views=["v_signals"]))
@@ -283,11 +288,12 @@ def q_vix_terciles(fx):
 def warnings_sql(cfg) -> list[tuple[str, str]]:
     ks3 = Q.r6("ks", 3)
     lift3 = Q.r6("lift", 3)
-    return [SCORED_SQL, RECENT_SQL, HIT_SQL, DECILE_SQL] + ks_sql(cfg) + [
+    return [SCORED_SQL, RECENT_SQL, HIT_SQL, decile_sql(cfg)] + bootstrap_sql() + ks_sql(cfg) + [
         ("lf", "SELECT count(*) AS n, avg(p_magnitude - iv_baseline_p) AS lift FROM rs WHERE signal IN ('LONG', 'SHORT')"),
         ("warn", f"""
-SELECT 'hit_rate' AS kind, signal AS subject, hit_rate AS value, printf('%s hit rate below minimum', signal) AS warning
-FROM hr WHERE n >= 10 AND hit_rate < {Q.lit(cfg.hit_rate_min)}
+SELECT 'hit_rate' AS kind, hr.signal AS subject, hit_rate AS value, printf('%s hit rate below minimum', hr.signal) AS warning
+FROM hr JOIN bc ON hr.signal = bc.signal WHERE hr.n >= 10 AND hit_rate < {Q.lit(cfg.hit_rate_min)}
+  AND bc.lo < {Q.lit(cfg.hit_rate_min)}
 UNION ALL
 SELECT 'drift', feature, ks, printf('Feature drift %s: %s KS=%.3f', severity, feature, {ks3})
 FROM ksd WHERE severity <> 'ok'
@@ -302,18 +308,33 @@ FROM dc HAVING max(bins_over_max) >= 3"""),
     ]
 
 
-def pause_warnings(fx):
+def _warnings(fx, cfg):
     from skewline.plans.monitor import pause_warnings as pw
     s = _signals(fx)
     f = _features(fx)
-    return pw(ST.scored(s), f, _as_of(s), _feature_as_of(f), CFG, drift_cols=DRIFT_COLS)
+    return pw(ST.scored(s), f, _as_of(s), _feature_as_of(f), cfg, drift_cols=DRIFT_COLS)
+
+
+WARN_OUT = ["~kind", "~subject", "value", "~warning"]
 
 
-@register("pause_warnings", Q.build(Q.feature_ctes(CFG) + warnings_sql(CFG), select_sql(
-    ["~kind", "~subject", "value", "~warning"], "warn"), views=FEAT_VIEWS + ["v_signals"], recursive=True))
+@register("pause_warnings", Q.build(Q.feature_ctes(CFG) + warnings_sql(CFG), select_sql(WARN_OUT, "warn"),
+                                    views=FEAT_VIEWS + ["v_signals"], recursive=True))
 def q_pause_warnings(fx):
     """Active warnings: hit rate, feature drift, marginal lift, calibration."""
-    return pause_warnings(fx)
+    return _warnings(fx, CFG)
+
+
+# Limits so strict that the fixture breaks every one of them.
+STRICT = CFG.with_(hit_rate_min=0.95, marginal_auc_min=0.9, ks_drift_alert=0.02, ks_drift_pause=0.2,
+                   calibration_error_max=0.0005)
+
+
+@register("pause_warnings_strict", Q.build(Q.feature_ctes(CFG) + warnings_sql(STRICT), select_sql(WARN_OUT, "warn"),
+                                           views=FEAT_VIEWS + ["v_signals"], recursive=True))
+def q_pause_warnings_strict(fx):
+    """A21 under strict limits, where every kind of warning fires."""
+    return _warnings(fx, STRICT)
 
 
 QUARTER_SQL = [

@@ -1,32 +1,19 @@
 """Output sinks: nested JSON watchlist (S13), markdown watchlist (S14), monthly
 monitoring report (S15).  One row per date (or month); lists inside a row are
-bounded by the dynamic top-N (<= 25 signals)."""
+bounded by the dynamic top-N (<= 25 signals).  Headings and labels are fixed values."""
 
 from __future__ import annotations
 
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skewline.config import DEFAULT, Settings
 from skewline.functions.numeric import round_half_up
 from skewline.operators.stats import market_regime
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-@F.pandas_udf(T.StringType())
-def py_format(values: pd.Series, spec: pd.Series) -> pd.Series:
-    """Python's fixed-point formatting (exact binary rounding), for text sinks only."""
-    return pd.Series([None if pd.isna(v) else format(float(v), s) for v, s in zip(values, spec)], dtype=object)
-
-
-def fmt(c: Column, spec: str) -> Column:
-    return py_format(c, F.lit(spec))
+def fmt(c: Column, digits: int) -> Column:
+    """Fixed-point text: rounded half up first, so no tie is left to the formatter."""
+    return F.format_string(f"%.{digits}f", round_half_up(c, digits))
 
 
 def _truthy(c: Column) -> Column:
@@ -85,9 +72,9 @@ def _md_signal_blocks(signals: DataFrame) -> DataFrame:
     block = F.concat_ws(
         "\n",
         F.format_string("### %s — %s ● %s confidence", "ticker", "signal", "confidence"),
-        F.concat(F.lit("Move probability: "), fmt(F.col("p_magnitude") * F.lit(100.0), ".0f"), F.lit("% | Direction: "),
-                 F.when(p_up > 0.5, "up").otherwise("down"), F.lit(" (p_up="), fmt(p_up, ".2f"), F.lit(")")),
-        F.concat(F.lit("Stock-adjusted threshold: ±"), fmt(F.col("threshold_pct"), ".1f"), F.lit("% over 5 days")),
+        F.concat(F.lit("Move probability: "), fmt(F.col("p_magnitude") * F.lit(100.0), 0), F.lit("% | Direction: "),
+                 F.when(p_up > 0.5, "up").otherwise("down"), F.lit(" (p_up="), fmt(p_up, 2), F.lit(")")),
+        F.concat(F.lit("Stock-adjusted threshold: ±"), fmt(F.col("threshold_pct"), 1), F.lit("% over 5 days")),
         F.concat(F.lit("Key drivers: "), F.array_join(F.slice("top_features", 1, 3), ", ")),
         F.when(F.size("leakage_caveats") > 0,
                F.concat(F.lit("⚠️ Caveat: "), F.array_join("leakage_caveats", ", "))),
@@ -103,13 +90,13 @@ def watchlist_markdown(signals: DataFrame, funnel: DataFrame, market: DataFrame)
     blocks = _md_signal_blocks(signals)
     df = funnel.join(market.select("date", "vix", "dspx"), "date", "left").join(blocks, "date", "left")
     vix = F.when(_truthy(F.col("vix")), F.col("vix")).otherwise(F.lit(20.0))
-    dspx_part = F.when(_truthy(F.col("dspx")), F.concat(F.lit(" | DSPX "), fmt(F.col("dspx"), ".1f"))).otherwise("")
+    dspx_part = F.when(_truthy(F.col("dspx")), F.concat(F.lit(" | DSPX "), fmt(F.col("dspx"), 1))).otherwise("")
     n_sig = F.coalesce(F.col("n_sig"), F.lit(0))
     body = F.when(n_sig > 0, F.col("blocks")).otherwise(F.lit("*No signals today.*"))
     text = F.concat_ws(
         "\n",
         F.concat(F.lit("# Watchlist — "), F.date_format("date", "yyyy-MM-dd")), F.lit(""),
-        F.concat(F.lit("**Market:** "), F.upper(market_regime(F.col("vix"))), F.lit(" (VIX "), fmt(vix, ".1f"),
+        F.concat(F.lit("**Market:** "), F.upper(market_regime(F.col("vix"))), F.lit(" (VIX "), fmt(vix, 1),
                  F.lit(")"), dspx_part), F.lit(""),
         F.format_string("Screened: %d stocks → %d candidates → %d magnitude passes → %d signals",
                         F.col("after_exclusions"), F.col("candidates_screened"), F.col("magnitude_passes"), n_sig),
@@ -154,3 +141,15 @@ def monthly_report(signals: DataFrame, outcomes: DataFrame, cfg: Settings = DEFA
               "## Stage C Hit Rates\nBootstrap 80% CI by signal type.\n"))
     return df.select(F.col("ym").alias("year_month"), F.col("total_signals").cast("bigint").alias("total_signals"),
                      F.size("warnings").cast("bigint").alias("n_warnings"), text.alias("report"))
+
+
+def write_documents(df: DataFrame, key: str, text: str, root: str) -> None:
+    """File sink: one text file per ``key`` (a date or month) under ``root/<key>=...``;
+    writing a key again replaces its file and leaves the others."""
+    (df.select(key, F.col(text).alias("value")).repartition(key).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").partitionBy(key).text(root))
+
+
+def read_documents(spark, key: str, root: str) -> DataFrame:
+    """(key, text) of the files written by ``write_documents``."""
+    return spark.read.text(root, wholetext=True).select(F.col(key), F.regexp_replace("value", "\n$", "").alias("text"))
