@@ -66,7 +66,29 @@ def chain_rows(options: DataFrame, bars: DataFrame, market: DataFrame, cfg: Sett
 
 def features_daily(options: DataFrame, bars: DataFrame, market: DataFrame, cfg: Settings = DEFAULT,
                    stock: DataFrame | None = None) -> DataFrame:
-    """``stock`` may pass a stock panel already computed (see ``stock_panel``)."""
+    """All dates.  ``stock`` may pass a stock panel already computed (see ``stock_panel``)."""
+    return with_history(daily_values(options, bars, market, cfg, stock), market, cfg)
+
+
+def features_range(options: DataFrame, bars: DataFrame, market: DataFrame, history: DataFrame, start, end,
+                   cfg: Settings = DEFAULT) -> DataFrame:
+    """The features of start <= date <= end, as a nightly run or a backfill makes them.
+
+    Only contracts of those dates are read and priced; the feature windows take the rows
+    before from ``history`` (stored features_daily).  Bars, one row a ticker and date, are
+    read up to ``end``, since depth and EWMA reach back to the first.  Equal to the same
+    dates of ``features_daily`` when ``history`` holds all earlier dates."""
+    lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
+    new = daily_values(options.where(F.col("date").between(lo, hi)), bars.where(F.col("date") <= hi), market, cfg)
+    back = Window.partitionBy("ticker").orderBy(F.col("date").desc())
+    old = (history.where(F.col("date") < lo).select(*new.columns)
+           .withColumn("_back", F.row_number().over(back)).where(F.col("_back") < cfg.rolling_window).drop("_back"))
+    return with_history(new.unionByName(old), market.where(F.col("date") <= hi), cfg).where(F.col("date") >= lo)
+
+
+def daily_values(options: DataFrame, bars: DataFrame, market: DataFrame, cfg: Settings = DEFAULT,
+                 stock: DataFrame | None = None) -> DataFrame:
+    """Values of each (date, ticker) chain that need no earlier feature rows."""
     chains = chain_rows(options, bars, market, cfg).withColumnRenamed("underlying", "ticker")
     stock = stock_panel(bars, cfg) if stock is None else stock
 
@@ -95,9 +117,12 @@ def features_daily(options: DataFrame, bars: DataFrame, market: DataFrame, cfg:
         F.when(depth > cfg.rolling_min_periods, bar.getField("z_realized_vol_20d")).alias("z_realized_vol_20d"),
         F.when(truthy(iv_atm) & truthy(ewma_rv), iv_atm - ewma_rv).alias("iv_minus_ewma_rv"),
     )
+    return f
 
-    # Feature-history windows over the ticker's own feature rows.
-    w = wspec()
+
+def with_history(f: DataFrame, market: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Feature-history windows over each ticker's own feature rows (W5, W6) and the market row."""
+    w, iv_atm = wspec(), F.col("iv_atm_30dte")
     win, minp = cfg.rolling_window, cfg.rolling_min_periods
     f = f.select(
         "*",

@@ -87,6 +87,33 @@ def q_universe_normalize(fx):
     return M.universe_normalize(fx.v_universe_raw)
 
 
+@register("universe_from_json", Q.build([], """
+SELECT DISTINCT replace(symbol, '.', '-') AS symbol FROM v_universe_raw
+WHERE replace(symbol, '.', '-') <> '' AND regexp_matches(replace(replace(symbol, '.', '-'), '-', ''), '^[\\pL\\pN]+$')""",
+    views=["v_universe_raw"]))
+def q_universe_from_json(fx):
+    """S8 from its source form: JSON arrays of symbols."""
+    pages = (fx.v_universe_raw.groupBy(F.pmod(F.xxhash64("symbol"), F.lit(50)).alias("page"))
+             .agg(F.to_json(F.collect_list("symbol")).alias("json")))
+    return M.universe_normalize(M.universe_from_json(pages))
+
+
+@register("market_daily_pages", Q.build([
+    ("vx", "SELECT date, close AS vix FROM v_index_quotes WHERE symbol = 'VIX'"),
+    ("v3", "SELECT date, close AS vix3m FROM v_index_quotes WHERE symbol = 'VIX3M'"),
+    ("ix", "SELECT coalesce(vx.date, v3.date) AS date, vix, vix3m FROM vx FULL OUTER JOIN v3 ON vx.date = v3.date"),
+    ("pg", f"""
+SELECT DATE '1992-01-02' + CAST(page_id AS INTEGER) AS date, {_label_sql('DSPX')} AS dspx,
+  coalesce({_label_sql('Implied Correlation')}, {_label_sql('COR1M')}) AS cor1m FROM v_metric_pages"""),
+], select_sql(["~ix.date", "vix", "vix3m", "pg.dspx", "pg.cor1m"], "ix LEFT JOIN pg ON ix.date = pg.date"),
+    views=["v_index_quotes", "v_metric_pages"]))
+def q_market_daily_pages(fx):
+    """J-MERGE: market rows with the dated values of the statistics pages."""
+    pages = M.page_metrics(fx.v_metric_pages).withColumn("date", F.expr("date_add(DATE '1992-01-02', cast(page_id as int))"))
+    out = M.market_daily(M.market_assemble(fx.v_index_quotes), M.macro_pivot_scale(fx.v_fred_long), pages)
+    return out.select("date", "vix", "vix3m", "dspx", "cor1m")
+
+
 @register("market_daily_backfill", Q.build([
     ("vx", "SELECT date, close AS vix FROM v_index_quotes WHERE symbol = 'VIX'"),
     ("v3", "SELECT date, close AS vix3m FROM v_index_quotes WHERE symbol = 'VIX3M'"),

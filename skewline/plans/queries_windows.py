@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from skewline import sqlcheck as Q
 from skewline.operators import chain as C
-from skewline.operators.features import features_daily, stock_panel
+from skewline.operators.features import features_daily, features_range, stock_panel
 from skewline.operators.market import market_features
 from skewline.operators.rolling import ewm_var, log_returns, realized_vol, rolling_pct_rank, rolling_z, wspec
 from skewline.plans.catalog import CFG, register, select_sql
+from skewline.session import shared_path
+from skewline.sources.tables import read_table, upsert_partitions
 
 W = f"PARTITION BY ticker ORDER BY date"
 
@@ -166,3 +168,18 @@ FEATURES_SQL = Q.build(Q.feature_ctes(CFG), select_sql(FEATURE_OUT, "feat"), vie
 def q_features_daily(fx):
     """The fifteen model features (+ iv_minus_ewma_rv, call_put_volume_ratio, skew_25d) per (date, ticker)."""
     return features_daily(fx.v_options, fx.v_bars, fx.v_market, CFG)
+
+
+RANGE_DAYS = 90
+
+
+@register("features_range", Q.build(Q.feature_ctes(CFG), select_sql(
+    FEATURE_OUT, "feat", f"WHERE date >= (SELECT max(date) FROM v_options) - {RANGE_DAYS}"), views=CHAIN_VIEWS, recursive=True))
+def q_features_range(fx):
+    """The last 90 days as a nightly run makes them: earlier feature rows come from the
+    stored table, only contracts of the range are priced."""
+    start, end = fx.v_options.select(F.date_sub(F.max("date"), RANGE_DAYS), F.max("date")).first()
+    root = shared_path(fx.spark, "nightly")
+    before = features_daily(fx.v_options.where(F.col("date") < F.lit(start)), fx.v_bars, fx.v_market, CFG)
+    upsert_partitions(fx.spark, root, "features_daily", before)
+    return features_range(fx.v_options, fx.v_bars, fx.v_market, read_table(fx.spark, root, "features_daily"), start, end, CFG)

@@ -110,15 +110,6 @@ def _ordered(names) -> list[str]:
     return out
 
 
-def with_views(body: str, *names: str) -> str:
-    """Prefix ``body`` with the CTEs of the named views (and their dependencies)."""
-    names = _ordered(names)
-    if not names:
-        return body
-    ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n].strip()})" for n in names)
-    return f"WITH {ctes}\n{body}"
-
-
 # (application id, sf_dir, view) -> parquet folder holding the materialised view
 _STORED: dict[tuple[str, str, str], str] = {}
 

@@ -23,11 +23,13 @@ def ohlcv_wide(bars: DataFrame, tickers: list[str]) -> DataFrame:
 def ohlcv_wide_to_long(wide: DataFrame, tickers: list[str], fields=OHLCV) -> DataFrame:
     """Wide (date x ticker_field) to long (date, ticker, o, h, l, c, v) with ``stack`` -
     a per-row generator, no shuffle; rows whose fields are all NULL are dropped and
-    tickers absent from the frame are skipped."""
-    present = [t for t in tickers if all(f"{t}_{f}" in wide.columns for f in fields)]
+    tickers absent from the frame are skipped, a field a ticker lacks is NULL."""
+    have = set(wide.columns)
+    present = [t for t in tickers if any(f"{t}_{f}" in have for f in fields)]
     if not present:
         return wide.sparkSession.createDataFrame([], "date date, ticker string, " + ", ".join(f"{f} double" for f in fields))
-    args = ", ".join(f"'{t}', " + ", ".join(f"`{t}_{f}`" for f in fields) for t in present)
+    column = lambda t, f: f"`{t}_{f}`" if f"{t}_{f}" in have else "CAST(NULL AS DOUBLE)"
+    args = ", ".join(f"'{t}', " + ", ".join(column(t, f) for f in fields) for t in present)
     long = wide.selectExpr("date", f"stack({len(present)}, {args}) AS (ticker, {', '.join(fields)})")
     return long.dropna(how="all", subset=list(fields))
 
