@@ -7,12 +7,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skewline.config import STAGE_B_FEATURES, STAGE_C_FEATURES
+from skewline.operators import screen as S
 from skewline.operators import stats as ST
 from skewline.operators import targets as TG
 from skewline.operators.features import features_daily, stock_panel
 from skewline.plans import models as MD
+from skewline.plans import predict as PR
 from skewline.plans.catalog import CFG, register
-from skewline.session import materialize
+from skewline.session import materialize, shared_path
 
 
 def _training(fx):
@@ -89,27 +91,39 @@ def q_stage_c(fx):
         "short_threshold", th.select("short_threshold").scalar())
 
 
+# Fewer trees than in production keep the end-to-end queries short.
+FAST = CFG.with_(gbt_max_iter=20)
+HELD_BACK_DAYS = 120
+
+
+def _stored_model(fx):
+    """Train on all but the last days, save, and return (root, features, stock, last training date)."""
+    stock = materialize(stock_panel(fx.v_bars, CFG), "stock")
+    feats = materialize(features_daily(fx.v_options, fx.v_bars, fx.v_market, CFG, stock=stock), "features")
+    cut = fx.v_bars.select(F.date_sub(F.max("date"), HELD_BACK_DAYS)).first()[0]
+    known = feats.where(F.col("date") <= F.lit(cut))
+    frame = materialize(TG.training_frame(known, fx.v_bars.where(F.col("date") <= F.lit(cut)), CFG), "training")
+    root = shared_path(fx.spark, "artifacts")
+    PR.save(PR.train(frame, FAST), fx.spark, root, cut.strftime("%Y%m%d"))
+    return root, feats, stock, cut
+
+
 @register("model_artifacts")
 def q_model_artifacts(fx):
-    """Fit the Stage B booster, save it with its side tables (k per ticker,
-    thresholds, fold metrics) under a date stamp in the shared folder, and read back the
-    latest stamp's inventory."""
-    from skewline.session import shared_path
-
-    spark = fx.spark
-    tf, roles = _training(fx)
-    data = materialize(MD.design(tf, STAGE_B_FEATURES, "y_magnitude"), "design-b")
-    model = MD.gbt(CFG).fit(data)
-    stamp = tf.select(F.date_format(F.max("date"), "yyyyMMdd")).first()[0]
-    k = TG.calibrate_k(tf, CFG)
-    th = ST.direction_thresholds(fx.v_signals, cfg=CFG)
-    root = shared_path(spark, "artifacts")
-    MD.save_artifacts(spark, root, stamp, {"stage_b": model}, {"k_by_ticker": k, "thresholds": th})
-    latest = MD.latest_stamp(spark, root)
-    base = f"{root}/models/{latest}"
-    from pyspark.ml.classification import GBTClassificationModel
-
-    reloaded = GBTClassificationModel.load(f"{base}/stage_b")
-    kk = spark.read.parquet(f"{base}/k_by_ticker")
-    return kk.select(F.lit(latest).alias("stamp"), "ticker", "k", "n_valid",
-                     F.lit(reloaded.getNumTrees).alias("n_trees"))
+    """The whole fitted model saved under a date stamp and reloaded: k per ticker with
+    the thresholds, kept features and number of fold models."""
+    root, _, _, _ = _stored_model(fx)
+    m = PR.load(fx.spark, root)
+    return m.k_by_ticker.select(F.lit(MD.latest_stamp(fx.spark, root)).alias("stamp"), "ticker", "k", "n_valid",
+                                F.lit(len(m.magnitude.pairs)).alias("n_models"), F.lit(len(m.magnitude.features)).alias("n_features"),
+                                F.lit(m.long_threshold).alias("long_threshold"), F.lit(m.short_threshold).alias("short_threshold"))
+
+
+@register("predict_signals")
+def q_predict_signals(fx):
+    """M10 end to end: the reloaded model scores the Stage A candidates after its last training date."""
+    root, feats, stock, cut = _stored_model(fx)
+    stage = S.stage_a(S.screening_panel(fx.v_bars, CFG), fx.v_bars, fx.v_options, feats, fx.v_market, CFG, events=fx.v_event_calendar)
+    candidates = stage.where(F.col("candidate") & (F.col("date") > F.lit(cut)))
+    rv = stock.select("date", "ticker", "realized_vol_20d")
+    return PR.load(fx.spark, root).signals(materialize(candidates, "candidates"), feats, rv, CFG)
