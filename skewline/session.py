@@ -22,6 +22,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Batches of long texts and vectors stay small in the Python workers.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
