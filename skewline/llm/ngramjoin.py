@@ -149,9 +149,11 @@ def _leaves(reps: DataFrame, scratch: Scratch, runs: int, threshold: float, buck
     out, stored = None, []
     for d in range(1, depth + 1):
         rows = scratch.store(level)
-        counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # Stored before the join, so that both sides are dealt anew and the rows of one hot
+        # node (a large group of near copies) can be split over tasks.
+        counts = scratch.store(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         sized = scratch.store(rows.join(counts, "path"))
-        scratch.drop(rows)
+        scratch.drop(rows, counts)
         stored.append(sized)
         limit = F.lit(bucket if d < depth else 1 << 62)
         leaf = sized.where(F.col("n") <= limit).select("path", "rep", F.ceil(F.col("n") / bucket).cast("int").alias("blocks"))
