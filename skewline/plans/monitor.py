@@ -42,3 +42,49 @@ def pause_warnings(scored: DataFrame, features: DataFrame, as_of_signals: Column
         F.format_string("Calibration error above %.2f in %d deciles", F.lit(cfg.calibration_error_max),
                         F.col("b")).alias("warning"))
     return hit_w.unionByName(ks_w).unionByName(lf_w).unionByName(dc_w)
+
+
+# Sums of probabilities are taken in fixed point: exact, so they don't depend on row order.
+EXACT = "decimal(18,9)"
+
+
+def trailing(daily: DataFrame, days: int = 30) -> DataFrame:
+    """Per-day rows copied to every window end within ``days`` days after them (a fixed
+    fan-out), as column ``end``."""
+    return daily.withColumn("end", F.explode(F.sequence(F.col("date"), F.date_add("date", days)))).drop("date")
+
+
+def calibration_bins(scored: DataFrame) -> DataFrame:
+    """(end, decile, n, sum_p, sum_y) of the 30 days up to each day."""
+    b = F.least(F.floor(F.col("p_magnitude") * F.lit(10.0)), F.lit(9)).cast("int")
+    daily = scored.where(F.col("p_magnitude").isNotNull() & F.col("y_magnitude").isNotNull()).groupBy("date", b.alias("decile")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("p_magnitude").cast(EXACT)).alias("sum_p"),
+        F.sum(F.col("y_magnitude").cast(EXACT)).alias("sum_y"))
+    return trailing(daily).groupBy("end", "decile").agg(*[F.sum(c).alias(c) for c in ("n", "sum_p", "sum_y")])
+
+
+def direction_hits(signals: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(end, signal, n, hits, lift) of LONG and SHORT signals in the 30 days up to each day."""
+    s = signals.where(F.col("signal").isin("LONG", "SHORT")).join(outcomes.select("date", "ticker", "y_direction"), ["date", "ticker"], "left")
+    hit = F.when(F.col("signal") == "LONG", F.col("y_direction") == 1).otherwise(F.col("y_direction") == 0)
+    daily = s.groupBy("date", "signal").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(hit, 1).otherwise(0)).alias("hits"),
+                                            F.sum((F.col("p_magnitude") - F.col("iv_baseline_p")).cast(EXACT)).alias("lift"))
+    return trailing(daily).groupBy("end", "signal").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("lift").alias("lift"))
+
+
+def warning_texts(hits: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """(end, warnings): the sorted texts of the limits broken in the 30 days up to each day."""
+    low = hits.where((F.col("n") >= 10) & (F.col("hits") / F.col("n") < cfg.hit_rate_min)).select(
+        "end", F.format_string("%s hit rate below minimum", "signal").alias("w"))
+    lift = hits.groupBy("end").agg(F.sum("n").alias("n"), (F.sum("lift").cast("double") / F.sum("n")).alias("lift"))
+    weak = lift.where((F.col("n") >= 20) & (F.col("lift") < cfg.marginal_auc_min)).select(
+        "end", F.format_string("Marginal lift below minimum (%.3f < %.2f)", round_half_up(F.col("lift"), 3),
+                               F.lit(cfg.marginal_auc_min)).alias("w"))
+    return low.unionByName(weak).groupBy("end").agg(F.sort_array(F.collect_list("w")).alias("warnings"))
+
+
+def health(signals: DataFrame, scored: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """(date, calibration_error, warnings) for the health block: expected calibration error
+    over ten bins and the active warnings, both of the 30 days up to each day."""
+    error = calibration_bins(scored).groupBy("end").agg((F.sum(F.abs(F.col("sum_p") - F.col("sum_y"))).cast("double") / F.sum("n")).alias("calibration_error"))
+    return error.join(warning_texts(direction_hits(signals, scored), cfg), "end", "full").withColumnRenamed("end", "date")

@@ -92,7 +92,7 @@ def q_stage_c(fx):
 
 
 # Fewer trees than in production keep the end-to-end queries short.
-FAST = CFG.with_(gbt_max_iter=20)
+FAST = CFG.with_(gbt_max_iter=8)
 HELD_BACK_DAYS = 120
 
 

@@ -13,6 +13,7 @@ from skewline.operators import stats as ST
 from skewline.operators import targets as TG
 from skewline.operators.features import features_daily, stock_panel
 from skewline.operators.market import market_features
+from skewline.plans import monitor as MO
 from skewline.plans import sinks as SK
 from skewline.plans.catalog import CFG, register, select_sql
 from skewline.plans.queries_stats import THRESH_SQL
@@ -116,7 +117,30 @@ SIG_STRUCT = ("{{'ticker': ticker, 'activity_score': {a}, 'p_magnitude': {pm}, '
     pu=_r("p_up", 3), lt=_r("long_threshold", 3), st=_r("short_threshold", 3), tp=_r("threshold_pct", 1),
     top="[" + ", ".join(f"'{t}'" for t in TOP) + "]")
 
-WATCH_SQL = Q.build(score_ctes(CFG) + [_funnel_sql()] + _rolling_sql() + [
+def _health_ctes(ends: str) -> list[tuple[str, str]]:
+    """health_hb, health_hd: bins and hits of the 30 days up to each date of ``ends``; health_hl: the warnings."""
+    return [
+        ("so", "SELECT s.*, v.y_direction FROM sig s LEFT JOIN v_signals v USING (date, ticker)"),
+        ("health_hb", f"""
+SELECT f.date, CAST(least(floor(s.p_magnitude * 10e0), 9) AS INTEGER) AS decile, count(*) AS n,
+  sum(CAST(s.p_magnitude AS DECIMAL(18,9))) AS sp, sum(CAST(s.y_magnitude AS DECIMAL(18,9))) AS sy
+FROM {ends} f JOIN v_signals s ON s.date BETWEEN f.date - 30 AND f.date
+WHERE s.p_magnitude IS NOT NULL AND s.y_magnitude IS NOT NULL GROUP BY 1, 2"""),
+        ("health_he", "SELECT date, CAST(sum(abs(sp - sy)) AS DOUBLE) / sum(n) AS err FROM health_hb GROUP BY date"),
+        ("health_hd", f"""
+SELECT f.date, s.signal, count(*) AS n, sum(CAST(s.p_magnitude - s.iv_baseline_p AS DECIMAL(18,9))) AS l,
+  sum(CASE WHEN (s.signal = 'LONG' AND s.y_direction = 1) OR (s.signal = 'SHORT' AND s.y_direction = 0) THEN 1 ELSE 0 END) AS h
+FROM {ends} f JOIN so s ON s.date BETWEEN f.date - 30 AND f.date WHERE s.signal IN ('LONG', 'SHORT') GROUP BY 1, 2"""),
+        ("health_hw", f"""
+SELECT date, printf('%s hit rate below minimum', signal) AS w FROM health_hd WHERE n >= 10 AND h / n < {Q.lit(CFG.hit_rate_min)}
+UNION ALL
+SELECT date, printf('Marginal lift below minimum (%.3f < %.2f)', {_r('CAST(sum(l) AS DOUBLE) / sum(n)', 3)}, {Q.lit(CFG.marginal_auc_min)})
+FROM health_hd GROUP BY date HAVING sum(n) >= 20 AND CAST(sum(l) AS DOUBLE) / sum(n) < {Q.lit(CFG.marginal_auc_min)}"""),
+        ("health_hl", "SELECT date, list(w ORDER BY w) AS warnings FROM health_hw GROUP BY date"),
+    ]
+
+
+WATCH_SQL = Q.build(score_ctes(CFG) + [_funnel_sql()] + _rolling_sql() + _health_ctes("fun") + [
     ("sl", f"SELECT date, list({SIG_STRUCT} ORDER BY rank) AS signals FROM sig WHERE signal <> 'NO_DIRECTION' GROUP BY date"),
 ], f"""
 SELECT f.date, CAST(len(coalesce(sl.signals, [])) AS BIGINT) AS n_signals, to_json({{
@@ -129,11 +153,14 @@ SELECT f.date, CAST(len(coalesce(sl.signals, [])) AS BIGINT) AS n_signals, to_js
   'screening': {{'universe_size': f.universe_size, 'after_exclusions': f.after_exclusions,
                 'candidates_screened': f.candidates_screened, 'magnitude_passes': f.magnitude_passes}},
   'signals': coalesce(sl.signals, []),
-  'health': {{'iv_baseline_auc_lift_30d': {_r('l.auc_lift', 3)}, 'stage_b_calibration_error_30d': NULL::DOUBLE,
-             'last_refit': NULL::VARCHAR, 'next_refit': NULL::VARCHAR, 'pause_warnings': []::VARCHAR[]}}
+  'health': {{'iv_baseline_auc_lift_30d': {_r('l.auc_lift', 3)}, 'stage_b_calibration_error_30d': {_r('health_he.err', 3)},
+             'last_refit': strftime(CAST(date_trunc('quarter', f.date) AS DATE) - 1, '%Y-%m-%d'),
+             'next_refit': strftime(last_day(CAST(date_trunc('quarter', f.date) AS DATE) - 1 + INTERVAL {CFG.refit_frequency_months} MONTH), '%Y-%m-%d'),
+             'pause_warnings': coalesce(health_hl.warnings, []::VARCHAR[])}}
 }}) AS payload
 FROM fun f LEFT JOIN v_market m ON f.date = m.date LEFT JOIN mf ON f.date = mf.date
-LEFT JOIN sl ON f.date = sl.date LEFT JOIN lift l ON f.date = l.date""", views=VIEWS, recursive=True)
+LEFT JOIN sl ON f.date = sl.date LEFT JOIN lift l ON f.date = l.date LEFT JOIN health_he ON f.date = health_he.date
+LEFT JOIN health_hl ON f.date = health_hl.date""", views=VIEWS, recursive=True)
 
 
 @register("watchlist_json", WATCH_SQL)
@@ -146,7 +173,7 @@ def q_watchlist_json(fx):
                                          "iv_baseline": ("iv_baseline_p", "y_magnitude")}, 30)
     lift = lift.groupBy("date").agg((F.max(F.when(F.col("model") == "stage_b", F.col("auc")))
                                      - F.max(F.when(F.col("model") == "iv_baseline", F.col("auc")))).alias("auc_lift"))
-    return SK.watchlist(sig, fun, fx.v_market, mf, lift, _gen())
+    return SK.watchlist(sig, fun, fx.v_market, mf, lift, _gen(), MO.health(sig, fx.v_signals, CFG), CFG)
 
 
 def _md_block_sql():
@@ -193,32 +220,27 @@ def q_watchlist_markdown(fx):
 
 
 MONTH_SQL = Q.build(score_ctes(CFG) + [
-    ("so", "SELECT s.*, v.y_direction FROM sig s LEFT JOIN v_signals v USING (date, ticker)"),
-    ("cnt", "SELECT strftime(date, '%Y-%m') AS ym, count(*) AS total_signals FROM so GROUP BY 1"),
-    ("me", "SELECT DISTINCT last_day(date) AS m_end FROM so UNION SELECT DISTINCT last_day(date + INTERVAL 1 MONTH) FROM so"),
-    ("win", """
-SELECT e.m_end, s.* FROM me e JOIN so s ON s.date BETWEEN CAST(e.m_end AS DATE) - 30 AND CAST(e.m_end AS DATE)
-WHERE s.signal IN ('LONG', 'SHORT')"""),
-    ("w", f"""
-SELECT m_end, printf('%s hit rate below minimum', signal) AS w FROM win GROUP BY m_end, signal
-HAVING count(*) >= 10 AND avg(CASE WHEN (signal = 'LONG' AND y_direction = 1) OR (signal = 'SHORT' AND y_direction = 0)
-  THEN 1e0 ELSE 0e0 END) < {Q.lit(CFG.hit_rate_min)}
-UNION ALL
-SELECT m_end, printf('Marginal lift below minimum (%.3f < %.2f)', {_r('avg(p_magnitude - iv_baseline_p)', 3)},
-  {Q.lit(CFG.marginal_auc_min)}) FROM win GROUP BY m_end
-HAVING count(*) >= 20 AND avg(p_magnitude - iv_baseline_p) < {Q.lit(CFG.marginal_auc_min)}"""),
-    ("wl", "SELECT strftime(m_end, '%Y-%m') AS ym, list(w ORDER BY w) AS warnings FROM w GROUP BY 1"),
+    ("cnt", "SELECT strftime(date, '%Y-%m') AS ym, count(*) AS total_signals, CAST(last_day(max(date)) AS DATE) AS date FROM sig GROUP BY 1"),
+] + _health_ctes("cnt") + [
+    ("tb", f"""SELECT date, string_agg('| ' || decile || ' | ' || n || ' | ' || printf('%.3f', {_r('CAST(sp AS DOUBLE) / n', 3)}) || ' | ' ||
+  printf('%.3f', {_r('CAST(sy AS DOUBLE) / n', 3)}) || ' |', chr(10) ORDER BY decile) AS t FROM health_hb GROUP BY date"""),
+    ("th2", f"""SELECT date, string_agg('| ' || signal || ' | ' || n || ' | ' || printf('%.3f', {_r('h / n', 3)}) || ' |', chr(10)
+  ORDER BY signal) AS t FROM health_hd GROUP BY date"""),
 ], """
 SELECT c.ym AS year_month, CAST(c.total_signals AS BIGINT) AS total_signals,
-  CAST(len(coalesce(wl.warnings, [])) AS BIGINT) AS n_warnings,
+  CAST(len(coalesce(health_hl.warnings, [])) AS BIGINT) AS n_warnings,
   '# Monitoring Report — ' || c.ym || chr(10) || chr(10) || 'Generated: ' || c.ym || '-01T06:00:00' || chr(10) || chr(10)
   || '## Summary' || chr(10) || chr(10) || printf('- Total signals: %d', c.total_signals) || chr(10)
-  || printf('- Pause warnings: %d', len(coalesce(wl.warnings, []))) || chr(10) || chr(10)
-  || CASE WHEN len(coalesce(wl.warnings, [])) > 0 THEN '## Active Warnings' || chr(10)
-       || array_to_string(list_transform(wl.warnings, lambda x: '- ⚠️ ' || x), chr(10)) || chr(10) || chr(10) ELSE '' END
-  || '## Stage B Calibration' || chr(10) || 'Decile calibration table — run after sufficient signal history.' || chr(10)
-  || chr(10) || '## Stage C Hit Rates' || chr(10) || 'Bootstrap 80% CI by signal type.' || chr(10) AS report
-FROM cnt c LEFT JOIN wl USING (ym)""", views=VIEWS, recursive=True)
+  || printf('- Pause warnings: %d', len(coalesce(health_hl.warnings, []))) || chr(10) || chr(10)
+  || CASE WHEN len(coalesce(health_hl.warnings, [])) > 0 THEN '## Active Warnings' || chr(10)
+       || array_to_string(list_transform(health_hl.warnings, lambda x: '- ⚠️ ' || x), chr(10)) || chr(10) || chr(10) ELSE '' END
+  || '## Stage B Calibration' || chr(10)
+  || coalesce('| Bin | Rows | Predicted | Realized |' || chr(10) || '|---|---|---|---|' || chr(10) || tb.t, 'No outcomes in the last 30 days.')
+  || chr(10) || chr(10) || '## Stage C Hit Rates' || chr(10)
+  || coalesce('| Signal | Rows | Hit rate |' || chr(10) || '|---|---|---|' || chr(10) || th2.t, 'No outcomes in the last 30 days.')
+  || chr(10) AS report
+FROM cnt c LEFT JOIN health_hl ON c.date = health_hl.date LEFT JOIN tb ON c.date = tb.date LEFT JOIN th2 ON c.date = th2.date""",
+    views=VIEWS, recursive=True)
 
 
 @register("monthly_report", MONTH_SQL)

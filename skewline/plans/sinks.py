@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skewline.config import DEFAULT, Settings
 from skewline.functions.numeric import round_half_up
 from skewline.operators.stats import market_regime
+from skewline.plans import monitor as MO
 
 def fmt(c: Column, digits: int) -> Column:
     """Fixed-point text: rounded half up first, so no tie is left to the formatter."""
@@ -33,10 +34,13 @@ def signal_struct(sig: DataFrame) -> DataFrame:
 
 
 def watchlist(signals: DataFrame, funnel: DataFrame, market: DataFrame, market_feats: DataFrame,
-              auc_lift: DataFrame | None = None, generated_at: Column | None = None) -> DataFrame:
+              auc_lift: DataFrame | None = None, generated_at: Column | None = None, health: DataFrame | None = None,
+              cfg: Settings = DEFAULT) -> DataFrame:
     """(date, n_signals, payload) - the nested watchlist document of every screened date.
 
-    ``signals`` are scored candidates with their ``rank``; NO_DIRECTION is left out."""
+    ``signals`` are scored candidates with their ``rank``; NO_DIRECTION is left out.  ``health``
+    has calibration_error and warnings per date (see ``monitor.health``); models are refitted
+    at the ends of quarters."""
     per = signal_struct(signals.where(F.col("signal") != "NO_DIRECTION")).groupBy("date").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "s"))), lambda x: x["s"]).alias("signals"))
     df = funnel.join(market.select("date", "vix", "vix3m", "dspx"), "date", "left").join(
@@ -45,6 +49,12 @@ def watchlist(signals: DataFrame, funnel: DataFrame, market: DataFrame, market_f
         df = df.join(auc_lift.select("date", "auc_lift"), "date", "left")
     else:
         df = df.withColumn("auc_lift", F.lit(None).cast("double"))
+    if health is not None:
+        df = df.join(health.select("date", "calibration_error", "warnings"), "date", "left")
+    else:
+        df = df.withColumns({"calibration_error": F.lit(None).cast("double"), "warnings": F.lit(None).cast("array<string>")})
+    last_refit = F.date_sub(F.trunc("date", "quarter"), 1)
+    next_refit = F.last_day(F.add_months(last_refit, cfg.refit_frequency_months))
     vix = F.when(_truthy(F.col("vix")), F.col("vix")).otherwise(F.lit(20.0))
     d = F.date_format("date", "yyyy-MM-dd")
     gen = generated_at if generated_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
@@ -59,9 +69,9 @@ def watchlist(signals: DataFrame, funnel: DataFrame, market: DataFrame, market_f
         F.struct("universe_size", "after_exclusions", "candidates_screened", "magnitude_passes").alias("screening"),
         sigs.alias("signals"),
         F.struct(round_half_up(F.col("auc_lift"), 3).alias("iv_baseline_auc_lift_30d"),
-                 F.lit(None).cast("double").alias("stage_b_calibration_error_30d"),
-                 F.lit(None).cast("string").alias("last_refit"), F.lit(None).cast("string").alias("next_refit"),
-                 F.array().cast("array<string>").alias("pause_warnings")).alias("health"))
+                 round_half_up(F.col("calibration_error"), 3).alias("stage_b_calibration_error_30d"),
+                 F.date_format(last_refit, "yyyy-MM-dd").alias("last_refit"), F.date_format(next_refit, "yyyy-MM-dd").alias("next_refit"),
+                 F.coalesce("warnings", F.array().cast("array<string>")).alias("pause_warnings")).alias("health"))
     return df.select("date", F.size(sigs).cast("bigint").alias("n_signals"),
                      F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
 
@@ -107,38 +117,37 @@ def watchlist_markdown(signals: DataFrame, funnel: DataFrame, market: DataFrame)
 
 def monthly_report(signals: DataFrame, outcomes: DataFrame, cfg: Settings = DEFAULT,
                    generated_at: Column | None = None) -> DataFrame:
-    """S15 per month: signal count and the warnings active at month end (hit rate of
-    LONG/SHORT and marginal lift over the 30 days ending that day), as markdown.
-
-    Each signal row reaches at most two month ends (its own and the next one), so the
-    fan-out is fixed."""
-    s = signals.join(outcomes.select("date", "ticker", "y_direction"), ["date", "ticker"], "left")
-    counts = s.groupBy(F.date_format("date", "yyyy-MM").alias("ym")).agg(F.count(F.lit(1)).alias("total_signals"))
-    ends = s.select("*", F.explode(F.array(F.last_day("date"), F.last_day(F.add_months("date", 1)))).alias("m_end"))
-    ends = ends.where((F.col("date") >= F.date_sub("m_end", 30)) & F.col("signal").isin("LONG", "SHORT"))
-    is_long = F.col("signal") == "LONG"
-    hit = F.when(is_long, F.col("y_direction") == 1).otherwise(F.col("y_direction") == 0).cast("double")
-    hr = ends.groupBy("m_end", "signal").agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("hit"))
-    hit_w = hr.where((F.col("n") >= 10) & (F.col("hit") < cfg.hit_rate_min)).select(
-        "m_end", F.format_string("%s hit rate below minimum", "signal").alias("w"))
-    lf = ends.groupBy("m_end").agg(F.count(F.lit(1)).alias("n"),
-                                   F.avg(F.col("p_magnitude") - F.col("iv_baseline_p")).alias("lift"))
-    lift_w = lf.where((F.col("n") >= 20) & (F.col("lift") < cfg.marginal_auc_min)).select(
-        "m_end", F.format_string("Marginal lift below minimum (%.3f < %.2f)", round_half_up(F.col("lift"), 3),
-                                 F.lit(cfg.marginal_auc_min)).alias("w"))
-    warns = hit_w.unionByName(lift_w).groupBy(F.date_format("m_end", "yyyy-MM").alias("ym")).agg(
-        F.sort_array(F.collect_list("w")).alias("warnings"))
-    df = counts.join(warns, "ym", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
+    """S15 per month: signal count and, for the 30 days up to the month's end, the warnings, the
+    calibration table (ten probability bins) and the hit rates, as markdown.
+
+    ``outcomes`` holds p_magnitude, y_magnitude and y_direction per (date, ticker)."""
+    counts = signals.groupBy(F.date_format("date", "yyyy-MM").alias("ym")).agg(
+        F.count(F.lit(1)).alias("total_signals"), F.last_day(F.max("date")).alias("end"))
+    hits, bins = MO.direction_hits(signals, outcomes), MO.calibration_bins(outcomes)
+    bin_row = F.concat(F.lit("| "), F.col("decile").cast("string"), F.lit(" | "), F.col("n").cast("string"), F.lit(" | "),
+                       fmt(F.col("sum_p").cast("double") / F.col("n"), 3), F.lit(" | "), fmt(F.col("sum_y").cast("double") / F.col("n"), 3), F.lit(" |"))
+    hit_row = F.concat(F.lit("| "), F.col("signal"), F.lit(" | "), F.col("n").cast("string"), F.lit(" | "),
+                       fmt(F.col("hits") / F.col("n"), 3), F.lit(" |"))
+
+    def table(rows: DataFrame, order: str, line: Column, out: str) -> DataFrame:
+        listed = rows.groupBy("end").agg(F.sort_array(F.collect_list(F.struct(order, line.alias("l")))).alias("r"))  # <= 10 rows
+        return listed.select("end", F.array_join(F.transform("r", lambda x: x["l"]), "\n").alias(out))
+
+    df = (counts.join(MO.warning_texts(hits, cfg), "end", "left").join(table(bins, "decile", bin_row, "bins"), "end", "left")
+          .join(table(hits, "signal", hit_row, "hits"), "end", "left")
+          .withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>"))))
     gen = generated_at if generated_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
     active = F.when(F.size("warnings") > 0, F.concat(
         F.lit("## Active Warnings\n"), F.array_join(F.transform("warnings", lambda w: F.concat(F.lit("- ⚠️ "), w)), "\n"),
         F.lit("\n\n"))).otherwise(F.lit(""))
+    none = F.lit("No outcomes in the last 30 days.")
     text = F.concat(
         F.lit("# Monitoring Report — "), F.col("ym"), F.lit("\n\nGenerated: "), gen, F.lit("\n\n## Summary\n\n"),
-        F.format_string("- Total signals: %d\n- Pause warnings: %d\n\n", F.col("total_signals"), F.size("warnings")),
-        active,
-        F.lit("## Stage B Calibration\nDecile calibration table — run after sufficient signal history.\n\n"
-              "## Stage C Hit Rates\nBootstrap 80% CI by signal type.\n"))
+        F.format_string("- Total signals: %d\n- Pause warnings: %d\n\n", F.col("total_signals"), F.size("warnings")), active,
+        F.lit("## Stage B Calibration\n"),
+        F.coalesce(F.concat(F.lit("| Bin | Rows | Predicted | Realized |\n|---|---|---|---|\n"), F.col("bins")), none),
+        F.lit("\n\n## Stage C Hit Rates\n"),
+        F.coalesce(F.concat(F.lit("| Signal | Rows | Hit rate |\n|---|---|---|\n"), F.col("hits")), none), F.lit("\n"))
     return df.select(F.col("ym").alias("year_month"), F.col("total_signals").cast("bigint").alias("total_signals"),
                      F.size("warnings").cast("bigint").alias("n_warnings"), text.alias("report"))
 
