@@ -67,8 +67,9 @@ def ewm_var(df: DataFrame, x: str, out: str, lam: float, part="ticker", order="d
 
     Each S is a prefix sum anchored at the end of a block of rows, whose length follows
     from ``lam`` so that no weight leaves the range of a double, plus the totals of all
-    earlier blocks, decayed block by block (one number a block and ticker).  Values are
-    centred on their ticker's mean.  All windows are partitioned by ``part``: one shuffle.
+    earlier blocks, decayed block by block (one number a block and ticker).  Only rows up to
+    the current one enter.  Meant for values around zero, as returns are: the variance is a
+    difference of moments.  All windows are partitioned by ``part``: one shuffle.
     """
     if not 0 < lam < 1:
         raise ValueError("lam must lie between 0 and 1")
@@ -76,8 +77,7 @@ def ewm_var(df: DataFrame, x: str, out: str, lam: float, part="ticker", order="d
     w = wspec(part, order)
     parts = [part] if isinstance(part, str) else list(part)
     keep = df.columns
-    value = F.when(~F.isnan(x), F.col(x))
-    df = df.withColumns({"_rn": F.row_number().over(w), "_x": value - F.avg(value).over(Window.partitionBy(*parts))})
+    df = df.withColumns({"_rn": F.row_number().over(w), "_x": F.when(~F.isnan(x), F.col(x))})
     df = df.withColumn("_blk", F.floor((F.col("_rn") - 1) / F.lit(B)))
     age_to_anchor = (F.col("_blk") + 1) * B - F.col("_rn")  # in [0, B-1]
     m, xv = F.col("_x").isNotNull(), F.col("_x")
