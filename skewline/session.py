@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -48,12 +49,34 @@ def build_session(master: str | None = None, app: str = "skewline", shuffle_part
 
 
 def apply_engine_conf(spark: SparkSession) -> None:
-    """Runtime SQL settings (safe on an existing session: only SQL confs)."""
+    """Runtime SQL settings (safe on an existing session: only SQL confs), and the package for the workers."""
     for k, v in ENGINE_CONF.items():
         try:
             spark.conf.set(k, v)
         except Exception:  # pragma: no cover - static conf on a shared session
             pass
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers through Spark, once per application: they can
+    import it wherever they run, whatever their PYTHONPATH."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="skewline-package-"), "skewline_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
