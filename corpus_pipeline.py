@@ -7,6 +7,8 @@ and read again as the next stage's ``docs``; all but the last keep the columns o
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from skewline.llm import mixing, ngramjoin, packing, pii, quality
@@ -14,26 +16,41 @@ from skewline.llm.common import Scratch, table
 from skewline.session import apply_engine_conf
 
 
+def stage(fn):
+    """A stage sets up the session it is given, so that it can also run alone."""
+    @functools.wraps(fn)
+    def run_alone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        apply_engine_conf(spark)
+        return fn(spark, docs, sf_dir)
+
+    return run_alone
+
+
+@stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of the n-gram Jaccard join."""
     return ngramjoin.keep_one(docs)
 
 
+@stage
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind."""
     return pii.mask(docs)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mixed_documents(docs)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences."""
     return packing.pack(docs)
@@ -48,11 +65,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    apply_engine_conf(spark)
     scratch = Scratch(spark, "pipeline")
     docs, before = table(spark, sf_dir, "documents"), None
-    for _, stage in STAGES[:-1]:
-        docs = scratch.store(stage(spark, docs, sf_dir))
+    for _, apply in STAGES[:-1]:
+        docs = scratch.store(apply(spark, docs, sf_dir))
         if before is not None:
             scratch.drop(before)
         before = docs
