@@ -10,15 +10,13 @@ Every value for date d is computed from rows dated <= d only.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewline.config import DEFAULT, Settings
 from skewline.operators.chain import chain_features, chain_summary, price_contracts, truthy
 from skewline.operators.market import market_features
-from skewline.operators.rolling import ewm_var, log_returns, realized_vol, rolling_pct_rank, wspec, with_rolling_z
+from skewline.operators.rolling import ewm_var, realized_vol, rolling_pct_rank, wspec, with_rolling_z
 
 FEATURE_COLUMNS = (
     "iv_atm_30dte",

@@ -8,7 +8,7 @@ from skewline import sqlcheck as Q
 from skewline.operators import chain as C
 from skewline.operators.features import features_daily, features_range, stock_panel
 from skewline.operators.market import market_features
-from skewline.operators.rolling import ewm_var, log_returns, realized_vol, rolling_pct_rank, rolling_z, wspec
+from skewline.operators.rolling import ewm_var, log_returns, realized_vol, rolling_pct_rank, wspec
 from skewline.plans.catalog import CFG, register, select_sql
 from skewline.session import shared_path
 from skewline.sources.tables import read_table, upsert_partitions

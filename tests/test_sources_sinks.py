@@ -64,3 +64,28 @@ def test_watchlist_json_and_markdown_name_the_ticker(spark):
     assert payload["signals"][0]["ticker"] == "NVDA" and payload["market"]["regime"] == "normal"
     md = SK.watchlist_markdown(sig, fun, mkt).collect()[0]["markdown"]
     assert "NVDA" in md and "Caveat: earnings" in md
+
+
+def test_exclusion_order_with_dividends(spark):
+    from skewline.config import DEFAULT
+    from skewline.operators import screen as S
+
+    day = "2024-01-10"
+    panel = spark.createDataFrame([(day, t) for t in "ABC"], "d string, ticker string").select(F.to_date("d").alias("date"), "ticker")
+    bars = spark.createDataFrame([(f"2023-{1 + i // 28:02d}-{1 + i % 28:02d}", t, 1.0) for i in range(300) for t in "ABC" if i < 300],
+                                 "d string, ticker string, close double").select(F.to_date("d").alias("date"), "ticker", "close")
+    bars = bars.unionByName(panel.withColumn("close", F.lit(1.0)))
+    options = spark.createDataFrame([(day, t, 900.0) for t in "ABC"], "d string, underlying string, volume double").select(
+        F.to_date("d").alias("date"), "underlying", "volume")
+    near = lambda t, d: spark.createDataFrame([(t, d)], "ticker string, d string").select("ticker", F.to_date("d").alias("event_date"))
+    events, dividends = near("A", "2024-01-13"), near("A", "2024-01-10").union(near("B", "2024-01-06"))
+    got = {r.ticker: r.reason for r in S.exclusions(panel, bars, options, DEFAULT, events, dividends).collect()}
+    assert got == {"A": "earnings_window", "B": "ex_dividend_window", "C": None}
+
+
+def test_wide_bars_with_a_missing_field(spark):
+    from skewline.sources import market_data as M
+
+    wide = spark.createDataFrame([("2024-01-02", 1.0, 2.0, None)], "date string, A_open double, A_close double, B_close double")
+    got = {r.ticker: (r.open, r.close, r.volume) for r in M.ohlcv_wide_to_long(wide, ["A", "B", "C"]).collect()}
+    assert got == {"A": (1.0, 2.0, None)}
