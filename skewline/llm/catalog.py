@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skewline.llm import imatch, langid, mixing, neardup_embeddings, ngramjoin, packing, pii, pseudolm, quality, urls
 from skewline.llm.common import table
