@@ -4,8 +4,15 @@ A small network predicts every word from the two words on either side: the four
 vectors, one hidden tanh layer, and a two-level softmax (a group of words, then the word in
 the group).  A document's score is the sum of log p(word | both sides) over all its words.
 
-The vocabulary is the ``VOCABULARY`` most frequent words of the whole corpus, counted by Spark;
-other words fall into ``OTHER`` hash classes.  The network starts from a fit to a bounded sample
+The vocabulary grows with the corpus, by word counts over all documents (by Spark).  With N words
+of text, every word met sqrt(N) / ``NET_ROOT`` times (and the ``LEAST_VOCABULARY`` most frequent ones
+at least) has an output of its own, in about sqrt(V) groups of sqrt(V) words.  Words met
+sqrt(N) / ``COUNT_ROOT`` times (twice at least) fall into ``OTHER`` hash classes and are charged
+log p(class | sides) + log p(word | class), the latter from their counts.  All others fall into one
+more class and are charged log p(class | sides) + log p(spelling), from pairs of neighbouring
+bytes in such words: so every string has a probability of its own, and they sum to at most 1.
+
+The network starts from a fit to a bounded sample
 (about ``WARM_DOCS`` documents); then every task trains it over all its documents, and the tasks'
 weights are averaged, weighted by their words, parameter by parameter in a Spark aggregate:
 what is gathered follows the input, while the driver sees one row a parameter.
@@ -19,6 +26,7 @@ table gives no rows; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,74 +37,100 @@ from pyspark.sql import functions as F
 from skewline.llm.arrowtext import byte_slices, mix, text_bytes, word_hashes, words
 from skewline.llm.common import Scratch
 
-GROUPS, GROUP_SIZE = 32, 32
-CLASSES = GROUPS * GROUP_SIZE
+LEAST_VOCABULARY = 960
+NET_ROOT, COUNT_ROOT = 3, 500
 OTHER = 64
-VOCABULARY = CLASSES - OTHER
 WIDTH = 16
 SIDES = (-2, -1, 1, 2)
 BATCH = 8192
 WARM_DOCS, WARM_CHARS, WARM_EPOCHS = 400, 20_000, 4
 WARM_RATE, RATE = 0.1, 0.05
-# Words and hash classes, and one more input for places beyond a text's ends.
-OUTSIDE = CLASSES
-
 _U = np.uint64
 _SEPARATORS = np.ones(256, bool)
 _SEPARATORS[48:58] = _SEPARATORS[65:91] = _SEPARATORS[97:123] = _SEPARATORS[128:] = False
 
-SHAPES = {"embed": (CLASSES + 1, WIDTH), "hidden": (len(SIDES) * WIDTH, WIDTH), "hidden_bias": (WIDTH,),
-          "group": (WIDTH, GROUPS), "group_bias": (GROUPS,), "word": (GROUPS, WIDTH, GROUP_SIZE), "word_bias": (GROUPS, GROUP_SIZE)}
+PARTS = ("embed", "hidden", "hidden_bias", "group", "group_bias", "word", "word_bias")
+
+
+class Words(NamedTuple):
+    """What is known of the corpus' words."""
+
+    known: np.ndarray  # sorted hashes of the words met often enough
+    ids: np.ndarray  # their classes
+    inside: np.ndarray  # their log p(word | class)
+    spelling: np.ndarray  # log p(byte | byte before) at 256 * before + byte; 0 is a word's border
+    share: np.ndarray  # share of every class in the corpus; unused ones fill up the last group
+    spelled: int  # the class of all other words
+    size: int  # classes a group
+
 
+def shapes(n: int, size: int) -> dict[str, tuple[int, ...]]:
+    """Shapes of the parameters for ``n`` classes; one more input is for places beyond a text's ends."""
+    groups = n // size
+    return dict(zip(PARTS, ((n + 1, WIDTH), (len(SIDES) * WIDTH, WIDTH), (WIDTH,), (WIDTH, groups), (groups,), (groups, WIDTH, size), (groups, size))))
 
-def new_network(share: np.ndarray | None = None, seed: int = 11) -> dict[str, np.ndarray]:
+
+def new_network(share: np.ndarray, size: int, seed: int = 11) -> dict[str, np.ndarray]:
     """Small random weights; the biases give every class its ``share`` of the corpus."""
     rng = np.random.default_rng(seed)
     scale = {"embed": 0.3, "hidden": 0.2, "group": 0.05, "word": 0.05}
-    net = {k: (rng.normal(size=s) * scale.get(k, 0)).astype(np.float32) for k, s in SHAPES.items()}
-    if share is not None:
-        share = share.reshape(GROUPS, GROUP_SIZE)
-        net["group_bias"] = np.log(share.sum(1)).astype(np.float32)
-        net["word_bias"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
+    net = {k: (rng.normal(size=s) * scale.get(k, 0)).astype(np.float32) for k, s in shapes(len(share), size).items()}
+    share = share.reshape(-1, size)
+    net["group_bias"] = np.log(share.sum(1)).astype(np.float32)
+    net["word_bias"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
     return net
 
 
 def flat(net: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in SHAPES])
+    return np.concatenate([net[k].ravel() for k in PARTS])
 
 
-def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
+def shaped(values: np.ndarray, n: int, size: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in SHAPES.items():
-        n = int(np.prod(s))
-        out[k] = values[at:at + n].astype(np.float32).reshape(s)
-        at += n
+    for k, s in shapes(n, size).items():
+        count = int(np.prod(s))
+        out[k] = values[at:at + count].astype(np.float32).reshape(s)
+        at += count
     return out
 
 
-def classes(col: pa.Array, known: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of every word of a string column, and the texts' borders.  ``known``: sorted
-    hashes of the vocabulary, ``ids``: their classes."""
+def byte_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """256 * (byte before) + byte at every byte (0 before a word), and at every word's end."""
+    data = data.astype(np.int32)
+    pair = data.copy()
+    pair[1:] += data[:-1] << 8
+    pair[starts] = data[starts]
+    return pair, data[ends - 1] << 8
+
+
+def classes(col: pa.Array, vocab: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of every word of a string column, its log p(word | class), and the texts' borders."""
     if col.null_count:
         col = col.fill_null("")
     data, offs = text_bytes(pc.utf8_lower(col))
     starts, ends, first = words(data, offs, _SEPARATORS)
     h = word_hashes(data, starts, ends)
-    out = VOCABULARY + (mix(h) % _U(OTHER)).astype(np.int64)
-    if len(known) and len(h):
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        hit = known[at] == h
-        out[hit] = ids[at[hit]]
-    return out, first
-
-
-def contexts(token: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Classes beside every word, ``OUTSIDE`` beyond its text."""
+    out, inside = np.full(len(h), vocab.spelled), np.zeros(len(h))
+    hit = np.zeros(len(h), bool)
+    if len(vocab.known) and len(h):
+        at = np.minimum(np.searchsorted(vocab.known, h), len(vocab.known) - 1)
+        hit = vocab.known[at] == h
+        out[hit], inside[hit] = vocab.ids[at[hit]], vocab.inside[at[hit]]
+    rest = ~hit
+    if rest.any():
+        pair, close = byte_pairs(data, starts, ends)
+        total = np.concatenate([[0.0], np.cumsum(vocab.spelling[pair], dtype=np.float64)])
+        inside[rest] = (total[ends[rest]] - total[starts[rest]]) + vocab.spelling[close[rest]]
+    return out, inside, first
+
+
+def contexts(token: np.ndarray, first: np.ndarray, outside: int) -> np.ndarray:
+    """Classes beside every word, ``outside`` beyond its text."""
     n = len(token)
     lo, hi = np.repeat(first[:-1], np.diff(first)), np.repeat(first[1:], np.diff(first))
     at = np.arange(n)[:, None] + np.array(SIDES)
     inside = (at >= lo[:, None]) & (at < hi[:, None])
-    return np.where(inside, token[np.clip(at, 0, max(n - 1, 0))], OUTSIDE) if n else np.zeros((0, len(SIDES)), np.int64)
+    return np.where(inside, token[np.clip(at, 0, max(n - 1, 0))], outside) if n else np.zeros((0, len(SIDES)), np.int64)
 
 
 def _softmax(x: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +145,13 @@ def _softmax(x: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def log_probabilities(net: dict, token: np.ndarray, beside: np.ndarray, gradient: dict | None = None) -> np.ndarray:
-    """log p(word | sides) of each word; with ``gradient`` also its summed gradient."""
+    """log p(class | sides) of each word; with ``gradient`` also its summed gradient."""
     # Words of one group lie together, so each group is one matrix product.
     order = np.argsort(token, kind="stable")
     token, beside = token[order], beside[order]
-    group, inner = token // GROUP_SIZE, token % GROUP_SIZE
-    border = np.searchsorted(group, np.arange(GROUPS + 1))
+    groups, size = net["word_bias"].shape
+    group, inner = token // size, token % size
+    border = np.searchsorted(group, np.arange(groups + 1))
     x = net["embed"][beside].reshape(len(token), -1)
     h = np.tanh(x @ net["hidden"] + net["hidden_bias"])
     rows = np.arange(len(token))
@@ -126,8 +161,8 @@ def log_probabilities(net: dict, token: np.ndarray, beside: np.ndarray, gradient
         miss[rows, group] += 1
         gradient["group"], gradient["group_bias"] = h.T @ miss, miss.sum(0)
         back = miss @ net["group"].T
-        gradient["word"], gradient["word_bias"] = np.zeros(SHAPES["word"], np.float32), np.zeros(SHAPES["word_bias"], np.float32)
-    for g in range(GROUPS):
+        gradient["word"], gradient["word_bias"] = np.zeros_like(net["word"]), np.zeros_like(net["word_bias"])
+    for g in range(groups):
         own = slice(border[g], border[g + 1])
         if border[g] == border[g + 1]:
             continue
@@ -143,7 +178,7 @@ def log_probabilities(net: dict, token: np.ndarray, beside: np.ndarray, gradient
         gradient["hidden"], gradient["hidden_bias"] = x.T @ back, back.sum(0)
         dx = np.ascontiguousarray((back @ net["hidden"].T).reshape(-1, WIDTH).T)
         at = beside.ravel()
-        gradient["embed"] = np.stack([np.bincount(at, dx[i], CLASSES + 1) for i in range(WIDTH)], 1)
+        gradient["embed"] = np.stack([np.bincount(at, dx[i], len(net["embed"])) for i in range(WIDTH)], 1)
     out = np.empty(len(token))
     out[order] = logs
     return out
@@ -154,7 +189,7 @@ class Trainer:
 
     def __init__(self, net: dict, rate: float):
         self.net, self.rate, self.words = {k: v.copy() for k, v in net.items()}, rate, 0
-        self.sums = {k: np.full(s, 1e-8, np.float32) for k, s in SHAPES.items()}
+        self.sums = {k: np.full(v.shape, 1e-8, np.float32) for k, v in net.items()}
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.rng = np.random.default_rng(5)
 
@@ -175,51 +210,86 @@ class Trainer:
         self.words += len(token)
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes and classes of the most frequent words of all documents, and every
-    class's share of the words."""
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << 16)
+    for batch in batches:
+        for part in byte_slices(batch, "w"):
+            data, offs = text_bytes(part.column(0))
+            n = part.column(1).to_numpy()
+            pair, close = byte_pairs(data, offs[:-1], offs[1:])
+            total += np.bincount(pair, np.repeat(n, np.diff(offs)), 1 << 16) + np.bincount(close, n, 1 << 16)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["pair", "n"])
+
+
+def _spelling(rare: DataFrame) -> np.ndarray:
+    """log p(byte | byte before) in words ``w`` met ``n`` times; one is added to each byte's count."""
+    got = rare.mapInArrow(_pair_counts, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << 16)
+    table[got["pair"].to_numpy()] = got["n"].to_numpy()
+    table = table.reshape(256, 256)
+    # Bytes of words, and the border, which can't follow itself.
+    able = ~_SEPARATORS
+    able[0] = True
+    table[:, able] += 1
+    table[0, 0] = 0
+    table /= table.sum(1, keepdims=True)
+    # Pairs that no word has are passed over by running sums across words.
+    return np.log(np.where(table > 0, table, 1)).ravel().astype(np.float32)
+
+
+def vocabulary(docs: DataFrame) -> Words:
+    """The words of all documents: classes, counts and spelling."""
     scratch = Scratch(docs.sparkSession, "words")
     tokens = docs.select(F.explode(F.split(F.lower("text"), r"[^a-z0-9\x{80}-\x{10FFFF}]+")).alias("w")).where("w <> ''")
     counts = scratch.store(tokens.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-    top = counts.orderBy(F.col("n").desc(), "w").limit(size).collect()
     total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(2.0, total ** 0.5 / COUNT_ROOT)
+    top = counts.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("w", "ascending")])
+    spelling = _spelling(counts.where(F.col("n") < least))
     scratch.drop(counts)
-    share = np.ones(CLASSES)
-    share[:len(top)] += [r.n for r in top]
-    share[VOCABULARY:] += (total - sum(r.n for r in top)) / OTHER
-    data, offs = text_bytes(pa.array([r.w for r in top], pa.string()))
-    if not len(data):
-        return np.zeros(0, _U), np.zeros(0, np.int64), share / share.sum()
+    n = top["n"].to_numpy().astype(np.float64)
+    own = min(len(n), max(LEAST_VOCABULARY, int((n >= total ** 0.5 / NET_ROOT).sum())))
+    data, offs = text_bytes(top["w"].combine_chunks().cast(pa.string()))
     known = word_hashes(data, offs[:-1], offs[1:])
+    ids = np.concatenate([np.arange(own), own + (mix(known[own:]) % _U(OTHER)).astype(np.int64)])
+    spelled = own + OTHER
+    size = int(np.ceil((spelled + 1) ** 0.5))
+    share = np.full(-(-(spelled + 1) // size) * size, 1e-9)
+    share[:spelled + 1] = 1
+    share[:spelled] += np.bincount(ids, n, spelled)
+    share[spelled] += total - n.sum()
+    inside = np.zeros(len(n))
+    inside[own:] = np.log(n[own:] / np.bincount(ids[own:], n[own:], spelled)[ids[own:]])
     order = np.argsort(known)
-    return known[order], order, share / share.sum()
+    return Words(known[order], ids[order], inside[order].astype(np.float32), spelling, share / share.sum(), spelled, size)
 
 
-def warm_network(docs: DataFrame, known: np.ndarray, ids: np.ndarray, share: np.ndarray, warm_docs: int = WARM_DOCS) -> dict[str, np.ndarray]:
+def warm_network(docs: DataFrame, vocab: Words, warm_docs: int = WARM_DOCS) -> dict[str, np.ndarray]:
     """A start for all tasks: a fit to a hash sample of documents."""
     rows = docs.where("text is not null")
     n = max(1, rows.count())
     draw = F.pmod(F.xxhash64(F.lit("warm"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, warm_docs / n))
     got = sorted(r.text for r in rows.where(draw).select(F.substring("text", 1, WARM_CHARS).alias("text")).collect())
-    token, first = classes(pa.array(got, pa.string()), known, ids)
-    trainer = Trainer(new_network(share), WARM_RATE)
-    beside = contexts(token, first)
+    token, _, first = classes(pa.array(got, pa.string()), vocab)
+    trainer = Trainer(new_network(vocab.share, vocab.size), WARM_RATE)
+    beside = contexts(token, first, len(vocab.share))
     for _ in range(WARM_EPOCHS if len(token) else 0):
         trainer.add(token, beside, last=True)
     return trainer.net
 
 
-def train(docs: DataFrame, start: dict, known: np.ndarray, ids: np.ndarray, rate: float = RATE) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, start: dict, vocab: Words, rate: float = RATE) -> dict[str, np.ndarray]:
     """One pass over all documents: tasks train from ``start``, their weights are averaged."""
-    shared = docs.sparkSession.sparkContext.broadcast((flat(start), known, ids))
+    shared = docs.sparkSession.sparkContext.broadcast((flat(start), vocab))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, known, ids = shared.value
-        trainer = Trainer(shaped(values), rate)
+        values, vocab = shared.value
+        trainer = Trainer(shaped(values, len(vocab.share), vocab.size), rate)
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                token, first = classes(part.column(0), known, ids)
-                trainer.add(token, contexts(token, first))
+                token, _, first = classes(part.column(0), vocab)
+                trainer.add(token, contexts(token, first, len(vocab.share)))
         trainer.add(np.zeros(0, np.int64), np.zeros((0, len(SIDES)), np.int64), last=True)
         if trainer.words:
             out = flat(trainer.net).astype(np.float64) * trainer.words
@@ -231,24 +301,24 @@ def train(docs: DataFrame, start: dict, known: np.ndarray, ids: np.ndarray, rate
     got = rows.toArrow()
     values = flat(start)
     values[got["parameter"].to_numpy()] = got["value"].to_numpy()
-    return shaped(values)
+    return shaped(values, len(vocab.share), vocab.size)
 
 
 def score(docs: DataFrame, warm_docs: int = WARM_DOCS) -> DataFrame:
     """doc_id, n_words, log_prob (summed) and mean_log_prob of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known, ids, share = vocabulary(docs)
-    net = train(docs, warm_network(docs, known, ids, share, warm_docs), known, ids)
-    shared = docs.sparkSession.sparkContext.broadcast((flat(net), known, ids))
+    vocab = vocabulary(docs)
+    net = train(docs, warm_network(docs, vocab, warm_docs), vocab)
+    shared = docs.sparkSession.sparkContext.broadcast((flat(net), vocab))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, known, ids = shared.value
-        own = shaped(values)
+        values, vocab = shared.value
+        own = shaped(values, len(vocab.share), vocab.size)
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                token, first = classes(part.column(1), known, ids)
-                beside = contexts(token, first)
-                logs = np.concatenate([np.zeros(0), *(log_probabilities(own, token[a:a + BATCH], beside[a:a + BATCH]) for a in range(0, len(token), BATCH))])
+                token, inside, first = classes(part.column(1), vocab)
+                beside = contexts(token, first, len(vocab.share))
+                logs = inside + np.concatenate([np.zeros(0), *(log_probabilities(own, token[a:a + BATCH], beside[a:a + BATCH]) for a in range(0, len(token), BATCH))])
                 total = np.concatenate([[0.0], np.cumsum(logs)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(total[first[1:]] - total[first[:-1]])],
                                                  names=["doc_id", "n_words", "log_prob"])
