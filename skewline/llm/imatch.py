@@ -1,9 +1,11 @@
 """I-Match document fingerprints with randomised lexicon subsets; DataFrame functions only.
 
 The lexicon keeps terms whose document frequency lies in a band.  Terms are known by a
-64-bit hash; document frequencies are counted over all documents in ``BUCKETS`` hash buckets,
-so the lexicon is a bit table of fixed size (128 KB) whatever the corpus.  A document's
-kept terms are made distinct and sorted.  The hash of all of them is the classic signature;
+64-bit hash; document frequencies are counted over all distinct texts in ``BUCKETS`` hash buckets,
+so copies push no term out of the band, and the lexicon is a bit table of fixed size (128 KB)
+whatever the corpus.  A document's kept terms are made distinct and sorted.  Where less than
+one in ``FEW`` terms is kept (a large group of near copies puts its own terms above the band, a
+small language's lie below it), all of the document's terms take their place.  The hash of all of them is the classic signature;
 beside it, the lexicon is split at random into subsets of falling density (scale s holds
 2^-(s+1) of it, in ``PARTS`` parts), and each subset that keeps 1 to ``SPARSE`` of the document's
 terms adds a hash of its own.  For a document of any length some scales are sparse enough
@@ -11,8 +13,8 @@ to survive edits, so the share of equal subset hashes tells how alike two texts
 
 Likeness: 1 for equal signatures, else equal subset hashes over subsets present in either.
 
-Defined results: a null text is empty; a text without a kept term has the signature of all its
-terms and no subsets, so it is like its equals only; a null doc_id comes last in the order;
+Defined results: a null text is empty; a text without a term has no subsets, so it is like its
+equals only; a null doc_id comes last in the order;
 equal doc_ids are ordered by text; the one document of a table is its own successor; where
 every doc_id is null the next text is empty; an empty table gives no rows; columns other than
 doc_id and text are ignored.
@@ -20,6 +22,8 @@ doc_id and text are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +32,7 @@ BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 # The band: a term is kept if its share of the documents lies between these.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
+FEW = 4
 SCALES, PARTS = 12, 8
 SPARSE = 4
 # Order ranges hold about RANGE_DOCS documents, in at most MAX_RANGES ranges.
@@ -44,10 +49,12 @@ def term_hashes(text: Column) -> Column:
 
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> Column:
     """The band as a constant array of BUCKETS / 64 words of bits."""
-    n = docs.count()
+    text = [F.xxhash64("text").alias("hash"), F.length("text").alias("chars")]
+    n = docs.select(*text).distinct().count()
     mask = F.lit(BUCKETS - 1).cast("long")
-    buckets = F.array_distinct(F.transform(term_hashes(F.col("text")), lambda h: h.bitwiseAND(mask)))
-    rows = (docs.where("text is not null").select(F.explode(buckets).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("df"))
+    buckets = F.array_distinct(F.transform(term_hashes(F.col("text")), lambda h: h.bitwiseAND(mask).cast("int")))
+    distinct = docs.where("text is not null").select(*text, buckets.alias("b")).groupBy("hash", "chars").agg(F.first("b").alias("b"))
+    rows = (distinct.select(F.explode("b").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("df"))
             .where((F.col("df") >= least * n) & (F.col("df") <= max(1.0, most * n)))
             .groupBy(F.shiftright("b", 6).alias("word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")))
@@ -86,9 +93,18 @@ def fingerprint(hashes: Column, bits: Column) -> Column:
 
     start = F.struct(F.lit(-1).cast("long").alias("subset"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("hash"),
                      F.expr("cast(array() as array<bigint>)").alias("out"))
-    kept = F.filter(hashes, in_lexicon)
-    subsets = F.aggregate(F.sort_array(F.transform(kept, placed)), start, step, closed)
-    return F.struct(F.when(F.size(kept) > 0, F.xxhash64(kept)).otherwise(F.xxhash64(hashes)).alias("signature"), subsets.alias("subsets"))
+    def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+        """f(value), with the value worked out once."""
+        return F.get(F.transform(F.array(value), f), 0)
+
+    def kept(all_terms: Column) -> Column:
+        return bound(F.filter(all_terms, in_lexicon), lambda k: F.when(F.size(k) * FEW < F.size(all_terms), all_terms).otherwise(k))
+
+    def made(terms: Column) -> Column:
+        return F.struct(F.xxhash64(terms).alias("signature"),
+                        F.aggregate(F.sort_array(F.transform(terms, placed)), start, step, closed).alias("subsets"))
+
+    return bound(bound(hashes, kept), made)
 
 
 def written(print_: Column) -> Column:
