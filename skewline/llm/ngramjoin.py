@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ BUCKET = 256
 DEPTH = 4
 RECALL = 0.9999
 # Standard deviations below the expected token matches at the threshold that a candidate may have.
-SLACK = 4.0
+SLACK = 5.0
 PAIRS_AT_ONCE = 1 << 17
 # Pairs of one group from which one matrix product replaces comparing lists pair by pair.
 DENSE = 2048
@@ -61,15 +62,38 @@ _ORDER = _rng.permutation(TOKENS)
 
 
 def runs_needed(threshold: float = THRESHOLD, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Runs after which a pair at the threshold has met with probability ``recall``, if all
-    its nodes split down to ``depth``: one or (once in four) two positions a node, each
-    shared with probability ``threshold``."""
-    meet = 1.0
+    """Runs after which a pair at the threshold is found with probability ``recall``, if all
+    its nodes split down to ``depth``: one or (once in four) two positions a node.  All runs
+    share one sketch, so a pair's chance is averaged over how many tokens it shares, and
+    pairs with fewer than a candidate may have count as lost."""
     second = 1 / threshold - 1
-    for _ in range(depth):
-        child = threshold * meet
+    shared = np.arange(TOKENS + 1)
+    chance = np.array([comb(TOKENS, k) * threshold ** k * (1 - threshold) ** (TOKENS - k) for k in shared])
+    chance[shared < least_shared(threshold)] = 0
+    meet = np.ones(TOKENS + 1)
+    for _ in range(depth - 1):
+        child = shared / TOKENS * meet
         meet = (1 - second) * child + second * (1 - (1 - child) ** 2)
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
+    if chance.sum() <= recall:
+        raise ValueError(f"no number of runs has recall {recall} at {TOKENS} tokens and {SLACK} deviations")
+    runs, missed = 0, np.ones(TOKENS + 1)
+    while chance @ (1 - missed) < recall:
+        missed *= (1 - shared / TOKENS * meet) ** len(_root(runs, threshold)[1])
+        runs += 1
+    return runs
+
+
+def _root(run: int, threshold: float) -> tuple[np.ndarray, list[int]]:
+    """Path and positions of a run's root.  Runs start from different positions; the second
+    one is drawn as in any node."""
+    root = mix(np.array([run + 1], _U))
+    _, drawn = _positions(root, threshold)
+    return root, sorted({int(_ORDER[run % TOKENS]), *map(int, drawn[1:])})
+
+
+def least_shared(threshold: float) -> float:
+    """Equal tokens that a candidate pair has at least."""
+    return TOKENS * threshold - SLACK * np.sqrt(TOKENS * threshold * (1 - threshold))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +149,8 @@ def _descend(runs: int | None, threshold: float):
         for batch in batches:
             rep, sketch = batch.column(0).to_numpy(), _sketches(batch.column(1))
             for run in range(runs):
-                # Runs start from different positions; the second one is drawn as in any node.
-                root = mix(np.array([run + 1], _U))
-                _, drawn = _positions(root, threshold)
-                picked = {int(_ORDER[run % TOKENS]), *map(int, drawn[1:])}
-                for position in sorted(picked):
+                root, picked = _root(run, threshold)
+                for position in picked:
                     token = (_U(position) << _U(32)) | sketch[:, position].astype(_U)
                     path = mix(root ^ mix(token + _U(7)))
                     yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(rep)], names=["path", "rep"])
@@ -248,7 +269,7 @@ def _groups(table: pa.Table, keys: list[str]) -> np.ndarray:
 
 def _compared(table: pa.Table, group: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs whose sketches could reach the threshold and that are counted in their leaf."""
-    least = TOKENS * threshold - SLACK * np.sqrt(TOKENS * threshold * (1 - threshold))
+    least = least_shared(threshold)
     size, side, path = (table[c].to_numpy() for c in ("size", "side", "path"))
     low = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint8).reshape(-1, TOKENS)
     lists = table["leaves"].combine_chunks()
