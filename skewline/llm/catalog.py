@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skewline.llm import imatch, langid, mixing, neardup_embeddings, ngramjoin, packing, pii, pseudolm, quality, urls
+from skewline.llm import fim, imatch, langid, mixing, neardup_embeddings, ngramjoin, packing, pii, pseudolm, quality, urls
 from skewline.llm.common import table
 from skewline.llm.oracles import ORACLES as LLM_ORACLES  # noqa: F401
 from skewline.session import apply_engine_conf
@@ -83,3 +84,11 @@ def op9_boosted_quality(spark, sf_dir):
 def op10_sainte_lague_mix(spark, sf_dir):
     """Words that the mix takes from each document."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query
+def op12_repeated_capture_fim(spark, sf_dir):
+    """Fill-in-middle form of every document, as digests of its output and of the text restored from it."""
+    out = fim.transform(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))

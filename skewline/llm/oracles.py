@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skewline.llm import mixing
+from skewline.llm import fim, mixing
 
 _QUOTA = """
   SELECT {keys}, max(sure) + sum(CASE WHEN won THEN 1 ELSE 0 END) AS quota FROM (
@@ -112,3 +112,31 @@ links AS (SELECT a AS id, count(*) AS n FROM pairs GROUP BY a)
 SELECT doc_id, coalesce(component, doc_id) AS class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links,
   coalesce(component, doc_id) = doc_id AS kept
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN links ON d.doc_id = links.id LEFT JOIN least_of ON d.doc_id = least_of.id"""
+
+
+def fim_sql() -> str:
+    draw = ", ".join(f"CAST('0x' || substr(digest, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))
+    return f"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('{fim.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents),
+drawn AS (SELECT *, len(units) AS n, {draw} FROM cut),
+formed AS (
+  SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '{fim.PREFIX}') OR contains(text, '{fim.SUFFIX}')
+      OR contains(text, '{fim.MIDDLE}') OR h3 % 100 >= {fim.RATE} THEN 'plain'
+      WHEN h4 % 100 < {fim.SPM_SHARE} THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(units[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS prefix,
+    array_to_string(units[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS middle,
+    array_to_string(units[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS suffix
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text
+    WHEN 'psm' THEN '{fim.PREFIX}' || prefix || '{fim.SUFFIX}' || suffix || '{fim.MIDDLE}' || middle
+    ELSE '{fim.SUFFIX}' || suffix || '{fim.PREFIX}' || prefix || '{fim.MIDDLE}' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM formed"""
+
+
+ORACLES["op12_repeated_capture_fim"] = fim_sql()
