@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewline.llm import fim, imatch, langid, mixing, neardup_embeddings, ngramjoin, packing, pii, pseudolm, quality, urls
+from skewline.llm import fim, imatch, langid, mixing, neardup_embeddings, ngramjoin, packing, pii, pseudolm, quality, urls, whitening
 from skewline.llm.common import table
 from skewline.llm.oracles import ORACLES as LLM_ORACLES  # noqa: F401
 from skewline.session import apply_engine_conf
@@ -92,3 +92,10 @@ def op12_repeated_capture_fim(spark, sf_dir):
     out = fim.transform(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                       F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query
+def op13_polarisation_whitening(spark, sf_dir):
+    """Whitened embeddings: 32 components of every usable vector."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", whitening.as_long(F.col("deviation"))).drop("dim")
