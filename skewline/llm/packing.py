@@ -15,7 +15,6 @@ other than doc_id and text are ignored, so clashing names do no harm.
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,27 +37,26 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 def tokenizer_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 class Encoder:
-    """Byte-level BPE ids as little-endian 32-bit bytes, with a bounded cache of words.
+    """Ids of a byte-level BPE tokenizer as little-endian 32-bit bytes, with a bounded cache of words.
 
-    The tokenizer's pattern starts a new piece at every space that a non-space follows,
-    so a text without a space before other white space or its end can be encoded word
-    by word; any other text is encoded whole.
+    The tokenizer starts a new piece at every space before a non-space, so a text is encoded
+    from one such space to the next; a text that holds an added token (as ``<|endoftext|>``, an
+    id of its own wherever it stands) is encoded whole.
     """
 
-    _odd = re.compile(r" (?:\s|\Z)")
-
     def __init__(self, path: str):
-        import public_tokenizers
-        import tiktoken
+        from tokenizers import Tokenizer
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._ids = enc.encode_ordinary
+        tokenizer = Tokenizer.from_file(path)
+        self._encode = tokenizer.encode
+        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(added) or r"(?!)")
+        self._inner = re.compile(r" (?:\s|\Z)")
+        self._border = re.compile(r" (?=\S)")
 
         class Cache(dict):
             def __missing__(cache, word):
@@ -72,12 +70,13 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         import numpy as np
 
-        return np.array(self._ids(text), "<u4").tobytes()
+        return np.array(self._encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self._odd.search(text):
+        if self._added.search(text):
             return self.plain(text)
-        head, *rest = text.split(" ")
+        # A space before white space or the end belongs to the piece before it.
+        head, *rest = self._border.split(text) if self._inner.search(text) else text.split(" ")
         return self.plain(head) + b"".join(map(self._cache.__getitem__, rest))
 
 
@@ -149,8 +148,8 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: where it comes from and where it lies.  ``path`` names a rank
-    file that executors can read (by default that of the installed public tokenizers)."""
+    """One row per piece: where it comes from and where it lies.  ``path`` names a
+    tokenizer file that executors can read (by default that of the installed public tokenizers)."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

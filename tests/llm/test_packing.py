@@ -11,9 +11,7 @@ tokenizers = pytest.importorskip("tokenizers")
 def tokenizer():
     import public_tokenizers
 
-    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 TEXTS = ["a word  two   spaces\n next\n\n  line ", " lead", "trail ", "", None, "tab\t x   y  z", "it's 's don't we'll 12 345",
@@ -89,3 +87,14 @@ def test_repeated_rows_and_null_id(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     rows = packing.pack(df).collect()
     assert sum(r.length for r in rows if r.doc_id == 1) == 2 * 3 and any(r.doc_id is None for r in rows)
+
+
+def test_encoder_equals_the_tokenizer_on_odd_texts():
+    rng = random.Random(7)
+    encode, whole = packing.Encoder(packing.tokenizer_path()), tokenizer()
+    parts = [" ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\u0085", " ", " ", "　", "​", "a", "Word", "'s", "'ll", "12", "é", "日本",
+             "😀", "é", "!", "--", "<|endoftext|>", "<|endoftext", "|>", "_", "\x00"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    assert np.frombuffer(encode("a<|endoftext|>b"), "<u4").tolist()[1] == 50256
