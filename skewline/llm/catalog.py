@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewline.llm import fim, imatch, langid, mixing, neardup_embeddings, ngramjoin, packing, pii, pseudolm, quality, urls, whitening
+from skewline.llm import fim, imatch, langid, mixing, neardup_embeddings, ngramjoin, packing, pii, pseudolm, quality, suffixdedup, urls, whitening
 from skewline.llm.common import table
 from skewline.llm.oracles import ORACLES as LLM_ORACLES  # noqa: F401
 from skewline.session import apply_engine_conf
@@ -86,6 +86,15 @@ def op10_sainte_lague_mix(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+@query
+def op11_suffix_array_dedup(spark, sf_dir):
+    """What stays of every document without its repeated passages."""
+    out = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op12_repeated_capture_fim(spark, sf_dir):
     """Fill-in-middle form of every document, as digests of its output and of the text restored from it."""
