@@ -15,7 +15,7 @@ other than doc_id and text are ignored, so clashing names do no harm.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 CAPACITY = 2048
 END_ID = 1
 WASTE = 0.02
-CACHE_WORDS = 300_000
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, class int")
@@ -40,44 +39,31 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder:
-    """Ids of a byte-level BPE tokenizer as little-endian 32-bit bytes, with a bounded cache of words.
-
-    The tokenizer starts a new piece at every space before a non-space, so a text is encoded
-    from one such space to the next; a text that holds an added token (as ``<|endoftext|>``, an
-    id of its own wherever it stands) is encoded whole.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+def byte_of_character() -> dict[str, int]:
+    """How a byte-level vocabulary writes bytes: printable ones of Latin-1 as themselves, the
+    others, in order, as the characters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(c): b for c, b in [*zip(plain, plain), *zip(range(256, 256 + len(rest)), rest)]}
 
-        tokenizer = Tokenizer.from_file(path)
-        self._encode = tokenizer.encode
-        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
-        self._added = re.compile("|".join(added) or r"(?!)")
-        self._inner = re.compile(r" (?:\s|\Z)")
-        self._border = re.compile(r" (?=\S)")
 
-        class Cache(dict):
-            def __missing__(cache, word):
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                cache[word] = out = self.plain(" " + word)
-                return out
-
-        self._cache = Cache()
+class Encoder:
+    """Ids of a byte-level BPE tokenizer file as little-endian 32-bit bytes.  Added tokens (as
+    ``<|endoftext|>``) are ids of their own wherever they stand, as the file says."""
 
-    def plain(self, text: str) -> bytes:
-        import numpy as np
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
 
-        return np.array(self._encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        byte = byte_of_character()
+        added = {t["content"]: t["id"] for t in file["added_tokens"]}
+        ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in added}
+        self._encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def __call__(self, text: str) -> bytes:
-        if self._added.search(text):
-            return self.plain(text)
-        # A space before white space or the end belongs to the piece before it.
-        head, *rest = self._border.split(text) if self._inner.search(text) else text.split(" ")
-        return self.plain(head) + b"".join(map(self._cache.__getitem__, rest))
+        return self._encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4").tobytes()
 
 
 def cuts(n: int, capacity: int = CAPACITY, waste: float = WASTE) -> list[int]:
