@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import struct
@@ -35,24 +36,32 @@ def brute(texts):
     """Fingerprints of texts (all documents) and a function for more texts."""
     terms = lambda t: sorted({term(w) for w in re.split("[\x09-\x0d\x20]+", t.lower()) if w})
     df = {}
-    for t in texts:
-        for b in {h % imatch.BUCKETS for h in terms(t or "")}:
+    distinct = {t or "" for t in texts}
+    for t in distinct:
+        for b in {h % imatch.BUCKETS for h in terms(t)}:
             df[b] = df.get(b, 0) + 1
-    n = len(texts)
-    lexicon = {b for b, c in df.items() if imatch.LEAST_SHARE * n <= c <= max(1, imatch.MOST_SHARE * n)}
+    low, high = imatch.LEAST_SHARE * len(distinct), max(1, imatch.MOST_SHARE * len(distinct))
+
+    def level(h):
+        c = df.get(h % imatch.BUCKETS)
+        if c is None:
+            return imatch.FAR
+        ratio = low / c if c < low else c / high if c > high else None
+        return 0 if ratio is None else min(imatch.FAR, 1 + int(math.log2(ratio)))
 
     def fingerprint(text):
-        every = terms(text)
-        kept = [h for h in every if h % imatch.BUCKETS in lexicon]
+        every = sorted((level(h), h % (1 << 60)) for h in terms(text))
+        inside = sum(k == 0 for k, _ in every)
+        kept = sorted(h for _, h in every[:max(inside, -(-len(every) // imatch.FEW))])
         subsets = {}
         for h in kept:
-            x, scale = (h % (1 << 64)) >> (imatch.BUCKET_BITS + 3), 0
+            x, scale = h >> (imatch.BUCKET_BITS + 3), 0
             while scale < imatch.SCALES - 1 and not x >> scale & 1:
                 scale += 1
             subset = scale * imatch.PARTS + (h >> imatch.BUCKET_BITS) % imatch.PARTS
             subsets.setdefault(subset, []).append(subset << 56 | h % (1 << 56))
         out = {s: s << 56 | folded(sorted(v)) % (1 << 56) for s, v in subsets.items() if len(v) <= imatch.SPARSE}
-        return chain(kept or every), out
+        return chain(kept), out
 
     return fingerprint
 
@@ -127,3 +136,29 @@ def test_odd_tables(spark):
 def test_no_python_on_the_executors(spark):
     plan = imatch.fingerprints(frame(spark, [(1, "a b"), (2, "b c")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_one_term_more_moves_few_subsets(spark):
+    """Where the band runs out of terms, nothing jumps: prints of texts one term apart are alike on
+    both sides of the share that is completed."""
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(40)]
+    for inside in range(8, 15):
+        base = rng.sample(common, 40 - inside) + [f"in{j}" for j in range(inside)]
+        rows = [(0, " ".join(base + ["in900"])), (1, " ".join(base))]
+        rows += [(i, " ".join(common)) for i in range(2, 60)] + [(i, " ".join(f"in{j}" for j in [*range(20), 900]) + f" x{i}") for i in range(60, 68)]
+        out = {r.doc_id: r for r in imatch.fingerprints(frame(spark, [(i, t + f" u{i}" if i > 1 else t) for i, t in rows])).collect()}
+        assert out[1].near_next > 0.5, inside
+
+
+def test_more_ranges_than_a_row_is_compared_with(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE_DOCS", 2)
+    rng = random.Random(9)
+    ids = rng.sample(range(-500, 500), 300)
+    rows = [(i, f"text {i}") for i in ids] + [(None, "none")]
+    got = {r.doc_id: r for r in imatch.fingerprints(frame(spark, rows).repartition(4)).collect()}
+    down = sorted(ids, reverse=True)
+    order = [*down, None]
+    for a, b in zip(order, [*order[1:], order[0]]):
+        t, other = next(t for i, t in rows if i == a), next(t for i, t in rows if i == b)
+        assert got[a].edited_sha256 == hashlib.sha256((t[:len(t) - len(t) // 2] + other[:len(t) // 2]).encode()).hexdigest()

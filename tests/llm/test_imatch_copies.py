@@ -42,7 +42,7 @@ def test_copies_do_not_change_the_lexicon(spark, rng):
     texts = [_text(rng, common, 30) for _ in range(100)] + [[f"own{i}" for i in range(50)]]
     docs = _frame(spark, texts)
     copies = docs.union(docs.where("doc_id = 100").crossJoin(spark.range(60)).select(F.col("id") + 1000, "text"))
-    alone, among = (d.select(imatch.lexicon(d).alias("bits")).first().bits for d in (docs, copies))
+    alone, among = (d.select(imatch.lexicon(d).alias("levels")).first().levels for d in (docs, copies))
     assert alone == among and any(among)
 
 
