@@ -4,11 +4,15 @@ Sources receive integer numbers of blocks by the highest quotients votes / (2j +
 each source's blocks are apportioned in the same way to its shards, and every shard then
 fills its quota from its documents in a seeded order.  DataFrame functions only.
 
+Rows of equal doc_id, source and text are copies; up to ``COPIES`` of them are dealt as one item, whose
+words its copies share as evenly as whole words allow.  Shards and order are drawn from doc_id
+and text, so many rows of one doc_id, or without one, spread over all shards.
+
 Defined results: null or empty texts have size 0 and take 0; a null source is a source of
-its own and comes last; repeated rows are separate documents; ties of quotients go to the
-smaller source rank or shard number, ties of the seeded order to the smaller doc_id and
-size; an empty table gives an empty mix; other columns than doc_id, text and source are ignored
-by ``mix_sources`` and kept by ``mixed_documents``.
+its own and comes last; copies count as separate documents; ties of quotients go to the
+smaller source rank or shard number, ties of the seeded order to the smaller doc_id, size,
+text digest and item; an empty table gives an empty mix; other columns than doc_id, text and source
+are ignored by ``mix_sources`` and kept by ``mixed_documents`` (of copies: those of one).
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 BLOCK_WORDS = 4
 SHARD_DOCS = 4096
+COPIES = 64
 SEED = "mix-1"
 
 
@@ -86,14 +91,23 @@ def sainte_lague(cells: DataFrame, group: list[str], cell: str) -> DataFrame:
             .agg((F.max("_sure") + F.sum(F.col("_won").cast("long"))).alias("quota")))
 
 
-def mix_sources(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, max_repeat: int = MAX_REPEAT,
-                block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken for every row of ``docs``."""
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"),
-                        (word_count(F.col("text")) if size is None else size).alias("size"))
+def text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def takes(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, max_repeat: int = MAX_REPEAT,
+          block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: str = SEED) -> DataFrame:
+    """One row per item: doc_id, source, digest, size of one copy, copies, item, source_size, target
+    and the words ``taken`` from all its copies."""
+    copies = (docs.select("doc_id", F.col("source").cast("string").alias("source"), text_digest(F.col("text")).alias("digest"),
+                          (word_count(F.col("text")) if size is None else size).alias("size"))
+              .groupBy("doc_id", "source", "digest", "size").agg(F.count(F.lit(1)).alias("rows")))
+    items = (copies.withColumn("item", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("rows") / COPIES) - 1)))
+             .withColumn("copies", F.least(F.lit(COPIES).cast("long"), F.col("rows") - F.col("item") * COPIES)).drop("rows"))
     # Read by three branches below: the texts are counted once.
-    sized = Scratch(docs.sparkSession, "mix").store(sized)
-    sizes = sized.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("size"))
+    items = Scratch(docs.sparkSession, "mix").store(items)
+    words = F.col("size") * F.col("copies")
+    sizes = items.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(words).alias("size"))
     targets = source_targets(sizes, weights, max_repeat)
     seats = F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block_words).cast("long")
     quotas = sainte_lague(targets.withColumn("votes", F.col("target")).withColumn("seats", seats), [], "rank")
@@ -101,38 +115,56 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, ma
             .select(F.col("source").alias("_source"), F.col("size").alias("source_size"), "target",
                     F.col("quota").alias("source_quota"),
                     F.greatest(F.lit(1), F.ceil(F.col("docs") / shard_docs)).cast("long").alias("shards")))
-    draw = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    d = (sized.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-         .withColumn("draw", draw)
+    draw = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "digest", F.col("item").cast("string")))
+    d = (items.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+         .withColumn("words", words).withColumn("draw", draw)
          .withColumn("shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % F.col("shards")))
     cells = (d.groupBy("source", "shard")
-             .agg(F.sum("size").alias("shard_size"), F.max("source_quota").alias("seats")))
+             .agg(F.sum("words").alias("shard_size"), F.max("source_quota").alias("seats")))
     cells = cells.withColumn("votes", F.col("shard_size").cast("double"))
     shard_quota = sainte_lague(cells, ["source"], "shard")
     shard_plan = (cells.select("source", "shard", "shard_size")
                   .join(shard_quota.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "quota"),
                         F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")))
                   .select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size",
-                          F.least(F.col("quota") * block_words, F.col("shard_size") * max_repeat).alias("words")))
+                          F.least(F.col("quota") * block_words, F.col("shard_size") * max_repeat).alias("quota")))
     d = d.join(shard_plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
-    line = W.partitionBy("source", "shard").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0).cast("long")
-    rest = F.col("words") - rounds * F.col("shard_size")
-    start = F.coalesce(F.sum("size").over(line), F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_start")))
+    line = (W.partitionBy("source", "shard").orderBy("draw", "doc_id", "size", "digest", "item")
+            .rowsBetween(W.unboundedPreceding, -1))
+    rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(0).cast("long")
+    rest = F.col("quota") - rounds * F.col("shard_size")
+    start = F.coalesce(F.sum("words").over(line), F.lit(0))
+    part = F.greatest(F.lit(0), F.least(F.col("words"), rest - F.col("_start")))
     return (d.withColumn("_start", start)
-            .withColumn("taken", (rounds * F.col("size") + part).cast("long"))
-            .select("doc_id", "source", "size", "source_size", "target", "taken"))
+            .withColumn("taken", (rounds * F.col("words") + part).cast("long"))
+            .select("doc_id", "source", "digest", "size", "copies", "item", "source_size", "target", "taken"))
+
+
+def mix_sources(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, max_repeat: int = MAX_REPEAT,
+                block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken for every row of ``docs``."""
+    items = takes(docs, size, weights, max_repeat, block_words, shard_docs, seed)
+    copy = items.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    upto = lambda c: F.floor(F.col("taken") * c / F.col("copies"))
+    return copy.select("doc_id", "source", "size", "source_size", "target",
+                       (upto(F.col("_copy") + 1) - upto(F.col("_copy"))).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: every row of ``docs``, all columns, as many times as the mix takes its
-    words, to the nearest whole document (so rows with less than half taken, and rows without
-    words, go).  Equal rows share what they take equally."""
-    takes = (mix_sources(docs).groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken"))
-             .select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-                     F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("_times"))
-             .where("_times > 0"))
-    same = (F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-            & (word_count(F.col("text")) == F.col("_size")))
-    return (docs.join(takes, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns))
+    """The mix itself: rows of ``docs``, all columns, as many times as the mix takes their
+    words, to the nearest whole document: documents with less than half taken, and those without
+    words, go.  Of a source with words taken, the document with the largest share stays at least."""
+    def key(digest: Column) -> Column:
+        return F.md5(F.concat_ws("|", digest, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+                                 F.col("source").isNull().cast("string"), F.col("source").cast("string")))
+
+    share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0))
+    whole = (takes(docs).withColumn("_key", key(F.col("digest"))).groupBy("_key", "source", "size").agg(F.sum("taken").alias("taken"))
+             .withColumn("_share", share))
+    whole = Scratch(docs.sparkSession, "mix").store(whole)
+    first = (whole.groupBy("source").agg(F.max(F.struct("_share", "_key")).alias("first")).where("first._share > 0 and first._share < 0.5")
+             .select(F.col("first._key").alias("_first")))
+    times = F.when(F.col("_first").isNotNull(), 1).otherwise(F.floor(F.col("_share") + 0.5)).cast("int")
+    mix = whole.join(first, F.col("_key") == F.col("_first"), "left").select("_key", times.alias("_times")).where("_times > 0")
+    one = docs.withColumn("_key", key(text_digest(F.col("text")))).dropDuplicates(["_key"])
+    return one.join(mix, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

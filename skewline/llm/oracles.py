@@ -26,14 +26,17 @@ def mixing_sql() -> str:
     by_shard = _QUOTA.format(keys="rank, shard", cell="shard", part="PARTITION BY rank", source="cells")
     return f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
-  FROM documents),
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+    md5(coalesce(text, '')) AS digest, count(*) AS n
+  FROM documents GROUP BY ALL),
+items AS (SELECT *, least({mixing.COPIES}, n - item * {mixing.COPIES}) AS copies, size * least({mixing.COPIES}, n - item * {mixing.COPIES}) AS words
+  FROM (SELECT *, unnest(generate_series(0, (n - 1) // {mixing.COPIES})) AS item FROM sized)),
 ranked AS (
   SELECT source, docs, size, rank, 1.0::DOUBLE * list_extract([{weights}], CAST(rank % {len(mixing.WEIGHTS)} + 1 AS INT)) AS weight,
     CAST(size * {mixing.MAX_REPEAT} AS DOUBLE) AS cap FROM (
-    SELECT source, count(*) AS docs, CAST(sum(size) AS BIGINT) AS size,
+    SELECT source, count(*) AS docs, CAST(sum(words) AS BIGINT) AS size,
       row_number() OVER (ORDER BY source IS NULL, source COLLATE "binary") - 1 AS rank
-    FROM sized GROUP BY source)),
+    FROM items GROUP BY source)),
 leveled AS (
   SELECT *, (sum(CAST(size AS DOUBLE)) OVER () - coalesce(sum(cap) OVER b, 0.0))
     / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0)) AS lv
@@ -49,22 +52,23 @@ plan AS (
   SELECT t.source, t.rank, t.size AS source_size, target, quota AS source_quota,
     CAST(greatest(1, ceil(docs / {mixing.SHARD_DOCS}.0)) AS BIGINT) AS shards FROM targets t JOIN quotas USING (rank)),
 drawn AS (
-  SELECT d.doc_id, d.size, p.*, md5('{mixing.SEED}|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')) AS draw
-  FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+  SELECT d.doc_id, d.size, d.digest, d.item, d.copies, d.words, p.*,
+    md5('{mixing.SEED}|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|' || digest || '|' || item) AS draw
+  FROM items d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
 sharded AS (SELECT *, CAST('0x' || substr(draw, 1, 8) AS BIGINT) % shards AS shard FROM drawn),
 cells AS (
-  SELECT rank, shard, CAST(sum(size) AS BIGINT) AS shard_size, CAST(sum(size) AS DOUBLE) AS votes,
+  SELECT rank, shard, CAST(sum(words) AS BIGINT) AS shard_size, CAST(sum(words) AS DOUBLE) AS votes,
     max(source_quota) AS seats FROM sharded GROUP BY rank, shard),
 shard_quotas AS ({by_shard}),
 filled AS (
-  SELECT s.*, shard_size, least(quota * {mixing.BLOCK_WORDS}, shard_size * {mixing.MAX_REPEAT}) AS words,
-    coalesce(sum(s.size) OVER (PARTITION BY s.rank, s.shard ORDER BY draw, doc_id, s.size
+  SELECT s.*, shard_size, least(quota * {mixing.BLOCK_WORDS}, shard_size * {mixing.MAX_REPEAT}) AS quota,
+    coalesce(sum(s.words) OVER (PARTITION BY s.rank, s.shard ORDER BY draw, doc_id, s.size, digest, item
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM sharded s JOIN cells USING (rank, shard) JOIN shard_quotas USING (rank, shard)),
-rounds AS (SELECT *, CASE WHEN shard_size > 0 THEN CAST(floor(words / shard_size) AS BIGINT) ELSE 0 END AS rounds FROM filled)
-SELECT doc_id, size, source_size, target,
-  CAST(rounds * size + greatest(0, least(size, words - rounds * shard_size - start)) AS BIGINT) AS taken
-FROM rounds"""
+rounds AS (SELECT *, CASE WHEN shard_size > 0 THEN CAST(floor(quota / shard_size) AS BIGINT) ELSE 0 END AS rounds FROM filled),
+taken AS (SELECT *, CAST(rounds * words + greatest(0, least(words, quota - rounds * shard_size - start)) AS BIGINT) AS taken FROM rounds)
+SELECT doc_id, size, source_size, target, CAST(taken * (c + 1) // copies - taken * c // copies AS BIGINT) AS taken
+FROM (SELECT *, unnest(generate_series(0, copies - 1)) AS c FROM taken)"""
 
 
 ORACLES: dict[str, str] = {

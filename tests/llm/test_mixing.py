@@ -98,3 +98,35 @@ def test_mixed_documents(spark):
         assert (r.doc_id, r.text, r.source, r["size"], r["target"]) == rows[r.doc_id]
     for i, (t, size) in taken.items():
         assert times.get(i, 0) == (int(t / size + 0.5) if size else 0)
+
+
+def test_null_ids_of_one_size_are_rounded_one_by_one(spark):
+    """A third of the rows has no doc_id: their words still meet the target, as whole documents too."""
+    text = lambda i: " ".join(f"w{i}" for _ in range(100))
+    rows = [(None, text(i), "b", "x", 1) for i in range(300)] + [(i, text(i), "a", "x", 1) for i in range(600)]
+    out = mixing.mix_sources(frame(spark, rows).repartition(4), shard_docs=50).collect()
+    taken = {s: sum(r.taken for r in out if r.source == s) for s in "ab"}
+    target = {r.source: r.target for r in out}
+    assert len(out) == 900 and all(abs(taken[s] - target[s]) <= 8 for s in "ab")
+    mixed = mixing.mixed_documents(frame(spark, rows).repartition(4)).collect()
+    words = {s: 100 * sum(r.source == s for r in mixed) for s in "ab"}
+    assert all(abs(words[s] - target[s]) <= 100 for s in "ab")
+
+
+def test_a_source_with_little_taken_keeps_a_document(spark):
+    rows = [(None, " ".join(f"w{i}" for _ in range(1000)), "b", "x", 1) for i in range(250)] + [(i, "two words", "a", "x", 1) for i in range(90)]
+    rows += [(1000 + i, "w " * 40, c, "x", 1) for i, c in enumerate("cdefgh" * 3)]
+    out = mixing.mix_sources(frame(spark, rows), weights=(1e9, 1, 1, 1, 1, 1, 1, 1)).collect()
+    assert {r.source for r in mixing.mixed_documents(frame(spark, rows)).collect()} == set("abcdefgh")
+    assert len(out) == len(rows)
+
+
+def test_hot_copies_spread_over_shards_and_share_their_words(spark):
+    rows = [(7, "same words here", "a", "x", 1)] * 400 + [(i, f"t{i} other", "a", "x", 1) for i in range(100, 500)] + [(9, "b b", "b", "x", 1)]
+    items = mixing.takes(frame(spark, rows).repartition(5), shard_docs=3).collect()
+    assert sorted(r.copies for r in items if r.doc_id == 7) == [16, 64, 64, 64, 64, 64, 64]
+    out = mixing.mix_sources(frame(spark, rows).repartition(3), shard_docs=3).collect()
+    assert len(out) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in out)
+    assert sum(r.taken for r in out if r.doc_id == 7) == sum(r.taken for r in items if r.doc_id == 7)
+    mixed = mixing.mixed_documents(frame(spark, rows)).collect()
+    assert sum(r.doc_id == 9 for r in mixed) <= 3 and abs(sum(len(r.text.split()) for r in mixed) - sum(r.taken for r in out)) <= 9
