@@ -47,8 +47,8 @@ TOKENS = 64
 BUCKET = 256
 DEPTH = 4
 RECALL = 0.9999
-# Standard deviations below the expected token matches at the threshold that a candidate may have.
-SLACK = 5.0
+# Part of the pairs that may be lost, spent on pairs with fewer equal tokens than a candidate has.
+SLACK = 0.1
 PAIRS_AT_ONCE = 1 << 17
 # Pairs of one group from which one matrix product replaces comparing lists pair by pair.
 DENSE = 2048
@@ -69,13 +69,11 @@ def runs_needed(threshold: float = THRESHOLD, depth: int = DEPTH, recall: float
     second = 1 / threshold - 1
     shared = np.arange(TOKENS + 1)
     chance = np.array([comb(TOKENS, k) * threshold ** k * (1 - threshold) ** (TOKENS - k) for k in shared])
-    chance[shared < least_shared(threshold)] = 0
+    chance[shared < least_shared(threshold, recall)] = 0
     meet = np.ones(TOKENS + 1)
     for _ in range(depth - 1):
         child = shared / TOKENS * meet
         meet = (1 - second) * child + second * (1 - (1 - child) ** 2)
-    if chance.sum() <= recall:
-        raise ValueError(f"no number of runs has recall {recall} at {TOKENS} tokens and {SLACK} deviations")
     runs, missed = 0, np.ones(TOKENS + 1)
     while chance @ (1 - missed) < recall:
         missed *= (1 - shared / TOKENS * meet) ** len(_root(runs, threshold)[1])
@@ -91,9 +89,14 @@ def _root(run: int, threshold: float) -> tuple[np.ndarray, list[int]]:
     return root, sorted({int(_ORDER[run % TOKENS]), *map(int, drawn[1:])})
 
 
-def least_shared(threshold: float) -> float:
-    """Equal tokens that a candidate pair has at least."""
-    return TOKENS * threshold - SLACK * np.sqrt(TOKENS * threshold * (1 - threshold))
+def least_shared(threshold: float, recall: float = RECALL) -> int:
+    """Equal tokens that a candidate pair has at least: a pair at the threshold has fewer with a
+    chance of ``SLACK`` times 1 - ``recall`` at most."""
+    below, k = (1 - threshold) ** TOKENS, 0
+    while below <= SLACK * (1 - recall):
+        k += 1
+        below += comb(TOKENS, k) * threshold ** k * (1 - threshold) ** (TOKENS - k)
+    return k
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,9 +270,9 @@ def _groups(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(new)])
 
 
-def _compared(table: pa.Table, group: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _compared(table: pa.Table, group: np.ndarray, threshold: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs whose sketches could reach the threshold and that are counted in their leaf."""
-    least = least_shared(threshold)
+    least = least_shared(threshold, recall)
     size, side, path = (table[c].to_numpy() for c in ("size", "side", "path"))
     low = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint8).reshape(-1, TOKENS)
     lists = table["leaves"].combine_chunks()
@@ -286,12 +289,12 @@ def _compared(table: pa.Table, group: np.ndarray, threshold: float) -> tuple[np.
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def _candidates(threshold: float):
+def _candidates(threshold: float, recall: float):
     """Sets of a leaf that have a pair to verify in it."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of_groups(batches, TILE):
-            i, j = _compared(table, _groups(table, TILE), threshold)
+            i, j = _compared(table, _groups(table, TILE), threshold, recall)
             hit = np.zeros(table.num_rows, bool)
             hit[i] = hit[j] = True
             yield from table.select([*TILE, "side", "rep", "leaves"]).filter(pa.array(hit)).to_batches()
@@ -329,7 +332,7 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
     return product[a, b].astype(np.int64)
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, recall: float):
     """Links and least local id of every set that has a link counted in this leaf."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +341,7 @@ def _verify(threshold: float):
             again = _groups(table, [*TILE, "rep"])
             table = table.take(pa.array(np.flatnonzero(np.diff(again, prepend=-1))))
             group = _groups(table, TILE)
-            i, j = _compared(table, group, threshold)
+            i, j = _compared(table, group, threshold, recall)
             size, copies, rep = (table[c].to_numpy() for c in ("size", "copies", "rep"))
             sets = [np.frombuffer(s.as_buffer(), "<u4") for s in table["shingles"]]
             both = np.zeros(len(i), np.int64)
@@ -385,12 +388,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bucket: int =
                           .mapInArrow(_low_bytes, "rep long, doc_id long, size int, copies long, bits binary"))
     rows = "path long, low int, high int, side int, rep long, leaves array<bigint>"
     asked = scratch.store(dealt.join(small.select("rep", "size", "bits"), "rep").repartition(*TILE).sortWithinPartitions(*TILE)
-                          .mapInArrow(_candidates(threshold), rows))
+                          .mapInArrow(_candidates(threshold, recall), rows))
     scratch.drop(leaves)
     whole = some.select("doc_id", F.xxhash64("digest").alias("rep"), "shingles")
     found = scratch.store(asked.join(small, "rep").join(whole, ["doc_id", "rep"]).drop("doc_id")
                           .repartition(*TILE).sortWithinPartitions(*TILE, "rep")
-                          .mapInArrow(_verify(threshold), "rep long, links long, root long"))
+                          .mapInArrow(_verify(threshold, recall), "rep long, links long, root long"))
     scratch.drop(asked, small)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     ids = reps.select("rep", "doc_id")

@@ -27,6 +27,6 @@ def test_recall_in_nodes_split_to_full_depth(similarity):
         leaves.append([np.concatenate([r.column(c).to_numpy() for r in rows]) for c in (0, 1)])
     keys = [ngramjoin.mix(path.view(np.uint64) ^ ngramjoin.mix(row.astype(np.uint64))) for path, row in leaves]
     found[leaves[0][1][np.isin(*keys)]] = True
-    found &= same.sum(1) >= ngramjoin.TOKENS * 0.8 - ngramjoin.SLACK * np.sqrt(ngramjoin.TOKENS * 0.8 * 0.2)
+    found &= same.sum(1) >= ngramjoin.least_shared(ngramjoin.THRESHOLD)
     # 1 in 10,000 may be lost: 4 expected, 10 are more than three deviations above that.
     assert (~found).sum() < 10
