@@ -1,8 +1,9 @@
-"""Helpers shared by the corpus operators: table access and stored intermediates."""
+"""Helpers shared by the corpus operators: table access, bounded draws and stored intermediates."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skewline.session import shared_path
 
@@ -11,6 +12,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_DRAW = 1 << 30
+
+
+def draw(rows: DataFrame, limit: int) -> DataFrame:
+    """The distinct rows of ``rows`` with ``weight``, how often each occurs, and ``place``, a hash
+    of the row.  If there are more than about ``limit`` of them, ``place`` chooses: equal
+    rows are one, so no frequent row or key can fill the draw."""
+    place = F.xxhash64(F.lit("draw"), *rows.columns)
+    n = rows.agg(F.approx_count_distinct(place, 0.02).alias("n")).first().n
+    share = min(1.0, 0.9 * limit / max(1, n))
+    some = rows if share == 1 else rows.where(F.pmod(place, F.lit(_DRAW)) < int(_DRAW * share))
+    return some.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("weight")).withColumn("place", place)
+
+
+def draw_windows(rows: DataFrame, limit: int, chars: int, by: str) -> DataFrame:
+    """(by, window): distinct pieces of at most ``chars`` code points of the column ``text``, about
+    ``limit`` in all and equally many for each value of ``by``, two at least.  Texts are cut from
+    end to end, and every piece of every distinct text can be drawn, by a hash of text and place."""
+    rows = rows.select(by, "text").where(F.length("text") > 0)
+    pieces = F.ceil(F.length("text") / chars)
+    totals = (rows.select(by, F.xxhash64("text"), pieces.alias("pieces")).distinct()
+              .groupBy(by).agg(F.sum("pieces").alias("pieces")))
+    each = max(2, limit // max(1, totals.count()))
+    shares = totals.select(F.col(by).alias("_by"), (F.lit(float(_DRAW)) * each / F.col("pieces")).alias("_share"))
+
+    def chosen(text_hash):
+        places = F.filter(F.sequence(F.lit(0).cast("long"), pieces - 1),
+                          lambda i: F.pmod(F.xxhash64(F.lit("window"), text_hash, i), F.lit(_DRAW)) < F.col("_share"))
+        return F.transform(places, lambda i: F.substring("text", (i * chars + 1).cast("int"), F.lit(chars)))
+
+    # The array of one binds the text's hash, worked out once a text.
+    return (rows.join(shares, F.col(by) == F.col("_by"))
+            .select(by, F.explode(F.flatten(F.transform(F.array(F.xxhash64("text")), chosen))).alias("window")).distinct())
+
+
 class Scratch:
     """Intermediate tables in the shared checkpoint folder, deleted once nothing reads them."""
 

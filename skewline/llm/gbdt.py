@@ -10,15 +10,16 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64,
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64,
         l2: float = 1.0, min_hessian: float = 2.0) -> dict[str, np.ndarray]:
-    """Fit on rows ``x`` (finite values) with labels ``y`` in 0..1.  Without rows the model
-    scores 0.5; with one class only, a constant close to it."""
+    """Fit on rows ``x`` (finite values) with labels ``y`` in 0..1, each counting ``weight`` times.
+    Without rows the model scores 0.5; with one class only, a constant close to it."""
     n, f = x.shape
+    weight = np.ones(n) if weight is None else weight.astype(float)
     inner, leaves = (1 << depth) - 1, 1 << depth
     model = {"feature": np.zeros((trees, inner), np.int32), "threshold": np.full((trees, inner), np.inf),
              "leaf": np.zeros((trees, leaves)), "prior": np.zeros(1)}
-    p = (y.sum() + 0.5) / (n + 1)
+    p = ((weight * y).sum() + 0.5) / (weight.sum() + 1)
     model["prior"][0] = np.log(p / (1 - p))
     if n == 0 or y.min() == y.max():
         return model
@@ -27,7 +28,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     margin = np.full(n, model["prior"][0])
     for t in range(trees):
         prob = 1 / (1 + np.exp(-margin))
-        g, h = y - prob, prob * (1 - prob)
+        g, h = weight * (y - prob), weight * prob * (1 - prob)
         node = np.zeros(n, np.int64)
         for level in range(depth):
             width, base = 1 << level, (1 << level) - 1

@@ -6,10 +6,12 @@ lexicon of the training words.  A learned matrix scores transitions, so words in
 code-switched text take the language of their surroundings; forward-backward gives every
 word's posterior, and a document's language is the one with the largest mean posterior.
 
-Training takes about ``TRAIN_DOCS`` labelled documents in all, equally many a language (a
-documented bound; of a sampled text at most ``TRAIN_CHARS`` characters), and joins random
-segments of different languages into code-switched sequences, without which transitions
-between languages could not be learned.  Prediction reads whole texts.
+Training takes about ``TRAIN_WINDOWS`` pieces of ``TRAIN_CHARS`` characters in all, equally many a
+language and two at least (a documented bound), drawn from all places of all labelled texts, and joins
+random segments of different languages into code-switched sequences, without which transitions
+between languages could not be learned.  Every language present is learned; hash buckets of
+features times languages stay within ``WEIGHTS`` (down to ``LEAST_FEATURES`` buckets), and the lexicon
+holds the ``LEXICON_WORDS`` most frequent words of the pieces.  Prediction reads whole texts.
 
 Forward-backward runs over all words of a batch at once: texts are cut into blocks, the
 blocks' transfer matrices are multiplied along each text, and then all blocks run forwards
@@ -32,10 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skewline.llm.arrowtext import SLICE_BYTES, byte_slices, mix, text_bytes, word_hashes, words
+from skewline.llm.common import draw_windows
 
 FOLDS, HELD_OUT = 4, 2
-TRAIN_DOCS, MAX_LANGUAGES, TRAIN_CHARS = 1200, 200, 4000
-FEATURES = 1 << 15
+TRAIN_WINDOWS, TRAIN_CHARS = 1200, 4000
+FEATURES, LEAST_FEATURES, WEIGHTS = 1 << 15, 1 << 10, 1 << 22
 ORDERS = (1, 2, 3, 4)
 SEQUENCE, SEGMENT = 48, 16
 EPOCHS, BATCH, RATE = 3, 64, 0.5
@@ -71,9 +74,9 @@ class Words:
         self.bytes[self.begin[:-1][word] + 1 + inside] = data[starts[word] + inside]
         self.length = length + 2
 
-    def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers and the distinct word of each, words in order."""
-        index, owner = [(mix(self.hashes + _U(99)) % _U(FEATURES)).astype(np.int64)], [np.arange(len(self.hashes))]
+    def features(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Feature numbers below ``buckets`` and the distinct word of each, words in order."""
+        index, owner = [(mix(self.hashes + _U(99)) % _U(buckets)).astype(np.int64)], [np.arange(len(self.hashes))]
         for n in ORDERS:
             count = np.maximum(self.length - n + 1, 0)
             word = np.repeat(np.arange(len(count)), count)
@@ -81,15 +84,23 @@ class Words:
             code = np.full(len(at), n, _U)
             for i in range(n):
                 code = code * _U(257) + self.bytes[at + i]
-            index.append((mix(code) % _U(FEATURES)).astype(np.int64))
+            index.append((mix(code) % _U(buckets)).astype(np.int64))
             owner.append(word)
         return np.concatenate(index), np.concatenate(owner)
 
 
+def feature_buckets(languages: int) -> int:
+    """A power of two: fewer buckets for more languages, so that the model stays bounded."""
+    buckets = FEATURES
+    while buckets > LEAST_FEATURES and buckets * languages > WEIGHTS:
+        buckets //= 2
+    return buckets
+
+
 def emissions(w: Words, model: dict) -> np.ndarray:
     """Scores of every distinct word for every language."""
     n, k = len(w.hashes), len(model["langs"])
-    index, owner = w.features()
+    index, owner = w.features(len(model["weights"]))
     out = np.zeros((n, k))
     count = np.bincount(owner, minlength=n)
     for c in range(k):
@@ -152,11 +163,11 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> dict:
     labelled texts, by stochastic gradient steps (Adagrad) on the conditional likelihood."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
-    k = len(names)
-    model = {"langs": names, "weights": np.zeros((FEATURES, k)), "lexicon": np.zeros(0, _U), "odds": np.zeros((0, k)),
+    k, buckets = len(names), feature_buckets(len(names))
+    model = {"langs": names, "weights": np.zeros((buckets, k)), "lexicon": np.zeros(0, _U), "odds": np.zeros((0, k)),
              "trust": np.zeros(1), "transitions": np.zeros((k, k))}
     w = Words(pa.array(texts, pa.string()))
-    label_of_doc = np.array([names.index(x) for x in langs], np.int64)
+    label_of_doc = np.searchsorted(names, langs) if names else np.zeros(0, np.int64)
     label = np.repeat(label_of_doc, np.diff(w.first))
     if k < 2 or not len(label):
         return model
@@ -167,7 +178,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> dict:
     model["lexicon"], model["odds"] = w.hashes[often], odds - odds.mean(1, keepdims=True)
     lexical = np.zeros((len(w.hashes), k))
     lexical[often] = model["odds"]
-    index, owner = w.features()
+    index, owner = w.features(buckets)
     order = np.argsort(owner, kind="stable")
     index, border = index[order], np.searchsorted(owner[order], np.arange(len(w.hashes) + 1))
     share = 1 / np.maximum(np.diff(border), 1)
@@ -176,7 +187,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> dict:
     cuts = np.unique(np.concatenate([[0], w.first[:-1], cuts]))
     cuts = cuts[cuts < len(label)]
     pieces = np.split(np.arange(len(label)), cuts[1:])
-    step_sums = {"weights": np.full((FEATURES, k), 1e-8), "trust": np.full(1, 1e-8), "transitions": np.full((k, k), 1e-8)}
+    step_sums = {"weights": np.full((buckets, k), 1e-8), "trust": np.full(1, 1e-8), "transitions": np.full((k, k), 1e-8)}
 
     def step(name: str, gradient: np.ndarray, rate: float) -> None:
         step_sums[name] += gradient ** 2
@@ -200,7 +211,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> dict:
             miss[np.arange(len(y)), y] += 1
             by_kind = np.stack([np.bincount(where, miss[:, c], len(kinds)) for c in range(k)], 1)
             scaled = by_kind * share[kinds][:, None]
-            step("weights", np.stack([np.bincount(feature, scaled[of, c], FEATURES) for c in range(k)], 1), RATE)
+            step("weights", np.stack([np.bincount(feature, scaled[of, c], buckets) for c in range(k)], 1), RATE)
             step("trust", np.array([(by_kind * lexical[kinds]).sum()]), 0.02)
             step("transitions", _transition_gradient(score, first, model["transitions"], y), 0.1)
     return model
@@ -253,21 +264,11 @@ def predict(col: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.where(letters, mean.argmax(1), -1), np.where(letters, np.clip(mean.max(1), 0, 1), 0)
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
+def fit(docs: DataFrame, train_windows: int = TRAIN_WINDOWS) -> dict:
     """Learn from labelled documents outside the held-out fold."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return train([], [])
-    each = max(10, train_docs // len(counts))
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int((1 << 30) * min(1.0, each / n))))
-    got = rows.where(chosen).select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).toArrow().combine_chunks()
-    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train(got["text"].to_pylist(), got["lang"].to_pylist())
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    got = draw_windows(rows, train_windows, TRAIN_CHARS, "lang").toArrow().sort_by([("lang", "ascending"), ("window", "ascending")])
+    return train(got["window"].to_pylist(), got["lang"].to_pylist())
 
 
 def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:

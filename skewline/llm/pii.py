@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skewline.llm.common import Scratch
-from skewline.llm.quality import sample
+from skewline.llm.common import Scratch, draw
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -212,12 +211,12 @@ def reliabilities(kinds: np.ndarray, patterns: np.ndarray, counts: np.ndarray) -
     return p
 
 
-def train(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic weights for soft labels ``y``, by damped Newton steps."""
+def train(x: np.ndarray, y: np.ndarray, count: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic weights for soft labels ``y`` of rows that count ``count`` times, by damped Newton steps."""
     w = np.zeros(WIDTH)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(WIDTH), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + ridge * np.eye(WIDTH), x.T @ (count * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -264,17 +263,16 @@ def extract(docs: DataFrame) -> DataFrame:
 
 def fit(extracted: DataFrame, train_spans: int = TRAIN_SPANS) -> np.ndarray:
     """The span classifier's weights from a stored ``extract`` table."""
-    spans = extracted.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.*")
+    spans = extracted.select(F.explode("found").alias("s")).select("s.*")
     seen = spans.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("kind", "pattern").collect()
     if not seen:
         return np.zeros(WIDTH)
     p = reliabilities(*(np.array([r[c] for r in seen]) for c in ("kind", "pattern", "n")))
     soft = {(r.kind, r.pattern): v for r, v in zip(seen, p)}
-    some = sample(spans.withColumn("key", F.struct("doc_id", "start", "kind")), "key", train_spans)
-    got = some.select("doc_id", "start", "kind", "pattern", "features").toArrow().combine_chunks()
-    got = got.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("kind", "ascending")])
+    got = draw(spans.select("kind", "pattern", "features"), train_spans).toArrow().sort_by("place")
     x = np.array(got["features"].to_pylist(), float).reshape(-1, WIDTH)
-    return train(x, np.array([soft[k] for k in zip(got["kind"].to_pylist(), got["pattern"].to_pylist())]))
+    y = np.array([soft[k] for k in zip(got["kind"].to_pylist(), got["pattern"].to_pylist())])
+    return train(x, y, got["weight"].to_numpy())
 
 
 def find(docs: DataFrame, train_spans: int = TRAIN_SPANS) -> DataFrame:

@@ -12,10 +12,12 @@ log p(class | sides) + log p(word | class), the latter from their counts.  All o
 more class and are charged log p(class | sides) + log p(spelling), from pairs of neighbouring
 bytes in such words: so every string has a probability of its own, and they sum to at most 1.
 
-The network starts from a fit to a bounded sample
-(about ``WARM_DOCS`` documents); then every task trains it over all its documents, and the tasks'
-weights are averaged, weighted by their words, parameter by parameter in a Spark aggregate:
-what is gathered follows the input, while the driver sees one row a parameter.
+The network starts from a fit to a bounded sample (about ``WARM_WINDOWS`` pieces of ``WARM_CHARS``
+characters from all places of all texts); then every trainer goes on, with the step sizes reached
+there, over all its documents, and the trainers' weights are averaged, weighted by their words, in
+blocks of ``BLOCK`` parameters in two Spark aggregates.  There are at most sqrt(N) / ``TRAINER_ROOT``
+trainers (``LEAST_TRAINERS`` at least), and parameters grow with sqrt(N) too, so what is gathered
+grows in proportion to the input, while the driver sees each parameter once.
 
 Defined results: words are lower-case runs of letters, digits and non-ASCII characters;
 a null text is empty; a text without words has 0 words, log_prob 0 and a null mean; repeated
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skewline.llm.arrowtext import byte_slices, mix, text_bytes, word_hashes, words
-from skewline.llm.common import Scratch
+from skewline.llm.common import Scratch, draw_windows
 
 LEAST_VOCABULARY = 960
 NET_ROOT, COUNT_ROOT = 3, 500
@@ -43,7 +45,9 @@ OTHER = 64
 WIDTH = 16
 SIDES = (-2, -1, 1, 2)
 BATCH = 8192
-WARM_DOCS, WARM_CHARS, WARM_EPOCHS = 400, 20_000, 4
+WARM_WINDOWS, WARM_CHARS, WARM_EPOCHS = 500, 4000, 6
+TRAINER_ROOT, LEAST_TRAINERS = 100, 64
+BLOCK = 4096
 WARM_RATE, RATE = 0.1, 0.05
 _U = np.uint64
 _SEPARATORS = np.ones(256, bool)
@@ -62,6 +66,7 @@ class Words(NamedTuple):
     share: np.ndarray  # share of every class in the corpus; unused ones fill up the last group
     spelled: int  # the class of all other words
     size: int  # classes a group
+    total: int  # words of the corpus
 
 
 def shapes(n: int, size: int) -> dict[str, tuple[int, ...]]:
@@ -185,11 +190,12 @@ def log_probabilities(net: dict, token: np.ndarray, beside: np.ndarray, gradient
 
 
 class Trainer:
-    """Adagrad steps over batches of words; it keeps words that don't fill a batch yet."""
+    """Adagrad steps over batches of words; it keeps words that don't fill a batch yet.  ``sums``
+    are the squared gradients so far."""
 
-    def __init__(self, net: dict, rate: float):
+    def __init__(self, net: dict, rate: float, sums: dict | None = None):
         self.net, self.rate, self.words = {k: v.copy() for k, v in net.items()}, rate, 0
-        self.sums = {k: np.full(v.shape, 1e-8, np.float32) for k, v in net.items()}
+        self.sums = {k: np.full(v.shape, 1e-8, np.float32) if sums is None else sums[k].copy() for k, v in net.items()}
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.rng = np.random.default_rng(5)
 
@@ -262,53 +268,68 @@ def vocabulary(docs: DataFrame) -> Words:
     inside = np.zeros(len(n))
     inside[own:] = np.log(n[own:] / np.bincount(ids[own:], n[own:], spelled)[ids[own:]])
     order = np.argsort(known)
-    return Words(known[order], ids[order], inside[order].astype(np.float32), spelling, share / share.sum(), spelled, size)
+    return Words(known[order], ids[order], inside[order].astype(np.float32), spelling, share / share.sum(), spelled, size, total)
 
 
-def warm_network(docs: DataFrame, vocab: Words, warm_docs: int = WARM_DOCS) -> dict[str, np.ndarray]:
-    """A start for all tasks: a fit to a hash sample of documents."""
-    rows = docs.where("text is not null")
-    n = max(1, rows.count())
-    draw = F.pmod(F.xxhash64(F.lit("warm"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, warm_docs / n))
-    got = sorted(r.text for r in rows.where(draw).select(F.substring("text", 1, WARM_CHARS).alias("text")).collect())
-    token, _, first = classes(pa.array(got, pa.string()), vocab)
+def warm_start(docs: DataFrame, vocab: Words, warm_windows: int = WARM_WINDOWS) -> Trainer:
+    """A start for all trainers: a fit to pieces of the texts."""
+    got = draw_windows(docs.select(F.lit(0).alias("all"), "text"), warm_windows, WARM_CHARS, "all").toArrow().sort_by("window")
+    token, _, first = classes(got["window"].combine_chunks().cast(pa.string()), vocab)
     trainer = Trainer(new_network(vocab.share, vocab.size), WARM_RATE)
     beside = contexts(token, first, len(vocab.share))
     for _ in range(WARM_EPOCHS if len(token) else 0):
         trainer.add(token, beside, last=True)
-    return trainer.net
+    return trainer
 
 
-def train(docs: DataFrame, start: dict, vocab: Words, rate: float = RATE) -> dict[str, np.ndarray]:
-    """One pass over all documents: tasks train from ``start``, their weights are averaged."""
-    shared = docs.sparkSession.sparkContext.broadcast((flat(start), vocab))
+_SUMS = "block int, part int, words long, weighted binary"
+
+
+def _add_blocks(rows: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(w, "<f8") for w in rows["weighted"].to_pylist()], 0)
+    return pa.table({"block": rows["block"][:1], "part": pa.array([0], pa.int32()), "words": [pc.sum(rows["words"])],
+                     "weighted": pa.array([total.tobytes()], pa.binary())})
+
+
+def train(docs: DataFrame, start: Trainer, vocab: Words, rate: float = RATE) -> dict[str, np.ndarray]:
+    """One pass over all documents: trainers go on from ``start``, their weights are averaged."""
+    shared = docs.sparkSession.sparkContext.broadcast((flat(start.net), flat(start.sums), vocab))
+    trainers = max(LEAST_TRAINERS, int(vocab.total ** 0.5 / TRAINER_ROOT))
+    parts = int(np.ceil(trainers ** 0.5))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, vocab = shared.value
-        trainer = Trainer(shaped(values, len(vocab.share), vocab.size), rate)
+        from pyspark import TaskContext
+
+        values, sums, vocab = shared.value
+        own = len(vocab.share), vocab.size
+        trainer = Trainer(shaped(values, *own), rate, shaped(sums, *own))
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 token, _, first = classes(part.column(0), vocab)
                 trainer.add(token, contexts(token, first, len(vocab.share)))
         trainer.add(np.zeros(0, np.int64), np.zeros((0, len(SIDES)), np.int64), last=True)
         if trainer.words:
-            out = flat(trainer.net).astype(np.float64) * trainer.words
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out), pa.array(np.full(len(out), trainer.words))],
-                                             names=["parameter", "weighted", "words"])
-
-    rows = (docs.select("text").mapInArrow(tasks, "parameter int, weighted double, words long")
-            .groupBy("parameter").agg((F.sum("weighted") / F.sum("words")).alias("value")))
-    got = rows.toArrow()
-    values = flat(start)
-    values[got["parameter"].to_numpy()] = got["value"].to_numpy()
+            out = flat(trainer.net).astype("<f8") * trainer.words
+            blocks = [out[a:a + BLOCK].tobytes() for a in range(0, len(out), BLOCK)]
+            n = len(blocks)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId() % parts] * n, pa.int32()),
+                 pa.array([trainer.words] * n, pa.int64()), pa.array(blocks, pa.binary())], names=["block", "part", "words", "weighted"])
+
+    rows = (docs.select("text").coalesce(trainers).mapInArrow(tasks, _SUMS)
+            .groupBy("block", "part").applyInArrow(_add_blocks, _SUMS).groupBy("block").applyInArrow(_add_blocks, _SUMS))
+    values = flat(start.net)
+    for r in rows.select("block", "words", "weighted").toLocalIterator():
+        block = np.frombuffer(r.weighted, "<f8") / r.words
+        values[r.block * BLOCK:r.block * BLOCK + len(block)] = block
     return shaped(values, len(vocab.share), vocab.size)
 
 
-def score(docs: DataFrame, warm_docs: int = WARM_DOCS) -> DataFrame:
+def score(docs: DataFrame, warm_windows: int = WARM_WINDOWS) -> DataFrame:
     """doc_id, n_words, log_prob (summed) and mean_log_prob of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vocab = vocabulary(docs)
-    net = train(docs, warm_network(docs, vocab, warm_docs), vocab)
+    net = train(docs, warm_start(docs, vocab, warm_windows), vocab)
     shared = docs.sparkSession.sparkContext.broadcast((flat(net), vocab))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,9 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 Each whole text becomes one row of statistics, stored once (about 30 numbers a document).
-The trees learn from at most about ``TRAIN_ROWS`` labelled rows, drawn by a hash of doc_id
-(a documented bound: the labelled rows of a 100 TB corpus would not fit one machine), and
-every document is scored from its stored row.
+The trees learn from at most about ``TRAIN_ROWS`` distinct labelled rows, weighted by how often
+they occur and drawn by a hash (a documented bound: the labelled rows of a 100 TB corpus
+would not fit one machine), and every document is scored from its stored row.
 
 Defined results: a null text is empty and is scored like one; null labels are ignored, and
 several labels of a document count as their mean; without any label every score is 0.5;
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from skewline.llm import docstats, gbdt
 from skewline.llm.arrowtext import byte_slices
-from skewline.llm.common import Scratch
+from skewline.llm.common import Scratch, draw
 
 TRAIN_ROWS = 40_000
 FOLDS, HELD_OUT = 3, 1
@@ -54,24 +54,14 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """About ``limit`` rows at most, chosen by a hash of ``key``."""
-    n = rows.count()
-    if n <= limit:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) < int((1 << 30) * 0.97 * limit / n))
-
-
 def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
     """Trees from the stored statistics of the labelled documents outside the held-out fold."""
     votes = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
              .agg(F.avg(F.col("quality").cast("double")).alias("y")).withColumnRenamed("doc_id", "_doc"))
     rows = (stats.where(~held_out(F.col("doc_id"))).join(votes, F.col("doc_id") == F.col("_doc"))
-            .select("doc_id", "stats", "y"))
-    got = sample(rows, "doc_id", train_rows).select("doc_id", "stats", "y").toArrow()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    x = matrix(got["stats"], len(docstats.NAMES))[order]
-    return gbdt.fit(x, (got["y"].to_numpy()[order] >= 0.5).astype(float))
+            .select("stats", (F.col("y") >= 0.5).alias("y")))
+    got = draw(rows, train_rows).toArrow().combine_chunks().sort_by("place")
+    return gbdt.fit(matrix(got["stats"], len(docstats.NAMES)), got["y"].to_numpy().astype(float), got["weight"].to_numpy())
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:

@@ -1,9 +1,11 @@
 """URL filter: host and path rules first, gradient-boosted trees on lexical features else.
 
-The trees learn from the URLs that a rule decides (at most about ``TRAIN_ROWS`` of them,
-drawn by a hash of the URL; a documented bound) and judge those that no rule fits.  Features
+The trees learn from the URLs that a rule decides (at most about ``TRAIN_ROWS`` distinct ones,
+weighted by how often they occur and drawn by a hash; a documented bound) and judge those
+that no rule fits.  Features
 are lengths, depth, digit ratio, entropy, parameter counts and statistics of the host's
-last label, counted over all URLs in ``SUFFIX_BUCKETS`` hash buckets (a fixed-size table).
+last label, counted over all URLs in ``SUFFIX_BUCKETS`` hash buckets (a fixed-size table); a
+URL that is learned from gets its suffix's statistics from the other half of the URLs.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no
 rule, and is judged by the trees from its text (null: empty); repeated rows are judged
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from skewline.llm import gbdt
 from skewline.llm.arrowtext import byte_slices, text_bytes
-from skewline.llm.quality import sample
+from skewline.llm.common import draw
 
 # (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -80,17 +82,22 @@ def suffix_bucket(host: Column) -> Column:
 
 
 def suffix_statistics(urls: DataFrame) -> np.ndarray:
-    """(SUFFIX_BUCKETS, 2): log of the URLs in a bucket, and the smoothed share blocked among
-    those a rule decides.  At most SUFFIX_BUCKETS rows reach the driver."""
-    out = np.zeros((SUFFIX_BUCKETS, 2))
-    out[:, 1] = 0.5
-    rows = urls.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.count("decided").alias("known"),
+    """(2, SUFFIX_BUCKETS, 3): URLs in a bucket, those a rule decides, and those it blocks, for either half of the
+    URLs.  At most twice SUFFIX_BUCKETS rows reach the driver."""
+    out = np.zeros((2, SUFFIX_BUCKETS, 3))
+    rows = urls.groupBy("half", "suffix").agg(F.count(F.lit(1)).alias("n"), F.count("decided").alias("known"),
                                       F.sum((F.col("decided") == "block").cast("long")).alias("blocked"))
     for r in rows.collect():
-        out[r.suffix] = np.log1p(r.n), ((r.blocked or 0) + 1) / (r.known + 2)
+        out[r.half, r.suffix] = r.n, r.known, r.blocked or 0
     return out
 
 
+def suffix_features(stats: np.ndarray, suffix: np.ndarray, half: np.ndarray | None = None) -> np.ndarray:
+    """Log of a suffix's URLs and its smoothed share blocked: of all URLs, or of twice those outside ``half``."""
+    n, known, blocked = (stats.sum(0)[suffix] if half is None else 2 * stats[1 - half, suffix]).T
+    return np.stack([np.log1p(n), (blocked + 1) / (known + 2)], 1)
+
+
 def judge(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """page_id, host, path, rule and verdict of every row, with the trees' score (likeness
     to blocked URLs)."""
@@ -98,20 +105,20 @@ def judge(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFr
     urls = (pages.select("page_id", F.col("url").cast("string").alias("url")).withColumns({"host": host, "path": path})
             .withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
             .select("page_id", "url", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("decided"),
-                    suffix_bucket(F.col("host")).alias("suffix")))
+                    suffix_bucket(F.col("host")).alias("suffix"),
+                    F.coalesce(F.crc32(F.col("url").cast("binary")) % 2, F.lit(0)).cast("int").alias("half")))
     stats = suffix_statistics(urls)
 
-    def features(batch: pa.RecordBatch) -> np.ndarray:
-        url, host, path, suffix = (batch.column(batch.schema.get_field_index(c)) for c in ("url", "host", "path", "suffix"))
-        return np.concatenate([lexical(url, host, path), stats[suffix.to_numpy(zero_copy_only=False)]], 1)
-
-    got = (sample(urls.where(F.col("decided").isNotNull()), "url", train_rows)
-           .select("url", "host", "path", "suffix", "decided").toArrow().combine_chunks().sort_by("url"))
-    x = np.zeros((0, 1))
-    if got.num_rows:
-        x = np.concatenate([features(b) for b in got.to_batches()])
-    y = np.array([d == "block" for d in got["decided"].to_pylist()], float)
-    model = gbdt.fit(x, y)
+    def features(batch: pa.RecordBatch, crossed: bool = False) -> np.ndarray:
+        url, host, path, suffix, half = (batch.column(batch.schema.get_field_index(c)) for c in ("url", "host", "path", "suffix", "half"))
+        own = half.to_numpy(zero_copy_only=False) if crossed else None
+        return np.concatenate([lexical(url, host, path), suffix_features(stats, suffix.to_numpy(zero_copy_only=False), own)], 1)
+
+    got = (draw(urls.where(F.col("decided").isNotNull()).select("url", "host", "path", "suffix", "half", "decided"), train_rows)
+           .toArrow().sort_by("place").combine_chunks())
+    weight, y = got["weight"].to_numpy(), np.array([d == "block" for d in got["decided"].to_pylist()], float)
+    x = features(got.to_batches()[0], crossed=True) if got.num_rows else np.zeros((0, 1))
+    model = gbdt.fit(x, y, weight)
     names = ["page_id", "host", "path", "rule", "decided"]
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,11 +8,13 @@ SF01 = "/root/testdata/sf0.01"
 
 
 def test_probabilities_sum_to_one_and_gradients_are_slopes():
-    net = {k: v.astype(np.float64) for k, v in lm.new_network().items()}
-    beside = np.array([[3, 5, lm.OUTSIDE, 70]])
-    logs = [lm.log_probabilities(net, np.array([c]), beside)[0] for c in range(lm.CLASSES)]
+    share = np.random.default_rng(2).random(1024)
+    outside = len(share)
+    net = {k: v.astype(np.float64) for k, v in lm.new_network(share / share.sum(), 32).items()}
+    beside = np.array([[3, 5, outside, 70]])
+    logs = [lm.log_probabilities(net, np.array([c]), beside)[0] for c in range(outside)]
     assert abs(np.exp(logs).sum() - 1) < 1e-9
-    token, beside = np.array([3, 40, 900]), np.array([[1, 2, 3, 4], [5, 5, lm.OUTSIDE, 7], [1, 1023, 0, 9]])
+    token, beside = np.array([3, 40, 900]), np.array([[1, 2, 3, 4], [5, 5, outside, 7], [1, 1023, 0, 9]])
     gradient = {}
     lm.log_probabilities(net, token, beside, gradient)
     rng = np.random.default_rng(1)
@@ -27,16 +29,17 @@ def test_probabilities_sum_to_one_and_gradients_are_slopes():
 
 
 def test_contexts_stay_inside_texts():
-    got = lm.contexts(np.array([1, 2, 3, 4]), np.array([0, 3, 3, 4]))
-    o = lm.OUTSIDE
+    o = 99
+    got = lm.contexts(np.array([1, 2, 3, 4]), np.array([0, 3, 3, 4]), o)
     assert got.tolist() == [[o, o, 2, 3], [o, 1, 3, o], [1, 2, o, o], [o, o, o, o]]
 
 
 def test_classes_follow_the_vocabulary():
     known, ids = lm.word_hashes(*(lambda d, o: (d, o[:-1], o[1:]))(*lm.text_bytes(pa.array(["the", "éa"])))), np.array([0, 1])
     order = np.argsort(known)
-    got, first = lm.classes(pa.array(["The ÉA, the! zz", None, ""]), known[order], ids[order])
-    assert got[:3].tolist() == [0, 1, 0] and got[3] >= lm.VOCABULARY and first.tolist() == [0, 4, 4, 4]
+    vocab = lm.Words(known[order], ids[order], np.zeros(2, np.float32), np.full(1 << 16, -1, np.float32), np.full(4, 0.25), 3, 2, 10)
+    got, inside, first = lm.classes(pa.array(["The ÉA, the! zz", None, ""]), vocab)
+    assert got.tolist() == [0, 1, 0, 3] and first.tolist() == [0, 4, 4, 4] and inside.tolist() == [0, 0, 0, -3]
 
 
 @pytest.fixture(scope="module")
@@ -45,17 +48,35 @@ def docs(spark):
 
 
 def test_training_beats_word_frequencies_and_the_start(spark, docs):
-    known, ids, share = lm.vocabulary(docs)
-    start = lm.warm_network(docs, known, ids, share, 100)
-    net = lm.train(docs, start, known, ids)
-    token, first = lm.classes(pa.array([r.text for r in docs.collect()]), known, ids)
-    beside = lm.contexts(token, first)
-    mean = [lm.log_probabilities(n, token, beside).mean() for n in (start, net)]
-    own = np.bincount(token, minlength=lm.CLASSES) / len(token)
-    assert np.abs(own[:lm.VOCABULARY] - share[:lm.VOCABULARY]).max() < 1e-3
+    vocab = lm.vocabulary(docs)
+    start = lm.warm_start(docs, vocab, 100)
+    net = lm.train(docs, start, vocab)
+    token, _, first = lm.classes(pa.array([r.text for r in docs.collect()]), vocab)
+    n = len(vocab.share)
+    beside = lm.contexts(token, first, n)
+    mean = [lm.log_probabilities(x, token, beside).mean() for x in (start.net, net)]
+    own = np.bincount(token, minlength=n) / len(token)
+    frequent = vocab.spelled - lm.OTHER
+    assert np.abs(own[:frequent] - vocab.share[:frequent]).max() < 1e-3 and vocab.total == len(token)
     assert mean[1] > mean[0] and mean[1] > np.log(own[token]).mean() + 0.1
 
 
+def test_trainers_follow_the_words(spark, docs, monkeypatch):
+    """Blocks are averaged over trainers by their words, whatever the number of trainers."""
+    vocab = lm.vocabulary(docs)
+    start = lm.warm_start(docs, vocab, 50)
+    monkeypatch.setattr(lm, "LEAST_TRAINERS", 3)
+    few = docs.where("doc_id % 10 = 0").select("text").repartition(3).cache()
+    got = lm.flat(lm.train(few, start, vocab))
+    want, words = 0, 0
+    for rows in few.rdd.glom().collect():
+        own = lm.Trainer(start.net, lm.RATE, start.sums)
+        token, _, first = lm.classes(pa.array([r.text for r in rows], pa.string()), vocab)
+        own.add(token, lm.contexts(token, first, len(vocab.share)), last=True)
+        want, words = want + lm.flat(own.net).astype(float) * own.words, words + own.words
+    assert np.abs(got - want / words).max() < 1e-4
+
+
 def test_scores_tell_shuffled_text(spark, docs):
     rng = np.random.default_rng(4)
     rows = [r for r in docs.collect() if len(r.text.split()) > 100][:60]
