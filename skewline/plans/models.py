@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skewline.config import DEFAULT, Settings
+from skewline.operators import contributions as CT
 from skewline.operators import cv
 from skewline.operators import stats as ST
 from skewline.session import materialize
 from skewline.sources.tables import exists
 
 KEY = ["date", "ticker"]
-MIN_REGIME_ROWS, PERMUTED_ROWS = 10, 4096
+MIN_REGIME_ROWS = 10
 
 
 def design(frame: DataFrame, features, label: str) -> DataFrame:
@@ -141,32 +142,17 @@ def top_features(model, features, k: int = 5):
 
 def regime_pruning(spark: SparkSession, model, data: DataFrame, features, cfg: Settings = DEFAULT,
                    threshold: float = 0.005) -> DataFrame:
-    """M6 re-aimed: mean |p(permuted) - p| per feature within the calm (VIX <= q33) and
-    stressed (VIX >= q67) regimes; keep a feature whose effect exceeds 0.005 in either
-    regime (all features if none does).
-
-    Permutation inside a regime = pairing each row with the row of the same rank under a
-    seeded hash order, within random groups of about ``PERMUTED_ROWS`` rows, so no task holds
-    a whole regime; all (feature, row) variants are scored in one transform.  P14: a regime
-    of ten rows or fewer has no say."""
+    """Mean |contribution| to the log-odds per feature within the calm (VIX <= q33) and
+    stressed (VIX >= q67) regimes; keep a feature above ``threshold`` in either regime (all
+    features if none is).  P14: a regime of ten rows or fewer has no say."""
     f = list(features)
     q = data.select(F.percentile("vix_level", F.array(F.lit(0.33), F.lit(0.67)))).scalar()
     reg = F.when(F.col("vix_level") <= q[0], "calm").when(F.col("vix_level") >= q[1], "stressed")
-    base = p1(model.transform(data)).withColumn("regime", reg).where(F.col("regime").isNotNull())
-    base = base.withColumn("_x", vector_to_array("features")).select(*KEY, "regime", "_x", F.col("p").alias("p0"))
-    idx = F.explode(F.sequence(F.lit(0), F.lit(len(f) - 1))).alias("fi")
-    long = base.select(*KEY, "regime", "_x", "p0", idx)
-    groups = max(1, data.count() // PERMUTED_ROWS)
-    long = long.withColumn("_g", F.pmod(F.xxhash64(F.lit(cfg.seed + 1), *KEY), F.lit(groups)))
-    wk = Window.partitionBy("regime", "fi", "_g")
-    long = long.withColumn("_r_nat", F.row_number().over(wk.orderBy(*KEY))).withColumn(
-        "_r_perm", F.row_number().over(wk.orderBy(F.xxhash64(F.lit(cfg.seed), "fi", *KEY), *KEY)))
-    donor = long.select("regime", "fi", "_g", F.col("_r_perm").alias("_r_nat"), F.col("_x")[F.col("fi")].alias("_pv"))
-    perm = long.join(donor, ["regime", "fi", "_g", "_r_nat"])
-    perm = perm.withColumn("features", array_to_vector(F.transform("_x", lambda x, i: F.when(i == F.col("fi"),
-                                                                                             F.col("_pv")).otherwise(x))))
-    scored = p1(model.transform(perm.drop("_x")))
-    eff = scored.groupBy("fi", "regime").agg(F.when(F.count(F.lit(1)) > MIN_REGIME_ROWS, F.avg(F.abs(F.col("p") - F.col("p0")))).alias("effect"))
+    explain = CT.booster_explainer([model], len(f))
+    rows = data.withColumn("regime", reg).where(F.col("regime").isNotNull()).withColumn("_x", vector_to_array("features"))
+    rows = rows.select("regime", CT.contributions(explain, [F.col("_x")[i] for i in range(len(f))]).alias("_phi"))
+    eff = (rows.select("regime", F.posexplode("_phi").alias("fi", "phi")).groupBy("fi", "regime")
+           .agg(F.when(F.count(F.lit(1)) > MIN_REGIME_ROWS, F.avg(F.abs("phi"))).alias("effect")))
     names = F.element_at(F.array(*[F.lit(x) for x in f]), F.col("fi") + 1)
     piv = eff.groupBy("fi").agg(F.max(F.when(F.col("regime") == "calm", F.col("effect"))).alias("calm_effect"),
                                 F.max(F.when(F.col("regime") == "stressed", F.col("effect"))).alias("stressed_effect"))
