@@ -8,6 +8,7 @@ from skewline import sqlcheck as Q
 from skewline.functions.text import redact_secrets
 from skewline.operators.chain import price_contracts
 from skewline.plans.catalog import CFG, register, select_sql
+from skewline.session import materialize, shared_path
 from skewline.sources import market_data as M
 from skewline.sources import tables as TB
 from skewline.sources import vendor_json as VJ
@@ -182,19 +183,58 @@ def q_redact_urls(fx):
     ["~pulled_at", f"~{_redact_sql('url')} AS url", "~CAST(status_code AS INTEGER) AS status_code",
      "elapsed_ms"], "v_requests"), views=["v_requests"]))
 def q_request_log(fx):
-    """pull_log rows: redacted URL, status, elapsed ms."""
-    return TB.request_log_rows(fx.v_requests, lambda c: redact_secrets(c, LITERAL_KEY))
-
-
-@register("json_field_inventory")
+    """pull_log rows (redacted URL, status, elapsed ms) appended to the stored log in two runs and read back."""
+    rows = TB.request_log_rows(fx.v_requests, lambda c: redact_secrets(c, LITERAL_KEY))
+    root = shared_path(fx.spark, "pull-log")
+    late = F.col("status_code") == 429
+    TB.append_request_log(rows.where(~late), root)
+    TB.append_request_log(rows.where(late), root)
+    return TB.read_table(fx.spark, root, "pull_log")
+
+
+def _page_sql(keys: str, order: str) -> str:
+    return f"(row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1) // {VJ.PAGE} AS page"
+
+
+INVENTORY_SQL = [
+    ("docs", f"""
+SELECT 'contracts' AS label, to_json({{'results': list({{'ticker': ticker, 'underlying_ticker': underlying, 'contract_type': contract_type,
+  'exercise_style': 'american', 'primary_exchange': 'BATO', 'cfi': 'OCASPS', 'expiration_date': strftime(expiry, '%Y-%m-%d'),
+  'strike_price': strike, 'shares_per_contract': 100}}), 'status': 'OK',
+  'request_id': underlying || '-' || strftime(date, '%Y%m%d') || '-' || page}}) AS payload
+FROM (SELECT *, {_page_sql("date, underlying", "ticker")} FROM v_options) o GROUP BY date, underlying, page
+UNION ALL
+SELECT 'bars', to_json({{'ticker': ticker, 'adjusted': true, 'queryCount': count(*), 'resultsCount': count(*), 'count': count(*),
+  'results': list({{'v': volume, 'vw': (open + close) / 2e0, 'o': open, 'c': close, 'h': greatest(open, close), 'l': least(open, close),
+    't': epoch_ms(CAST(date AS TIMESTAMP)), 'n': transactions}})}})
+FROM (SELECT *, {_page_sql("ticker", "date")} FROM v_options) o GROUP BY ticker, page"""),
+    ("tree", """
+SELECT label, id, path, CASE WHEN whole THEN CAST(CAST(sample AS DOUBLE) AS BIGINT)::VARCHAR ELSE sample END AS sample,
+  CASE WHEN whole THEN 'int' ELSE kind END AS kind FROM (
+  SELECT d.label, d.id, regexp_replace(substr(t.fullkey, 3), '[[][0-9]+[]]', '[]', 'g') AS path, t.value::VARCHAR AS sample,
+    CASE t.type WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'DOUBLE' THEN 'float' WHEN 'NULL' THEN 'NoneType' ELSE 'int' END AS kind,
+    CASE WHEN t.type = 'DOUBLE' THEN TRY_CAST(t.value::VARCHAR AS DOUBLE) = floor(TRY_CAST(t.value::VARCHAR AS DOUBLE)) ELSE false END AS whole
+  FROM (SELECT *, row_number() OVER () AS id FROM docs) d, json_tree(d.payload) t
+  WHERE t.type NOT IN ('OBJECT', 'ARRAY') AND t.fullkey NOT LIKE '%]') x"""),
+    ("inv", """
+SELECT label, path, array_to_string(list_sort(list(DISTINCT kind)), '|') AS type, count(DISTINCT id) AS n_docs, min(sample) AS sample
+FROM tree GROUP BY label, path"""),
+]
+
+
+@register("json_field_inventory", Q.build(INVENTORY_SQL, "SELECT * FROM inv", views=["v_options"]))
 def q_json_field_inventory(fx):
-    """Field paths, types, document counts and samples of the vendor JSON corpora."""
+    """Field paths, types, document counts and samples of all records of the vendor JSON corpora."""
     docs = VJ.contract_payloads(fx.v_options).select(F.lit("contracts").alias("label"), "payload").unionByName(
         VJ.bar_payloads(fx.v_options).select(F.lit("bars").alias("label"), "payload"))
-    return VJ.field_inventory(docs, "payload", "label")
+    # Stored first, as landed files are: every level of the profile reads the documents.
+    return VJ.field_inventory(materialize(docs, "json"), "payload", "label", all_elements=True)
 
 
-@register("json_field_report")
+@register("json_field_report", Q.build(INVENTORY_SQL, """
+SELECT label, '**Fields returned:**' || chr(10) || chr(10) || '| Field | Type | Sample |' || chr(10) || '|---|---|---|' || chr(10) || string_agg(
+  '| `' || path || '` | ' || type || ' | ' || replace(left(sample, 80), '|', '/') || ' |', chr(10) ORDER BY path) AS report
+FROM inv GROUP BY label""", views=["v_options"]))
 def q_json_field_report(fx):
     """The field inventory rendered as one markdown table per corpus."""
     return VJ.field_report(q_json_field_inventory(fx))
