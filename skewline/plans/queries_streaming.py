@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skewline import sqlcheck as Q
 from skewline.plans.catalog import CFG, register, select_sql
-from skewline.session import shared_path
+from skewline.session import materialize, shared_path
 from skewline.sources import vendor_json as VJ
 from skewline.sources.tables import read_table
 from skewline.streaming.incremental_bars import start_incremental_bars
@@ -47,6 +47,7 @@ def _ingested(fx) -> str:
     once = F.count(F.lit(1)).over(Window.partitionBy("ticker")) == 1
     contracts = contracts.withColumn("as_of", F.when(once & (F.pmod(F.xxhash64("ticker"), F.lit(2)) == 0), F.date_add("as_of", 40))
                                      .otherwise(F.col("as_of")))
+    contracts = materialize(contracts, "contracts")
     part = F.pmod(F.xxhash64("ticker"), F.lit(10))
     wrong = VJ.bar_payloads(opts.where(part < 3).withColumn("close", F.col("close") * 2))
     right = VJ.bar_payloads(opts.withColumn("_h", part)).withColumn("_h", F.pmod(F.xxhash64(F.get_json_object("payload", "$.ticker")), F.lit(10)))

@@ -1,12 +1,21 @@
 """Table catalog (S1) and keyed writes.
 
 Tables are parquet folders partitioned by month of ``date`` (progress, which has no date,
-by a hash of its key).  Writes replace only the partitions they touch (dynamic partition
-overwrite), and reads of them are pruned to those partitions by the physical column.
+by a hash of its key).  A write puts the partitions it touches into a new batch folder,
+
+    <table>/data/batch=<id>/part=<month>/...   and, when that is complete,
+    <table>/_current/<number>.json              partition -> batch, one file a version,
+
+so readers see all of a batch or nothing of it, whatever is interrupted.  A version's file is
+made by one rename that fails if the file exists: of two writers that started from the same
+version the second is refused.  Versions of two commits ago are deleted.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,15 +73,86 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_table(spark: SparkSession, root: str, name: str, parts: list[str] | None = None) -> DataFrame:
-    """A table by name, or only some of its partitions; an empty typed frame when its folder
-    does not exist yet (any other failure to read it is an error)."""
+class ConcurrentWrite(RuntimeError):
+    """Another writer has committed since this one read the table."""
+
+
+class Versions:
+    """The committed versions of one table folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark._jvm, path
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self._path(path).getFileSystem(self.conf)
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(name)
+
+    def numbers(self) -> list[int]:
+        folder = self._path(f"{self.path}/_current")
+        if not self.fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in self.fs.listStatus(folder)]
+        return sorted(int(n.split(".")[0]) for n in names if n.endswith(".json") and n[0].isdigit())
+
+    def read(self, number: int | None = None) -> tuple[int, dict[str, str]]:
+        """(number, partition -> batch) of a version, by default the latest; (0, {}) before the first."""
+        if number is None:
+            number = max(self.numbers(), default=0)
+        if not number:
+            return 0, {}
+        stream = self.fs.open(self._path(f"{self.path}/_current/{number:08d}.json"))
+        try:
+            return number, json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def commit(self, after: int, batches: dict[str, str]) -> None:
+        """Make a version visible that follows version ``after``."""
+        name = f"{self.path}/_current/{after + 1:08d}.json"
+        draft = self._path(f"{self.path}/_current/.{uuid.uuid4().hex}")
+        out = self.fs.create(draft, True)
+        out.write(bytearray(json.dumps(batches), "utf-8"))
+        out.close()
+        options = self.jvm.org.apache.hadoop.fs.Options.Rename
+        none = self.jvm.java.lang.reflect.Array.newInstance(options.NONE.getClass(), 0)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self.fs.getUri(), self.conf)
+        try:
+            context.rename(draft, self._path(name), none)
+        except Exception as e:
+            self.fs.delete(draft, False)
+            raise ConcurrentWrite(f"{name} has been committed by another writer") from e
+
+    def drop_before(self, number: int) -> None:
+        """Delete the versions before ``number`` and the partitions that only they name."""
+        kept = {(p, b) for n in self.numbers() if n >= number for p, b in self.read(n)[1].items()}
+        for n in self.numbers():
+            if n < number:
+                for p, b in self.read(n)[1].items():
+                    if (p, b) not in kept:
+                        self.fs.delete(self._path(f"{self.path}/data/batch={b}/{PART}={p}"), True)
+                self.fs.delete(self._path(f"{self.path}/_current/{n:08d}.json"), False)
+
+
+def read_table(spark: SparkSession, root: str, name: str, parts: list[str] | None = None, version: int | None = None) -> DataFrame:
+    """A table by name, or only some of its partitions; an empty typed frame when nothing has
+    been committed yet (any other failure to read it is an error).  ``version`` reads an earlier commit
+    that is still there."""
     path, names = f"{root}/{name}", SCHEMAS[name].fieldNames()
     if not exists(spark, path):
         return spark.createDataFrame([], SCHEMAS[name])
     if not KEYS[name]:
         return spark.read.schema(SCHEMAS[name]).parquet(path)
-    stored = spark.read.schema(T.StructType([*SCHEMAS[name].fields, T.StructField(PART, S)])).parquet(path)
+    number, batches = Versions(spark, path).read(version)
+    plain = number == 0 and not exists(spark, f"{path}/data")  # a folder of partitions that another tool wrote
+    schema = T.StructType([*SCHEMAS[name].fields, T.StructField(PART, S)])
+    if plain:
+        stored = spark.read.schema(schema).parquet(path)
+    else:
+        wanted = [f"{path}/data/batch={b}/{PART}={p}" for p, b in sorted(batches.items()) if parts is None or p in parts]
+        if not wanted:
+            return spark.createDataFrame([], SCHEMAS[name])
+        stored = spark.read.schema(schema).option("basePath", f"{path}/data").parquet(*wanted)
     return (stored if parts is None else stored.where(F.col(PART).isin(parts))).select(*names)
 
 
@@ -107,24 +187,27 @@ def upsert_partitions(spark: SparkSession, root: str, name: str, updates: DataFr
                       rows_per_file: int = 1_000_000) -> None:
     """Persisted S9: rewrite only the partitions touched by ``updates``.
 
-    Reads the touched partitions (a filter on the partition column, so others are not
-    listed), upserts, and overwrites them.  A partition of many rows is dealt by key to as many
-    tasks as it fills files.  Idempotent: replaying a batch leaves the table unchanged."""
+    Reads the touched partitions (others are not listed), upserts them into a new batch folder
+    and commits.  A partition of many rows is dealt by key to as many tasks as it fills files.
+    Idempotent: replaying a batch leaves the table unchanged."""
     keys, columns = KEYS[name], SCHEMAS[name].fieldNames()
     extra = [c for c in newest if c in updates.columns and c not in columns]
     upd = conform(updates, name).select(*columns) if not extra else updates.select(
         *[(F.col(f.name) if f.name in updates.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields], *extra)
+    versions = Versions(spark, f"{root}/{name}")
+    number, batches = versions.read()
     # Calendar months (or shards) of one batch: a handful of strings.
-    parts = [r[0] for r in upd.select(part_of(name)).distinct().collect()]
-    if not parts:
+    new = {r[0]: r[1] for r in upd.groupBy(part_of(name)).count().collect()}
+    if not new:
         return
-    # The old partitions must have been read before they are overwritten: the merged rows go
-    # to the shared checkpoint folder first, which also cuts the lineage to the target.
-    merged = upsert(read_table(spark, root, name, parts), upd, keys, newest).checkpoint(eager=True)
-    merged = merged.withColumn(PART, part_of(name))
-    most = merged.groupBy(PART).count().agg(F.max("count")).first()[0]
-    (merged.repartition(PART, F.pmod(F.xxhash64(*keys), F.lit(-(-most // rows_per_file))))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(f"{root}/{name}"))
+    old = read_table(spark, root, name, list(new))
+    most = max((r[1] + new[r[0]] for r in old.groupBy(part_of(name)).count().collect()), default=max(new.values()))
+    batch = f"{number + 1:08d}-{uuid.uuid4().hex[:8]}"
+    merged = upsert(old, upd, keys, newest).withColumn(PART, part_of(name))
+    (merged.repartition(PART, F.pmod(F.xxhash64(*keys), F.lit(-(-max(most, *new.values()) // rows_per_file))))
+     .write.partitionBy(PART).parquet(f"{root}/{name}/data/batch={batch}"))
+    versions.commit(number, {**batches, **dict.fromkeys(new, batch)})
+    versions.drop_before(number)
 
 
 def advance_progress(spark: SparkSession, root: str, rows: DataFrame) -> None:
@@ -141,7 +224,9 @@ def advance_progress(spark: SparkSession, root: str, rows: DataFrame) -> None:
 
 def update_from(base: DataFrame, updates: DataFrame, keys, cols) -> DataFrame:
     """S10 (UPDATE ... FROM): matched rows take the update's values - a NULL in the update
-    overwrites; unmatched rows keep theirs."""
+    overwrites; unmatched rows keep theirs.  Of several updates of one key the one with the greatest
+    values counts, so rows never multiply."""
+    updates = last_wins(updates, keys, [F.col(c).desc_nulls_last() for c in cols])
     u = updates.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in cols]).withColumn("_hit", F.lit(True))
     j = base.join(u, list(keys), "left")
     out = [F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
