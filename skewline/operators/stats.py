@@ -7,8 +7,11 @@ inside their group.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,6 +169,61 @@ def ks_drift(features: DataFrame, cols, as_of: Column, cfg: Settings = DEFAULT,
     return ks.where(ok).withColumn("severity", drift_severity(F.col("ks"), cfg))
 
 
+def _sliding_ks(values: pa.Table, ends: pa.Table) -> pa.Table:
+    """KS of the values of [recent, day] against those of [reference, recent) for each row of ``ends``: counts
+    by rank of the value are kept from one day to the next and only changed by the days that enter or leave."""
+    out = {"feature": [], "day": [], "ks": [], "n_recent": [], "n_ref": []}
+    if values.num_rows and ends.num_rows:
+        values, ends = values.sort_by("day"), ends.sort_by("day")
+        day, n = values["day"].to_numpy(), values["n"].to_numpy()
+        distinct, rank = np.unique(values["value"].to_numpy(), return_inverse=True)
+        counts, at = {"recent": np.zeros(len(distinct)), "ref": np.zeros(len(distinct))}, {"recent": (0, 0), "ref": (0, 0)}
+
+        def moved(side: str, lo: int, hi: int) -> None:
+            """Change a side's counts from rows [a, b) to rows [lo, hi); both borders only move forwards."""
+            a, b = at[side]
+            if lo >= b:
+                counts[side][:] = 0
+                a = b = lo
+            for c, d, sign in ((a, lo, -1), (b, hi, 1)):
+                if d > c:
+                    counts[side][:] += sign * np.bincount(rank[c:d], n[c:d], len(distinct))
+            at[side] = lo, hi
+
+        for end, recent, reference in zip(*(ends[c].to_pylist() for c in ("day", "recent", "reference"))):
+            lo, mid, hi = np.searchsorted(day, [reference, recent, end + 1])
+            moved("recent", mid, hi)
+            moved("ref", lo, mid)
+            a, b = np.cumsum(counts["recent"]), np.cumsum(counts["ref"])
+            if a[-1] and b[-1]:
+                for c, v in zip(out, (values["feature"][0].as_py(), end, np.abs(a / a[-1] - b / b[-1]).max(), int(a[-1]), int(b[-1]))):
+                    out[c].append(v)
+    kinds = (pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
+    return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)})
+
+
+def ks_by_date(features: DataFrame, cols, dates: DataFrame, cfg: Settings = DEFAULT, recent_days: int = 60,
+               block_days: int = 64) -> DataFrame:
+    """A9 as of every date of ``dates``: one row per (date, feature) whose two samples hold > 30 values.
+
+    A year of values serves the dates of a block: a value is copied to the (at most seven) blocks
+    whose dates' windows it can be in, and a task slides the windows over one feature's block."""
+    day = F.unix_date("date")
+    block = lambda d: F.floor(d / block_days).cast("int")
+    items = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols]
+    long = features.select(day.alias("day"), F.explode(F.array(*items)).alias("_x")).select("day", "_x.*").where(
+        F.col("value").isNotNull() & ~F.isnan("value"))
+    values = (long.groupBy("feature", "day", "value").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("block", F.explode(F.sequence(block(F.col("day")), block(F.col("day") + 366)))))
+    ends = dates.select("date").distinct().select(
+        day.alias("day"), F.unix_date(F.date_sub("date", recent_days)).alias("recent"), F.unix_date(F.add_months("date", -12)).alias("reference"),
+        F.explode(F.array(*[F.lit(c) for c in cols])).alias("feature")).withColumn("block", block(F.col("day")))
+    ks = values.groupBy("feature", "block").cogroup(ends.groupBy("feature", "block")).applyInArrow(
+        _sliding_ks, "feature string, day int, ks double, n_recent bigint, n_ref bigint")
+    return ks.where((F.col("n_recent") > 30) & (F.col("n_ref") > 30)).select(
+        F.date_from_unix_date("day").alias("date"), "feature", "ks", "n_recent", "n_ref", drift_severity(F.col("ks"), cfg).alias("severity"))
+
+
 # --------------------------------------------------------------------------- hit rates
 
 
@@ -209,25 +267,25 @@ def decile_calibration(df: DataFrame, p: str = "p_magnitude", y: str = "y_magnit
 # --------------------------------------------------------------------------- thresholds
 
 
-def direction_thresholds(df: DataFrame, p: str = "p_up", y: str = "y_direction", cfg: Settings = DEFAULT) -> DataFrame:
-    """long = first grid p (ascending 0.35..0.65, 30 points) with > 20 rows at p_up >= t and
-    hit rate >= 0.55; short = first grid p (descending) with > 20 rows at p_up <= t and
+def direction_thresholds(df: DataFrame, p: str = "p_up", y: str = "y_direction", cfg: Settings = DEFAULT, group=()) -> DataFrame:
+    """A6, per group: long = first grid p (ascending 0.35..0.65, 30 points) with > 20 rows at p_up >= t
+    and hit rate >= 0.55; short = first grid p (descending) with > 20 rows at p_up <= t and
     (1 - hit rate) >= 0.55; defaults 0.55 / 0.45.
 
     Each row computes how many grid points it clears on each side; the grid counts are
     then prefix sums of a <= 31-bin histogram."""
+    group = list(group)
     lo, hi, num = cfg.direction_grid
     up, down = linspace(lo, hi, num), linspace(hi, lo, num)
     ga, gd = F.array(*[F.lit(x) for x in up]), F.array(*[F.lit(x) for x in down])
     pv, yv = F.col(p), F.col(y).cast("long")
     rows = df.where(pv.isNotNull() & F.col(y).isNotNull()).select(
-        F.size(F.filter(ga, lambda t: pv >= t)).alias("_ml"), F.size(F.filter(gd, lambda t: pv <= t)).alias("_ms"),
+        *group, F.size(F.filter(ga, lambda t: pv >= t)).alias("_ml"), F.size(F.filter(gd, lambda t: pv <= t)).alias("_ms"),
         yv.alias("_y"))
-    hl = rows.groupBy("_ml").agg(F.count(F.lit(1)).alias("c"), F.sum("_y").alias("h"))
-    hs = rows.groupBy("_ms").agg(F.count(F.lit(1)).alias("c"), F.sum("_y").alias("h"))
 
-    def first_ok(hist, mcol, grid, long_side):
-        arr = hist.agg(F.collect_list(F.struct(F.col(mcol).alias("m"), "c", "h")).alias("b"))  # <= 31 bins
+    def first_ok(mcol, grid, long_side, name):
+        hist = rows.groupBy(*group, mcol).agg(F.count(F.lit(1)).alias("c"), F.sum("_y").alias("h"))
+        arr = hist.groupBy(*group).agg(F.collect_list(F.struct(F.col(mcol).alias("m"), "c", "h")).alias("b"))  # <= 31 bins
         tot = lambda j, fld: F.aggregate(F.filter(F.col("b"), lambda b: b["m"] > j), F.lit(0).cast("bigint"),
                                          lambda a, b: a + b[fld])
         ok = F.transform(F.sequence(F.lit(0), F.lit(num - 1)), lambda j: (tot(j, "c") > 20) & (
@@ -235,10 +293,11 @@ def direction_thresholds(df: DataFrame, p: str = "p_up", y: str = "y_direction",
             (F.lit(1.0) - F.try_divide(tot(j, "h"), tot(j, "c")) >= cfg.direction_hit_rate_target)))
         pos = F.array_position(ok, True)
         default = 0.55 if long_side else 0.45
-        return arr.select(F.when(pos > 0, F.element_at(grid, pos.cast("int"))).otherwise(F.lit(default)).alias("t"))
+        return arr.select(*group, F.when(pos > 0, F.element_at(grid, pos.cast("int"))).otherwise(F.lit(default)).alias(name))
 
-    long_t = first_ok(hl, "_ml", ga, True).select(F.col("t").alias("long_threshold"))
-    short_t = first_ok(hs, "_ms", gd, False).select(F.col("t").alias("short_threshold"))
+    long_t, short_t = first_ok("_ml", ga, True, "long_threshold"), first_ok("_ms", gd, False, "short_threshold")
+    if group:
+        return long_t.join(short_t, group)
     return long_t.select("long_threshold", short_t.select("short_threshold").scalar().alias("short_threshold"))
 
 
@@ -259,6 +318,85 @@ def poisson_thresholds() -> list[float]:
 DRAW_DIGITS = 13
 
 
+def draw_counts(key: str, n_boot: int, seed: int, cdf: np.ndarray) -> np.ndarray:
+    """The Poisson(1) counts of a row in all replicates."""
+    u = np.array([int(hashlib.md5(f"{seed}|{b}|{key}".encode()).hexdigest()[:DRAW_DIGITS], 16) for b in range(n_boot)], float)
+    return np.searchsorted(cdf, u / float(16 ** DRAW_DIGITS), side="right")
+
+
+def replicate_sums(df: DataFrame, value: str, keys, group=(), n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """group, weighted and weights: for each group the replicates' sums of count x value and of
+    counts, two vectors of ``n_boot``.  A task adds its rows up and sends one row per group; rows of all
+    tasks are added in two steps."""
+    group, keys = list(group), list(keys)
+    name = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    base = df.where(F.col(value).isNotNull()).select(*group, name.alias("_key"), F.col(value).cast("double").alias("_v"))
+    types = {f.name: f.dataType.simpleString() for f in base.schema.fields}
+    schema = ", ".join([*(f"{g} {types[g]}" for g in group), "part int, weighted array<double>, weights array<double>"])
+    names, cdf = [*group, "part", "weighted", "weights"], np.array(poisson_thresholds())
+
+    def batch_of(kinds, sums: dict, part: int) -> pa.RecordBatch:
+        columns = [pa.array([g[i] for g in sums], kind) for i, kind in enumerate(kinds)]
+        vectors = [pa.array([s[i] for s in sums.values()], pa.list_(pa.float64())) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(sums), pa.int32()), *vectors], names=names)
+
+    def tasks(batches):
+        from pyspark import TaskContext
+
+        part, kinds = TaskContext.get().partitionId() % 32, None
+        for batch in batches:
+            kinds = [f.type for f in batch.schema][:len(group)]
+            sums: dict = {}
+            for *g, key, v in zip(*(c.to_pylist() for c in batch.columns)):
+                count = draw_counts(key, n_boot, seed, cdf)
+                own = sums.setdefault(tuple(g), [np.zeros(n_boot), np.zeros(n_boot)])
+                own[0] += count * v
+                own[1] += count
+            yield batch_of(kinds, sums, part)
+
+    def add(rows: pa.Table) -> pa.Table:
+        out = {g: rows[g][:1] for g in [*group, "part"]}
+        for c in ("weighted", "weights"):
+            out[c] = pa.array([np.sum(rows[c].combine_chunks().flatten().to_numpy().reshape(-1, n_boot), 0)], pa.list_(pa.float64()))
+        return pa.table(out)
+
+    return (base.mapInArrow(tasks, schema).groupBy(*group, "part").applyInArrow(add, schema)
+            .groupBy(*(group or [F.lit("all")])).applyInArrow(add, schema).drop("part"))
+
+
+def _interval(weighted: np.ndarray, weights: np.ndarray, ci: float) -> tuple[float, float]:
+    some = weights > 0
+    lo, hi = np.quantile(weighted[some] / weights[some], [(1 - ci) / 2, 1 - (1 - ci) / 2])
+    return float(lo), float(hi)
+
+
+def trailing_ci(df: DataFrame, value: str, keys, group: str, days: int = 30, n_boot: int = 1000, ci: float = 0.80,
+                seed: int = 42, block_days: int = 32) -> DataFrame:
+    """A8 at every date: (end, group, lo, hi) of the mean of ``value`` over the ``days`` up to each date
+    with rows there, from one draw a row: the replicate sums of the dates are added up along time."""
+    daily = replicate_sums(df, value, keys, ["date", group], n_boot, seed).withColumn("day", F.unix_date("date"))
+    block = lambda d: F.floor(d / block_days).cast("int")
+    copies = daily.withColumn("block", F.explode(F.sequence(block(F.col("day")), block(F.col("day") + days))))
+
+    def ends(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("day")
+        day, first = rows["day"].to_numpy(), rows["block"][0].as_py() * block_days
+        sums = [np.cumsum(np.concatenate([np.zeros((1, n_boot)), rows[c].combine_chunks().flatten().to_numpy().reshape(-1, n_boot)]), 0)
+                for c in ("weighted", "weights")]
+        out = []
+        for end in range(first, first + block_days):
+            a, b = np.searchsorted(day, [end - days, end + 1])
+            if b > a and (sums[1][b] - sums[1][a]).any():
+                out.append((end, *_interval(sums[0][b] - sums[0][a], sums[1][b] - sums[1][a], ci)))
+        columns = list(zip(*out)) or [[]] * 3
+        return pa.table({"day": pa.array(columns[0], pa.int32()), group: pa.array([rows[group][0].as_py()] * len(out), rows[group].type),
+                         "lo": pa.array(columns[1], pa.float64()), "hi": pa.array(columns[2], pa.float64())})
+
+    kind = df.schema[group].dataType.simpleString()
+    return copies.groupBy(group, "block").applyInArrow(ends, f"day int, {group} {kind}, lo double, hi double").select(
+        F.date_from_unix_date("day").alias("end"), group, "lo", "hi")
+
+
 def bootstrap_ci(df: DataFrame, value: str, keys, group=(), stat=F.avg, n_boot: int = 1000, ci: float = 0.80,
                  seed: int = 42) -> DataFrame:
     """Point estimate and percentile CI of ``stat`` (any aggregate of a column) per group.
@@ -266,19 +404,30 @@ def bootstrap_ci(df: DataFrame, value: str, keys, group=(), stat=F.avg, n_boot:
     Poisson(1) bootstrap: row and replicate draw a count from the md5 of (seed, replicate,
     the row's ``keys``), so any engine can repeat it; a row enters a replicate that many
     times, and ``stat`` is computed on every replicate.  ``keys`` must identify a row: equal
-    values with different keys are drawn independently.  Replicates aggregate map-side, so
-    for combinable statistics the shuffle carries n_boot rows per group and task."""
+    values with different keys are drawn independently.  A mean needs two sums a replicate, which
+    travel as vectors, one row per group and task; for other statistics every drawn row is copied."""
     group, keys = list(group), list(keys)
-    alpha = (1 - ci) / 2
     base = df.where(F.col(value).isNotNull()).select(*group, *[k for k in keys if k not in group], F.col(value).cast("double").alias("_v"))
-    reps = base.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    name = F.concat_ws("|", F.lit(str(seed)), F.col("_b").cast("string"), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
-    u = F.conv(F.substring(F.md5(name), 1, DRAW_DIGITS), 16, 10).cast("double") / F.lit(float(16 ** DRAW_DIGITS))
-    cdf = F.array(*[F.lit(x) for x in poisson_thresholds()])
-    reps = reps.withColumn("_w", F.size(F.filter(cdf, lambda t: t <= u))).where("_w > 0")
-    drawn = reps.select(*group, "_b", "_v", F.explode(F.sequence(F.lit(1), F.col("_w"))).alias("_i"))
-    per = drawn.groupBy(*group, "_b").agg(stat(F.col("_v")).alias("_s"))
-    ci_df = per.groupBy(*group).agg(F.percentile("_s", F.array(F.lit(alpha), F.lit(1 - alpha))).alias("_q"))
+    if stat is F.avg:
+        sums = replicate_sums(df, value, keys, group, n_boot, seed)
+        schema = ", ".join([f"{g} {sums.schema[g].dataType.simpleString()}" for g in group] + ["_q array<double>"])
+
+        def quantiles(rows: pa.Table) -> pa.Table:
+            w, n = (rows[c].combine_chunks().flatten().to_numpy() for c in ("weighted", "weights"))
+            q = list(_interval(w, n, ci)) if n.any() else [None, None]
+            return pa.table({**{g: rows[g] for g in group}, "_q": pa.array([q], pa.list_(pa.float64()))})
+
+        ci_df = sums.groupBy(*(group or [F.lit("all")])).applyInArrow(quantiles, schema)
+    else:
+        alpha = (1 - ci) / 2
+        reps = base.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+        name = F.concat_ws("|", F.lit(str(seed)), F.col("_b").cast("string"), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+        u = F.conv(F.substring(F.md5(name), 1, DRAW_DIGITS), 16, 10).cast("double") / F.lit(float(16 ** DRAW_DIGITS))
+        cdf = F.array(*[F.lit(x) for x in poisson_thresholds()])
+        reps = reps.withColumn("_w", F.size(F.filter(cdf, lambda t: t <= u))).where("_w > 0")
+        drawn = reps.select(*group, "_b", "_v", F.explode(F.sequence(F.lit(1), F.col("_w"))).alias("_i"))
+        per = drawn.groupBy(*group, "_b").agg(stat(F.col("_v")).alias("_s"))
+        ci_df = per.groupBy(*group).agg(F.percentile("_s", F.array(F.lit(alpha), F.lit(1 - alpha))).alias("_q"))
     point = base.groupBy(*group).agg(stat(F.col("_v")).alias("point"), F.count(F.lit(1)).alias("n"))
     out = point.join(ci_df, group, "inner") if group else point.select(
         "point", "n", ci_df.select(F.col("_q")).scalar().alias("_q"))

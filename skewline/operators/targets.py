@@ -30,9 +30,10 @@ def horizon_sigma(rv: Column, cfg: Settings = DEFAULT) -> Column:
         F.lit(cfg.default_sigma_window))
 
 
-def forward_returns(bars: DataFrame, cfg: Settings = DEFAULT, stock: DataFrame | None = None) -> DataFrame:
+def forward_returns(bars: DataFrame, cfg: Settings = DEFAULT, stock: DataFrame | None = None, known: bool = False) -> DataFrame:
     """fwd_ret = ln(close[t+h] / entry[t+1]) over stock sessions; the last h+1 rows
-    of each ticker are excluded, as are rows with a missing or non-positive entry."""
+    of each ticker are excluded, as are rows with a missing or non-positive entry.  With ``known``
+    also the session on which bars up to then first give the row."""
     h = cfg.horizon_days
     sp = stock_panel(bars, cfg) if stock is None else stock
     w = wspec()
@@ -40,24 +41,25 @@ def forward_returns(bars: DataFrame, cfg: Settings = DEFAULT, stock: DataFrame |
     exit_px = F.lead("close", h).over(w)
     n = F.count(F.lit(1)).over(Window.partitionBy("ticker"))
     df = sp.select("date", "ticker", "close", "realized_vol_20d", entry.alias("_entry"), exit_px.alias("_exit"),
-                   F.row_number().over(w).alias("_rn"), n.alias("_n"))
+                   F.row_number().over(w).alias("_rn"), n.alias("_n"), F.lead("date", h + 1).over(w).alias("known"))
     df = df.where((F.col("_rn") <= F.col("_n") - (h + 1)) & F.col("_entry").isNotNull() & F.col("_exit").isNotNull()
                   & (F.col("_entry") > 0))
     return df.select("date", "ticker", "close", "realized_vol_20d", F.log(F.col("_exit") / F.col("_entry")).alias(
-        "fwd_ret"), horizon_sigma(F.col("realized_vol_20d"), cfg).alias("sigma"))
+        "fwd_ret"), horizon_sigma(F.col("realized_vol_20d"), cfg).alias("sigma"), *(["known"] if known else []))
 
 
-def calibrate_k(returns: DataFrame, cfg: Settings = DEFAULT, key: str = "ticker") -> DataFrame:
-    """A5: per key, the smallest grid k with |mean(|r| > k sigma) - 0.30| < 0.05 over valid rows
+def calibrate_k(returns: DataFrame, cfg: Settings = DEFAULT, key="ticker") -> DataFrame:
+    """A5: per key (a column or several), the smallest grid k with |mean(|r| > k sigma) - 0.30| < 0.05 over valid rows
     (sigma > 0, finite r); fewer than 50 rows or no such k gives the default 1.5."""
+    key = [key] if isinstance(key, str) else list(key)
     lo, hi, num = cfg.k_grid
     grid = F.array(*[F.lit(x) for x in linspace(lo, hi, num)])
     r, s = F.col("fwd_ret"), F.col("sigma")
     valid = (s > 0) & r.isNotNull() & ~F.isnan(r) & (F.abs(r) != float("inf")) & ~F.isnan(s)
     m = F.size(F.filter(grid, lambda k: F.abs(r) > k * s))
-    per_row = returns.select(key, F.when(valid, m).alias("_m"))
-    hist = per_row.groupBy(key, "_m").agg(F.count(F.lit(1)).alias("_c"))
-    per_key = hist.groupBy(key).agg(
+    per_row = returns.select(*key, F.when(valid, m).alias("_m"))
+    hist = per_row.groupBy(*key, "_m").agg(F.count(F.lit(1)).alias("_c"))
+    per_key = hist.groupBy(*key).agg(
         F.sum("_c").alias("n_rows"),
         F.sum(F.when(F.col("_m").isNotNull(), F.col("_c"))).alias("n_valid"),
         F.collect_list(F.when(F.col("_m").isNotNull(), F.struct(F.col("_m").alias("m"), F.col("_c").alias("c"))))
@@ -69,7 +71,7 @@ def calibrate_k(returns: DataFrame, cfg: Settings = DEFAULT, key: str = "ticker"
     hit = F.array_position(F.transform(rates, lambda x: F.abs(x - F.lit(cfg.base_rate_target)) < F.lit(0.05)), True)
     k = F.when((F.col("n_rows") >= 50) & (F.coalesce(nv, F.lit(0)) >= 50) & (hit > 0),
                F.element_at(grid, hit.cast("int"))).otherwise(F.lit(cfg.default_k_threshold))
-    return per_key.select(key, k.alias("k"), F.coalesce(nv, F.lit(0)).cast("bigint").alias("n_valid"))
+    return per_key.select(*key, k.alias("k"), F.coalesce(nv, F.lit(0)).cast("bigint").alias("n_valid"))
 
 
 def label_targets(df: DataFrame, k: DataFrame, cfg: Settings = DEFAULT, key: str = "ticker") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Health monitoring: pause warnings (A21) and the monthly report."""
+"""Health monitoring: one set of warning rules (A21) for every date, the health block and the monthly report."""
 
 from __future__ import annotations
 
@@ -9,41 +9,6 @@ from skewline.config import DEFAULT, FEATURE_NAMES, Settings
 from skewline.functions.numeric import round_half_up
 from skewline.operators import stats as ST
 
-
-def pause_warnings(scored: DataFrame, features: DataFrame, as_of_signals: Column, as_of_features: Column,
-                   cfg: Settings = DEFAULT, drift_cols=FEATURE_NAMES,
-                   with_ci: bool = True) -> DataFrame:
-    """Warning rows (kind, subject, value, warning): hit rate below 0.50 (and its 80 % CI
-    low end too), feature drift alert/pause, marginal lift below 0.02, calibration error
-    above 0.10 in three or more probability bins."""
-    rs = ST.recent(scored, as_of_signals)
-    hr = ST.hit_rates(rs).where((F.col("n") >= 10) & (F.col("hit_rate") < cfg.hit_rate_min))
-    if with_ci:
-        d = rs.where(F.col("signal").isin("LONG", "SHORT"))
-        hit = F.when(F.col("signal") == "LONG", F.col("y_direction") == 1).otherwise(F.col("y_direction") == 0)
-        ci = ST.bootstrap_ci(d.withColumn("hit", hit.cast("double")), "hit", ["date", "ticker"], ["signal"], seed=cfg.seed)
-        hr = hr.join(ci.select("signal", "lo"), "signal").where(F.col("lo") < cfg.hit_rate_min)
-    hit_w = hr.select(F.lit("hit_rate").alias("kind"), F.col("signal").alias("subject"),
-                      F.col("hit_rate").alias("value"),
-                      F.format_string("%s hit rate below minimum", F.col("signal")).alias("warning"))
-    ks = ST.ks_drift(features, drift_cols, as_of_features, cfg).where(F.col("severity") != "ok")
-    ks_w = ks.select(F.lit("drift").alias("kind"), F.col("feature").alias("subject"), F.col("ks").alias("value"),
-                     F.format_string("Feature drift %s: %s KS=%.3f", F.col("severity"), F.col("feature"),
-                                     round_half_up(F.col("ks"), 3)).alias("warning"))
-    lf = rs.where(F.col("signal").isin("LONG", "SHORT")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("p_magnitude") - F.col("iv_baseline_p")).alias("lift"))
-    lf_w = lf.where((F.col("n") >= 20) & (F.col("lift") < cfg.marginal_auc_min)).select(
-        F.lit("marginal_lift").alias("kind"), F.lit("stage_b").alias("subject"), F.col("lift").alias("value"),
-        F.format_string("Marginal lift below minimum (%.3f < %.2f)", round_half_up(F.col("lift"), 3),
-                        F.lit(cfg.marginal_auc_min)).alias("warning"))
-    dc = ST.decile_calibration(scored, cfg=cfg).agg(F.max("bins_over_max").alias("b"))
-    dc_w = dc.where(F.col("b") >= 3).select(
-        F.lit("calibration").alias("kind"), F.lit("stage_b").alias("subject"), F.col("b").cast("double").alias("value"),
-        F.format_string("Calibration error above %.2f in %d deciles", F.lit(cfg.calibration_error_max),
-                        F.col("b")).alias("warning"))
-    return hit_w.unionByName(ks_w).unionByName(lf_w).unionByName(dc_w)
-
-
 # Sums of probabilities are taken in fixed point: exact, so they don't depend on row order.
 EXACT = "decimal(18,9)"
 
@@ -63,28 +28,65 @@ def calibration_bins(scored: DataFrame) -> DataFrame:
     return trailing(daily).groupBy("end", "decile").agg(*[F.sum(c).alias(c) for c in ("n", "sum_p", "sum_y")])
 
 
+def hits(signals: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """LONG and SHORT signals with ``hit`` (null where the outcome is not known) and lift."""
+    s = signals.where(F.col("signal").isin("LONG", "SHORT")).select("date", "ticker", "signal", "p_magnitude", "iv_baseline_p").join(
+        outcomes.select("date", "ticker", "y_direction"), ["date", "ticker"], "left")
+    up = F.col("y_direction") == 1
+    return s.withColumn("hit", F.when(F.col("signal") == "LONG", up).otherwise(~up).cast("int"))
+
+
 def direction_hits(signals: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(end, signal, n, hits, lift) of LONG and SHORT signals in the 30 days up to each day."""
-    s = signals.where(F.col("signal").isin("LONG", "SHORT")).join(outcomes.select("date", "ticker", "y_direction"), ["date", "ticker"], "left")
-    hit = F.when(F.col("signal") == "LONG", F.col("y_direction") == 1).otherwise(F.col("y_direction") == 0)
-    daily = s.groupBy("date", "signal").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(hit, 1).otherwise(0)).alias("hits"),
-                                            F.sum((F.col("p_magnitude") - F.col("iv_baseline_p")).cast(EXACT)).alias("lift"))
-    return trailing(daily).groupBy("end", "signal").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("lift").alias("lift"))
-
-
-def warning_texts(hits: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """(end, warnings): the sorted texts of the limits broken in the 30 days up to each day."""
-    low = hits.where((F.col("n") >= 10) & (F.col("hits") / F.col("n") < cfg.hit_rate_min)).select(
-        "end", F.format_string("%s hit rate below minimum", "signal").alias("w"))
-    lift = hits.groupBy("end").agg(F.sum("n").alias("n"), (F.sum("lift").cast("double") / F.sum("n")).alias("lift"))
+    """(end, signal, n, known, hits, lift) of LONG and SHORT signals in the 30 days up to each day."""
+    daily = hits(signals, outcomes).groupBy("date", "signal").agg(
+        F.count(F.lit(1)).alias("n"), F.count("hit").alias("known"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"),
+        F.sum((F.col("p_magnitude") - F.col("iv_baseline_p")).cast(EXACT)).alias("lift"))
+    return trailing(daily).groupBy("end", "signal").agg(*[F.sum(c).alias(c) for c in ("n", "known", "hits", "lift")])
+
+
+def warnings_by_date(signals: DataFrame, outcomes: DataFrame, features: DataFrame, dates: DataFrame, cfg: Settings = DEFAULT,
+                     drift_cols=FEATURE_NAMES) -> DataFrame:
+    """(date, kind, subject, value, warning) for every date of ``dates``, from the 30 days (drift: the
+    year) up to it: hit rate of ten known signals or more below 0.50, and the low end of its 80 % interval
+    too; feature drift alert or pause; mean lift of 20 signals or more over the IV baseline below 0.02;
+    calibration error above 0.10 in three or more probability bins."""
+    ends = dates.select(F.col("date").alias("end")).distinct()
+    sums = direction_hits(signals, outcomes).join(ends, "end", "left_semi")
+    low = sums.where((F.col("known") >= 10) & (F.col("hits") / F.col("known") < cfg.hit_rate_min))
+    ci = ST.trailing_ci(hits(signals, outcomes), "hit", ["date", "ticker"], "signal", seed=cfg.seed)
+    low = low.join(ci, ["end", "signal"]).where(F.col("lo") < cfg.hit_rate_min).select(
+        F.col("end").alias("date"), F.lit("hit_rate").alias("kind"), F.col("signal").alias("subject"), (F.col("hits") / F.col("known")).alias("value"),
+        F.format_string("%s hit rate below minimum", "signal").alias("warning"))
+    ks = ST.ks_by_date(features, drift_cols, dates, cfg).where(F.col("severity") != "ok").select(
+        "date", F.lit("drift").alias("kind"), F.col("feature").alias("subject"), F.col("ks").alias("value"),
+        F.format_string("Feature drift %s: %s KS=%.3f", "severity", "feature", round_half_up(F.col("ks"), 3)).alias("warning"))
+    lift = sums.groupBy("end").agg(F.sum("n").alias("n"), (F.sum("lift").cast("double") / F.sum("n")).alias("lift"))
     weak = lift.where((F.col("n") >= 20) & (F.col("lift") < cfg.marginal_auc_min)).select(
-        "end", F.format_string("Marginal lift below minimum (%.3f < %.2f)", round_half_up(F.col("lift"), 3),
-                               F.lit(cfg.marginal_auc_min)).alias("w"))
-    return low.unionByName(weak).groupBy("end").agg(F.sort_array(F.collect_list("w")).alias("warnings"))
+        F.col("end").alias("date"), F.lit("marginal_lift").alias("kind"), F.lit("stage_b").alias("subject"), F.col("lift").alias("value"),
+        F.format_string("Marginal lift below minimum (%.3f < %.2f)", round_half_up(F.col("lift"), 3), F.lit(cfg.marginal_auc_min)).alias("warning"))
+    error = F.abs(F.col("sum_p").cast("double") - F.col("sum_y").cast("double")) / F.col("n")
+    bins = calibration_bins(outcomes).join(ends, "end", "left_semi").groupBy("end").agg(
+        F.sum((error > cfg.calibration_error_max).cast("int")).alias("b"))
+    off = bins.where(F.col("b") >= 3).select(
+        F.col("end").alias("date"), F.lit("calibration").alias("kind"), F.lit("stage_b").alias("subject"), F.col("b").cast("double").alias("value"),
+        F.format_string("Calibration error above %.2f in %d deciles", F.lit(cfg.calibration_error_max), "b").alias("warning"))
+    return low.unionByName(ks).unionByName(weak).unionByName(off)
+
+
+def warning_lists(warnings: DataFrame) -> DataFrame:
+    """(date, warnings): the sorted texts of each date (at most one a rule and subject)."""
+    return warnings.groupBy("date").agg(F.sort_array(F.collect_list("warning")).alias("warnings"))
+
+
+def pause_warnings(signals: DataFrame, outcomes: DataFrame, features: DataFrame, as_of: Column, cfg: Settings = DEFAULT,
+                   drift_cols=FEATURE_NAMES) -> DataFrame:
+    """The warnings active on one date, a column without references (a literal or a scalar subquery)."""
+    dates = signals.sparkSession.range(1).select(as_of.alias("date"))
+    return warnings_by_date(signals, outcomes, features, dates, cfg, drift_cols).drop("date")
 
 
-def health(signals: DataFrame, scored: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+def health(scored: DataFrame, warnings: DataFrame) -> DataFrame:
     """(date, calibration_error, warnings) for the health block: expected calibration error
-    over ten bins and the active warnings, both of the 30 days up to each day."""
+    over ten bins of the 30 days up to each day, and the active warnings."""
     error = calibration_bins(scored).groupBy("end").agg((F.sum(F.abs(F.col("sum_p") - F.col("sum_y"))).cast("double") / F.sum("n")).alias("calibration_error"))
-    return error.join(warning_texts(direction_hits(signals, scored), cfg), "end", "full").withColumnRenamed("end", "date")
+    return error.withColumnRenamed("end", "date").join(warning_lists(warnings), "date", "full")

@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skewline.config import DEFAULT, STAGE_B_FEATURES, STAGE_C_FEATURES, Settings
+from skewline.operators import contributions as CT
 from skewline.operators import cv
 from skewline.operators import stats as ST
 from skewline.operators import targets as TG
+from skewline.operators import walkforward as WF
 from skewline.plans import models as MD
 from skewline.plans.signals import score_candidates
 from skewline.session import materialize
 
-MIN_TRAINING_ROWS = 200
+MIN_TRAINING_ROWS = WF.MIN_TRAINING_ROWS
 
 
 @dataclass
@@ -70,6 +72,19 @@ class SignalModel:
             df.withColumn("_iv", F.coalesce("iv_atm_30dte", F.lit(self.iv_median))))
         return self.baseline.transform(df).select(*MD.KEY, "p_magnitude", "p_up", vector_to_array("probability")[1].alias("iv_baseline_p"))
 
+    def drivers(self, features: DataFrame, k: int = 3) -> DataFrame:
+        """A19 for single rows: the ``k`` features that add most, up or down, to a row's log-odds of a
+        large move (mean over the ensemble's boosters): date, ticker, rank, feature, contribution."""
+        names = self.magnitude.features
+        explain = CT.booster_explainer([b for b, _ in self.magnitude.pairs], len(names))
+        phi = CT.contributions(explain, [F.col(f) for f in names])
+        entry = F.transform(F.col("_phi"), lambda v, i: F.struct(-F.abs(v), i.alias("at"), v.alias("phi")))
+        top = F.slice(F.array_sort(entry), 1, k)
+        ranked = features.select(*MD.KEY, phi.alias("_phi")).select(*MD.KEY, F.posexplode(top).alias("_r", "e"))
+        return ranked.select(*MD.KEY, (F.col("_r") + 1).alias("rank"),
+                             F.element_at(F.array(*[F.lit(f) for f in names]), F.col("e.at") + 1).alias("feature"),
+                             F.col("e.phi").alias("contribution"))
+
     def signals(self, candidates: DataFrame, features: DataFrame, bars_rv: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
         """The model's probabilities, thresholds, k and drivers applied to candidates."""
         wanted = features.join(candidates.select(*MD.KEY), MD.KEY, "left_semi")
@@ -131,6 +146,29 @@ def train(frame: DataFrame, cfg: Settings = DEFAULT) -> SignalModel:
                        materialize(TG.calibrate_k(frame, cfg), "k"), materialize(metrics, "metrics"))
 
 
+def registry(spark: SparkSession, root: str) -> DataFrame:
+    """Stamp (the first date the model may score) and path of every stored model."""
+    index = spark.read.parquet(f"{root}/models/_index").distinct()
+    return index.select(F.to_date("stamp", "yyyyMMdd").alias("stamp"), "path")
+
+
+def walk_forward(spark: SparkSession, root: str, candidates: DataFrame, features: DataFrame, bars_rv: DataFrame,
+                 cfg: Settings = DEFAULT) -> DataFrame:
+    """M10 over any range of dates: each candidate is scored by the model, k and thresholds of the
+    latest stored stamp on or before its date (column ``stamp``); earlier candidates by none.  One pass a
+    model, over its own dates only."""
+    known = registry(spark, root)
+    stamps = [r.stamp for r in known.orderBy("stamp").collect()]  # one row a refit
+    dated = candidates.join(WF.model_at(candidates, known, cfg).select("date", "stamp"), "date")
+    out = None
+    for stamp, after in zip(stamps, [*stamps[1:], None]):
+        own = (F.col("date") >= F.lit(stamp)) & (F.lit(True) if after is None else F.col("date") < F.lit(after))
+        model = load(spark, root, stamp.strftime("%Y%m%d"))
+        part = model.signals(dated.where(own), features.where(own), bars_rv.where(own), cfg)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def save(model: SignalModel, spark: SparkSession, root: str, stamp: str) -> str:
     """Everything a later run needs to score, under one stamp."""
     parts = {"baseline": model.baseline}

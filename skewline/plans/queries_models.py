@@ -10,6 +10,7 @@ from skewline.config import STAGE_B_FEATURES, STAGE_C_FEATURES
 from skewline.operators import screen as S
 from skewline.operators import stats as ST
 from skewline.operators import targets as TG
+from skewline.operators import walkforward as WF
 from skewline.operators.features import features_daily, stock_panel
 from skewline.plans import models as MD
 from skewline.plans import predict as PR
@@ -66,7 +67,7 @@ def _final_b(fx):
 
 @register("regime_pruning")
 def q_regime_pruning(fx):
-    """M6: per feature, mean |change of p| under permutation in calm and stressed VIX regimes."""
+    """Per feature, mean |contribution| to the log-odds in calm and stressed VIX regimes."""
     data, model = _final_b(fx)
     return MD.regime_pruning(fx.spark, model, data, STAGE_B_FEATURES, CFG)
 
@@ -91,28 +92,32 @@ def q_stage_c(fx):
         "short_threshold", th.select("short_threshold").scalar())
 
 
-# Fewer trees than in production keep the end-to-end queries short.
-FAST = CFG.with_(gbt_max_iter=8)
-HELD_BACK_DAYS = 120
+REFITS_STORED = 2
+_MODELS: dict[tuple, tuple] = {}
 
 
-def _stored_model(fx):
-    """Train on all but the last days, save, and return (root, features, stock, last training date)."""
-    stock = materialize(stock_panel(fx.v_bars, CFG), "stock")
-    feats = materialize(features_daily(fx.v_options, fx.v_bars, fx.v_market, CFG, stock=stock), "features")
-    cut = fx.v_bars.select(F.date_sub(F.max("date"), HELD_BACK_DAYS)).first()[0]
-    known = feats.where(F.col("date") <= F.lit(cut))
-    frame = materialize(TG.training_frame(known, fx.v_bars.where(F.col("date") <= F.lit(cut)), CFG), "training")
-    root = shared_path(fx.spark, "artifacts")
-    PR.save(PR.train(frame, FAST), fx.spark, root, cut.strftime("%Y%m%d"))
-    return root, feats, stock, cut
+def _stored_models(fx):
+    """Train as of the last ``REFITS_STORED`` refits, each on the rows known before its stamp, and save
+    them: (root, features, stock).  Kept for the application, as a store of models is."""
+    key = (fx.spark.sparkContext.applicationId, fx.sf_dir)
+    if key not in _MODELS:
+        stock = materialize(stock_panel(fx.v_bars, CFG), "stock")
+        feats = materialize(features_daily(fx.v_options, fx.v_bars, fx.v_market, CFG, stock=stock), "features")
+        refits = WF.registry(WF.rows_by_stamp(TG.forward_returns(fx.v_bars, CFG, stock, known=True), CFG))
+        root = shared_path(fx.spark, "artifacts")
+        for r in refits.orderBy(F.col("stamp").desc()).limit(REFITS_STORED).collect():
+            before = F.col("date") < F.lit(r.stamp)
+            frame = materialize(TG.training_frame(feats.where(before), fx.v_bars.where(before), CFG), "training")
+            PR.save(PR.train(frame, CFG), fx.spark, root, r.stamp.strftime("%Y%m%d"))
+        _MODELS[key] = root, feats, stock
+    return _MODELS[key]
 
 
 @register("model_artifacts")
 def q_model_artifacts(fx):
-    """The whole fitted model saved under a date stamp and reloaded: k per ticker with
-    the thresholds, kept features and number of fold models."""
-    root, _, _, _ = _stored_model(fx)
+    """The latest fitted model reloaded from its stamp: k per ticker with the thresholds, kept
+    features and number of fold models."""
+    root, _, _ = _stored_models(fx)
     m = PR.load(fx.spark, root)
     return m.k_by_ticker.select(F.lit(MD.latest_stamp(fx.spark, root)).alias("stamp"), "ticker", "k", "n_valid",
                                 F.lit(len(m.magnitude.pairs)).alias("n_models"), F.lit(len(m.magnitude.features)).alias("n_features"),
@@ -121,9 +126,17 @@ def q_model_artifacts(fx):
 
 @register("predict_signals")
 def q_predict_signals(fx):
-    """M10 end to end: the reloaded model scores the Stage A candidates after its last training date."""
-    root, feats, stock, cut = _stored_model(fx)
+    """M10 end to end: stored models score the Stage A candidates of their dates."""
+    root, feats, stock = _stored_models(fx)
     stage = S.stage_a(S.screening_panel(fx.v_bars, CFG), fx.v_bars, fx.v_options, feats, fx.v_market, CFG, events=fx.v_event_calendar)
-    candidates = stage.where(F.col("candidate") & (F.col("date") > F.lit(cut)))
     rv = stock.select("date", "ticker", "realized_vol_20d")
-    return PR.load(fx.spark, root).signals(materialize(candidates, "candidates"), feats, rv, CFG)
+    return PR.walk_forward(fx.spark, root, materialize(stage.where("candidate"), "candidates"), feats, rv, CFG)
+
+
+@register("signal_drivers")
+def q_signal_drivers(fx):
+    """A19 for single rows: the three features that add most to each row's log-odds of a large move, by the
+    latest stored model, for the dates it may score."""
+    root, feats, _ = _stored_models(fx)
+    stamp = MD.latest_stamp(fx.spark, root)
+    return PR.load(fx.spark, root).drivers(feats.where(F.col("date") >= F.to_date(F.lit(stamp), "yyyyMMdd")))

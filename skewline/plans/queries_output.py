@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skewline import sqlcheck as Q
@@ -11,13 +13,14 @@ from skewline.config import STAGE_B_FEATURES
 from skewline.operators import screen as S
 from skewline.operators import stats as ST
 from skewline.operators import targets as TG
+from skewline.operators import walkforward as WF
 from skewline.operators.features import features_daily, stock_panel
 from skewline.operators.market import market_features
 from skewline.plans import monitor as MO
 from skewline.plans import sinks as SK
 from skewline.plans.catalog import CFG, register, select_sql
-from skewline.plans.queries_stats import THRESH_SQL
-from skewline.plans.signals import score_candidates
+from skewline.plans.queries_stats import THRESH_BY_STAMP, warning_ctes
+from skewline.plans.signals import walk_forward
 from skewline.session import materialize, shared_path
 
 VIEWS = ["v_options", "v_bars", "v_market", "v_event_calendar", "v_signals"]
@@ -34,53 +37,90 @@ def _gen(d="date"):
 
 def score_ctes(cfg):
     sqrt_h = Q.lit(math.sqrt(cfg.horizon_days / cfg.trading_days))
-    return Q.stage_a_ctes(cfg) + Q.target_ctes(cfg) + Q.kcal_ctes(cfg, "ft") + THRESH_SQL + [
+    return Q.stage_a_ctes(cfg) + Q.target_ctes(cfg) + Q.walk_forward_ctes(cfg) + THRESH_BY_STAMP + [
         ("cand", "SELECT date, ticker, score_rel AS activity_score, rank FROM stage WHERE candidate"),
         ("sc0", """
 SELECT c.*, s.p_magnitude, s.p_up, coalesce(s.iv_baseline_p, s.p_magnitude) AS iv_baseline_p, b.realized_vol_20d,
-  coalesce(k.k, 1.5e0) AS k
-FROM cand c JOIN v_signals s USING (date, ticker) LEFT JOIN sp b USING (date, ticker) LEFT JOIN kcal k USING (ticker)"""),
+  coalesce(k.k, 1.5e0) AS k, coalesce(th.long_threshold, 0.55e0) AS long_threshold, coalesce(th.short_threshold, 0.45e0) AS short_threshold
+FROM (SELECT c.*, r.stamp FROM cand c ASOF JOIN reg r ON c.date >= r.stamp) c JOIN v_signals s USING (date, ticker)
+LEFT JOIN sp b USING (date, ticker) LEFT JOIN kcal k ON k.stamp = c.stamp AND k.ticker = c.ticker LEFT JOIN th ON th.stamp = c.stamp"""),
         ("sig", f"""
-SELECT date, ticker, rank, activity_score, p_magnitude, p_up, iv_baseline_p, p_magnitude - iv_baseline_p AS marginal_lift,
-  th.long_threshold, th.short_threshold,
-  CASE WHEN p_magnitude < 0.55e0 THEN 'WATCH' WHEN p_up >= th.long_threshold THEN 'LONG'
-       WHEN p_up <= th.short_threshold THEN 'SHORT' ELSE 'NO_DIRECTION' END AS signal,
-  CASE WHEN p_magnitude < 0.55e0 THEN 'low' WHEN p_up >= th.long_threshold OR p_up <= th.short_threshold THEN
+SELECT date, ticker, stamp, rank, activity_score, p_magnitude, p_up, iv_baseline_p, p_magnitude - iv_baseline_p AS marginal_lift,
+  long_threshold, short_threshold,
+  CASE WHEN p_magnitude < 0.55e0 THEN 'WATCH' WHEN p_up >= long_threshold THEN 'LONG'
+       WHEN p_up <= short_threshold THEN 'SHORT' ELSE 'NO_DIRECTION' END AS signal,
+  CASE WHEN p_magnitude < 0.55e0 THEN 'low' WHEN p_up >= long_threshold OR p_up <= short_threshold THEN
     CASE WHEN p_magnitude > 0.65e0 THEN 'high' ELSE 'medium' END ELSE 'medium' END AS confidence,
   CASE WHEN realized_vol_20d IS NOT NULL AND realized_vol_20d <> 0 THEN realized_vol_20d ELSE 0.2e0 END
     * {sqrt_h} * 100e0 * k AS threshold_pct
-FROM sc0, th"""),
+FROM sc0"""),
     ]
 
 
-def _scored(fx):
+@dataclass
+class Scored:
+    """Walk-forward signals with what the sinks need beside them."""
+
+    stage: DataFrame
+    signals: DataFrame
+    features: DataFrame
+    stamps: DataFrame
+
+
+def _refits(fx, stock):
+    """Refits of the frozen fixture: registry, k per (stamp, ticker) and thresholds per stamp, each from the
+    rows known before its stamp."""
+    returns = materialize(TG.forward_returns(fx.v_bars, CFG, stock, known=True), "returns")
+    rows = WF.rows_by_stamp(returns, CFG)
+    scores = fx.v_signals.select("date", "ticker", "p_up", "y_direction").join(returns.select("date", "ticker", "known"), ["date", "ticker"])
+    return materialize(WF.registry(rows), "refits"), WF.k_by_stamp(rows, CFG), WF.thresholds_by_stamp(WF.rows_by_stamp(scores, CFG), CFG)
+
+
+def _scored(fx) -> Scored:
     # intermediates read by several branches are written once to the shared folder
     panel = S.screening_panel(fx.v_bars, CFG)
     stock = materialize(stock_panel(fx.v_bars, CFG), "stock")
     feats = materialize(features_daily(fx.v_options, fx.v_bars, fx.v_market, CFG, stock=stock), "features")
     stage = materialize(S.stage_a(panel, fx.v_bars, fx.v_options, feats, fx.v_market, CFG,
                                   events=fx.v_event_calendar), "stage")
-    cand = stage.where("candidate")
-    k = TG.calibrate_k(TG.forward_returns(fx.v_bars, CFG, stock), CFG)
-    # two model parameters (the fitted direction thresholds), fetched once as values,
-    # like the stored artifact they stand for
-    th = ST.direction_thresholds(fx.v_signals, cfg=CFG).first()
-    lt, st = float(th["long_threshold"]), float(th["short_threshold"])
+    stamps, k, thresholds = _refits(fx, stock)
     rv = stock.select("date", "ticker", "realized_vol_20d")
-    sig = score_candidates(cand, fx.v_signals, rv, k, lt, st, CFG, TOP)
-    return stage, sig.join(cand.select("date", "ticker", "rank"), ["date", "ticker"])
+    signals = walk_forward(stage.where("candidate"), fx.v_signals, rv, stamps, k, thresholds, CFG, TOP)
+    return Scored(stage, materialize(signals, "signals"), feats, stamps)
 
 
-SIG_OUT = ["~date", "~ticker", "activity_score", "p_magnitude", "p_up", "iv_baseline_p", "marginal_lift",
+SIG_OUT = ["~date", "~ticker", "~stamp", "activity_score", "p_magnitude", "p_up", "iv_baseline_p", "marginal_lift",
            "long_threshold", "short_threshold", "~signal", "~confidence", "threshold_pct"]
 
 
 @register("score_signals", Q.build(score_ctes(CFG), select_sql(SIG_OUT, "sig"), views=VIEWS, recursive=True))
 def q_score_signals(fx):
-    """M10/F15/J-KEY/F13: LONG/SHORT/WATCH/NO_DIRECTION for every Stage A candidate (frozen
-    probabilities), direction thresholds from A6, stock-adjusted threshold %."""
-    _, sig = _scored(fx)
-    return sig.select(*[c.lstrip("~") for c in SIG_OUT])
+    """M10/F15/J-KEY/F13: LONG/SHORT/WATCH/NO_DIRECTION for every Stage A candidate (frozen probabilities)
+    by k and the direction thresholds of the latest refit on or before its date."""
+    return _scored(fx).signals.select(*[c.lstrip("~") for c in SIG_OUT])
+
+
+REFIT_CTES = Q.stock_ctes(CFG) + Q.target_ctes(CFG) + Q.walk_forward_ctes(CFG) + THRESH_BY_STAMP
+
+
+@register("refit_registry", Q.build(REFIT_CTES, "SELECT stamp, n_rows, first_date, last_known, CAST(stamp + INTERVAL "
+                                    f"{CFG.refit_frequency_months} MONTH AS DATE) AS next_refit FROM reg", views=["v_bars", "v_signals"]))
+def q_refit_registry(fx):
+    """The refits with enough known rows, what each one learns from, and the refit after it."""
+    stamps, _, _ = _refits(fx, materialize(stock_panel(fx.v_bars, CFG), "stock"))
+    return stamps.withColumn("next_refit", F.add_months("stamp", CFG.refit_frequency_months))
+
+
+@register("k_by_stamp", Q.build(REFIT_CTES, select_sql(["~stamp", "~ticker", "k", "~n_valid"], "kcal"), views=["v_bars", "v_signals"]))
+def q_k_by_stamp(fx):
+    """A5 at every refit: k per ticker from the rows known before the stamp."""
+    return _refits(fx, materialize(stock_panel(fx.v_bars, CFG), "stock"))[1]
+
+
+@register("thresholds_by_stamp", Q.build(REFIT_CTES, select_sql(["~stamp", "long_threshold", "short_threshold"], "th"), views=["v_bars", "v_signals"]))
+def q_thresholds_by_stamp(fx):
+    """A6 at every refit: direction thresholds from the scores whose outcomes are known before the stamp."""
+    return _refits(fx, materialize(stock_panel(fx.v_bars, CFG), "stock"))[2]
 
 
 def _r(x, d):
@@ -118,25 +158,10 @@ SIG_STRUCT = ("{{'ticker': ticker, 'activity_score': {a}, 'p_magnitude': {pm}, '
     top="[" + ", ".join(f"'{t}'" for t in TOP) + "]")
 
 def _health_ctes(ends: str) -> list[tuple[str, str]]:
-    """health_hb, health_hd: bins and hits of the 30 days up to each date of ``ends``; health_hl: the warnings."""
-    return [
-        ("so", "SELECT s.*, v.y_direction FROM sig s LEFT JOIN v_signals v USING (date, ticker)"),
-        ("health_hb", f"""
-SELECT f.date, CAST(least(floor(s.p_magnitude * 10e0), 9) AS INTEGER) AS decile, count(*) AS n,
-  sum(CAST(s.p_magnitude AS DECIMAL(18,9))) AS sp, sum(CAST(s.y_magnitude AS DECIMAL(18,9))) AS sy
-FROM {ends} f JOIN v_signals s ON s.date BETWEEN f.date - 30 AND f.date
-WHERE s.p_magnitude IS NOT NULL AND s.y_magnitude IS NOT NULL GROUP BY 1, 2"""),
-        ("health_he", "SELECT date, CAST(sum(abs(sp - sy)) AS DOUBLE) / sum(n) AS err FROM health_hb GROUP BY date"),
-        ("health_hd", f"""
-SELECT f.date, s.signal, count(*) AS n, sum(CAST(s.p_magnitude - s.iv_baseline_p AS DECIMAL(18,9))) AS l,
-  sum(CASE WHEN (s.signal = 'LONG' AND s.y_direction = 1) OR (s.signal = 'SHORT' AND s.y_direction = 0) THEN 1 ELSE 0 END) AS h
-FROM {ends} f JOIN so s ON s.date BETWEEN f.date - 30 AND f.date WHERE s.signal IN ('LONG', 'SHORT') GROUP BY 1, 2"""),
-        ("health_hw", f"""
-SELECT date, printf('%s hit rate below minimum', signal) AS w FROM health_hd WHERE n >= 10 AND h / n < {Q.lit(CFG.hit_rate_min)}
-UNION ALL
-SELECT date, printf('Marginal lift below minimum (%.3f < %.2f)', {_r('CAST(sum(l) AS DOUBLE) / sum(n)', 3)}, {Q.lit(CFG.marginal_auc_min)})
-FROM health_hd GROUP BY date HAVING sum(n) >= 20 AND CAST(sum(l) AS DOUBLE) / sum(n) < {Q.lit(CFG.marginal_auc_min)}"""),
-        ("health_hl", "SELECT date, list(w ORDER BY w) AS warnings FROM health_hw GROUP BY date"),
+    """wb, wd, warn of the 30 days up to each date of ``ends``; health_he: calibration error; health_hl: the warnings."""
+    return warning_ctes(CFG, "sig", ends) + [
+        ("health_he", "SELECT date, CAST(sum(abs(sp - sy)) AS DOUBLE) / sum(n) AS err FROM wb GROUP BY date"),
+        ("health_hl", "SELECT date, list(warning ORDER BY warning) AS warnings FROM warn GROUP BY date"),
     ]
 
 
@@ -154,26 +179,27 @@ SELECT f.date, CAST(len(coalesce(sl.signals, [])) AS BIGINT) AS n_signals, to_js
                 'candidates_screened': f.candidates_screened, 'magnitude_passes': f.magnitude_passes}},
   'signals': coalesce(sl.signals, []),
   'health': {{'iv_baseline_auc_lift_30d': {_r('l.auc_lift', 3)}, 'stage_b_calibration_error_30d': {_r('health_he.err', 3)},
-             'last_refit': strftime(CAST(date_trunc('quarter', f.date) AS DATE) - 1, '%Y-%m-%d'),
-             'next_refit': strftime(last_day(CAST(date_trunc('quarter', f.date) AS DATE) - 1 + INTERVAL {CFG.refit_frequency_months} MONTH), '%Y-%m-%d'),
+             'last_refit': strftime(f.stamp, '%Y-%m-%d'),
+             'next_refit': strftime(CAST(f.stamp + INTERVAL {CFG.refit_frequency_months} MONTH AS DATE), '%Y-%m-%d'),
              'pause_warnings': coalesce(health_hl.warnings, []::VARCHAR[])}}
 }}) AS payload
-FROM fun f LEFT JOIN v_market m ON f.date = m.date LEFT JOIN mf ON f.date = mf.date
-LEFT JOIN sl ON f.date = sl.date LEFT JOIN lift l ON f.date = l.date LEFT JOIN health_he ON f.date = health_he.date
+FROM (SELECT fun.*, reg.stamp FROM fun ASOF LEFT JOIN reg ON fun.date >= reg.stamp) f
+LEFT JOIN v_market m ON f.date = m.date LEFT JOIN mf ON f.date = mf.date LEFT JOIN sl ON f.date = sl.date LEFT JOIN lift l ON f.date = l.date LEFT JOIN health_he ON f.date = health_he.date
 LEFT JOIN health_hl ON f.date = health_hl.date""", views=VIEWS, recursive=True)
 
 
 @register("watchlist_json", WATCH_SQL)
 def q_watchlist_json(fx):
     """The nested watchlist document (market, screening funnel, signals, health) per date."""
-    stage, sig = _scored(fx)
-    fun = S.funnel(stage, fx.v_signals, CFG)
+    x = _scored(fx)
+    fun = materialize(S.funnel(x.stage, fx.v_signals, CFG), "funnel")
     mf = market_features(fx.v_market, CFG)
     lift = ST.rolling_auc(fx.v_signals, {"stage_b": ("p_magnitude", "y_magnitude"),
                                          "iv_baseline": ("iv_baseline_p", "y_magnitude")}, 30)
     lift = lift.groupBy("date").agg((F.max(F.when(F.col("model") == "stage_b", F.col("auc")))
                                      - F.max(F.when(F.col("model") == "iv_baseline", F.col("auc")))).alias("auc_lift"))
-    return SK.watchlist(sig, fun, fx.v_market, mf, lift, _gen(), MO.health(sig, fx.v_signals, CFG), CFG)
+    health = MO.health(fx.v_signals, MO.warnings_by_date(x.signals, fx.v_signals, x.features, fun, CFG))
+    return SK.watchlist(x.signals, fun, fx.v_market, mf, lift, _gen(), health, WF.model_at(fun, x.stamps, CFG), CFG)
 
 
 def _md_block_sql():
@@ -215,17 +241,17 @@ def q_stored_watchlists(fx):
 @register("watchlist_markdown", MD_SQL)
 def q_watchlist_markdown(fx):
     """The watchlist as a markdown document per date."""
-    stage, sig = _scored(fx)
-    return SK.watchlist_markdown(sig, S.funnel(stage, fx.v_signals, CFG), fx.v_market)
+    x = _scored(fx)
+    return SK.watchlist_markdown(x.signals, S.funnel(x.stage, fx.v_signals, CFG), fx.v_market)
 
 
 MONTH_SQL = Q.build(score_ctes(CFG) + [
     ("cnt", "SELECT strftime(date, '%Y-%m') AS ym, count(*) AS total_signals, CAST(last_day(max(date)) AS DATE) AS date FROM sig GROUP BY 1"),
 ] + _health_ctes("cnt") + [
     ("tb", f"""SELECT date, string_agg('| ' || decile || ' | ' || n || ' | ' || printf('%.3f', {_r('CAST(sp AS DOUBLE) / n', 3)}) || ' | ' ||
-  printf('%.3f', {_r('CAST(sy AS DOUBLE) / n', 3)}) || ' |', chr(10) ORDER BY decile) AS t FROM health_hb GROUP BY date"""),
-    ("th2", f"""SELECT date, string_agg('| ' || signal || ' | ' || n || ' | ' || printf('%.3f', {_r('h / n', 3)}) || ' |', chr(10)
-  ORDER BY signal) AS t FROM health_hd GROUP BY date"""),
+  printf('%.3f', {_r('CAST(sy AS DOUBLE) / n', 3)}) || ' |', chr(10) ORDER BY decile) AS t FROM wb GROUP BY date"""),
+    ("th2", f"""SELECT date, string_agg('| ' || signal || ' | ' || known || ' | ' || printf('%.3f', {_r('h / known', 3)}) || ' |', chr(10)
+  ORDER BY signal) AS t FROM wd WHERE known > 0 GROUP BY date"""),
 ], """
 SELECT c.ym AS year_month, CAST(c.total_signals AS BIGINT) AS total_signals,
   CAST(len(coalesce(health_hl.warnings, [])) AS BIGINT) AS n_warnings,
@@ -246,6 +272,6 @@ FROM cnt c LEFT JOIN health_hl ON c.date = health_hl.date LEFT JOIN tb ON c.date
 @register("monthly_report", MONTH_SQL)
 def q_monthly_report(fx):
     """Per month: signal count, warnings active at month end, markdown report."""
-    _, sig = _scored(fx)
-    return SK.monthly_report(sig.drop("rank"), fx.v_signals, CFG,
+    x = _scored(fx)
+    return SK.monthly_report(x.signals, fx.v_signals, x.features, CFG,
                              generated_at=F.concat(F.col("ym"), F.lit("-01T06:00:00")))

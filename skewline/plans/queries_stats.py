@@ -270,6 +270,17 @@ SELECT coalesce((SELECT t FROM lu WHERE c > 20 AND h / c >= 0.55e0 ORDER BY j LI
 ]
 
 
+THRESH_BY_STAMP = THRESH_SQL[:2] + [
+    ("lu", "SELECT t.stamp, g.j, g.t, count(*) AS c, sum(t.y_direction) AS h FROM gu g JOIN tr t ON t.p_up >= g.t GROUP BY 1, 2, 3"),
+    ("ld", "SELECT t.stamp, g.j, g.t, count(*) AS c, sum(t.y_direction) AS h FROM gd g JOIN tr t ON t.p_up <= g.t GROUP BY 1, 2, 3"),
+    ("th", """
+SELECT s.stamp, coalesce(l.t, 0.55e0) AS long_threshold, coalesce(d.t, 0.45e0) AS short_threshold
+FROM (SELECT DISTINCT stamp FROM tr) s
+LEFT JOIN (SELECT stamp, arg_min(t, j) AS t FROM lu WHERE c > 20 AND h / c >= 0.55e0 GROUP BY stamp) l USING (stamp)
+LEFT JOIN (SELECT stamp, arg_min(t, j) AS t FROM ld WHERE c > 20 AND 1e0 - h / c >= 0.55e0 GROUP BY stamp) d USING (stamp)"""),
+]
+
+
 @register("direction_thresholds", Q.build(THRESH_SQL, select_sql(["long_threshold", "short_threshold"], "th"),
                                           views=["v_signals"]))
 def q_direction_thresholds(fx):
@@ -285,40 +296,95 @@ def q_vix_terciles(fx):
     return fx.v_market.agg(q.alias("_q")).select(F.col("_q")[0].alias("q33"), F.col("_q")[1].alias("q67"))
 
 
-def warnings_sql(cfg) -> list[tuple[str, str]]:
-    ks3 = Q.r6("ks", 3)
-    lift3 = Q.r6("lift", 3)
-    return [SCORED_SQL, RECENT_SQL, HIT_SQL, decile_sql(cfg)] + bootstrap_sql() + ks_sql(cfg) + [
-        ("lf", "SELECT count(*) AS n, avg(p_magnitude - iv_baseline_p) AS lift FROM rs WHERE signal IN ('LONG', 'SHORT')"),
+def ks_daily_ctes(cfg, ends: str, src="feat", cols=DRIFT_COLS) -> list[tuple[str, str]]:
+    """ksd(date, feature, ks, n_recent, n_ref, severity) for every date of ``ends``."""
+    long = " UNION ALL ".join(f"SELECT date, '{c}' AS feature, {c} AS value FROM {src} WHERE {c} IS NOT NULL AND NOT isnan({c})" for c in cols)
+    return [
+        ("kl", long),
+        ("kw", f"""
+SELECT e.date, k.feature, k.value, count_if(k.date >= e.date - 60) AS a, count_if(k.date < e.date - 60) AS b
+FROM (SELECT DISTINCT date FROM {ends}) e JOIN kl k ON k.date <= e.date AND k.date >= CAST(e.date - INTERVAL 1 YEAR AS DATE) GROUP BY ALL"""),
+        ("kc", """
+SELECT date, feature, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER g AS na, sum(b) OVER g AS nb FROM kw
+WINDOW w AS (PARTITION BY date, feature ORDER BY value), g AS (PARTITION BY date, feature)"""),
+        ("ks", """
+SELECT date, feature, max(abs(ca / na - cb / nb)) AS ks, CAST(na AS BIGINT) AS n_recent, CAST(nb AS BIGINT) AS n_ref
+FROM kc WHERE na > 30 AND nb > 30 GROUP BY date, feature, na, nb"""),
+        ("ksd", f"""
+SELECT *, CASE WHEN ks > {Q.lit(cfg.ks_drift_pause)} THEN 'pause' WHEN ks > {Q.lit(cfg.ks_drift_alert)} THEN 'alert'
+  ELSE 'ok' END AS severity FROM ks"""),
+    ]
+
+
+def warning_ctes(cfg, sig: str, ends: str) -> list[tuple[str, str]]:
+    """wb: probability bins and wd: hits of the 30 days up to each date of ``ends``; warn(date, kind, subject,
+    value, warning); needs feat."""
+    digits, ci, n_boot = ST.DRAW_DIGITS, 0.80, 1000
+    counts = " + ".join(f"CAST({Q.lit(t)} <= u AS INTEGER)" for t in ST.poisson_thresholds())
+    low = Q.lit(cfg.hit_rate_min)
+    return ks_daily_ctes(cfg, ends) + [
+        ("so", f"""
+SELECT s.date, s.ticker, s.signal, s.p_magnitude, s.iv_baseline_p,
+  CAST(CASE WHEN s.signal = 'LONG' THEN v.y_direction = 1 ELSE v.y_direction <> 1 END AS INTEGER) AS hit
+FROM {sig} s LEFT JOIN v_signals v USING (date, ticker) WHERE s.signal IN ('LONG', 'SHORT')"""),
+        ("wb", f"""
+SELECT f.date, CAST(least(floor(s.p_magnitude * 10e0), 9) AS INTEGER) AS decile, count(*) AS n,
+  sum(CAST(s.p_magnitude AS DECIMAL(18,9))) AS sp, sum(CAST(s.y_magnitude AS DECIMAL(18,9))) AS sy
+FROM {ends} f JOIN v_signals s ON s.date BETWEEN f.date - 30 AND f.date
+WHERE s.p_magnitude IS NOT NULL AND s.y_magnitude IS NOT NULL GROUP BY 1, 2"""),
+        ("wd", f"""
+SELECT f.date, s.signal, count(*) AS n, count(s.hit) AS known, coalesce(sum(s.hit), 0) AS h,
+  sum(CAST(s.p_magnitude - s.iv_baseline_p AS DECIMAL(18,9))) AS l
+FROM {ends} f JOIN so s ON s.date BETWEEN f.date - 30 AND f.date GROUP BY 1, 2"""),
+        ("wl", f"SELECT date, signal, h / known AS rate FROM wd WHERE known >= 10 AND h / known < {low}"),
+        ("bd", f"""
+SELECT date, signal, b, sum(w * hit) AS sv, sum(w) AS sw FROM (
+  SELECT date, signal, b, hit, {counts} AS w FROM (
+    SELECT date, signal, b, hit, CAST(CAST('0x' || substr(md5('{cfg.seed}|' || b || '|' || date || '|' || ticker), 1, {digits}) AS BIGINT)
+      AS DOUBLE) / {float(16 ** digits)!r}::DOUBLE AS u
+    FROM so, (SELECT unnest(range({n_boot})) AS b) r WHERE hit IS NOT NULL) x) y GROUP BY 1, 2, 3"""),
+        ("bt", """
+SELECT f.date, f.signal, d.b, sum(d.sv) / sum(d.sw) AS s FROM wl f JOIN bd d ON d.signal = f.signal AND d.date BETWEEN f.date - 30 AND f.date
+GROUP BY 1, 2, 3 HAVING sum(d.sw) > 0"""),
+        ("bq", f"SELECT date, signal, quantile_cont(s, {Q.lit((1 - ci) / 2)}) AS lo FROM bt GROUP BY 1, 2"),
+        ("wc", f"""
+SELECT date, sum(CASE WHEN abs(CAST(sp AS DOUBLE) - CAST(sy AS DOUBLE)) / n > {Q.lit(cfg.calibration_error_max)} THEN 1 ELSE 0 END) AS b
+FROM wb GROUP BY date"""),
+        ("wf", "SELECT date, sum(n) AS n, CAST(sum(l) AS DOUBLE) / sum(n) AS lift FROM wd GROUP BY date"),
         ("warn", f"""
-SELECT 'hit_rate' AS kind, hr.signal AS subject, hit_rate AS value, printf('%s hit rate below minimum', hr.signal) AS warning
-FROM hr JOIN bc ON hr.signal = bc.signal WHERE hr.n >= 10 AND hit_rate < {Q.lit(cfg.hit_rate_min)}
-  AND bc.lo < {Q.lit(cfg.hit_rate_min)}
+SELECT wl.date, 'hit_rate' AS kind, wl.signal AS subject, rate AS value, printf('%s hit rate below minimum', wl.signal) AS warning
+FROM wl JOIN bq USING (date, signal) WHERE bq.lo < {low}
 UNION ALL
-SELECT 'drift', feature, ks, printf('Feature drift %s: %s KS=%.3f', severity, feature, {ks3})
+SELECT date, 'drift', feature, ks, printf('Feature drift %s: %s KS=%.3f', severity, feature, {Q.r6("ks", 3)})
 FROM ksd WHERE severity <> 'ok'
 UNION ALL
-SELECT 'marginal_lift', 'stage_b', lift, printf('Marginal lift below minimum (%.3f < %.2f)', {lift3},
-  {Q.lit(cfg.marginal_auc_min)})
-FROM lf WHERE n >= 20 AND lift < {Q.lit(cfg.marginal_auc_min)}
+SELECT date, 'marginal_lift', 'stage_b', lift, printf('Marginal lift below minimum (%.3f < %.2f)', {Q.r6("lift", 3)}, {Q.lit(cfg.marginal_auc_min)})
+FROM wf WHERE n >= 20 AND lift < {Q.lit(cfg.marginal_auc_min)}
 UNION ALL
-SELECT 'calibration', 'stage_b', CAST(max(bins_over_max) AS DOUBLE),
-  printf('Calibration error above %.2f in %d deciles', {Q.lit(cfg.calibration_error_max)}, max(bins_over_max))
-FROM dc HAVING max(bins_over_max) >= 3"""),
+SELECT date, 'calibration', 'stage_b', CAST(b AS DOUBLE), printf('Calibration error above %.2f in %d deciles', {Q.lit(cfg.calibration_error_max)}, CAST(b AS BIGINT))
+FROM wc WHERE b >= 3"""),
     ]
 
 
+@register("ks_drift_daily", Q.build(Q.feature_ctes(CFG) + ks_daily_ctes(CFG, "feat"), select_sql(
+    ["~date", "~feature", "ks", "~n_recent", "~n_ref", "~severity"], "ksd"), views=FEAT_VIEWS, recursive=True))
+def q_ks_drift_daily(fx):
+    """A9/A20 as of every date: KS statistic of the recent 60 days vs the prior year for every feature."""
+    f = _features(fx)
+    return ST.ks_by_date(f, DRIFT_COLS, f.select("date"), CFG)
+
+
 def _warnings(fx, cfg):
-    from skewline.plans.monitor import pause_warnings as pw
+    from skewline.plans import monitor as MO
     s = _signals(fx)
-    f = _features(fx)
-    return pw(ST.scored(s), f, _as_of(s), _feature_as_of(f), cfg, drift_cols=DRIFT_COLS)
+    return MO.pause_warnings(ST.scored(s), s, _features(fx), _as_of(s), cfg, DRIFT_COLS)
 
 
 WARN_OUT = ["~kind", "~subject", "value", "~warning"]
+LAST_SIGNAL = ("wend", "SELECT max(date) AS date FROM v_signals")
 
 
-@register("pause_warnings", Q.build(Q.feature_ctes(CFG) + warnings_sql(CFG), select_sql(WARN_OUT, "warn"),
+@register("pause_warnings", Q.build(Q.feature_ctes(CFG) + [SCORED_SQL, LAST_SIGNAL] + warning_ctes(CFG, "sg", "wend"), select_sql(WARN_OUT, "warn"),
                                     views=FEAT_VIEWS + ["v_signals"], recursive=True))
 def q_pause_warnings(fx):
     """Active warnings: hit rate, feature drift, marginal lift, calibration."""
@@ -330,7 +396,7 @@ STRICT = CFG.with_(hit_rate_min=0.95, marginal_auc_min=0.9, ks_drift_alert=0.02,
                    calibration_error_max=0.0005)
 
 
-@register("pause_warnings_strict", Q.build(Q.feature_ctes(CFG) + warnings_sql(STRICT), select_sql(WARN_OUT, "warn"),
+@register("pause_warnings_strict", Q.build(Q.feature_ctes(CFG) + [SCORED_SQL, LAST_SIGNAL] + warning_ctes(STRICT, "sg", "wend"), select_sql(WARN_OUT, "warn"),
                                            views=FEAT_VIEWS + ["v_signals"], recursive=True))
 def q_pause_warnings_strict(fx):
     """A21 under strict limits, where every kind of warning fires."""

@@ -35,12 +35,12 @@ def signal_struct(sig: DataFrame) -> DataFrame:
 
 def watchlist(signals: DataFrame, funnel: DataFrame, market: DataFrame, market_feats: DataFrame,
               auc_lift: DataFrame | None = None, generated_at: Column | None = None, health: DataFrame | None = None,
-              cfg: Settings = DEFAULT) -> DataFrame:
+              refits: DataFrame | None = None, cfg: Settings = DEFAULT) -> DataFrame:
     """(date, n_signals, payload) - the nested watchlist document of every screened date.
 
     ``signals`` are scored candidates with their ``rank``; NO_DIRECTION is left out.  ``health``
-    has calibration_error and warnings per date (see ``monitor.health``); models are refitted
-    at the ends of quarters."""
+    has calibration_error and warnings per date (see ``monitor.health``), ``refits`` the stamp of the
+    model in use and the next refit (see ``walkforward.model_at``)."""
     per = signal_struct(signals.where(F.col("signal") != "NO_DIRECTION")).groupBy("date").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "s"))), lambda x: x["s"]).alias("signals"))
     df = funnel.join(market.select("date", "vix", "vix3m", "dspx"), "date", "left").join(
@@ -53,8 +53,10 @@ def watchlist(signals: DataFrame, funnel: DataFrame, market: DataFrame, market_f
         df = df.join(health.select("date", "calibration_error", "warnings"), "date", "left")
     else:
         df = df.withColumns({"calibration_error": F.lit(None).cast("double"), "warnings": F.lit(None).cast("array<string>")})
-    last_refit = F.date_sub(F.trunc("date", "quarter"), 1)
-    next_refit = F.last_day(F.add_months(last_refit, cfg.refit_frequency_months))
+    if refits is not None:
+        df = df.join(refits.select("date", "stamp", "next_refit"), "date", "left")
+    else:
+        df = df.withColumns({"stamp": F.lit(None).cast("date"), "next_refit": F.lit(None).cast("date")})
     vix = F.when(_truthy(F.col("vix")), F.col("vix")).otherwise(F.lit(20.0))
     d = F.date_format("date", "yyyy-MM-dd")
     gen = generated_at if generated_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
@@ -70,7 +72,7 @@ def watchlist(signals: DataFrame, funnel: DataFrame, market: DataFrame, market_f
         sigs.alias("signals"),
         F.struct(round_half_up(F.col("auc_lift"), 3).alias("iv_baseline_auc_lift_30d"),
                  round_half_up(F.col("calibration_error"), 3).alias("stage_b_calibration_error_30d"),
-                 F.date_format(last_refit, "yyyy-MM-dd").alias("last_refit"), F.date_format(next_refit, "yyyy-MM-dd").alias("next_refit"),
+                 F.date_format("stamp", "yyyy-MM-dd").alias("last_refit"), F.date_format("next_refit", "yyyy-MM-dd").alias("next_refit"),
                  F.coalesce("warnings", F.array().cast("array<string>")).alias("pause_warnings")).alias("health"))
     return df.select("date", F.size(sigs).cast("bigint").alias("n_signals"),
                      F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
@@ -115,35 +117,37 @@ def watchlist_markdown(signals: DataFrame, funnel: DataFrame, market: DataFrame)
     return df.select("date", text.alias("markdown"))
 
 
-def monthly_report(signals: DataFrame, outcomes: DataFrame, cfg: Settings = DEFAULT,
+def monthly_report(signals: DataFrame, outcomes: DataFrame, features: DataFrame, cfg: Settings = DEFAULT,
                    generated_at: Column | None = None) -> DataFrame:
-    """S15 per month: signal count and, for the 30 days up to the month's end, the warnings, the
-    calibration table (ten probability bins) and the hit rates, as markdown.
+    """S15 per month: signal count and, as of the month's end, the active warnings (the rules of
+    ``monitor.warnings_by_date``), the calibration table (ten probability bins) and the hit rates, as markdown.
 
     ``outcomes`` holds p_magnitude, y_magnitude and y_direction per (date, ticker)."""
     counts = signals.groupBy(F.date_format("date", "yyyy-MM").alias("ym")).agg(
         F.count(F.lit(1)).alias("total_signals"), F.last_day(F.max("date")).alias("end"))
-    hits, bins = MO.direction_hits(signals, outcomes), MO.calibration_bins(outcomes)
+    hits, bins = MO.direction_hits(signals, outcomes).where("known > 0"), MO.calibration_bins(outcomes)
+    ends = counts.select(F.col("end").alias("date"))
+    active = MO.warning_lists(MO.warnings_by_date(signals, outcomes, features, ends, cfg)).withColumnRenamed("date", "end")
     bin_row = F.concat(F.lit("| "), F.col("decile").cast("string"), F.lit(" | "), F.col("n").cast("string"), F.lit(" | "),
                        fmt(F.col("sum_p").cast("double") / F.col("n"), 3), F.lit(" | "), fmt(F.col("sum_y").cast("double") / F.col("n"), 3), F.lit(" |"))
-    hit_row = F.concat(F.lit("| "), F.col("signal"), F.lit(" | "), F.col("n").cast("string"), F.lit(" | "),
-                       fmt(F.col("hits") / F.col("n"), 3), F.lit(" |"))
+    hit_row = F.concat(F.lit("| "), F.col("signal"), F.lit(" | "), F.col("known").cast("string"), F.lit(" | "),
+                       fmt(F.col("hits") / F.col("known"), 3), F.lit(" |"))
 
     def table(rows: DataFrame, order: str, line: Column, out: str) -> DataFrame:
         listed = rows.groupBy("end").agg(F.sort_array(F.collect_list(F.struct(order, line.alias("l")))).alias("r"))  # <= 10 rows
         return listed.select("end", F.array_join(F.transform("r", lambda x: x["l"]), "\n").alias(out))
 
-    df = (counts.join(MO.warning_texts(hits, cfg), "end", "left").join(table(bins, "decile", bin_row, "bins"), "end", "left")
+    df = (counts.join(active, "end", "left").join(table(bins, "decile", bin_row, "bins"), "end", "left")
           .join(table(hits, "signal", hit_row, "hits"), "end", "left")
           .withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>"))))
     gen = generated_at if generated_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
-    active = F.when(F.size("warnings") > 0, F.concat(
+    listed = F.when(F.size("warnings") > 0, F.concat(
         F.lit("## Active Warnings\n"), F.array_join(F.transform("warnings", lambda w: F.concat(F.lit("- ⚠️ "), w)), "\n"),
         F.lit("\n\n"))).otherwise(F.lit(""))
     none = F.lit("No outcomes in the last 30 days.")
     text = F.concat(
         F.lit("# Monitoring Report — "), F.col("ym"), F.lit("\n\nGenerated: "), gen, F.lit("\n\n## Summary\n\n"),
-        F.format_string("- Total signals: %d\n- Pause warnings: %d\n\n", F.col("total_signals"), F.size("warnings")), active,
+        F.format_string("- Total signals: %d\n- Pause warnings: %d\n\n", F.col("total_signals"), F.size("warnings")), listed,
         F.lit("## Stage B Calibration\n"),
         F.coalesce(F.concat(F.lit("| Bin | Rows | Predicted | Realized |\n|---|---|---|---|\n"), F.col("bins")), none),
         F.lit("\n\n## Stage C Hit Rates\n"),

@@ -349,8 +349,8 @@ FROM ft0 WHERE rn <= n - {h + 1} AND entry IS NOT NULL AND exit_px IS NOT NULL A
     ]
 
 
-def kcal_ctes(cfg, src: str, prefix: str = "k") -> list[tuple[str, str]]:
-    """{prefix}cal(ticker, k, n_valid) by brute force over the grid."""
+def kcal_ctes(cfg, src: str, prefix: str = "k", key: str = "ticker") -> list[tuple[str, str]]:
+    """{prefix}cal(key, k, n_valid) by brute force over the grid; ``key`` is a comma list."""
     import numpy as np
     lo, hi, num = cfg.k_grid
     vals = ", ".join(f"({j + 1}, {lit(float(x))})" for j, x in enumerate(np.linspace(lo, hi, num)))
@@ -358,18 +358,18 @@ def kcal_ctes(cfg, src: str, prefix: str = "k") -> list[tuple[str, str]]:
     return [
         (f"{p}grid", f"SELECT * FROM (VALUES {vals}) g(j, k)"),
         (f"{p}base", f"""
-SELECT ticker, count(*) AS n_rows, count(*) FILTER (WHERE sigma > 0 AND isfinite(fwd_ret)) AS n_valid
-FROM {src} GROUP BY ticker"""),
+SELECT {key}, count(*) AS n_rows, count(*) FILTER (WHERE sigma > 0 AND isfinite(fwd_ret)) AS n_valid
+FROM {src} GROUP BY {key}"""),
         (f"{p}rate", f"""
-SELECT s.ticker, g.j, CAST(sum(CASE WHEN abs(s.fwd_ret) > g.k * s.sigma THEN 1 ELSE 0 END) AS BIGINT) AS hits
-FROM {src} s CROSS JOIN {p}grid g WHERE s.sigma > 0 AND isfinite(s.fwd_ret) GROUP BY 1, 2"""),
+SELECT {key}, j, CAST(sum(CASE WHEN abs(fwd_ret) > grid_k * sigma THEN 1 ELSE 0 END) AS BIGINT) AS hits
+FROM {src} CROSS JOIN (SELECT j, k AS grid_k FROM {p}grid) g WHERE sigma > 0 AND isfinite(fwd_ret) GROUP BY ALL"""),
         (f"{p}first", f"""
-SELECT r.ticker, min(r.j) AS j FROM {p}rate r JOIN {p}base b USING (ticker)
-WHERE abs(r.hits / b.n_valid - {lit(cfg.base_rate_target)}) < 0.05e0 GROUP BY r.ticker"""),
+SELECT {key}, min(j) AS j FROM {p}rate JOIN {p}base USING ({key})
+WHERE abs(hits / n_valid - {lit(cfg.base_rate_target)}) < 0.05e0 GROUP BY {key}"""),
         (f"{p}cal", f"""
-SELECT b.ticker, CASE WHEN b.n_rows >= 50 AND b.n_valid >= 50 AND f.j IS NOT NULL THEN g.k
-  ELSE {lit(cfg.default_k_threshold)} END AS k, b.n_valid
-FROM {p}base b LEFT JOIN {p}first f USING (ticker) LEFT JOIN {p}grid g ON g.j = f.j"""),
+SELECT {key}, CASE WHEN n_rows >= 50 AND n_valid >= 50 AND f.j IS NOT NULL THEN g.k
+  ELSE {lit(cfg.default_k_threshold)} END AS k, n_valid
+FROM {p}base LEFT JOIN {p}first f USING ({key}) LEFT JOIN {p}grid g ON g.j = f.j"""),
     ]
 
 
@@ -409,3 +409,25 @@ def training_ctes(cfg) -> list[tuple[str, str]]:
 SELECT f.*, t.close AS stock_close, t.realized_vol_20d, t.fwd_ret, t.sigma
 FROM feat f JOIN ft t USING (date, ticker) WHERE f.date >= (SELECT max(date) FROM feat) - {days}"""),
     ] + kcal_ctes(cfg, "tf0", "t") + [label_cte("tframe", "tf0", "tcal", cfg)]
+
+
+def walk_forward_ctes(cfg) -> list[tuple[str, str]]:
+    """stamps, kr (training rows by stamp), reg (refits), kcal(stamp, ticker, k), tr (scores by stamp); needs sp and ft."""
+    m = cfg.refit_frequency_months
+    days = 365 * cfg.training_window_years + 30
+    serves = f"f.known < s.stamp AND f.date >= s.stamp - {days}"
+    return [
+        ("fk", f"""
+SELECT f.*, k.known FROM ft f JOIN (SELECT date, ticker, lead(date, {cfg.horizon_days + 1}) OVER (PARTITION BY ticker ORDER BY date) AS known
+  FROM sp) k USING (date, ticker)"""),
+        ("stamps", f"""
+SELECT CAST(unnest(generate_series(date_trunc('year', (SELECT min(date) FROM sp)), (SELECT max(known) FROM fk) + INTERVAL {m} MONTH,
+  INTERVAL {m} MONTH)) AS DATE) AS stamp"""),
+        ("kr", f"SELECT s.stamp, f.* FROM stamps s JOIN fk f ON {serves}"),
+        ("reg", """
+SELECT stamp, count(*) AS n_rows, min(date) AS first_date, max(known) AS last_known FROM kr GROUP BY stamp HAVING count(*) >= 200"""),
+    ] + kcal_ctes(cfg, "kr", key="stamp, ticker") + [
+        ("tr", f"""
+SELECT s.stamp, f.p_up, f.y_direction FROM stamps s JOIN (SELECT v.*, fk.known FROM v_signals v JOIN fk USING (date, ticker)) f ON {serves}
+WHERE f.y_direction IS NOT NULL AND f.p_up IS NOT NULL"""),
+    ]

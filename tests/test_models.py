@@ -77,6 +77,37 @@ def test_saved_model_scores_the_same(spark, model, frame):
     assert all(r.top_features == model.top_features for r in out)
 
 
+def test_each_date_is_scored_by_its_refit(spark, model, frame):
+    """Two stored models: later dates by the second, earlier ones by the first, dates before both by none."""
+    import copy
+
+    other = copy.copy(model)
+    other.long_threshold, other.short_threshold, other.top_features = 0.99, 0.01, model.top_features[::-1]
+    root = tempfile.mkdtemp(prefix="skewline-registry-")
+    PR.save(model, spark, root, "20230301")
+    PR.save(other, spark, root, "20230601")
+    assert sorted(r.stamp for r in PR.registry(spark, root).collect()) == [dt.date(2023, 3, 1), dt.date(2023, 6, 1)]
+    candidates = frame.select("date", "ticker", F.lit(1.0).alias("score_rel"))
+    rv = frame.select("date", "ticker", F.lit(0.3).alias("realized_vol_20d"))
+    got = {(r.date, r.ticker): r for r in PR.walk_forward(spark, root, candidates, frame, rv, CFG).collect()}
+    assert {d for d, _ in got} == {r.date for r in frame.collect() if r.date >= dt.date(2023, 3, 1)}
+    for (d, _), r in got.items():
+        want = (dt.date(2023, 3, 1), model) if d < dt.date(2023, 6, 1) else (dt.date(2023, 6, 1), other)
+        assert r.stamp == want[0] and r.long_threshold == want[1].long_threshold and r.top_features == want[1].top_features
+    early = candidates.where(F.col("date") < F.lit(dt.date(2023, 6, 1)))
+    again = {(r.date, r.ticker): r for r in PR.walk_forward(spark, root, early, frame, rv, CFG).collect()}
+    assert again == {k: r for k, r in got.items() if k[0] < dt.date(2023, 6, 1)}
+
+
+def test_drivers_are_the_largest_contributions(model, frame):
+    out = model.drivers(frame, 2).collect()
+    assert len(out) == 2 * frame.count() and {r.rank for r in out} == {1, 2}
+    first = {(r.date, r.ticker): abs(r.contribution) for r in out if r.rank == 1}
+    assert all(abs(r.contribution) <= first[r.date, r.ticker] for r in out)
+    names = [r.feature for r in out if r.rank == 1]
+    assert sum(n in ("z_iv_minus_ewma_rv", "z_call_put_volume_ratio") for n in names) / len(names) > 0.8
+
+
 def test_too_few_rows_are_refused(frame):
     with pytest.raises(ValueError, match="200"):
         PR.train(frame.limit(150), CFG)
