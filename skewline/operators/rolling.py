@@ -58,7 +58,12 @@ def rolling_pct_rank(x: Column, w, window=252, min_periods=60) -> Column:
     return F.when(x.isNotNull() & (n >= min_periods), (below / F.lit(2.0) + F.lit(0.5)) / n)
 
 
-def ewm_var(df: DataFrame, x: str, out: str, lam: float, part="ticker", order="date") -> DataFrame:
+# The sums that an EWMA variance needs, and the values seen so far.
+EWM_MOMENTS = ("s0", "s1", "s2", "s3", "nobs")
+
+
+def ewm_var(df: DataFrame, x: str, out: str, lam: float, part="ticker", order="date", seed: str | None = None,
+            moments: str | None = None) -> DataFrame:
     """Pandas-style ``ewm(alpha=1-lam, adjust=True, ignore_na=False).var()``.
 
     Weights are lam**age with age counted in rows (NULL rows still age the others).
@@ -70,6 +75,9 @@ def ewm_var(df: DataFrame, x: str, out: str, lam: float, part="ticker", order="d
     earlier blocks, decayed block by block (one number a block and ticker).  Only rows up to
     the current one enter.  Meant for values around zero, as returns are: the variance is a
     difference of moments.  All windows are partitioned by ``part``: one shuffle.
+
+    ``moments`` names a column for the sums after each row, and ``seed`` one with the sums before
+    the first row of its part (null: none), so that a series can go on from a stored state.
     """
     if not 0 < lam < 1:
         raise ValueError("lam must lie between 0 and 1")
@@ -94,12 +102,17 @@ def ewm_var(df: DataFrame, x: str, out: str, lam: float, part="ticker", order="d
         older = F.aggregate("_ended", F.lit(0.0), lambda acc, t: acc * F.lit(base ** B) + t[name + "p"])  # noqa: B023
         total[name] = (F.col(name + "p") * F.pow(F.lit(base), -age_to_anchor)
                        + older * F.pow(F.lit(base), F.col("_rn") - F.col("_blk") * B))
+    if seed:
+        for name, (_, base) in qs.items():
+            total[name] = total[name] + F.coalesce(F.col(seed)[name[1:]], F.lit(0.0)) * F.pow(F.lit(base), F.col("_rn"))
+        total["_nobs"] = F.col("_nobs") + F.coalesce(F.col(seed)["nobs"], F.lit(0))
     df = df.withColumns(total)
     s0, s1, s2, s3 = (F.col(n) for n in ("_s0", "_s1", "_s2", "_s3"))
     mean = s1 / s0
     denom = s0 * s0 - s3
     var = F.when((F.col("_nobs") >= 2) & (denom > 0), (s2 / s0 - mean * mean) * (s0 * s0) / denom)
-    return df.select(*keep, var.alias(out))
+    state = [F.struct(*[F.col(f"_{n}").alias(n) for n in EWM_MOMENTS]).alias(moments)] if moments else []
+    return df.select(*[c for c in keep if c != seed], var.alias(out), *state)
 
 
 def nonnull_rows_z(df: DataFrame, col: str, out: str, part="ticker", order="date", window=252,
