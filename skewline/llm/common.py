@@ -13,6 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _DRAW = 1 << 30
+FEW_KINDS = 10_000
 
 
 def draw(rows: DataFrame, limit: int) -> DataFrame:
@@ -34,7 +35,8 @@ def draw_windows(rows: DataFrame, limit: int, chars: int, by: str) -> DataFrame:
     pieces = F.ceil(F.length("text") / chars)
     totals = (rows.select(by, F.xxhash64("text"), pieces.alias("pieces")).distinct()
               .groupBy(by).agg(F.sum("pieces").alias("pieces")))
-    each = max(2, limit // max(1, totals.count()))
+    kinds = totals.count()
+    each = max(2, limit // max(1, kinds))
     shares = totals.select(F.col(by).alias("_by"), (F.lit(float(_DRAW)) * each / F.col("pieces")).alias("_share"))
 
     def chosen(text_hash):
@@ -42,6 +44,8 @@ def draw_windows(rows: DataFrame, limit: int, chars: int, by: str) -> DataFrame:
                           lambda i: F.pmod(F.xxhash64(F.lit("window"), text_hash, i), F.lit(_DRAW)) < F.col("_share"))
         return F.transform(places, lambda i: F.substring("text", (i * chars + 1).cast("int"), F.lit(chars)))
 
+    # One short row a value of ``by``: broadcast while they are few, so that no text moves; else joined.
+    shares = F.broadcast(shares) if kinds <= FEW_KINDS else shares
     # The array of one binds the text's hash, worked out once a text.
     return (rows.join(shares, F.col(by) == F.col("_by"))
             .select(by, F.explode(F.flatten(F.transform(F.array(F.xxhash64("text")), chosen))).alias("window")).distinct())
