@@ -67,6 +67,29 @@ class Words(NamedTuple):
     spelled: int  # the class of all other words
     size: int  # classes a group
     total: int  # words of the corpus
+    start: np.ndarray | None = None  # see ``bucket_starts``
+
+
+def bucket_starts(known: np.ndarray) -> np.ndarray:
+    """Where the sorted hashes with each of the leading bits begin, about two buckets a hash."""
+    bits = len(known).bit_length() + 1
+    return np.searchsorted(known, np.arange(1 << bits, dtype=_U) << _U(64 - bits)).astype(np.int32)
+
+
+def find_hashes(known: np.ndarray, start: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Place of each hash in ``known``, -1 if it is not there: its bucket's hashes one after another."""
+    out = np.full(len(h), -1)
+    if not len(known):
+        return out
+    left = np.arange(len(h))
+    at = start[(h >> _U(64 - (len(start).bit_length() - 1))).astype(np.int64)].astype(np.int64)
+    while len(left):
+        near, own = known[np.minimum(at, len(known) - 1)], h[left]
+        same = (near == own) & (at < len(known))
+        out[left[same]] = at[same]
+        on = (near < own) & (at < len(known) - 1)
+        left, at = left[on], at[on] + 1
+    return out
 
 
 def shapes(n: int, size: int) -> dict[str, tuple[int, ...]]:
@@ -115,17 +138,18 @@ def classes(col: pa.Array, vocab: Words) -> tuple[np.ndarray, np.ndarray, np.nda
     data, offs = text_bytes(pc.utf8_lower(col))
     starts, ends, first = words(data, offs, _SEPARATORS)
     h = word_hashes(data, starts, ends)
+    at = find_hashes(vocab.known, bucket_starts(vocab.known) if vocab.start is None else vocab.start, h)
+    hit = at >= 0
     out, inside = np.full(len(h), vocab.spelled), np.zeros(len(h))
-    hit = np.zeros(len(h), bool)
-    if len(vocab.known) and len(h):
-        at = np.minimum(np.searchsorted(vocab.known, h), len(vocab.known) - 1)
-        hit = vocab.known[at] == h
-        out[hit], inside[hit] = vocab.ids[at[hit]], vocab.inside[at[hit]]
-    rest = ~hit
-    if rest.any():
-        pair, close = byte_pairs(data, starts, ends)
-        total = np.concatenate([[0.0], np.cumsum(vocab.spelling[pair], dtype=np.float64)])
-        inside[rest] = (total[ends[rest]] - total[starts[rest]]) + vocab.spelling[close[rest]]
+    out[hit], inside[hit] = vocab.ids[at[hit]], vocab.inside[at[hit]]
+    rest = np.flatnonzero(~hit)
+    if len(rest):
+        # Only the bytes of these words, one word after another.
+        size = ends[rest] - starts[rest]
+        begin = np.cumsum(size) - size
+        spelled = data[np.repeat(starts[rest] - begin, size) + np.arange(int(size.sum()))]
+        pair, close = byte_pairs(spelled, begin, begin + size)
+        inside[rest] = np.add.reduceat(vocab.spelling[pair].astype(np.float64), begin) + vocab.spelling[close]
     return out, inside, first
 
 
@@ -268,7 +292,8 @@ def vocabulary(docs: DataFrame) -> Words:
     inside = np.zeros(len(n))
     inside[own:] = np.log(n[own:] / np.bincount(ids[own:], n[own:], spelled)[ids[own:]])
     order = np.argsort(known)
-    return Words(known[order], ids[order], inside[order].astype(np.float32), spelling, share / share.sum(), spelled, size, total)
+    return Words(known[order], ids[order], inside[order].astype(np.float32), spelling, share / share.sum(), spelled, size, total,
+                 bucket_starts(known[order]))
 
 
 def warm_start(docs: DataFrame, vocab: Words, warm_windows: int = WARM_WINDOWS) -> Trainer:
