@@ -81,6 +81,31 @@ def ordered_prefix(df: DataFrame, group, value: str, cols, inclusive: bool, rang
     return out.drop("_bkt", "_g_bkt", *[f"_g_{g}" for g in group], *[f"_o_{c}" for c in cols])
 
 
+def exact_percentiles(df: DataFrame, value: str, fractions) -> DataFrame:
+    """One row with ``q``, the exact percentiles (linear interpolation) of a column of any size.
+
+    Rows become counts of distinct values, whose running sums are taken range by range (see
+    ``ordered_prefix``); each of the two order statistics of a fraction is the one value whose counts
+    span its rank, so no task holds or orders the column.  NULL and NaN are left out; without values
+    ``q`` is NULL."""
+    v = F.col(value).cast("double")
+    counts = df.select(v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    placed = ordered_prefix(counts, [], "_v", ["_n"], inclusive=True).withColumn("_total", total)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("cum__n") - F.col("_n") <= rank) & (rank < F.col("cum__n")), F.col("_v")))
+
+    parts = []
+    for p in fractions:
+        place = F.lit(float(p)) * (F.col("_total") - 1)
+        i = len(parts) // 3
+        parts += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}"), F.max(place - F.floor(place)).alias(f"_w{i}")]
+    row = placed.agg(*parts)
+    q = [F.col(f"_lo{i}") + F.col(f"_w{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i in range(len(parts) // 3)]
+    return row.select(F.when(F.col("_lo0").isNotNull(), F.array(*q)).alias("q"))
+
+
 # --------------------------------------------------------------------------- AUC
 
 

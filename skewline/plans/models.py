@@ -81,7 +81,7 @@ def fold_roles(frame: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 def iv_baseline(frame: DataFrame, roles: DataFrame, cfg: Settings = DEFAULT, label: str = "y_magnitude"):
     """M3: logistic regression on ATM IV (NULL -> median, P16 exact median), L2 with C = 1
     (regParam = 1 / n of the rows fitted, no standardisation), purged-CV AUC plus a final fit."""
-    med = frame.select(F.percentile("iv_atm_30dte", 0.5)).scalar()
+    med = ST.exact_percentiles(frame, "iv_atm_30dte", [0.5]).select(F.col("q")[0]).scalar()
     df = frame.withColumn("iv_atm_30dte", F.coalesce(F.col("iv_atm_30dte"), med))
     data = materialize(design(df, ["iv_atm_30dte"], label), "iv-design")
 
@@ -146,7 +146,7 @@ def regime_pruning(spark: SparkSession, model, data: DataFrame, features, cfg: S
     stressed (VIX >= q67) regimes; keep a feature above ``threshold`` in either regime (all
     features if none is).  P14: a regime of ten rows or fewer has no say."""
     f = list(features)
-    q = data.select(F.percentile("vix_level", F.array(F.lit(0.33), F.lit(0.67)))).scalar()
+    q = ST.exact_percentiles(data, "vix_level", [0.33, 0.67]).scalar()
     reg = F.when(F.col("vix_level") <= q[0], "calm").when(F.col("vix_level") >= q[1], "stressed")
     explain = CT.booster_explainer([model], len(f))
     rows = data.withColumn("regime", reg).where(F.col("regime").isNotNull()).withColumn("_x", vector_to_array("features"))

@@ -53,7 +53,9 @@ def warnings_by_date(signals: DataFrame, outcomes: DataFrame, features: DataFram
     ends = dates.select(F.col("date").alias("end")).distinct()
     sums = direction_hits(signals, outcomes).join(ends, "end", "left_semi")
     low = sums.where((F.col("known") >= 10) & (F.col("hits") / F.col("known") < cfg.hit_rate_min))
-    ci = ST.trailing_ci(hits(signals, outcomes), "hit", ["date", "ticker"], "signal", seed=cfg.seed)
+    # Only days that a low rate looks back on are drawn for.
+    days = low.select(F.explode(F.sequence(F.date_sub("end", 30), F.col("end"))).alias("date"), "signal").distinct()
+    ci = ST.trailing_ci(hits(signals, outcomes).join(days, ["date", "signal"], "left_semi"), "hit", ["date", "ticker"], "signal", seed=cfg.seed)
     low = low.join(ci, ["end", "signal"]).where(F.col("lo") < cfg.hit_rate_min).select(
         F.col("end").alias("date"), F.lit("hit_rate").alias("kind"), F.col("signal").alias("subject"), (F.col("hits") / F.col("known")).alias("value"),
         F.format_string("%s hit rate below minimum", "signal").alias("warning"))

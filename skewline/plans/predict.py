@@ -127,13 +127,21 @@ def train(frame: DataFrame, cfg: Settings = DEFAULT) -> SignalModel:
         raise ValueError(f"training needs {MIN_TRAINING_ROWS} rows, got {n}")
     roles = materialize(MD.fold_roles(frame, cfg), "roles")
     data = materialize(MD.design(frame, STAGE_B_FEATURES, "y_magnitude"), "design")
-    first = MD.gbt(cfg).fit(data)
-    effects = MD.regime_pruning(frame.sparkSession, first, data, STAGE_B_FEATURES, cfg).where("kept").collect()
-    kept = [f for f in STAGE_B_FEATURES if f in {r.feature for r in effects}]
-    magnitude, oof_b = fit_ensemble(frame, roles, kept, "y_magnitude", cfg)
-    direction, oof_c = fit_ensemble(frame, roles, STAGE_C_FEATURES, "y_direction", cfg)
+
+    def pruned():
+        first = MD.gbt(cfg).fit(data)
+        effects = MD.regime_pruning(frame.sparkSession, first, data, STAGE_B_FEATURES, cfg).where("kept").collect()
+        kept = [f for f in STAGE_B_FEATURES if f in {r.feature for r in effects}]
+        return kept, *fit_ensemble(frame, roles, kept, "y_magnitude", cfg)
+
+    # The two ensembles don't depend on each other; their many small jobs share the cluster.
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        later = pool.submit(fit_ensemble, frame, roles, STAGE_C_FEATURES, "y_direction", cfg)
+        kept, magnitude, oof_b = pruned()
+        direction, oof_c = later.result()
     base_auc, baseline, _ = MD.iv_baseline(frame, roles, cfg)
-    median = frame.select(F.percentile("iv_atm_30dte", 0.5)).first()[0]
+    q = ST.exact_percentiles(frame, "iv_atm_30dte", [0.5]).first().q
+    median = q[0] if q else None
     oof_c = materialize(oof_c, "oof-c")
     th = ST.direction_thresholds(oof_c.select(F.col("p").alias("p_up"), F.col("label").alias("y_direction")), cfg=cfg).first()
     importance = sum(b.featureImportances.toArray() for b, _ in magnitude.pairs)

@@ -292,8 +292,17 @@ def q_direction_thresholds(fx):
     ["quantile_cont(vix, 0.33e0) AS q33", "quantile_cont(vix, 0.67e0) AS q67"], "v_market"), views=["v_market"]))
 def q_vix_terciles(fx):
     """VIX terciles (linear interpolation)."""
-    q = F.percentile("vix", F.array(F.lit(0.33), F.lit(0.67)))
-    return fx.v_market.agg(q.alias("_q")).select(F.col("_q")[0].alias("q33"), F.col("_q")[1].alias("q67"))
+    return ST.exact_percentiles(fx.v_market, "vix", [0.33, 0.67]).select(F.col("q")[0].alias("q33"), F.col("q")[1].alias("q67"))
+
+
+@register("feature_medians", Q.build(Q.feature_ctes(CFG), "SELECT " + ", ".join(
+    Q.rnd(f"quantile_cont({c}, 0.5e0)", c) for c in ("iv_atm_30dte", "call_put_volume_ratio")) + " FROM feat", views=["v_options", "v_bars", "v_market"],
+    recursive=True))
+def q_feature_medians(fx):
+    """Exact medians of whole feature columns, as missing values are filled with."""
+    f = _features(fx)
+    return ST.exact_percentiles(f, "iv_atm_30dte", [0.5]).select(F.col("q")[0].alias("iv_atm_30dte")).crossJoin(
+        ST.exact_percentiles(f, "call_put_volume_ratio", [0.5]).select(F.col("q")[0].alias("call_put_volume_ratio")))  # one row each
 
 
 def ks_daily_ctes(cfg, ends: str, src="feat", cols=DRIFT_COLS) -> list[tuple[str, str]]:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from skewline import sqlcheck as Q
 from skewline.operators import chain as C
 from skewline.operators.features import features_daily, features_range, stock_panel
 from skewline.operators.market import market_features
+from skewline.operators.nightly import empty_state, night
 from skewline.operators.rolling import ewm_var, log_returns, realized_vol, rolling_pct_rank, wspec
 from skewline.plans.catalog import CFG, register, select_sql
-from skewline.session import shared_path
+from skewline.session import materialize, shared_path
 from skewline.sources.tables import read_table, upsert_partitions
 
 W = f"PARTITION BY ticker ORDER BY date"
@@ -171,6 +174,26 @@ def q_features_daily(fx):
 
 
 RANGE_DAYS = 90
+NIGHTLY_STEPS = 3
+
+
+@register("nightly_features", Q.build(Q.feature_ctes(CFG), select_sql(
+    FEATURE_OUT, "feat", f"WHERE date >= (SELECT max(date) FROM v_options) - {RANGE_DAYS}"), views=CHAIN_VIEWS, recursive=True))
+def q_nightly_features(fx):
+    """W2-W5/U1/P3 from stored window state: the state of the days before the last 90 days is stored, then three
+    runs of 30 days each read only their own bars and contracts and the state before them."""
+    start, end = fx.v_options.select(F.date_sub(F.max("date"), RANGE_DAYS), F.max("date")).first()
+    step = datetime.timedelta(-(-(RANGE_DAYS + 1) // NIGHTLY_STEPS))
+    days = lambda df, lo, hi: df.where((F.col("date") >= F.lit(lo)) & (F.col("date") < F.lit(hi)))
+    history = datetime.date(1, 1, 1)
+    _, state = night(days(fx.v_options, history, start), days(fx.v_bars, history, start), fx.v_market, empty_state(fx.spark), CFG)
+    out, lo = None, start
+    while lo <= end:
+        hi = min(lo + step, end + datetime.timedelta(1))
+        state = materialize(state, "window-state")
+        new, state = night(days(fx.v_options, lo, hi), days(fx.v_bars, lo, hi), days(fx.v_market, history, hi), state, CFG)
+        out, lo = (new if out is None else out.unionByName(new)), hi
+    return out
 
 
 @register("features_range", Q.build(Q.feature_ctes(CFG), select_sql(

@@ -97,10 +97,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the folders that this application has written to the shared folder, and say how many
+    there were.  Frames that read them are of no use afterwards: call it between jobs."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        p = jvm.org.apache.hadoop.fs.Path(name)
+        p.getFileSystem(conf).delete(p, True)
+    return len(paths)
 
 
 def materialize(df, name: str = "stage"):

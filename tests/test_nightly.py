@@ -57,7 +57,16 @@ def between(tables, lo, hi):
     return [t.where((F.col("date") >= F.lit(lo)) & (F.col("date") <= F.lit(hi))) for t in tables]
 
 
-def test_thirty_nights_in_a_row_equal_the_full_run(spark, tables):
+@pytest.fixture
+def few_partitions(spark):
+    """Small nights: many jobs of a few rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_thirty_nights_in_a_row_equal_the_full_run(spark, tables, few_partitions):
     options, bars, market = tables
     want = rows(features_daily(options, bars, market, CFG))
     start = dt.date(2024, 1, 1) + DAY * 100

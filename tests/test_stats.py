@@ -78,3 +78,12 @@ def test_ordered_prefix_with_outliers_and_groups_of_different_size(spark):
                 assert cum == total + n * inclusive
                 total += n
     assert {r.cum_n for r in ST.ordered_prefix(df.where("g = 'b'").drop("g"), [], "x", ["n"], True).collect()} == set(range(2, 82, 2))
+
+
+def test_exact_percentiles_of_skewed_and_tied_values(spark):
+    rng = np.random.default_rng(12)
+    for values in ([5.0] * 700 + rng.exponential(size=301).tolist(), rng.integers(0, 4, 500).astype(float).tolist(), [2.5], (10.0 ** rng.normal(size=999)).tolist()):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double").repartition(5)
+        got = ST.exact_percentiles(df, "v", [0.0, 0.33, 0.5, 0.67, 1.0]).first().q
+        assert np.allclose(got, np.quantile(values, [0.0, 0.33, 0.5, 0.67, 1.0]), rtol=1e-12)
+    assert ST.exact_percentiles(spark.createDataFrame([(None,)], "v double"), "v", [0.5]).first().q is None
