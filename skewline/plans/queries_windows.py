@@ -185,7 +185,7 @@ def q_nightly_features(fx):
     start, end = fx.v_options.select(F.date_sub(F.max("date"), RANGE_DAYS), F.max("date")).first()
     step = datetime.timedelta(-(-(RANGE_DAYS + 1) // NIGHTLY_STEPS))
     days = lambda df, lo, hi: df.where((F.col("date") >= F.lit(lo)) & (F.col("date") < F.lit(hi)))
-    history = datetime.date(1, 1, 1)
+    history = datetime.date(1900, 1, 1)
     _, state = night(days(fx.v_options, history, start), days(fx.v_bars, history, start), fx.v_market, empty_state(fx.spark), CFG)
     out, lo = None, start
     while lo <= end:
