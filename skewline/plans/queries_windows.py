@@ -120,7 +120,7 @@ def _chain_sql(cols):
 
 
 def _summary(fx):
-    return C.chain_summary(C.price_contracts(fx.v_options, fx.v_bars, fx.v_market, CFG, how="left"))
+    return C.price_chains(fx.v_options, fx.v_bars, fx.v_market, CFG)
 
 
 @register("iv_by_delta", _chain_sql(["~date", "~underlying", "iv_call_50", "iv_put_50", "iv_call_25", "iv_put_25"]))
