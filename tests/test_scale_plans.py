@@ -2,11 +2,15 @@
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import functions as F
 
 from skewline.operators import chain as C
+from skewline.plans import models as MD
+from skewline.plans import queries_streaming as QS
 from skewline.sources.fixtures import Fixtures
+from skewline.sources.tables import read_table
 
 
 def _options(spark, n=40):
@@ -41,3 +45,35 @@ def test_options_view_stores_no_copy_of_its_input(spark):
     assert [v for v in fx._cache if v.startswith("v_")] == ["v_options"]
     assert spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold") == before
     assert fx.v_options_raw.count() == 3
+
+
+def test_rows_for_fits_fill_their_tasks(spark):
+    rows = spark.range(0, 400, 1, 40).select(F.lit("2024-01-01").cast("date").alias("date"), F.col("id").cast("string").alias("ticker"))
+    got = MD.packed(rows)
+    assert got.rdd.getNumPartitions() == 1 and got.exceptAll(rows).count() == 0 and got.count() == 400
+
+
+def test_folds_do_not_wait_for_driver_cores(spark, monkeypatch):
+    monkeypatch.setattr(os, "cpu_count", lambda: 1)
+    together = threading.Barrier(3, timeout=60)
+    scored = spark.createDataFrame([("2024-01-01", "A", 1.0, 0.5)], "date string, ticker string, label double, p double")
+
+    def fold(data, roles, k, *rest):
+        together.wait()
+        return k, None, scored.withColumn("fold", F.lit(k))
+
+    monkeypatch.setattr(MD, "_fold_job", fold)
+    assert sorted(MD.cross_validate(None, None, None, 3)[0]) == [0, 1, 2]
+
+
+def test_landed_bars_are_compressed_and_come_back_whole(spark, monkeypatch):
+    class Views:
+        v_options = _options(spark).withColumn("transactions", F.lit(11)).localCheckpoint()
+
+    Views.spark = spark
+    roots = []
+    monkeypatch.setattr(QS, "shared_path", lambda s, name: roots.append(tempfile.mkdtemp(prefix="skewline-ingest-")) or roots[-1])
+    tables = QS._ingested(Views)
+    assert read_table(spark, tables, "options_daily").count() == read_table(spark, tables, "backfill_progress").count() == 40
+    landed = [f for _, _, files in os.walk(f"{roots[0]}/landing") for f in files if not f.startswith((".", "_"))]
+    assert landed and all(f.endswith(".gz") for f in landed)
